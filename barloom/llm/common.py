@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -69,11 +70,12 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_barloom_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    with tempfile.TemporaryDirectory() as d:
-        stage = os.path.join(d, "stage")
-        shutil.copytree(os.path.join(root, "barloom"), os.path.join(stage, "barloom"), ignore=shutil.ignore_patterns("__pycache__"))
-        sc.addPyFile(shutil.make_archive(os.path.join(d, f"barloom-{uuid.uuid4().hex}"), "zip", stage))
-        sc._barloom_shipped = True
+    d = tempfile.mkdtemp(prefix="barloom-code-")  # the driver serves the file until it ends
+    atexit.register(shutil.rmtree, d, True)
+    stage = os.path.join(d, "stage")
+    shutil.copytree(os.path.join(root, "barloom"), os.path.join(stage, "barloom"), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(d, f"barloom-{uuid.uuid4().hex}"), "zip", stage))
+    sc._barloom_shipped = True
 
 
 def open_fs(uri: str):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import exact, packing, quality, records
 
 QUERIES = {
     "op1_quality_divergence": quality.op1_query,
+    "op6_token_records": records.op6_query,
+    "op8_patricia_dedup": exact.op8_query,
+    "op9_tier_packing": packing.op9_query,
+}
+ORACLES: dict[str, str] = {
+    "op8_patricia_dedup": exact.ORACLE,
 }
-ORACLES: dict[str, str] = {}
