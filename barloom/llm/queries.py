@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, packing, quality, records, secrets
+from . import edits, exact, mixing, packing, quality, records, secrets, warc
 
 QUERIES = {
     "op1_quality_divergence": quality.op1_query,
     "op2_poisson_mixing": mixing.op2_query,
+    "op3_warc_salvage": warc.op3_query,
     "op5_secret_trigrams": secrets.op5_query,
     "op6_token_records": records.op6_query,
+    "op7_edit_counts": edits.op7_query,
     "op8_patricia_dedup": exact.op8_query,
     "op9_tier_packing": packing.op9_query,
 }
 ORACLES: dict[str, str] = {
     "op2_poisson_mixing": mixing.ORACLE,
+    "op3_warc_salvage": warc.ORACLE,
     "op8_patricia_dedup": exact.ORACLE,
 }

@@ -41,8 +41,11 @@ class PieceEncoder:
 
     def pieces(self, text: str) -> tuple[str, list[str]]:
         """The first piece, and the others without the space before them."""
-        if not self.spaced:
-            return "", text.replace("\n", " ").split(" ")
+        return self.cut(text) if self.spaced else ("", text.replace("\n", " ").split(" "))
+
+    @staticmethod
+    def cut(text: str) -> tuple[str, list[str]]:
+        """As pieces(), for either tokenizer without changing a character."""
         if _HARD.search(text):
             head, *tail = _SAFE_CUT.split(text)
             return head, [p[1:] for p in tail]
