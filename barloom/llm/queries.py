@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edits, exact, mixing, packing, quality, records, secrets, warc
+from . import edits, exact, jaccard, mixing, packing, quality, records, secrets, warc
 
 QUERIES = {
     "op1_quality_divergence": quality.op1_query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_edit_counts": edits.op7_query,
     "op8_patricia_dedup": exact.op8_query,
     "op9_tier_packing": packing.op9_query,
+    "op10_parity_sketch_join": jaccard.op10_query,
 }
 ORACLES: dict[str, str] = {
     "op2_poisson_mixing": mixing.ORACLE,
