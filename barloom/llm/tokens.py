@@ -8,36 +8,69 @@ So the ids of a text are those of its pieces in a row, and equal pieces are enco
 from __future__ import annotations
 
 import re
+import struct
 
-#: A space that isn't the first of its run of white space and isn't followed by a
-#: non-space: there the plain split at spaces would cut a run in the wrong place.
-_HARD = re.compile(r"\s \s|\s \Z")
+#: A space after other white space: there the plain split at spaces could cut a run of white
+#: space in the wrong place.
+_HARD = tuple(f"{c} " for c in map(chr, range(0x3001)) if c.isspace())
 _SAFE_CUT = re.compile(r"(?= \S)")
+#: ASCII marks that form one pre-token with their like (no apostrophe, which starts contractions).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies have for each byte: itself where it
+    is printable in Latin-1, else the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    odd = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(odd)}
 
 
 class PieceEncoder:
     """Little-endian unsigned 32-bit ids of whole texts. `limit` bounds the cached pieces."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 1_300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = '"</w>"' not in str(self.tokenizer.model)[:400]
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.limit = limit
         self.first: dict[str, bytes] = {"": b""}
         self.rest: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         if not self.spaced:
             self.rest = self.first
 
+    def _ids(self, word: str) -> bytes:
+        """Ids of one pre-token, by the tokenizer's model alone."""
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, cache: dict[str, bytes], pieces: list[str], lead: str) -> None:
-        if len(cache) > self.limit:
+        if cache is self.first and len(cache) > self.limit:
             cache.clear()
-            self.first[""] = b""
-        import numpy as np
-
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast([lead + p for p in pieces], add_special_tokens=False), strict=True):
-            cache[piece] = np.array(e.ids, "<u4").tobytes()
+            cache[""] = b""
+        hard = []
+        for piece in pieces:
+            stem = piece.rstrip(_MARKS)
+            # Letters below U+0250 are one pre-token, and lower-casing them needs no context.
+            if stem.isalpha() and max(stem) < "\u0250" and (self.spaced or stem.lower().isalpha()):
+                ids = cache.get(stem)
+                if ids is None:
+                    ids = cache[stem] = self._ids(lead + stem if self.spaced else stem.lower())
+                if len(stem) < len(piece):
+                    tail = piece[len(stem) :]
+                    if tail not in self.marks:
+                        self.marks[tail] = self._ids(tail)
+                    cache[piece] = ids + self.marks[tail]
+            else:
+                hard.append(piece)
+        if hard:
+            for piece, e in zip(hard, self.tokenizer.encode_batch_fast([lead + p for p in hard], add_special_tokens=False), strict=True):
+                cache[piece] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def pieces(self, text: str) -> tuple[str, list[str]]:
         """The first piece, and the others without the space before them."""
@@ -46,7 +79,7 @@ class PieceEncoder:
     @staticmethod
     def cut(text: str) -> tuple[str, list[str]]:
         """As pieces(), for either tokenizer without changing a character."""
-        if _HARD.search(text):
+        if any(run in text for run in _HARD) or text.endswith(" "):
             head, *tail = _SAFE_CUT.split(text)
             return head, [p[1:] for p in tail]
         head, *tail = text.split(" ")
@@ -58,16 +91,15 @@ class PieceEncoder:
         if lead is None:
             self._learn(self.first, [head], "")
             lead = self.first[head]
-        get = self.rest.__getitem__
+        known = self.rest
         try:
-            return [lead, *map(get, tail)]
+            return [lead, *map(known.__getitem__, tail)]
         except KeyError:
-            known = self.rest
-            new = [p for p in dict.fromkeys(tail) if p not in known]
-            if len(known) + len(new) > self.limit:
-                new = list(dict.fromkeys(tail))
-            self._learn(known, new, " " if self.spaced else "")
-            return [lead, *map(get, tail)]
+            if len(known) > self.limit:
+                known.clear()
+                self.first[""] = b""
+            self._learn(known, [p for p in dict.fromkeys(tail) if p not in known], " " if self.spaced else "")
+            return [lead, *map(known.__getitem__, tail)]
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.lookup(*self.pieces(text)))
