@@ -40,6 +40,7 @@ class PieceEncoder:
         self.first: dict[str, bytes] = {"": b""}
         self.rest: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.newline = self._ids("\n") if self.spaced else b""
         if not self.spaced:
             self.rest = self.first
 
@@ -50,9 +51,6 @@ class PieceEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, cache: dict[str, bytes], pieces: list[str], lead: str) -> None:
-        if cache is self.first and len(cache) > self.limit:
-            cache.clear()
-            cache[""] = b""
         hard = []
         for piece in pieces:
             stem = piece.rstrip(_MARKS)
@@ -66,6 +64,14 @@ class PieceEncoder:
                     if tail not in self.marks:
                         self.marks[tail] = self._ids(tail)
                     cache[piece] = ids + self.marks[tail]
+            elif "\n" in piece and self.spaced and piece.split() == (lines := piece.split("\n")):
+                # A single line end between non-spaces is a pre-token; the next has no space before it.
+                new = [x for x in lines[1:] if x not in self.first]
+                if new:
+                    self._learn(self.first, new, "")
+                if lines[0] not in cache:
+                    self._learn(cache, lines[:1], lead)
+                cache[piece] = self.newline.join([cache[lines[0]], *(self.first[x] for x in lines[1:])])
             else:
                 hard.append(piece)
         if hard:
@@ -89,14 +95,18 @@ class PieceEncoder:
         """The ids of each piece, the first included."""
         lead = self.first.get(head)
         if lead is None:
+            if len(self.first) > self.limit:
+                self.first.clear()
+                self.first[""] = b""
             self._learn(self.first, [head], "")
             lead = self.first[head]
         known = self.rest
         try:
             return [lead, *map(known.__getitem__, tail)]
         except KeyError:
-            if len(known) > self.limit:
+            if len(known) + len(self.first) > self.limit:
                 known.clear()
+                self.first.clear()
                 self.first[""] = b""
             self._learn(known, [p for p in dict.fromkeys(tail) if p not in known], " " if self.spaced else "")
             return [lead, *map(known.__getitem__, tail)]
