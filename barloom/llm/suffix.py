@@ -103,8 +103,10 @@ def repeats(segments: list[bytes], order: list[tuple], span: int) -> list[tuple[
 
     def settle(run: list[tuple[int, int]]) -> None:
         if len(run) > 1:
-            first = min(run, key=lambda x: (*order[x[0]][:-1], order[x[0]][-1] + x[1]))
-            out.extend(x for x in run if x is not first)
+            # Segments may overlap, so one place can occur twice.
+            places = [(*order[k][:-1], order[k][-1] + o) for k, o in run]
+            first = min(places)
+            out.extend(x for x, place in zip(run, places, strict=True) if place != first)
 
     run, head = [], None
     for i in suffix_array(text):
@@ -368,7 +370,8 @@ def _sorted_repeats(batches: Iterable, span: int) -> Iterator:
         if s in seen:
             first, later = min(seen[s], place), max(seen[s], place)
             seen[s] = first
-            out.append((later[0], later[1], later[1] + later[2]))
+            if first != later:
+                out.append((later[0], later[1], later[1] + later[2]))
         else:
             seen[s] = place
     for seen in buckets.values():
@@ -446,12 +449,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark.sparkContext._jvm.System.gc()  # the shuffle of places is over
     wanted = met.where(F.col("kind") == WANTED).mapInArrow(_wanted, "h long, doc long, low long, high long")
     places = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "low", "high")).alias("places"))
-    cut = rows.join(places, F.col("rid") == F.col("doc")).select("rid", "content", "places").mapInArrow(lambda it: _cut(it, span), "h long, doc long, low long, segment binary")
+    cut = rows.join(places.hint("merge"), F.col("rid") == F.col("doc")).select("rid", "content", "places").mapInArrow(lambda it: _cut(it, span), "h long, doc long, low long, segment binary")
     more = materialise(cut.repartition(parts, "h").mapInArrow(lambda it: _sorted_repeats(it, span), PACKED), "suffix-more")
     spark.sparkContext._jvm.System.gc()
     marks = met.where(F.col("kind") == MARKS).union(more)
     spans = materialise(marks.repartition(parts, "bucket").mapInArrow(lambda it: _spans(it, span), "doc long, starts array<long>, ends array<long>"), "suffix-spans")
-    df = rows.join(spans, F.col("rid") == F.col("doc"), "left").select("doc_id", "content", "starts", "ends")
+    df = rows.join(spans.hint("merge"), F.col("rid") == F.col("doc"), "left").select("doc_id", "content", "starts", "ends")
     return df.mapInArrow(lambda it: _removed(it, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep else ""))
 
 
