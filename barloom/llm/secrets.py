@@ -175,7 +175,8 @@ def scan(docs: DataFrame, text_col: str = "text", *, rules: tuple[Rule, ...] = R
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     df = docs.withColumn(text, text_of(text_col)).withColumn(key, F.sha2(F.col(text), 256))
     found = materialise(candidates(df.select(key, F.lower(text).alias(low)), key, low, queries).withColumnRenamed(key, ckey), "secret-candidates")
-    df = df.join(found.withColumnRenamed("kinds", kinds), F.col(key) == F.col(ckey), "left")
+    # A merge join at any size: it needs no bound on the candidates.
+    df = df.join(found.withColumnRenamed("kinds", kinds).hint("merge"), F.col(key) == F.col(ckey), "left")
     none = F.array().cast("array<struct<start:int,order:int,end:int>>")
     parts = []
     for order, rule in enumerate(rules):
