@@ -48,7 +48,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.barloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise() wrote, when nothing reads it any more."""
+    spark, path = df.sparkSession, df.barloom_path
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
