@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from . import edits, exact, jaccard, mixing, packing, quality, records, secrets, warc
+from . import edits, exact, jaccard, mixing, packing, quality, records, secrets, suffix, warc
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
     "op1_quality_divergence": quality.op1_query,
     "op2_poisson_mixing": mixing.op2_query,
     "op3_warc_salvage": warc.op3_query,
+    "op4_suffix_dedup": suffix.op4_query,
     "op5_secret_trigrams": secrets.op5_query,
     "op6_token_records": records.op6_query,
     "op7_edit_counts": edits.op7_query,
     "op8_patricia_dedup": exact.op8_query,
     "op9_tier_packing": packing.op9_query,
     "op10_parity_sketch_join": jaccard.op10_query,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
     "op2_poisson_mixing": mixing.ORACLE,

@@ -225,9 +225,9 @@ def test_records(spark, docs, rows, none):
     f = records.RecordFile(m.path, m.index_path)
     assert len(f) == m.n_records and f.get(len(f) - 1)
     with open(m.path.removeprefix("file:"), "r+b") as h:
-        h.seek(30)
+        h.seek(14)
         b = h.read(1)
-        h.seek(30)
+        h.seek(14)
         h.write(bytes([b[0] ^ 1]))
     with pytest.raises(ValueError):
         records.RecordFile(m.path, m.index_path).get(0)
