@@ -1,10 +1,9 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import q_features, q_metrics, q_search, q_tape  # noqa: F401
+from .q_tape import flagship
+from .registry import ORACLES, QUERIES
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
