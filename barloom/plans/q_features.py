@@ -1 +1,141 @@
-"""Queries."""
+"""Queries of feature scoring and selection."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from barloom.operators import features as X  # noqa: N812
+from barloom.operators import metrics as M  # noqa: N812
+from barloom.operators import rules as R  # noqa: N812
+from barloom.sources.tape import event_bars, table
+
+from .q_tape import BARS, FEATURES, _case, features
+from .registry import query, r6
+
+COLS = ["f_pos", "f_signed", "f_sparse", "f_bin"]
+LONG = f"{FEATURES}, lf AS ({' UNION ALL '.join(f'SELECT {chr(39)}{c}{chr(39)} AS feature, event_id, symbol, value, CAST({c} AS DOUBLE) AS x FROM feat' for c in COLS)})"
+
+
+def long(spark, sf_dir):
+    return X.long_form(features(spark, sf_dir), COLS, ["event_id", "symbol", "value"])
+
+
+@query("g15_feature_modes", f"WITH {LONG}, a AS (SELECT feature, bool_and(coalesce(x, 0) IN (0, 1)) AS two, bool_and(coalesce(x, 0) IN (-1, 0, 1)) AS three, min(x) AS low, avg(CAST(coalesce(x, 0) = 0 AS DOUBLE)) AS zeros FROM lf GROUP BY 1) SELECT feature, CASE WHEN two THEN 'binary' WHEN three THEN 'ternary' WHEN low < 0 AND zeros > 0.3 THEN 'sparse_signed' WHEN low < 0 THEN 'signed' WHEN zeros > 0.3 THEN 'sparse_positive' ELSE 'positive' END AS mode, round(zeros, 6) AS zero_ratio FROM a")
+def g15(spark, sf_dir):
+    return X.modes(features(spark, sf_dir), COLS).select("feature", "mode", r6("zero_ratio", "zero_ratio"))
+
+
+@query("g14_dispersion_filter", f"WITH {LONG}, c AS (SELECT feature, x, count(*) AS n FROM lf GROUP BY 1, 2) SELECT feature, round(max(n) / sum(n), 6) AS modal_share FROM c GROUP BY 1 HAVING max(n) / sum(n) <= 0.95")
+def g14(spark, sf_dir):
+    return X.dispersion(features(spark, sf_dir), COLS).where("modal_share <= 0.95").select("feature", r6("modal_share", "modal_share"))
+
+
+@query("g16_ordinal_scales", "WITH a AS (SELECT 'linenumber' AS feature, min(l_linenumber) AS a, max(l_linenumber) AS b FROM lineitem UNION ALL SELECT 'centred', min(l_linenumber - 4), max(l_linenumber - 4) FROM lineitem) SELECT feature, CASE WHEN (b > 1 OR a < -1) AND a >= 0 AND b <= 4 THEN 4.0 WHEN (b > 1 OR a < -1) AND a >= -2 AND b <= 2 THEN 2.0 WHEN (b > 1 OR a < -1) AND a >= -5 AND b <= 5 THEN 5.0 END::DOUBLE AS scale FROM a")
+def g16(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("linenumber"), (F.col("l_linenumber") - 4).alias("centred"))
+    return X.ordinal_scales(df, ["linenumber", "centred"])
+
+
+@query("g17_discretise", f"WITH {FEATURES} SELECT CASE WHEN f_pos < 0.2 THEN 0 WHEN f_pos < 0.4 THEN 1 WHEN f_pos < 0.6 THEN 2 WHEN f_pos < 0.8 THEN 3 ELSE 4 END AS left_closed, CASE WHEN f_pos <= 0.2 THEN 0 WHEN f_pos <= 0.4 THEN 1 WHEN f_pos <= 0.6 THEN 2 WHEN f_pos <= 0.8 THEN 3 ELSE 4 END AS right_closed, count(*) AS n FROM feat GROUP BY 1, 2")
+def g17(spark, sf_dir):
+    x = F.col("f_pos")
+    return features(spark, sf_dir).groupBy(R.bucket(x, "positive", False).alias("left_closed"), R.bucket(x, "positive").alias("right_closed")).agg(F.count("*").alias("n"))
+
+
+@query("g19_pearson_matrix", f"WITH {FEATURES} SELECT 'f_pos' AS a, 'f_signed' AS b, round(abs(corr(f_pos, f_signed)), 6) AS r FROM feat UNION ALL SELECT 'f_pos', 'f_sparse', round(abs(corr(f_pos, f_sparse)), 6) FROM feat UNION ALL SELECT 'f_signed', 'f_sparse', round(abs(corr(f_signed, f_sparse)), 6) FROM feat")
+def g19(spark, sf_dir):
+    pairs = [("f_pos", "f_signed"), ("f_pos", "f_sparse"), ("f_signed", "f_sparse")]
+    one = features(spark, sf_dir).agg(*(F.abs(F.corr(a, b)).alias(f"{a}|{b}") for a, b in pairs))
+    out = one.unpivot([], list(one.columns), "k", "r")
+    return out.select(F.split("k", r"\|")[0].alias("a"), F.split("k", r"\|")[1].alias("b"), r6("r", "r"))
+
+
+RANKS = "rk AS (SELECT feature, symbol, event_id, rank() OVER (PARTITION BY feature, symbol ORDER BY x) + (count(*) OVER (PARTITION BY feature, symbol, x) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY feature, symbol ORDER BY value) + (count(*) OVER (PARTITION BY feature, symbol, value) - 1) / 2.0 AS rb FROM lf)"
+RHO = "rho AS (SELECT feature, symbol, count(*) AS n, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS rho FROM rk GROUP BY 1, 2)"
+
+
+@query("g20_spearman", f"WITH {LONG}, {RANKS}, {RHO} SELECT feature, symbol, n, round(rho, 6) AS rho FROM rho")
+def g20(spark, sf_dir):
+    return M.spearman(long(spark, sf_dir), "x", "value", ["feature", "symbol"]).select("feature", "symbol", "n", r6("rho", "rho"))
+
+
+@query("g22_sign_consistency", f"WITH {LONG}, {RANKS}, {RHO} SELECT feature, count(*) FILTER (rho > 0.03) AS up, count(*) FILTER (rho < -0.03) AS down FROM rho GROUP BY 1 HAVING count(*) FILTER (rho > 0.03) = 0 OR count(*) FILTER (rho < -0.03) = 0")
+def g22(spark, sf_dir):
+    return X.sign_consistent(M.spearman(long(spark, sf_dir), "x", "value", ["feature", "symbol"]))
+
+
+MI = f"{FEATURES}, d AS (SELECT symbol, {_case('f_pos', 'positive')} AS c, CAST(value > 50 AS INTEGER) AS y, 'f_pos' AS feature FROM feat UNION ALL SELECT symbol, {_case('f_sparse', 'sparse_signed')}, CAST(value > 50 AS INTEGER), 'f_sparse' FROM feat), jc AS (SELECT feature, symbol, c, y, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY ALL), jm AS (SELECT *, sum(n) OVER (PARTITION BY feature, symbol, c) AS na, sum(n) OVER (PARTITION BY feature, symbol, y) AS nb, sum(n) OVER (PARTITION BY feature, symbol) AS nn FROM jc), mi AS (SELECT feature, symbol, sum(n / nn * ln(n * nn / (na * nb))) AS mi FROM jm GROUP BY 1, 2)"
+
+
+def relevance(spark, sf_dir):
+    df = features(spark, sf_dir)
+    y = (F.col("value") > 50).cast("int").alias("y")
+    d = df.select("symbol", R.bucket(F.col("f_pos"), "positive").alias("c"), y, F.lit("f_pos").alias("feature")).union(df.select("symbol", R.bucket(F.col("f_sparse"), "sparse_signed"), y, F.lit("f_sparse")))
+    return X.mutual_information(d, "c", "y", ["feature", "symbol"])
+
+
+@query("g23_mutual_information", f"WITH {MI} SELECT feature, symbol, round(mi, 6) AS mi FROM mi")
+def g23(spark, sf_dir):
+    return relevance(spark, sf_dir).select("feature", "symbol", r6("mi", "mi"))
+
+
+@query("g24_cross_symbol_stability", f"WITH {MI} SELECT feature, round(greatest(least(1 - stddev_pop(mi) / nullif(avg(mi), 0), 1), 0) * avg(mi), 6) AS score FROM mi GROUP BY 1")
+def g24(spark, sf_dir):
+    return X.stability(relevance(spark, sf_dir)).select("feature", r6("score", "score"))
+
+
+@query("g25_stationarity", f"WITH {MI}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY mi DESC, feature) AS rk FROM mi) SELECT feature, round(stddev_pop(mi) / avg(mi), 6) AS cv, max(rk) - min(rk) AS drift FROM r GROUP BY 1 HAVING stddev_pop(mi) / avg(mi) <= 2.0 AND max(rk) - min(rk) <= 8")
+def g25(spark, sf_dir):
+    return X.stationary(relevance(spark, sf_dir).withColumnRenamed("symbol", "fold"), 2.0, 8).select("feature", r6("cv", "cv"), "drift")
+
+
+@query("g26_return_correlation", f"WITH {BARS}, r AS (SELECT symbol, bar, coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY datetime), 0) - 1, 0) AS r FROM bars) SELECT a.symbol AS a, b.symbol AS b, round(corr(a.r, b.r), 6) AS rho FROM r a JOIN r b ON a.bar = b.bar AND a.symbol < b.symbol GROUP BY 1, 2")
+def g26(spark, sf_dir):
+    from barloom.sources.tape import by_time
+
+    b = event_bars(spark, sf_dir)
+    r = b.select("symbol", "bar", F.coalesce(F.try_divide("close", F.nullif(F.lag("close").over(by_time()), F.lit(0.0))) - 1, F.lit(0.0)).alias("r"))
+    j = r.alias("x").join(r.alias("y"), (F.col("x.bar") == F.col("y.bar")) & (F.col("x.symbol") < F.col("y.symbol")))
+    return j.groupBy(F.col("x.symbol").alias("a"), F.col("y.symbol").alias("b")).agg(r6(F.corr("x.r", "y.r"), "rho"))
+
+
+@query("g26_symbol_profile", f"WITH {FEATURES} SELECT symbol, round(avg(f_pos), 6) AS f_pos, round(avg(f_signed), 6) AS f_signed, round(avg(f_bin), 6) AS f_bin FROM feat GROUP BY 1")
+def g26b(spark, sf_dir):
+    return features(spark, sf_dir).groupBy("symbol").agg(*(r6(F.avg(c), c) for c in ("f_pos", "f_signed", "f_bin")))
+
+
+@query("g40_parameter_correlation", "WITH t AS (SELECT o_orderkey, o_custkey AS param, o_totalprice AS score FROM orders), r AS (SELECT row_number() OVER (ORDER BY param, o_orderkey) AS a, row_number() OVER (ORDER BY score, o_orderkey) AS b FROM t) SELECT round(corr(a, b), 6) AS rho FROM r")
+def g40(spark, sf_dir):
+    """Ranks without tie averaging over a table of trials, whose size is that of the search."""
+    t = table(spark, sf_dir, "orders")
+    r = t.select(F.row_number().over(Window.orderBy("o_custkey", "o_orderkey")).alias("a"), F.row_number().over(Window.orderBy("o_totalprice", "o_orderkey")).alias("b"))
+    return r.agg(r6(F.corr(F.col("a").cast("double"), F.col("b").cast("double")), "rho"))
+
+
+@query("i3_top_features", f"WITH {MI} SELECT feature, symbol, round(mi, 6) AS mi FROM (SELECT * FROM mi ORDER BY mi DESC, feature, symbol LIMIT 4)")
+def i3(spark, sf_dir):
+    return relevance(spark, sf_dir).orderBy(F.desc("mi"), "feature", "symbol").limit(4).select("feature", "symbol", r6("mi", "mi"))
+
+
+@query("i5_specialist_union", f"WITH {MI}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY mi DESC, feature) AS rn FROM mi) SELECT feature, round(max(mi), 6) AS score, count(*) AS symbols FROM r WHERE rn <= 1 GROUP BY 1")
+def i5(spark, sf_dir):
+    r = relevance(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("mi"), "feature")))
+    return r.where("rn <= 1").groupBy("feature").agg(r6(F.max("mi"), "score"), F.count("*").alias("symbols"))
+
+
+@query("k_scalar_functions", "SELECT o_orderkey, round(tanh(o_totalprice / 1e6), 6) AS t, greatest(least(floor(o_totalprice / 1000), 100), 10) AS clipped, substr(sha256('{\"k\":' || o_orderkey || ',\"s\":\"' || o_orderstatus || '\"}'), 1, 16) AS identity, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso FROM orders")
+def k(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    key = F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")))
+    return o.select("o_orderkey", r6(F.tanh(F.col("o_totalprice") / 1e6), "t"), F.greatest(F.least(F.floor(F.col("o_totalprice") / 1000), F.lit(100)), F.lit(10)).alias("clipped"), F.substring(F.sha2(key, 256), 1, 16).alias("identity"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+
+
+def _profile(spark, sf_dir):
+    return event_bars(spark, sf_dir).groupBy("symbol").agg(F.avg("close").alias("c"), F.stddev_samp("close").alias("s"))
+
+
+@query("i11_balanced_clusters")
+def i11(spark, sf_dir):
+    found = X.balanced_clusters(_profile(spark, sf_dir), ["c", "s"], 2)
+    return spark.createDataFrame(sorted(found.items()), "symbol string, cluster int")
