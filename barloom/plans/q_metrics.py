@@ -186,10 +186,10 @@ def h9(spark, sf_dir):
     return S.linspace_folds(ordered(spark, sf_dir), 4).groupBy("symbol", "fold").agg(F.count("*").alias("n"))
 
 
-@query("h11_largest_safe_range", "WITH r AS (SELECT CAST(l_returnflag AS VARCHAR) AS symbol, CAST(l_orderkey AS BIGINT) AS s, CAST(l_orderkey + l_quantity AS BIGINT) AS e FROM lineitem WHERE l_orderkey % 40 = 0), x AS (SELECT * FROM r UNION ALL SELECT DISTINCT symbol, 20000, 20000 FROM r), g AS (SELECT symbol, s, coalesce(max(e) OVER (PARTITION BY symbol ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 0) AS start FROM x), z AS (SELECT symbol, start, greatest(s - start, 0) AS size FROM g) SELECT symbol, start, size FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY size DESC, start) AS k FROM z) WHERE k = 1")
+@query("h11_largest_safe_range", "WITH r AS (SELECT CAST(l_returnflag AS VARCHAR) AS symbol, CAST(l_orderkey * 60 AS BIGINT) AS s, CAST(l_orderkey * 60 + l_quantity AS BIGINT) AS e FROM lineitem), x AS (SELECT * FROM r UNION ALL SELECT DISTINCT symbol, 1000000, 1000000 FROM r), g AS (SELECT symbol, s, coalesce(max(e) OVER (PARTITION BY symbol ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 0) AS start FROM x), z AS (SELECT symbol, start, greatest(s - start, 0) AS size FROM g) SELECT symbol, start, size FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY size DESC, start) AS k FROM z) WHERE k = 1")
 def h11(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_returnflag").alias("symbol"), F.col("l_orderkey").alias("s"), (F.col("l_orderkey") + F.col("l_quantity")).cast("long").alias("e"))
-    return S.largest_gap(r, 0, 20000)
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol"), (F.col("l_orderkey") * 60).alias("s"), (F.col("l_orderkey") * 60 + F.col("l_quantity")).cast("long").alias("e"))
+    return S.largest_gap(r, 0, 1_000_000)
 
 
 @query("h12_aligned_sample")

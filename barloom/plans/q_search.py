@@ -1 +1,209 @@
-"""Queries."""
+"""Queries of the simulator and of search over rule tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from barloom.operators import labels as L  # noqa: N812
+from barloom.operators import rules as R  # noqa: N812
+from barloom.operators import search as Q  # noqa: N812
+from barloom.operators import simulate as A  # noqa: N812
+from barloom.operators import splits as S  # noqa: N812
+from barloom.sources.tape import by_time, event_bars, table
+
+from .q_tape import BARS, H, barrier_sql
+from .registry import query, r6
+
+RULES = [
+    {"conditions": ["[drift] IS High"], "tp": 10.0, "sl": 8.0, "capital_pct": 10.0},
+    {"conditions": ["[drift] IS Low", "symbol is click, view"], "tp": 25.0, "sl": 15.0, "capital_pct": 20.0},
+    {"conditions": [], "tp": 10.0, "sl": 8.0, "capital_pct": 5.0},
+]
+DRIFT = "dr AS (SELECT *, close / nullif(close + open, 0) AS drift FROM bars)"
+ASSIGN = f"{BARS}, {DRIFT}, asg AS (SELECT *, CASE WHEN drift > 0.6 AND drift <= 0.8 THEN 0 WHEN drift > 0.2 AND drift <= 0.4 AND symbol IN ('click', 'view') THEN 1 ELSE 2 END AS rule_index FROM dr)"
+
+
+def entries(spark, sf_dir, direction="long"):
+    tape = S.row_ids(event_bars(spark, sf_dir)).withColumn("drift", F.try_divide(F.col("close"), F.col("close") + F.col("open")))
+    df = R.assign(tape.withColumn("entry_price", F.lead("open").over(by_time())), RULES, direction)
+    out = L.barrier(event_bars(spark, sf_dir), H, [(10.0, 8.0), (25.0, 15.0)], (direction,)).where("exit_offset > 0")
+    df = df.join(out, ["symbol", "bar", "tp", "sl"])
+    rows = S.row_ids(event_bars(spark, sf_dir)).select("symbol", F.col("bar").alias("exit_bar"), F.col("row_id").alias("release_row"))
+    df = df.withColumn("exit_bar", F.col("bar") + F.col("exit_offset")).join(rows, ["symbol", "exit_bar"], "left")
+    return df.withColumns({
+        "release_row": F.coalesce("release_row", F.lit(1 << 61)), "exit_reason": L.exit_reason(F.col("return_pct"), F.col("tp"), F.col("sl"), H),
+        "time_rank": F.unix_timestamp("datetime"), "symbol_priority": F.lit(0), "split": F.when(F.col("bar") < 100, "train").otherwise("val")})
+
+
+@query("l1_priority_assignment", f"WITH {ASSIGN} SELECT rule_index, symbol, count(*) AS n, min(bar) AS first_bar FROM asg GROUP BY 1, 2")
+def l1(spark, sf_dir):
+    tape = event_bars(spark, sf_dir).withColumn("drift", F.try_divide(F.col("close"), F.col("close") + F.col("open")))
+    return R.assign(tape, RULES).groupBy("rule_index", "symbol").agg(F.count("*").alias("n"), F.min("bar").alias("first_bar"))
+
+
+@query("l2_equity_state_machine")
+def l2(spark, sf_dir):
+    log = A.simulate(entries(spark, sf_dir), {"split": "string"}, A.Account())
+    m = A.account_metrics(log, ["split"])
+    return m.select("split", "trades", "wins", "losses", "time_closed", "skipped_min_notional", *(r6(c, c) for c in ("final_equity", "total_return_pct", "profit_factor", "max_drawdown_pct")))
+
+
+@query("l2_trade_log")
+def l2_log(spark, sf_dir):
+    log = A.simulate(entries(spark, sf_dir), {"split": "string"}, A.Account())
+    return log.select("split", "symbol", "rule_index", "row_id", r6("notional", "notional"), r6("net", "net"), r6("equity_after", "equity_after"), "exit_reason", "status")
+
+
+@query("l6_joint_portfolio")
+def l6(spark, sf_dir):
+    both = entries(spark, sf_dir).unionByName(entries(spark, sf_dir, "short"))
+    m = A.account_metrics(A.simulate(both, {"split": "string"}, A.Account(joint=True)), ["split"])
+    return m.select("split", "trades", "skipped_same_side", "reversals", r6("final_equity", "final_equity"))
+
+
+@query("l9_monthly_and_l10_cost_stress")
+def l9(spark, sf_dir):
+    """An account for each window of 42 bars and each fee level: one more grouping key."""
+    e = entries(spark, sf_dir).withColumn("window_id", F.floor(F.col("bar") / 42))
+    runs = [A.account_metrics(A.simulate(e, {"window_id": "long"}, A.Account(fee_pct=0.2 * k)), ["window_id"]).withColumn("fee_mult", F.lit(k)) for k in (1.0, 1.5)]
+    return runs[0].union(runs[1]).select("window_id", "fee_mult", "trades", r6("total_return_pct", "total_return_pct"))
+
+
+@query("l8_ablations")
+def l8(spark, sf_dir):
+    """Baselines as groups of one job: equal weight, random entries, and a dropped condition."""
+    e = entries(spark, sf_dir)
+    some = F.pmod(F.xxhash64("row_id", F.lit(3)), F.lit(100)) < 3
+    df = e.withColumn("plan", F.lit("all")).union(e.withColumn("capital_pct", F.lit(10.0)).withColumn("plan", F.lit("equal_weight"))).union(e.where(some).withColumn("plan", F.lit("random_entry"))).union(e.where("rule_index <> 1").withColumn("plan", F.lit("drop_rule_1")))
+    m = A.account_metrics(A.simulate(df, {"plan": "string"}, A.Account()), ["plan"])
+    return m.select("plan", "trades", r6("total_return_pct", "total_return_pct"), r6("max_drawdown_pct", "max_drawdown_pct"))
+
+
+@query("m21_risk_grid", f"WITH {BARS}, {barrier_sql([(10.0, 8.0), (10.0, 15.0), (25.0, 8.0), (25.0, 15.0)], ('long',))}, s AS (SELECT tp, sl, CASE WHEN bar < 100 THEN 0 ELSE 1 END AS fold, avg(return_pct) AS r FROM touch WHERE exit_offset > 0 GROUP BY ALL) SELECT tp, sl, round(min(r), 6) AS worst_fold FROM s GROUP BY 1, 2")
+def m21(spark, sf_dir):
+    out = L.barrier(event_bars(spark, sf_dir), H, [(tp, sl) for tp in (10.0, 25.0) for sl in (8.0, 15.0)], ("long",)).where("exit_offset > 0")
+    s = out.groupBy("tp", "sl", F.when(F.col("bar") < 100, 0).otherwise(1).alias("fold")).agg(F.avg("return_pct").alias("r"))
+    return s.groupBy("tp", "sl").agg(r6(F.min("r"), "worst_fold"))
+
+
+#: A population of candidate rules: one for each supplier.
+POP = "pop AS (SELECT s_suppkey AS id, s_nationkey AS island, -s_acctbal AS f1, CAST(s_suppkey * 7919 % 1000 AS DOUBLE) AS f2 FROM supplier)"
+
+
+def population(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("island"), (-F.col("s_acctbal")).alias("f1"), (F.col("s_suppkey") * 7919 % 1000).cast("double").alias("f2"))
+
+
+_NOT_BEATEN = "NOT EXISTS (SELECT 1 FROM {t} q WHERE q.f1 <= p.f1 AND q.f2 <= p.f2 AND (q.f1 < p.f1 OR q.f2 < p.f2))"
+
+
+@query("m2_pareto_fronts", f"WITH {POP}, a AS (SELECT * FROM pop p WHERE {_NOT_BEATEN.format(t='pop')}), r1 AS (SELECT * FROM pop WHERE id NOT IN (SELECT id FROM a)), b AS (SELECT * FROM r1 p WHERE {_NOT_BEATEN.format(t='r1')}) SELECT id, CASE WHEN id IN (SELECT id FROM a) THEN 1 WHEN id IN (SELECT id FROM b) THEN 2 ELSE 3 END AS front FROM pop")
+def m2(spark, sf_dir):
+    return Q.fronts(population(spark, sf_dir), "id", ["f1", "f2"], 2).select("id", "front")
+
+
+@query("m3_constrained_front", f"WITH {POP}, c AS (SELECT *, greatest(f1 + 5000, 0) AS violation FROM pop), ok AS (SELECT * FROM c WHERE violation = 0) SELECT id FROM ok p WHERE {_NOT_BEATEN.format(t='ok')}")
+def m3(spark, sf_dir):
+    ok = population(spark, sf_dir).withColumn("violation", F.greatest(F.col("f1") + 5000, F.lit(0.0))).where("violation = 0")
+    return ok.join(Q.dominated(ok, "id", ["f1", "f2"]), "id", "left_anti").select("id")
+
+
+@query("e20_crowding", f"WITH {POP}, w AS (SELECT id, island, (lead(f1) OVER a - lag(f1) OVER a) / nullif(max(f1) OVER i - min(f1) OVER i, 0) + (lead(f2) OVER b - lag(f2) OVER b) / nullif(max(f2) OVER i - min(f2) OVER i, 0) AS crowding FROM pop WINDOW a AS (PARTITION BY island ORDER BY f1, id), b AS (PARTITION BY island ORDER BY f2, id), i AS (PARTITION BY island)) SELECT id, island AS front, round(crowding, 6) AS crowding FROM w")
+def e20(spark, sf_dir):
+    p = population(spark, sf_dir).withColumnRenamed("island", "front")
+    return Q.crowding(p, "id", ["f1", "f2"]).select("id", "front", r6("crowding", "crowding"))
+
+
+@query("m4_hamming", "WITH g AS (SELECT p_partkey AS id, p_size % 3 AS a, p_size % 5 AS b, p_size % 7 AS c FROM part), k AS (SELECT n_nationkey % 3 AS a, n_nationkey % 5 AS b, n_nationkey % 7 AS c FROM nation) SELECT id, min(CAST(g.a <> k.a AS INTEGER) + CAST(g.b <> k.b AS INTEGER) + CAST(g.c <> k.c AS INTEGER)) AS nearest FROM g, k GROUP BY 1")
+def m4(spark, sf_dir):
+    """Least distance to an archive, which the search keeps bounded (here the 25 nations)."""
+    z, n = F.col("p_size"), F.col("n_nationkey")
+    g = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(z % 3, z % 5, z % 7).alias("genes"))
+    k = table(spark, sf_dir, "nation").agg(F.collect_list(F.array(n % 3, n % 5, n % 7)).alias("archive"))
+    j = g.crossJoin(F.broadcast(k))  # one row
+    return j.select("id", F.array_min(F.transform("archive", lambda x: Q.hamming(x, F.col("genes")))).alias("nearest"))
+
+
+@query("m8_encodings", "SELECT p_partkey AS id, CAST(p_size % 3 <> 2 AS INTEGER) + CAST(p_size % 5 <> 4 AS INTEGER) AS active, (p_size % 3) || ',' || (p_size % 5) AS dense FROM part")
+def m8(spark, sf_dir):
+    z = F.col("p_size")
+    p = table(spark, sf_dir, "part").withColumn("slots", Q.to_sparse(F.array(z % 3, z % 5), [2, 4]))
+    return p.select(F.col("p_partkey").alias("id"), F.size("slots").alias("active"), F.array_join(F.transform(Q.to_dense(F.col("slots"), [2, 4]), lambda g: g.cast("string")), ",").alias("dense"))
+
+
+@query("m11_cache_misses", f"WITH {POP}, c AS (SELECT id FROM pop WHERE id % 3 = 0) SELECT count(*) AS misses, min(id) AS first_id FROM pop p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.id = p.id)")
+def m11(spark, sf_dir):
+    p = population(spark, sf_dir)
+    return p.join(p.where("id % 3 = 0").select("id"), "id", "left_anti").agg(F.count("*").alias("misses"), F.min("id").alias("first_id"))
+
+
+@query("m13_m15_admission", f"WITH {POP} SELECT island, count(*) AS n, round(avg(CAST(f1 < 0 AS DOUBLE)), 6) AS good_ratio, round(sum(greatest(0, 300 - f2) / 300), 6) AS penalty FROM pop GROUP BY 1 HAVING avg(CAST(f1 < 0 AS DOUBLE)) >= 0.5")
+def m13(spark, sf_dir):
+    good = F.avg((F.col("f1") < 0).cast("double"))
+    a = population(spark, sf_dir).groupBy("island").agg(F.count("*").alias("n"), good.alias("good"), F.sum(F.greatest(F.lit(0.0), 300 - F.col("f2")) / 300).alias("p"))
+    return a.where("good >= 0.5").select("island", "n", r6("good", "good_ratio"), r6("p", "penalty"))
+
+
+@query("m14_deployability_rank", f"WITH {POP} SELECT id, round(-f1 * 0.01 + 0.25 * f2 - 0.05 * abs(f1), 6) AS score FROM pop ORDER BY -f1 * 0.01 + 0.25 * f2 - 0.05 * abs(f1) DESC, id LIMIT 20")
+def m14(spark, sf_dir):
+    s = -F.col("f1") * 0.01 + 0.25 * F.col("f2") - 0.05 * F.abs(F.col("f1"))
+    return population(spark, sf_dir).withColumn("s", s).orderBy(F.desc("s"), "id").limit(20).select("id", r6("s", "score"))
+
+
+@query("m18_composite_score", f"WITH {POP} SELECT island, round(0.6 * avg(-f1) + 0.3 * median(f2) - 0.1 * coalesce(stddev_samp(f1), 0), 6) AS score FROM pop GROUP BY 1")
+def m18(spark, sf_dir):
+    return population(spark, sf_dir).groupBy("island").agg(r6(0.6 * F.avg(-F.col("f1")) + 0.3 * F.median("f2") - 0.1 * F.coalesce(F.stddev_samp("f1"), F.lit(0.0)), "score"))
+
+
+@query("m19_rule_overlap", "WITH m AS (SELECT DISTINCT l_linenumber AS rule, l_suppkey AS row FROM lineitem), s AS (SELECT rule, count(*) AS n FROM m GROUP BY 1), b AS (SELECT x.rule AS a, y.rule AS b, count(*) AS c FROM m x JOIN m y ON x.row = y.row AND x.rule < y.rule GROUP BY 1, 2) SELECT a, b, round(c / least(p.n, q.n), 6) AS coefficient FROM b JOIN s p ON p.rule = a JOIN s q ON q.rule = b")
+def m19(spark, sf_dir):
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("rule"), F.col("l_suppkey").alias("row")).distinct()
+    return Q.overlap(m).select("a", "b", r6("coefficient", "coefficient"))
+
+
+@query("m22_capital_budget", f"WITH {POP} SELECT id, round(CASE WHEN sum(f2) OVER (PARTITION BY island) > 100 THEN f2 * 100 / sum(f2) OVER (PARTITION BY island) ELSE f2 END, 6) AS scaled FROM pop")
+def m22(spark, sf_dir):
+    return Q.scaled_budget(population(spark, sf_dir).withColumnRenamed("island", "plan"), "f2").select("id", "scaled")
+
+
+@query("i7_round_robin", f"WITH {POP}, r AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY f2 DESC, id) AS turn FROM pop) SELECT id, island, turn FROM r ORDER BY turn, island LIMIT 30")
+def i7(spark, sf_dir):
+    return Q.round_robin(population(spark, sf_dir), "island", "f2", "id", 30).select("id", "island", "turn")
+
+
+@query("i8_reserved_pool", f"WITH {POP}, r AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY f2 DESC, id) AS k FROM pop) SELECT id FROM r ORDER BY CASE WHEN k = 1 THEN 0 ELSE 1 END, f2 DESC, id LIMIT 40")
+def i8(spark, sf_dir):
+    w = Window.partitionBy("island").orderBy(F.desc("f2"), "id")
+    return population(spark, sf_dir).withColumn("k", F.row_number().over(w)).orderBy((F.col("k") != 1).cast("int"), F.desc("f2"), "id").limit(40).select("id")
+
+
+@query("i9_distinct_genotypes", "SELECT a, b, id FROM (SELECT p_size % 3 AS a, p_size % 5 AS b, p_partkey AS id, row_number() OVER (PARTITION BY p_size % 3, p_size % 5 ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn = 1")
+def i9(spark, sf_dir):
+    z = F.col("p_size")
+    w = Window.partitionBy("a", "b").orderBy(F.desc("p_retailprice"), "id")
+    return table(spark, sf_dir, "part").select((z % 3).alias("a"), (z % 5).alias("b"), F.col("p_partkey").alias("id"), "p_retailprice").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("a", "b", "id")
+
+
+@query("m31_elite_niches", f"WITH {POP} SELECT island, id, f2 FROM (SELECT *, row_number() OVER (PARTITION BY island ORDER BY f2 DESC, id) AS k FROM pop) WHERE k <= 2")
+def m31(spark, sf_dir):
+    w = Window.partitionBy("island").orderBy(F.desc("f2"), "id")
+    return population(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 2").select("island", "id", "f2")
+
+
+@query("m32_population_diagnostics", "SELECT count(DISTINCT (p_size % 3, p_size % 5)) / count(*)::DOUBLE AS unique_ratio, count(*) AS n, median(p_retailprice) AS median_score FROM part")
+def m32(spark, sf_dir):
+    z = F.col("p_size")
+    return table(spark, sf_dir, "part").agg((F.countDistinct(z % 3, z % 5) / F.count("*")).alias("unique_ratio"), F.count("*").alias("n"), F.median("p_retailprice").alias("median_score"))
+
+
+@query("m36_pool_compatibility", "SELECT p_partkey AS id FROM part WHERE list_has_all(['a', 'b', 'c'], [chr(97 + p_size % 4), chr(97 + p_size % 5)])")
+def m36(spark, sf_dir):
+    z = F.col("p_size")
+    used = F.array(F.chr((97 + z % 4).cast("long")), F.chr((97 + z % 5).cast("long")))
+    return table(spark, sf_dir, "part").where(F.size(F.array_except(used, F.array(F.lit("a"), F.lit("b"), F.lit("c")))) == 0).select(F.col("p_partkey").alias("id"))
+
+
+@query("m39_symbol_scope", "SELECT s_nationkey AS rule, array_to_string(list_sort(list(DISTINCT CAST(s_suppkey % 4 AS VARCHAR))), ',') AS symbols, count(*) FILTER (s_acctbal > 0) AS traded FROM supplier GROUP BY 1")
+def m39(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("rule")).agg(F.array_join(F.array_sort(F.collect_set((F.col("s_suppkey") % 4).cast("string"))), ",").alias("symbols"), F.count_if(F.col("s_acctbal") > 0).alias("traded"))
