@@ -173,7 +173,7 @@ def test_sources(spark, bars, tmp_path):
 
 def test_selection_and_identity(spark):
     assert X.greedy_uncorrelated(["a", "b", "c"], {("a", "b"): 0.99, ("b", "c"): 0.5}) == ["a", "c"]
-    a, b = X.capped_overlap({"x": 3, "y": 2, "z": 1, "w": 0.5}, {"x": 1, "y": 3, "z": 2, "v": 0.5}, 3, 0.5)
+    a, b = X.capped_overlap({"x": 3, "y": 2, "z": 1, "w": 0.5, "u": 0.4}, {"x": 1, "y": 3, "z": 2, "v": 0.5, "t": 0.4}, 3, 0.5)
     assert len(a) == len(b) == 3 and len(set(a) & set(b)) <= 2
     df = spark.createDataFrame([(1, "a")], "k long, s string")
     assert df.select(row_identity(16, k=F.col("k"), s=F.col("s"))).first()[0] == identity({"k": 1, "s": "a"})
