@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edits, exact, jaccard, mixing, packing, quality, records, secrets, suffix, warc
+from . import edits, exact, jaccard, mixing, oracles, packing, quality, records, secrets, suffix, warc
 
 def pipeline(spark, sf_dir: str):
     import corpus_pipeline
@@ -24,7 +24,11 @@ QUERIES = {
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
+    "op1_quality_divergence": oracles.quality_sql(),
     "op2_poisson_mixing": mixing.ORACLE,
     "op3_warc_salvage": warc.ORACLE,
+    "op4_suffix_dedup": oracles.SUFFIX,
+    "op5_secret_trigrams": oracles.secrets_sql(),
     "op8_patricia_dedup": exact.ORACLE,
+    "op10_parity_sketch_join": oracles.JACCARD,
 }
