@@ -34,12 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/barloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+    """A new path in this application's folder under the shared one. The folder goes when the
+    driver's JVM ends."""
+    home = f"{shared_dir(spark)}/barloom-{spark.sparkContext.applicationId}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
