@@ -215,8 +215,9 @@ def _close(batches: Iterable, threshold: Fraction) -> Iterator:
 
 
 def _across(batches: Iterable, threshold: Fraction) -> Iterator:
-    """Rows (key, part, node, comp, n, sketch), sorted by key and part: the pairs of a part that
-    are in different components and whose sizes and sketches allow a link."""
+    """Rows (key, part, node, comp, n, sketch, left, right), sorted by key and part: the pairs of
+    a left and a right row that are in different components and whose sizes and sketches allow a
+    link. Where a part meets itself its rows are both, and each pair is taken once."""
     import numpy as np
     import pyarrow as pa
 
@@ -231,10 +232,11 @@ def _across(batches: Iterable, threshold: Fraction) -> Iterator:
         bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
         out = []
         for i in np.flatnonzero(left):
-            j = np.flatnonzero(right & (node > node[i]) & (comp != comp[i]) & (den * n >= num * n[i]) & (den * n[i] >= num * n))
+            once = node > node[i] if right[i] else True
+            j = np.flatnonzero(right & once & (comp != comp[i]) & (den * n >= num * n[i]) & (den * n[i] >= num * n))
             far = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
             j = j[far <= (n[j] + n[i]) * gap.numerator // gap.denominator]
-            out += [(int(node[i]), int(x)) for x in node[j]]
+            out += [(min(int(node[i]), int(x)), max(int(node[i]), int(x))) for x in node[j]]
         return out
 
     held: list[tuple] = []

@@ -362,6 +362,30 @@ def test_jaccard_edges(spark):
     assert got == Counter(brute_components(rows))
 
 
+def test_jaccard_parts(spark, monkeypatch):
+    """Blocks cut into parts: every pair is compared, whichever part has the smaller node."""
+    monkeypatch.setattr(jaccard, "PART", 4)
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[: (at := r.randrange(60))], f"y{k}", *base[at + 1 :]])) for k in range(24)]
+    join = jaccard.Join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, jaccard.Fraction(4, 5), 0)
+    blocks = defaultdict(set)
+    for x in join.met.collect():
+        blocks[x.key] |= {x.node, x.leader}
+    small = {(x.cid, x.band): (x.n, x.sketch) for x in join.sketches.collect()}
+    want = set()
+    for key, nodes in blocks.items():
+        for u in nodes if len(nodes) > 2 else ():
+            for v in nodes:
+                (nu, su), (nv, sv) = (small[x, key & 63] for x in (u, v))
+                far = sum((p ^ q).bit_count() for p, q in zip(su, sv, strict=True))
+                if u < v and 5 * min(nu, nv) >= 4 * max(nu, nv) and 9 * far <= nu + nv:
+                    want.add((u, v))
+    assert max(map(len, blocks.values())) > 8 and len(want) > 40
+    got = [tuple(x) for x in join.crossing(spark.createDataFrame([], "node long, root long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_pigeonhole():
     """Sets at the threshold always share a sent block."""
     import numpy as np
