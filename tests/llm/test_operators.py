@@ -62,6 +62,20 @@ def test_divergence_rejects_symbols(spark):
     assert all(got[k] for k, *_ in clean) and not got[100] and not got[101]
 
 
+def test_divergence_rejects_wrong_words(spark):
+    """The pipeline's stage: gibberish and texts of another language go, clean short ones stay."""
+    r = random.Random(12)
+    plain = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 8))) for _ in range(400)]
+    own = {"en": quality.COMMON_WORDS[:10], "fr": ("de", "la", "le", "et", "les", "en", "un", "du", "une", "des")}
+    prose = lambda lang, n: " ".join(r.choice(own[lang]) if lang and k % 5 == 2 else r.choice(plain) for k in range(n))
+    sizes = (30, 60, 80, 120, 300)
+    clean = [(k, prose(lang, sizes[k % 5]), lang) for k, lang in enumerate(["en", "fr"] * 60)]
+    cyrillic = ["".join(r.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(200)]
+    junk = [(1000, prose(None, 60), "en"), (1001, prose(None, 300), "fr"), (1002, " ".join(r.choice(cyrillic) for _ in range(200)), "en"), (1003, prose("fr", 120), "en"), (1004, prose("en", 300), "fr")]
+    df = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")
+    assert {x.doc_id for x in quality.quality_stage(spark, df, "").collect()} == {k for k, *_ in clean}
+
+
 def test_js_distance(spark):
     df = spark.createDataFrame([([1, 0], [0, 1]), ([2, 2], [5, 5]), ([0, 0], [1, 1])], "p array<long>, q array<long>")
     assert [r[0] for r in df.select(quality.js_distance(F.col("p"), F.col("q"))).collect()][:2] == [1.0, 0.0]
