@@ -3,6 +3,9 @@
 Both pre-tokenizers used here never join what stands on two sides of a single space followed
 by a non-space: the byte-level one starts a token at that space, the word-level one drops it.
 So the ids of a text are those of its pieces in a row, and equal pieces are encoded once.
+
+A special mark in a text (such as <|endoftext|>) is encoded as ordinary text, never as the
+special id: `encode_special_tokens` is set, where the library's default gives the special id.
 """
 
 from __future__ import annotations

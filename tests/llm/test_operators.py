@@ -222,6 +222,24 @@ def test_piece_encoder(name):
         assert enc.encode(text) == b"".join(i.to_bytes(4, "little") for i in ids), text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_marks(name):
+    """Against a tokenizer of its own: marks are ordinary text, all else as by the default."""
+    from tokenizers import Tokenizer
+
+    path = tokens.public_path(name)
+    enc, default, ordinary = tokens.PieceEncoder(path), Tokenizer.from_file(path), Tokenizer.from_file(path)
+    ordinary.encode_special_tokens = True
+    special = {i for i, t in default.get_added_tokens_decoder().items() if t.special}
+    ids = lambda text: [int.from_bytes(b[k : k + 4], "little") for b in [enc.encode(text)] for k in range(0, len(b), 4)]
+    for mark in ("<|endoftext|>", "<|endoftext|", "plain"):
+        for text in (f"a {mark} b", f"a{mark}b", f"{mark}", f"a  {mark}\n{mark} b "):
+            got = ids(text)
+            assert got == ordinary.encode(text, add_special_tokens=False).ids and not special & set(got), text
+            assert (got == default.encode(text, add_special_tokens=False).ids) == (mark != "<|endoftext|>"), text
+    assert "encode_special_tokens" in tokens.__doc__
+
+
 def test_records(spark, docs, rows, none):
     path = tokens.public_path("byte_bpe_50k.json")
     manifest = records.write(docs, path, scratch(spark, "r"), partitions=3)
