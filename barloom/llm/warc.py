@@ -4,7 +4,9 @@ The writer makes one record of each page, a gzip member each. Pages of equal pay
 the one with the smallest id. The reader checks every member: gzip trailer, version line,
 header, declared length, end marker and block digest. Where a check fails it searches for the
 next position that passes them all (a gzip member, or a version line in a plain file), goes on
-there and reports the bytes between as a quarantined gap.
+there and reports the bytes between as a quarantined gap. Within a gzip member it searches the
+inflated bytes, and of a member that is cut off it keeps the complete records; a member that
+fails gzip's own checks is a gap as a whole.
 
 Defined results: a null html is an empty payload; null or odd URLs are percent-escaped; a null
 page id is written as empty and never chosen as the record that others refer to, unless alone;
@@ -118,21 +120,45 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     return Record(headers, block, at), end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at `at` and where it ends. Input goes in by pieces, so a false start
-    costs little."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What the gzip member at `at` holds, where it ends, and whether the file ends before it."""
     z, out, pos, step = zlib.decompressobj(31), [], at, 1 << 16
     try:
-        while not z.eof:
-            if pos >= len(data):
-                raise Damaged("member is cut off")
+        while not z.eof and pos < len(data):
             out.append(z.decompress(data[pos : pos + step]))
-            if at == pos and not out[0].startswith(VERSION[: min(7, len(out[0]))]):
-                raise Damaged("member isn't a WARC record")
             pos += step
     except zlib.error as e:
         raise Damaged(f"gzip: {e}") from None
-    return b"".join(out), min(pos, len(data)) - len(z.unused_data)
+    return b"".join(out), min(pos, len(data)) - len(z.unused_data), not z.eof
+
+
+def _member(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """The valid records of the gzip member at `at`, the gaps between them, and where it ends.
+    The bytes of such a gap are those of the member; its reason has the inflated ones."""
+    plain, end, cut = _inflate(data, at)
+    out, pos, hole, reason, first = [], 0, None, "", ""
+    while pos < len(plain):
+        try:
+            r, after = _parse(plain, pos)
+        except Damaged as e:
+            if hole is None:
+                hole, reason = pos, str(e)
+                first = first or reason
+            pos = plain.find(VERSION[:7], pos + 1)
+            pos = len(plain) if pos < 0 else pos
+            continue
+        if hole is not None:
+            out.append(Gap(at, end, f"{reason}; inflated bytes {hole} to {pos}"))
+            hole = None
+        r.offset = at
+        out.append(r)
+        pos = after
+    if not any(isinstance(x, Record) for x in out):
+        raise Damaged("member is cut off" if cut else first or "empty member")
+    if hole is not None or cut:
+        hole = len(plain) if hole is None else hole
+        out.append(Gap(at, end, f"{'member is cut off' if cut else reason}; inflated bytes {hole} to {len(plain)}"))
+    return out, end
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
@@ -142,14 +168,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         zipped = data.startswith(b"\x1f\x8b", at)
         try:
             if zipped:
-                plain, end = _inflate(data, at)
-                found, pos = [], 0
-                while pos < len(plain):
-                    r, pos = _parse(plain, pos)
-                    r.offset = at
-                    found.append(r)
-                if not found:
-                    raise Damaged("empty member")
+                found, end = _member(data, at)
             else:
                 r, end = _parse(data, at)
                 found = [r]

@@ -141,6 +141,25 @@ def test_warc_salvage():
     assert [type(x) for x in warc.salvage(b"nothing")] == [warc.Gap] and list(warc.salvage(b"")) == []
 
 
+def test_warc_salvage_in_member():
+    """Several records in one gzip member: a bad one, a bad first one, a cut-off member."""
+    r = random.Random(13)
+    plain = [warc.build(k, "u", r.randbytes(3000)) for k in range(5)]
+    ids = lambda out: [int(x.headers["warc-record-id"][len(warc.URN) + 1 : -1]) for x in out if isinstance(x, warc.Record)]
+    for bad in range(5):
+        hurt = [p.replace(b"Content-Length: ", b"Content-Length: 9") if k == bad else p for k, p in enumerate(plain)]
+        data = warc.member(b"".join(hurt))
+        out = list(warc.salvage(data + warc.member(warc.build(7, "u", b"x"))))
+        at = sum(map(len, hurt[:bad]))
+        assert ids(out) == [k for k in range(5) if k != bad] + [7]
+        assert [(g.start, g.end, g.reason.split("; ")[1]) for g in out if isinstance(g, warc.Gap)] == [(0, len(data), f"inflated bytes {at} to {at + len(hurt[bad])}")]
+    no_version = b"XARC" + plain[0][4:]
+    assert ids(warc.salvage(warc.member(no_version + plain[1]))) == [1]
+    data = warc.member(b"".join(plain))[:-2000]
+    out = list(warc.salvage(data))
+    assert ids(out) == [0, 1, 2, 3] and isinstance(out[-1], warc.Gap) and out[-1].end == len(data)
+
+
 def test_suffix_array():
     r = random.Random(3)
     for _ in range(400):
