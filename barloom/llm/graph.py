@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,15 +25,17 @@ def _small(edges: DataFrame) -> DataFrame:
     return near.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, temps: list[DataFrame], rounds: int = 60) -> DataFrame:
     """node, root (the smallest node reachable) of every node that isn't its own root. edges: u, v.
-    Each round is written to the shared folder."""
+    Each round is written to the shared folder, and goes with the next; the last is added to temps."""
     edges = materialise(edges.where("u <> v").select("u", "v").distinct(), "links")
     before = _state(edges)
     for _ in range(rounds):
-        edges = materialise(_small(_large(edges)), "stars")
+        old, edges = edges, materialise(_small(_large(edges)), "stars")
+        discard(old)
         now = _state(edges)
         if now == before:
+            temps.append(edges)
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
     raise RuntimeError("components did not settle")

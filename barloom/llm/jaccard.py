@@ -10,15 +10,18 @@ that both sets hold alike, one with that many bits is among the sent ones of eit
 also meet in the next band if they can reach into it.
 
 Sets that meet in a block are verified on their shingles. Equal sets are one node from the
-start. Within a block only the members and one leader are paired; then, in blocks whose members
-are still in different components, all pairs across components are compared by small sketches,
-in place, and those that may be linked are verified. So the components are those of all links,
-and no table holds all pairs of a group.
+start. Within a block only the members and one leader are paired. Of the blocks whose members
+are still in different components, those of up to BLOCK members are compared across components
+in place, by small sketches, and the pairs that may be linked are verified. Larger ones are
+joined by their differences from a centre (see residual): a link a member for what is near the
+centre, a prefix join for the rest. So the components are those of all links, and nothing holds
+or compares all pairs of a large group.
 
 Defined results: A-Z is lowered; a document with fewer words than a shingle is one shingle of
-all its words; without words, or null, its set is empty and it is linked with nothing; ids may
-be null or repeat (null ids don't count for component_id unless all are null); an empty table
-gives an empty result.
+all its words; without words, or null, its set is empty and it is linked with nothing; ids are
+integers (others raise), may be null or repeat (null ids don't count for component_id unless all
+are null); columns of other names don't matter; an empty table gives an empty result. Sets are
+told apart by two 64-bit names; sets that share the first get new ones.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import NON_SPACE, discard, fresh, materialise, ship, table, text_of
 from .graph import components
+from .residual import PAIRS, centres, differences, meetings, reach
 
 #: Multipliers of the mixing function (fixed values, splitmix64) and of the words in a shingle.
 MIX_1, MIX_2, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
@@ -164,10 +168,10 @@ def identity(s) -> tuple[int, int]:
     return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
 
 
-SETS = "doc_id long, tag string, n long, cid long, check long, keys array<long>, band int, sketch binary, next_sketch binary"
+SETS = "doc_id long, spot long, tag string, n long, cid long, check long, keys array<long>, band int, sketch binary, next_sketch binary"
 
 
-def _sets(batches: Iterable, n: int, seed: int, threshold: Fraction) -> Iterator:
+def _sets(batches: Iterable, n: int, seed: int, threshold: Fraction, node_bits: int) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
@@ -177,12 +181,13 @@ def _sets(batches: Iterable, n: int, seed: int, threshold: Fraction) -> Iterator
         for text in b.column(1).to_pylist():
             s = shingles(text, n, seed)
             cid, check = identity(s)
-            new = len(s) and cid not in seen  # equal sets of a task send their keys once
+            cid &= (1 << node_bits) - 1 if node_bits < 64 else -1
+            new = len(s) and (cid, check) not in seen  # equal sets of a task send their keys once
             small: dict = {}
             if new:
                 if len(seen) > 500_000:
                     seen.clear()
-                seen.add(cid)
+                seen.add((cid, check))
                 sent, small = block_keys(s, bands)
                 keys.append(sent)
             k = bands.of(len(s))[0] if len(s) else None
@@ -196,8 +201,8 @@ def _sets(batches: Iterable, n: int, seed: int, threshold: Fraction) -> Iterator
         flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in (sizes, cids, checks)), lists, pa.array(band, pa.int32()), pa.array(sketch, pa.binary()), pa.array(after, pa.binary())],
-            names=["doc_id", "tag", "n", "cid", "check", "keys", "band", "sketch", "next_sketch"],
+            [b.column(0), b.column(3), b.column(2), *(pa.array(c, pa.int64()) for c in (sizes, cids, checks)), lists, pa.array(band, pa.int32()), pa.array(sketch, pa.binary()), pa.array(after, pa.binary())],
+            names=["doc_id", "spot", "tag", "n", "cid", "check", "keys", "band", "sketch", "next_sketch"],
         )
 
 
@@ -215,61 +220,62 @@ def _close(batches: Iterable, threshold: Fraction) -> Iterator:
 
 
 def _across(batches: Iterable, threshold: Fraction) -> Iterator:
-    """Rows (key, part, node, comp, n, sketch, left, right), sorted by key and part: the pairs of
-    a left and a right row that are in different components and whose sizes and sketches allow a
-    link. Where a part meets itself its rows are both, and each pair is taken once."""
+    """Rows (key, node, comp, n, sketch, left, right), sorted by key: the pairs of a left and a
+    right row of a key that are in different components and whose sizes and sketches allow a
+    link, each once. Holds one key, which its caller bounds, and a batch of pairs."""
     import numpy as np
     import pyarrow as pa
 
     gap = (1 - threshold) / (1 + threshold)
     num, den = threshold.numerator, threshold.denominator
 
-    def pairs(rows: list[tuple]) -> list[tuple]:
-        node, comp, n, left, right = (np.array(c) for c in zip(*((x[2], x[3], x[4], x[6], x[7]) for x in rows), strict=True))
+    def pairs(rows: list[tuple]) -> tuple:
+        node, comp, n, left, right = (np.array(c) for c in zip(*((x[1], x[2], x[3], x[5], x[6]) for x in rows), strict=True))
         if (comp == comp[0]).all():
-            return []
-        bits = np.stack([np.frombuffer(x[5], np.uint8) for x in rows])
+            return ()
+        bits = np.stack([np.frombuffer(x[4], np.uint8) for x in rows])
         bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
-        out = []
+        found = []
         for i in np.flatnonzero(left):
-            once = node > node[i] if right[i] else True
-            j = np.flatnonzero(right & once & (comp != comp[i]) & (den * n >= num * n[i]) & (den * n[i] >= num * n))
+            both = left & right[i]  # such rows meet this one from either side
+            j = np.flatnonzero(right & (~both | (node > node[i])) & (comp != comp[i]) & (den * n >= num * n[i]) & (den * n[i] >= num * n))
             far = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-            j = j[far <= (n[j] + n[i]) * gap.numerator // gap.denominator]
-            out += [(min(int(node[i]), int(x)), max(int(node[i]), int(x))) for x in node[j]]
-        return out
+            j = node[j[far <= (n[j] + n[i]) * gap.numerator // gap.denominator]]
+            found.append((np.minimum(j, node[i]), np.maximum(j, node[i])))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else ()
 
-    held: list[tuple] = []
-    found: set[tuple] = set()
-
-    def batch():
-        u, v = zip(*found, strict=True)
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    def batch(found: list):
+        uv = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
 
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if held and held[0][:2] != row[:2]:
-                found.update(pairs(held))
-                held = []
-            held.append(row)
-        if len(found) > 100_000:
-            yield batch()
-    if held:
-        found.update(pairs(held))
+    held: list[tuple] = []
+    found: list[tuple] = []
+    waiting = 0
+    for row in (r for b in batches for r in [*zip(*(c.to_pylist() for c in b.columns), strict=True)]):
+        if held and held[0][0] != row[0]:
+            if uv := pairs(held):
+                found.append(uv)
+                waiting += len(uv[0])
+            held = []
+        held.append(row)
+        if waiting > 100_000:
+            yield batch(found)
+            found, waiting = [], 0
+    if held and (uv := pairs(held)):
+        found.append(uv)
     if found:
-        yield batch()
+        yield batch(found)
 
 
 def _blobs(batches: Iterable, n: int, seed: int) -> Iterator:
-    """(cid, size, shingles) of the texts whose set is the wanted one."""
+    """(cid, size, shingles) of the rows (text, cid, check) whose set is the wanted one."""
     import pyarrow as pa
 
     for b in batches:
         rows = []
-        for text, cid in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for text, cid, check in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             s = shingles(text, n, seed)
-            if identity(s)[0] == cid:
+            if identity(s)[1] == check:
                 rows.append((cid, len(s), s.tobytes()))
         if rows:
             a, c, d = zip(*rows, strict=True)
@@ -294,33 +300,52 @@ def _verified(batches: Iterable, threshold: Fraction) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.bool_())], names=["u", "v", "linked"])
 
 
-#: Members of a block that are compared at once.
-PART = 2048
+#: Members of a block that are compared in place; larger blocks get a centre.
+BLOCK = 64
 
 
 class Join:
     """The steps of one join; each table is written to the shared folder."""
 
+    #: Fewer make different sets share a name, for tests.
+    node_bits = 64
+    block = BLOCK
+    pairs = PAIRS
+
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: Fraction, seed: int, tag: Column | None = None):
         self.spark = docs.sparkSession
         ship(self.spark)
-        self.n, self.threshold, self.seed = n, threshold, seed
-        text = text_of(text_col)
-        self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), (F.lit(None) if tag is None else tag).cast("string").alias("tag"))
-        sets = materialise(self.rows.mapInArrow(lambda it: _sets(it, n, seed, threshold), SETS), "jaccard-sets")
+        self.n, self.threshold, self.seed, self.temps = n, threshold, seed, []
+        text, node_bits = text_of(text_col), self.node_bits
+        doc_id = F.col(id_col).cast("long")
+        #: spot: where a row without an id is found again.
+        spot = F.coalesce(doc_id, F.xxhash64(text))
+        self.rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), (F.lit(None) if tag is None else tag).cast("string").alias("tag"), spot.alias("spot"))
+        sets = materialise(self.rows.mapInArrow(lambda it: _sets(it, n, seed, threshold, node_bits), SETS), "jaccard-sets")
+        while True:
+            first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "spot")).alias("first")
+            self.classes = self.keep(sets.where("n > 0").groupBy("cid").agg(first, F.min("check").alias("check"), F.max("check").alias("c2")), "jaccard-classes")
+            shared = self.classes.where("check <> c2").select(F.col("cid").alias("shared_cid"))
+            if shared.isEmpty():
+                break
+            df = sets.join(shared, (F.col("cid") == F.col("shared_cid")) & (F.col("n") > 0), "left")
+            cid = F.when(F.col("shared_cid").isNotNull(), F.xxhash64("cid", "check")).otherwise(F.col("cid"))
+            old, sets = sets, materialise(df.withColumn("cid", cid).drop("shared_cid"), "jaccard-sets")
+            discard(old)
         #: key, node, leader of every block that two nodes or more sent; the leader's own row is left out.
         sent = sets.select(F.explode("keys").alias("key"), F.col("cid").alias("node"))
         met = sent.withColumn("leader", F.min("node").over(Window.partitionBy("key"))).where("node <> leader")
-        self.met = materialise(met, "jaccard-met")
-        self.sets = materialise(sets.select("doc_id", "tag", "n", "cid", "check"), "jaccard-nodes")
+        self.met = self.keep(met, "jaccard-met")
+        self.sets = materialise(sets.select("doc_id", "tag", "n", "cid"), "jaccard-nodes")
         both = sets.where("sketch IS NOT NULL").select("cid", "band", "n", "sketch").union(sets.where("next_sketch IS NOT NULL").select("cid", F.col("band") + 1, "n", F.col("next_sketch")))
-        self.sketches = materialise(both.dropDuplicates(["cid", "band"]), "jaccard-sketches")
+        self.sketches = self.keep(both.dropDuplicates(["cid", "band"]), "jaccard-sketches")
         discard(sets)
         self.release()
-        classes = self.sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.min("check").alias("c1"), F.max("check").alias("c2"))
-        self.classes = materialise(classes, "jaccard-classes")
-        if not self.classes.where("c1 <> c2").isEmpty():
-            raise RuntimeError("two different sets have one node id; choose another seed")
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """materialise() for a table that goes when the nodes are known."""
+        self.temps.append(materialise(df, name))
+        return self.temps[-1]
 
     def release(self) -> None:
         """Let the JVM drop the shuffle files of finished steps before the next writes its own."""
@@ -329,12 +354,12 @@ class Join:
 
     def fetch(self, nodes: DataFrame) -> DataFrame:
         """cid, n, blob: the shingles of nodes (column cid), each from one document."""
-        want = materialise(self.classes.join(nodes.distinct(), "cid").select("cid", F.col("first_id").alias("want_id")), "jaccard-wanted")
+        want = self.keep(self.classes.join(nodes.distinct(), "cid").select("cid", "check", F.col("first.no_id").alias("no_id"), F.col("first.spot").alias("want_spot")), "jaccard-wanted")
         # A merge join at any size: it needs no bound on the nodes.
-        hits = self.rows.join(want.hint("merge"), F.col("doc_id").eqNullSafe(F.col("want_id")))
+        hits = self.rows.join(want.hint("merge"), (F.col("spot") == F.col("want_spot")) & (F.col("doc_id").isNull() == F.col("no_id")))
         n, seed = self.n, self.seed
-        found = hits.select("text", "cid").mapInArrow(lambda it: _blobs(it, n, seed), "cid long, n long, blob binary")
-        blobs = materialise(found.dropDuplicates(["cid"]) if self.repeated_ids else found, "jaccard-blobs")
+        found = hits.select("text", "cid", "check").mapInArrow(lambda it: _blobs(it, n, seed), "cid long, n long, blob binary")
+        blobs = self.keep(found.dropDuplicates(["cid"]) if self.repeated_ids else found, "jaccard-blobs")
         self.release()
         return blobs
 
@@ -348,7 +373,7 @@ class Join:
         t = self.threshold
         df = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
         out = df.select("u", "v", "blob_u", "blob_v").mapInArrow(lambda it: _verified(it, t), "u long, v long, linked boolean")
-        links = materialise(out.where("linked").select("u", "v"), name)
+        links = self.keep(out.where("linked").select("u", "v"), name)
         self.release()
         return links
 
@@ -369,22 +394,60 @@ class Join:
         df = pairs.join(side("u"), ["u", "band"]).join(side("v"), ["v", "band"])
         df = df.where((F.col("nu") * t.denominator >= F.col("nv") * t.numerator) & (F.col("nv") * t.denominator >= F.col("nu") * t.numerator))
         near = df.select("u", "v", "nu", "nv", "su", "sv", "shared").mapInArrow(lambda it: _close(it, t), "u long, v long, shared long")
-        return materialise(near.groupBy("u", "v").agg(F.sum("shared").alias("shared")), "jaccard-stars")
-
-    def crossing(self, comp: DataFrame) -> DataFrame:
-        """u, v: all pairs of blocks whose members are in several components, across these. A
-        block beyond PART members is cut into parts, and each two parts meet in a group."""
+        return self.keep(near.groupBy("u", "v").agg(F.sum("shared").alias("shared")), "jaccard-stars")
+
+    def mixed(self, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """key, node, comp of the block members, and key, size of the blocks whose members are
+        in several components."""
+        members = self.met.select("key", "node").union(self.met.select("key", F.col("leader").alias("node")))
+        labelled = self.keep(self.rooted(members.distinct(), "node", comp, "comp"), "jaccard-members")
+        several = labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b AND size > 2")
+        return labelled, self.keep(several.select("key", "size"), "jaccard-mixed")
+
+    def compared(self, df: DataFrame, name: str) -> DataFrame:
+        """u, v: the pairs across components in rows (key, node, comp, n, sketch, left, right)."""
         t = self.threshold
-        members = self.met.select("key", "node").union(self.met.select("key", F.col("leader").alias("node"))).distinct()
-        labelled = materialise(self.rooted(members, "node", comp, "comp"), "jaccard-members")
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b AND size > 2").select("key", F.ceil(F.col("size") / PART).cast("long").alias("parts"))
-        df = labelled.join(mixed, "key").withColumn("band", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int"))
-        df = df.join(self.sketches.withColumnRenamed("cid", "node"), ["node", "band"])
-        df = df.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        low, high = F.least("mine", "other"), F.greatest("mine", "other")
-        df = df.select("key", (low * F.col("parts") + high).alias("part"), "node", "comp", "n", "sketch", (F.col("mine") == low).alias("left"), (F.col("mine") == high).alias("right"))
-        dealt = df.repartition("key", "part").sortWithinPartitions("key", "part")
-        return materialise(dealt.mapInArrow(lambda it: _across(it, t), "u long, v long").distinct(), "jaccard-crossing")
+        dealt = df.select("key", "node", "comp", "n", "sketch", "left", "right").repartition("key").sortWithinPartitions("key")
+        return self.keep(dealt.mapInArrow(lambda it: _across(it, t), "u long, v long").distinct(), name)
+
+    def joined(self, pairs: DataFrame, comp: DataFrame, name: str) -> DataFrame:
+        """The components with the links among pairs."""
+        if pairs.isEmpty():
+            return comp
+        blobs = self.fetch(pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))))
+        return self.grown(comp, self.verify(pairs, blobs, name))
+
+    def grown(self, comp: DataFrame, links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return comp
+        return components(comp.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links.select("u", "v")), self.temps)
+
+    def resolved(self, groups: DataFrame, comp: DataFrame) -> DataFrame:
+        """The components with all links inside the groups (g, node)."""
+        t, blobs, level = self.threshold, None, 0
+        while True:
+            labelled = self.keep(self.rooted(groups, "node", comp, "comp"), "jaccard-groups")
+            open_ = labelled.groupBy("g").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b").select("g", "size")
+            groups = self.keep(labelled.join(open_, "g").select("g", "node", "size"), "jaccard-open")
+            if groups.isEmpty():
+                return comp
+            blobs = blobs or self.fetch(groups.select(F.col("node").alias("cid")))
+            members = groups.select("g", "node").join(blobs.withColumnRenamed("cid", "node"), "node")
+            sizes = self.keep(members.groupBy("g").agg(F.count("*").alias("size"), F.max("n").alias("widest")), "jaccard-sizes")
+            core = self.keep(centres(members, sizes, level), "jaccard-centres")
+            diffs = self.keep(differences(members, sizes, core, t), "jaccard-differences")
+            sure, beyond = reach(diffs)
+            comp = self.grown(comp, self.keep(sure, "jaccard-sure"))
+            beyond = self.keep(beyond, "jaccard-beyond")
+            if beyond.isEmpty():
+                return comp
+            keyed = self.keep(self.rooted(meetings(diffs, beyond, t), "node", comp, "comp"), "jaccard-meetings")
+            met = keyed.groupBy("key").agg(F.count_if("left").alias("lefts"), F.count_if("right").alias("rights"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+            met = self.keep(met.where("a <> b AND lefts > 0 AND rights > 0").select("key", (F.col("lefts") * F.col("rights")).alias("pairs")), "jaccard-met")
+            few = keyed.join(met.where(F.col("pairs") <= self.pairs).select("key"), "key").join(diffs.select("g", "node", "n", "sketch"), ["g", "node"])
+            comp = self.joined(self.compared(few, "jaccard-pairs"), comp, "jaccard-links")
+            groups = keyed.join(met.where(F.col("pairs") > self.pairs).select("key"), "key").select(F.col("key").alias("g"), "node").distinct()
+            level += 1
 
     def links(self) -> DataFrame:
         """Components over nodes: node, root."""
@@ -392,22 +455,31 @@ class Join:
         blobs = self.fetch(stars.select(F.col("u").alias("cid")).union(stars.select(F.col("v").alias("cid"))))
         top = stars.groupBy("u").agg(F.max_by("v", F.struct("shared", F.col("v"))).alias("v"))
         links = self.verify(top, blobs, "jaccard-links-1")
-        comp = components(links)
-        more = materialise(self.across(stars.select("u", "v"), comp), "jaccard-pairs-2")
+        comp = components(links, self.temps)
+        more = self.keep(self.across(stars.select("u", "v"), comp), "jaccard-pairs-2")
         if not more.isEmpty():
-            links = links.union(self.verify(more, blobs, "jaccard-links-2"))
-            comp = components(links)
+            comp = self.grown(comp, self.verify(more, blobs, "jaccard-links-2"))
+        labelled, mixed = self.mixed(comp)
+        small = labelled.join(mixed.where(F.col("size") <= self.block).select("key"), "key").withColumn("band", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int"))
+        small = small.join(self.sketches.withColumnRenamed("cid", "node"), ["node", "band"]).withColumns({"left": F.lit(True), "right": F.lit(True)})
         known = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        rest = materialise(self.crossing(comp).join(known, ["u", "v"], "left_anti"), "jaccard-pairs-3")
-        if not rest.isEmpty():
-            found = self.verify(rest, self.fetch(rest.select(F.col("u").alias("cid")).union(rest.select(F.col("v").alias("cid")))), "jaccard-links-3")
-            if not found.isEmpty():
-                comp = components(links.union(found))
-        return comp
+        rest = self.keep(self.compared(small, "jaccard-crossing").join(known, ["u", "v"], "left_anti"), "jaccard-pairs-3")
+        comp = self.joined(rest, comp, "jaccard-links-3")
+        # Larger blocks with members in common are one group, so each node has one place in them.
+        large = self.met.join(mixed.where(F.col("size") > self.block).select("key"), "key").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
+        large = self.keep(large, "jaccard-large")
+        if large.isEmpty():
+            return comp
+        places = components(large, self.temps)
+        groups = places.select(F.col("root").alias("g"), "node").union(places.select(F.col("root").alias("g"), F.col("root").alias("node")).distinct())
+        return self.resolved(groups, comp)
 
     def nodes(self) -> DataFrame:
         """doc_id, tag, n, cid, root of every document whose set isn't empty."""
-        return materialise(self.rooted(self.sets.where("n > 0").select("doc_id", "tag", "n", "cid"), "cid", self.links(), "root"), "jaccard-rooted")
+        rooted = materialise(self.rooted(self.sets.where("n > 0").select("doc_id", "tag", "n", "cid"), "cid", self.links(), "root"), "jaccard-rooted")
+        for df in self.temps:
+            discard(df)
+        return rooted
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, cid, component_id of every document."""

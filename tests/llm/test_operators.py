@@ -413,28 +413,63 @@ def test_jaccard_edges(spark):
     assert got == Counter(brute_components(rows))
 
 
-def test_jaccard_parts(spark, monkeypatch):
-    """Blocks cut into parts: every pair is compared, whichever part has the smaller node."""
-    monkeypatch.setattr(jaccard, "PART", 4)
-    r = random.Random(11)
-    base = [f"w{k}" for k in range(60)]
-    rows = [(k, " ".join([*base[: (at := r.randrange(60))], f"y{k}", *base[at + 1 :]])) for k in range(24)]
-    join = jaccard.Join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, jaccard.Fraction(4, 5), 0)
-    blocks = defaultdict(set)
-    for x in join.met.collect():
-        blocks[x.key] |= {x.node, x.leader}
-    small = {(x.cid, x.band): (x.n, x.sketch) for x in join.sketches.collect()}
-    want = set()
-    for key, nodes in blocks.items():
-        for u in nodes if len(nodes) > 2 else ():
-            for v in nodes:
-                (nu, su), (nv, sv) = (small[x, key & 63] for x in (u, v))
-                far = sum((p ^ q).bit_count() for p, q in zip(su, sv, strict=True))
-                if u < v and 5 * min(nu, nv) >= 4 * max(nu, nv) and 9 * far <= nu + nv:
-                    want.add((u, v))
-    assert max(map(len, blocks.values())) > 8 and len(want) > 40
-    got = [tuple(x) for x in join.crossing(spark.createDataFrame([], "node long, root long")).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+def near_groups(seed: int) -> list:
+    """Large groups of near copies with edits in common, at distances around the threshold, and
+    many documents that share one line."""
+    r = random.Random(seed)
+    rows = []
+    for n, size in ((60, 60), (150, 50), (12, 30)):
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        common = [(r.randrange(n), f"c{k}") for k in range(4)]
+        for _ in range(size):
+            w = list(base)
+            for at, x in r.sample(common, r.randrange(3)):
+                w[at] = x
+            for _ in range(r.randrange(max(2, n // 12))):
+                w[r.randrange(n)] = f"y{r.randrange(10**6)}"
+            rows.append(" ".join(w))
+    line = " ".join(f"l{k}" for k in range(9))
+    rows += [" ".join(f"z{r.randrange(10**6)}" for _ in range(r.randrange(12, 40))) + " " + line for _ in range(60)]
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize(("block", "pairs", "seed"), [(3, 8, 11), (3, 1, 12), (64, 4096, 13)])
+def test_jaccard_large_blocks(spark, monkeypatch, block, pairs, seed):
+    """Blocks beyond what is compared in place: all links are found through centres."""
+    monkeypatch.setattr(jaccard.Join, "block", block)
+    monkeypatch.setattr(jaccard.Join, "pairs", pairs)
+    levels = []
+    real = jaccard.centres
+    monkeypatch.setattr(jaccard, "centres", lambda *a: levels.append(a[2]) or real(*a))
+    rows = near_groups(seed)
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter(brute_components(rows))
+    assert levels or block == 64
+    assert max(levels, default=0) > 0 or pairs > 1
+
+
+def test_jaccard_any_centre(spark, monkeypatch):
+    """A bad centre costs time, not links."""
+    monkeypatch.setattr(jaccard.Join, "block", 2)
+    real = jaccard.centres
+    monkeypatch.setattr(jaccard, "centres", lambda m, s, k: real(m, s, k).select("g", F.slice("core", 1, 2).alias("core")))
+    rows = near_groups(14)
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter(brute_components(rows))
+
+
+def test_jaccard_names_clash(spark, docs, rows, monkeypatch):
+    """Different sets with one 64-bit name are told apart."""
+    monkeypatch.setattr(jaccard.Join, "node_bits", 3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect())
+    assert got == Counter(brute_components(rows))
+
+
+def test_jaccard_null_ids(spark):
+    rows = [(None, x[1]) for x in near_groups(15)] * 2 + [(7, near_groups(15)[0][1])]
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter(brute_components(rows))
 
 
 def test_pigeonhole():
