@@ -4,10 +4,11 @@ A document's set of word shingles is hashed to a sketch: a shingle flips one bit
 differ in no more bits than their sets differ in elements, so the Hamming distance is a lower
 bound of the symmetric difference. Sets with a Jaccard similarity of t or more differ in at most
 (1-t)/(1+t) of their summed sizes. For each size band that gives the most differing bits, T.
-The sketch of a band is cut into more than T blocks, so a linked pair agrees on a block
-(pigeonhole). A set sends the blocks with the most bits set, at least T+1 of them: of the blocks
-that both sets hold alike, one with that many bits is among the sent ones of either set. Sets
-also meet in the next band if they can reach into it.
+The sketch of a band is cut into more than T + r blocks, so a linked pair agrees on r of them
+(pigeonhole). A set sends the blocks with the most bits set, at least T + r of them: of the blocks
+that both sets hold alike, r at least are among the sent ones of either set. So a set of which
+fewer than r blocks are sent by others is linked with none, and leaves. Sets also meet in the
+next band if they can reach into it.
 
 Sets that meet in a block are verified on their shingles. Equal sets are one node from the
 start. Within a block only the members and one leader are paired. Of the blocks whose members
@@ -114,8 +115,12 @@ class Bands:
         """T: the most elements in which a linked pair of the band differs."""
         return int(2 * (self.edge(k + 1) - 1) * self.gap)
 
+    def shared(self, k: int) -> int:
+        """r: the blocks that a linked pair of the band shares at least."""
+        return 2 + self.most(k) // 12
+
     def blocks(self, k: int) -> int:
-        return (self.most(k) + 1) * 13 // 10 + 1
+        return (self.most(k) + self.shared(k)) * 13 // 10 + 1
 
 
 #: The low bits of a key hold its band.
@@ -132,6 +137,7 @@ def block_keys(s, bands: Bands):
     out, small = [], {}
     for k in bands.of(len(s)):
         t, m = bands.most(k), bands.blocks(k)
+        send = t + bands.shared(k)
         if t == 0:
             continue  # only equal sets are linked
         h = mix64(s + np.uint64(STEP * (k + 1) & 0xFFFFFFFFFFFFFFFF))
@@ -147,7 +153,7 @@ def block_keys(s, bands: Bands):
         if len(code):
             starts = np.flatnonzero(bits)
             value[starts] = np.bitwise_xor.reduceat(mix64(code + np.uint64(STEP)), (np.cumsum(bits) - bits)[starts])
-        least = np.partition(bits, m - (t + 1))[m - (t + 1)]  # at least t + 1 blocks have as many bits
+        least = np.partition(bits, m - send)[m - send]  # at least so many blocks have as many bits
         sent = np.flatnonzero(bits >= least)
         key = mix64(value[sent] ^ mix64(sent.astype(np.uint64) + np.uint64((k + 1) << 32)))
         out.append(key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.uint64(k))
@@ -332,10 +338,18 @@ class Join:
             cid = F.when(F.col("shared_cid").isNotNull(), F.xxhash64("cid", "check")).otherwise(F.col("cid"))
             old, sets = sets, materialise(df.withColumn("cid", cid).drop("shared_cid"), "jaccard-sets")
             discard(old)
-        #: key, node, leader of every block that two nodes or more sent; the leader's own row is left out.
         sent = sets.select(F.explode("keys").alias("key"), F.col("cid").alias("node"))
-        met = sent.withColumn("leader", F.min("node").over(Window.partitionBy("key"))).where("node <> leader")
-        self.met = self.keep(met, "jaccard-met")
+        block = Window.partitionBy("key")
+        several = sent.withColumns({"low": F.min("node").over(block), "high": F.max("node").over(block)}).where("low <> high")
+        shared = materialise(several.select("key", "node").dropDuplicates(), "jaccard-shared")
+        band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+        bands = Bands(threshold)
+        least = F.array(*(F.lit(bands.shared(k)) for k in range(1 << BAND_BITS)))
+        may = shared.groupBy("node", band.alias("band")).agg(F.count("*").alias("times")).where(F.col("times") >= F.get(least, F.col("band"))).select("node", "band")
+        left = shared.withColumn("band", band).join(may, ["node", "band"]).select("key", "node")
+        #: key, node, leader of every block that two such nodes or more sent; the leader's own row is left out.
+        self.met = self.keep(left.withColumn("leader", F.min("node").over(block)).where("node <> leader"), "jaccard-met")
+        discard(shared)
         self.sets = materialise(sets.select("doc_id", "tag", "n", "cid"), "jaccard-nodes")
         both = sets.where("sketch IS NOT NULL").select("cid", "band", "n", "sketch").union(sets.where("next_sketch IS NOT NULL").select("cid", F.col("band") + 1, "n", F.col("next_sketch")))
         self.sketches = self.keep(both.dropDuplicates(["cid", "band"]), "jaccard-sketches")
@@ -353,8 +367,8 @@ class Join:
         self.spark.sparkContext._jvm.System.gc()
 
     def fetch(self, nodes: DataFrame) -> DataFrame:
-        """cid, n, blob: the shingles of nodes (column cid), each from one document."""
-        want = self.keep(self.classes.join(nodes.distinct(), "cid").select("cid", "check", F.col("first.no_id").alias("no_id"), F.col("first.spot").alias("want_spot")), "jaccard-wanted")
+        """cid, n, blob: the shingles of nodes (distinct cid), each from one document."""
+        want = self.keep(self.classes.join(nodes, "cid").select("cid", "check", F.col("first.no_id").alias("no_id"), F.col("first.spot").alias("want_spot")), "jaccard-wanted")
         # A merge join at any size: it needs no bound on the nodes.
         hits = self.rows.join(want.hint("merge"), (F.col("spot") == F.col("want_spot")) & (F.col("doc_id").isNull() == F.col("no_id")))
         n, seed = self.n, self.seed
@@ -381,9 +395,10 @@ class Join:
         c = comp.select(F.col("node").alias(f"{alias}_node"), F.col("root").alias(f"{alias}_root"))
         return df.join(c, F.col(node) == F.col(f"{alias}_node"), "left").withColumn(alias, F.coalesce(f"{alias}_root", node)).drop(f"{alias}_node", f"{alias}_root")
 
-    def across(self, pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        """Those pairs whose ends are in different components."""
-        return self.rooted(self.rooted(pairs, "u", comp, "cu"), "v", comp, "cv").where("cu <> cv").drop("cu", "cv")
+    def across(self, pairs: DataFrame, comp: DataFrame, roots: bool = False) -> DataFrame:
+        """Those pairs (u, v) whose ends are in different components; on request their roots."""
+        df = self.rooted(self.rooted(pairs, "u", comp, "cu"), "v", comp, "cv").where("cu <> cv")
+        return df.select(F.col("cu").alias("u"), F.col("cv").alias("v")) if roots else df.drop("cu", "cv")
 
     def stars(self) -> DataFrame:
         """u, v, shared: members and leaders that sizes and small sketches allow to be linked."""
@@ -410,30 +425,29 @@ class Join:
         dealt = df.select("key", "node", "comp", "n", "sketch", "left", "right").repartition("key").sortWithinPartitions("key")
         return self.keep(dealt.mapInArrow(lambda it: _across(it, t), "u long, v long").distinct(), name)
 
-    def joined(self, pairs: DataFrame, comp: DataFrame, name: str) -> DataFrame:
-        """The components with the links among pairs."""
-        if pairs.isEmpty():
-            return comp
-        blobs = self.fetch(pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))))
-        return self.grown(comp, self.verify(pairs, blobs, name))
-
     def grown(self, comp: DataFrame, links: DataFrame) -> DataFrame:
-        if links.isEmpty():
+        """The components with more links. Only the roots that these join are looked at again."""
+        roots = self.keep(self.across(links.select("u", "v"), comp, True).distinct(), "jaccard-roots")
+        if roots.isEmpty():
             return comp
-        return components(comp.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links.select("u", "v")), self.temps)
-
-    def resolved(self, groups: DataFrame, comp: DataFrame) -> DataFrame:
-        """The components with all links inside the groups (g, node)."""
-        t, blobs, level = self.threshold, None, 0
+        over = components(roots, self.temps)
+        up = over.select(F.col("node").alias("up_node"), F.col("root").alias("up_root"))
+        moved = comp.join(up, F.col("root") == F.col("up_node"), "left").select("node", F.coalesce("up_root", "root").alias("root"))
+        # A node that was its own root has no row yet; others' rows of the same node come from comp.
+        return self.keep(moved.union(over.join(comp.select("node"), "node", "left_anti")), "jaccard-components")
+
+    def resolved(self, groups: DataFrame, comp: DataFrame, blobs: DataFrame) -> DataFrame:
+        """The components with all links inside the groups (g, node). blobs: of their nodes."""
+        t, level = self.threshold, 0
+        blobs = blobs.withColumnRenamed("cid", "node")
         while True:
             labelled = self.keep(self.rooted(groups, "node", comp, "comp"), "jaccard-groups")
-            open_ = labelled.groupBy("g").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b").select("g", "size")
-            groups = self.keep(labelled.join(open_, "g").select("g", "node", "size"), "jaccard-open")
+            open_ = labelled.groupBy("g").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("g")
+            groups = self.keep(labelled.select("g", "node").join(open_, "g").join(blobs.select("node", "n"), "node"), "jaccard-open")
             if groups.isEmpty():
                 return comp
-            blobs = blobs or self.fetch(groups.select(F.col("node").alias("cid")))
-            members = groups.select("g", "node").join(blobs.withColumnRenamed("cid", "node"), "node")
-            sizes = self.keep(members.groupBy("g").agg(F.count("*").alias("size"), F.max("n").alias("widest")), "jaccard-sizes")
+            sizes = self.keep(groups.groupBy("g").agg(F.count("*").alias("size"), F.max("n").alias("widest")), "jaccard-sizes")
+            members = groups.select("g", "node").join(blobs, "node")
             core = self.keep(centres(members, sizes, level), "jaccard-centres")
             diffs = self.keep(differences(members, sizes, core, t), "jaccard-differences")
             sure, beyond = reach(diffs)
@@ -445,17 +459,19 @@ class Join:
             met = keyed.groupBy("key").agg(F.count_if("left").alias("lefts"), F.count_if("right").alias("rights"), F.min("comp").alias("a"), F.max("comp").alias("b"))
             met = self.keep(met.where("a <> b AND lefts > 0 AND rights > 0").select("key", (F.col("lefts") * F.col("rights")).alias("pairs")), "jaccard-met")
             few = keyed.join(met.where(F.col("pairs") <= self.pairs).select("key"), "key").join(diffs.select("g", "node", "n", "sketch"), ["g", "node"])
-            comp = self.joined(self.compared(few, "jaccard-pairs"), comp, "jaccard-links")
+            pairs = self.compared(few, "jaccard-pairs")
+            if not pairs.isEmpty():
+                comp = self.grown(comp, self.verify(pairs, blobs.withColumnRenamed("node", "cid"), "jaccard-links"))
             groups = keyed.join(met.where(F.col("pairs") > self.pairs).select("key"), "key").select(F.col("key").alias("g"), "node").distinct()
             level += 1
 
     def links(self) -> DataFrame:
         """Components over nodes: node, root."""
         stars = self.stars()
-        blobs = self.fetch(stars.select(F.col("u").alias("cid")).union(stars.select(F.col("v").alias("cid"))))
+        ends = lambda df: df.select(F.col("u").alias("cid")).union(df.select(F.col("v").alias("cid")))
+        blobs = self.fetch(ends(stars).distinct())
         top = stars.groupBy("u").agg(F.max_by("v", F.struct("shared", F.col("v"))).alias("v"))
-        links = self.verify(top, blobs, "jaccard-links-1")
-        comp = components(links, self.temps)
+        comp = components(self.verify(top, blobs, "jaccard-links-1"), self.temps)
         more = self.keep(self.across(stars.select("u", "v"), comp), "jaccard-pairs-2")
         if not more.isEmpty():
             comp = self.grown(comp, self.verify(more, blobs, "jaccard-links-2"))
@@ -464,15 +480,16 @@ class Join:
         small = small.join(self.sketches.withColumnRenamed("cid", "node"), ["node", "band"]).withColumns({"left": F.lit(True), "right": F.lit(True)})
         known = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         rest = self.keep(self.compared(small, "jaccard-crossing").join(known, ["u", "v"], "left_anti"), "jaccard-pairs-3")
-        comp = self.joined(rest, comp, "jaccard-links-3")
         # Larger blocks with members in common are one group, so each node has one place in them.
         large = self.met.join(mixed.where(F.col("size") > self.block).select("key"), "key").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
-        large = self.keep(large, "jaccard-large")
-        if large.isEmpty():
-            return comp
         places = components(large, self.temps)
         groups = places.select(F.col("root").alias("g"), "node").union(places.select(F.col("root").alias("g"), F.col("root").alias("node")).distinct())
-        return self.resolved(groups, comp)
+        wanted = self.keep(ends(rest).union(groups.select(F.col("node").alias("cid"))).distinct(), "jaccard-ends")
+        if wanted.isEmpty():
+            return comp
+        blobs = self.fetch(wanted)
+        comp = self.grown(comp, self.verify(rest, blobs, "jaccard-links-3"))
+        return self.resolved(groups, comp, blobs)
 
     def nodes(self) -> DataFrame:
         """doc_id, tag, n, cid, root of every document whose set isn't empty."""

@@ -53,8 +53,8 @@ def centres(members: DataFrame, sizes: DataFrame, salt: int) -> DataFrame:
 
 
 def _differences(batches: Iterable, threshold: Fraction) -> Iterator:
-    """g, node, n, d, score, sketch, diff of rows (g, node, n, blob, core, widest). score: F
-    times the denominator of the gap; sketch: parities of the difference, as many in a group."""
+    """g, node, n, d, score, core_size, sketch, diff of rows (g, node, n, blob, core, widest). score:
+    F times the denominator of the gap; sketch: parities of the difference, as many in a group."""
     import numpy as np
     import pyarrow as pa
 
@@ -70,18 +70,18 @@ def _differences(batches: Iterable, threshold: Fraction) -> Iterator:
             diff = np.setxor1d(np.frombuffer(blob[k], np.uint64), c, assume_unique=True)
             bits = 1 << min(15, max(8, (2 * widest[k]).bit_length()))
             folded = np.bincount((diff & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-            out.append((g[k], node[k], n[k], len(diff), gap.denominator * len(diff) - gap.numerator * n[k], np.packbits(folded).tobytes()))
+            out.append((g[k], node[k], n[k], len(diff), gap.denominator * len(diff) - gap.numerator * n[k], len(c), np.packbits(folded).tobytes()))
             flat.append(diff)
             size += len(diff)
             ends.append(size)
         if out:
             cols = list(zip(*out, strict=True))
             diffs = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(np.concatenate(flat).view(np.int64)))
-            types = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(cols, types, strict=True)), diffs], names=["g", "node", "n", "d", "score", "sketch", "diff"])
+            types = [pa.int64()] * 6 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(cols, types, strict=True)), diffs], names=["g", "node", "n", "d", "score", "core_size", "sketch", "diff"])
 
 
-DIFFERENCES = "g long, node long, n long, d long, score long, sketch binary, diff array<long>"
+DIFFERENCES = "g long, node long, n long, d long, score long, core_size long, sketch binary, diff array<long>"
 
 
 def differences(members: DataFrame, sizes: DataFrame, core: DataFrame, threshold: Fraction) -> DataFrame:
@@ -109,31 +109,42 @@ def frequencies(diffs: DataFrame):
     return out
 
 
+def _overlap(d: int, n: int, least: int, core: int, threshold: Fraction) -> int:
+    """Elements that the difference of a set (d, n) and that of a linked set share at least, if
+    the other difference has `least` elements or more and they share one at all."""
+    gap = most_gap(threshold)
+    num, den = threshold.numerator, threshold.denominator
+    low, high = -(-n * num // den), n * den // num  # sizes of linked sets
+    # d' - gap n' is least where d' is; d' is `least`, or the gap between n' and the core's size.
+    other = min(max(least + core, low), high)
+    spare = max(least, abs(other - core)) + d - gap * (n + other)
+    return max(1, -(-spare.numerator // (2 * spare.denominator)))
+
+
 def _prefixes(batches: Iterable, threshold: Fraction, often) -> Iterator:
-    """key, g, node, left, right of rows (g, node, n, d, score, diff, best, least_beyond): each
-    member under the elements on which it can meet a member beyond reach (left), and such a
-    member under those on which it can meet one whose difference isn't larger, or one within
-    reach (right)."""
+    """key, g, node, left, right of rows (g, node, n, d, score, core_size, diff, best,
+    least_beyond): each member under the elements on which it can meet a member beyond reach
+    (left), and such a member under those on which it can meet one whose difference isn't
+    larger, or one within reach (right)."""
     import numpy as np
     import pyarrow as pa
 
     from .jaccard import mix64
 
-    gap = most_gap(threshold)
     num, den = threshold.numerator, threshold.denominator
+    gap = most_gap(threshold)
     counts = often.value
     for b in batches:
-        g, node, n, d, score, best, least = (b.column(k).to_numpy() for k in (0, 1, 2, 3, 4, 6, 7))
-        lists = b.column(5)
+        g, node, n, d, score, size, best, least = (b.column(k).to_numpy() for k in (0, 1, 2, 3, 4, 5, 7, 8))
+        lists = b.column(6)
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         out: list[list] = [[], [], [], [], []]
         for k in range(b.num_rows):
-            diff, dk, nk = flat[offsets[k] : offsets[k + 1]], int(d[k]), int(n[k])
+            diff, dk, nk, core = flat[offsets[k] : offsets[k + 1]], int(d[k]), int(n[k]), int(size[k])
             most = (nk + nk * den // num) * gap.numerator // gap.denominator  # elements in which a linked pair differs
             beyond = bool(score[k] + best[k] > 0)
-            other = max(int(least[k]), dk if beyond else 0, dk - most)
-            left = max(0, dk - max(1, -((most - dk - other) // 2)) + 1)
-            right = max(0, dk - max(1, -((most - dk - max(0, dk - most)) // 2)) + 1) if beyond else 0
+            left = max(0, dk - _overlap(dk, nk, max(int(least[k]), dk if beyond else 0, dk - most), core, threshold) + 1)
+            right = max(0, dk - _overlap(dk, nk, max(0, dk - most), core, threshold) + 1) if beyond else 0
             upto = max(left, right)
             if not upto:
                 continue
@@ -149,6 +160,7 @@ def _prefixes(batches: Iterable, threshold: Fraction, often) -> Iterator:
 
 def meetings(diffs: DataFrame, beyond: DataFrame, threshold: Fraction) -> DataFrame:
     """key, g, node, left, right of the members of groups that have some beyond reach."""
-    df = diffs.select("g", "node", "n", "d", "score", "diff").join(beyond, "g").select("g", "node", "n", "d", "score", "diff", "best", "least_beyond")
+    own = ["g", "node", "n", "d", "score", "core_size", "diff"]
+    df = diffs.select(*own).join(beyond, "g").select(*own, "best", "least_beyond")
     often = diffs.sparkSession.sparkContext.broadcast(frequencies(diffs.join(beyond.select("g"), "g", "left_semi")))
     return df.mapInArrow(lambda it: _prefixes(it, threshold, often), "key long, g long, node long, left boolean, right boolean")
