@@ -2,87 +2,112 @@
 
 A byte goes if a string of `span` bytes that covers it also starts earlier in the corpus. Equal
 strings share their minimizer (the smallest hash among the k-grams in them), so each document
-sends its minimizers, with a hash of all bytes that strings around it can touch. Places whose
-surroundings are equal are settled by that hash: all but the first are repeats. Map tasks settle
-their own first, so a text that is everywhere sends one entry a task. For a minimizer with
-different surroundings, one place of each is fetched and cut to what occurs twice; what still
-differs goes to a suffix array, in which equal strings are neighbours.
+sends its minimizers, with two 64-bit hashes that stand for the minimizer and for all bytes that
+strings around it can touch. Hashes route, and they settle places that agree in both: all but
+the first are repeats. Map tasks settle their own first, so a text that is everywhere sends one
+entry a task. Minimizers with different surroundings are where repeats begin and end: one place
+of each surrounding is fetched, cut to the strings that occur twice, and what differs goes to a
+suffix array, in which equal strings are neighbours. A task holds the segments of some
+minimizers at a time, up to SHARD bytes. A minimizer with more than HOT surroundings isn't
+gathered: its strings are counted each by themselves (two 64-bit hashes), over all tasks.
 
 The suffix array is built by grouping: suffixes are grouped by their longest Lyndon prefix,
-groups are processed in descending order, each hands its prefix to the groups of the previous
-smaller suffixes of its members, and a final scan emits the order within each group. Nothing is
-renamed and nothing recurses.
-
-Defined results: a null text counts as empty; a text shorter than the span loses nothing; rows
-are ordered by id, nulls first, then by text; repeated rows are separate documents; an empty
-table gives an empty result. Strings are equal if two 64-bit hashes are, or by their bytes.
+groups are processed in descending order, each moves the previous smaller suffixes of its
+members into new groups right above their old ones, and a final scan emits the order within
+each group. Groups are integers in a linked list: nothing is renamed, concatenated or sorted
+again, and the work is linear.
+
+Defined results: a null text counts as empty; a text shorter than the span loses nothing; ids
+are integers (others raise); rows are ordered by id, nulls first, then by a hash of their text;
+repeated rows are separate documents; columns of other names don't matter; an empty table gives
+an empty result. Strings in a shard are compared by their bytes; elsewhere they are equal if
+two 64-bit hashes are.
 """
 
 from __future__ import annotations
 
-from bisect import insort
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scan_partitions, ship, table, text_of
+from .common import discard, materialise, scan_partitions, ship, table, text_of
 
 K = 32
 #: Odd multipliers (fixed values).
 ODD, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 POS_BITS = 24
-DOC_BUCKETS = HASH_BUCKETS = 4096
+#: Places a minimizer may have with different surroundings to be gathered; bytes sorted at once.
+HOT, SHARD = 2048, 1 << 20
 
 
 def suffix_array(t: bytes) -> list[int]:
     """Starts of all suffixes of t in order."""
     n = len(t)
-    members: dict[bytes, list[int]] = {}
-    for i in range(n):
-        members.setdefault(t[i : i + 1], []).append(i)
-    waiting = sorted(members)
-    key = [t[i : i + 1] for i in range(n)]
+    letters = sorted(set(t))
+    number = [0] * 256
+    for k, c in enumerate(letters):
+        number[c] = k
+    # Groups from 0 up, linked in their order; -1 is below and above all.
+    group = [number[c] for c in t]
+    members: list[list[int]] = [[] for _ in letters]
+    for i, g in enumerate(group):
+        members[g].append(i)
+    below, above = list(range(-1, len(letters) - 1)), [*range(1, len(letters)), -1]
     before = list(range(-1, n - 1))  # becomes the previous smaller suffix
     done = bytearray(n)
-    final: list[tuple[bytes, int]] = []
-    while waiting:
-        v = waiting.pop()  # the highest group left
-        group = [s for s in members.pop(v) if key[s] is v or key[s] == v]  # others have moved on
-        if not group:
-            continue
-        for s in group:
-            done[s] = 1
-        grown: dict[int, int] = {}
-        for s in group:
-            p = before[s]
+    size = [0] * len(letters)
+    now = len(letters) - 1
+    while now >= 0:
+        mine = [i for i in members[now] if group[i] == now]  # others have moved on
+        members[now] = []
+        size[now] = len(mine)
+        for i in mine:
+            done[i] = 1
+        times: dict[int, int] = {}
+        for i in mine:
+            p = before[i]
             while p >= 0 and done[p]:
                 p = before[p]
-            before[s] = p
+            before[i] = p
             if p >= 0:
-                grown[p] = grown.get(p, 0) + 1
-        final.append((v, len(group)))
-        for p, times in grown.items():
-            new = key[p] = key[p] + v * times
-            if new in members:
+                times[p] = times.get(p, 0) + 1
+        by_times: dict[int, list[int]] = {}
+        for p, k in times.items():
+            by_times.setdefault(k, []).append(p)
+        for k in sorted(by_times, reverse=True):  # the oftener, the higher above the old group
+            moved: dict[int, int] = {}
+            for p in by_times[k]:
+                old = group[p]
+                new = moved.get(old, -1)
+                if new < 0:
+                    new = moved[old] = len(members)
+                    members.append([])
+                    size.append(0)
+                    up = above[old]
+                    below.append(old)
+                    above.append(up)
+                    above[old] = new
+                    if up >= 0:
+                        below[up] = new
+                group[p] = new
                 members[new].append(p)
-            else:
-                members[new] = [p]
-                insort(waiting, new)
-    heads, at = {}, 0
-    for v, size in reversed(final):
-        heads[v] = at
-        at += size
+        now = below[now]
+    head, at = [0] * len(members), 0
+    g = 0 if letters else -1
+    while g >= 0:
+        head[g] = at
+        at += size[g]
+        g = above[g]
     out = [0] * n
     placed = bytearray(n)
     for k in range(-1, n):
         p = (out[k] if k >= 0 else n) - 1
         while p >= 0 and not placed[p]:
             placed[p] = 1
-            v = key[p]
-            out[heads[v]] = p
-            heads[v] += 1
+            out[head[group[p]]] = p
+            head[group[p]] += 1
             p = before[p]
     return out
 
@@ -189,7 +214,7 @@ def anchors(data: bytes, ends, span: int):
 
 
 PACKED = "kind int, bucket long, a binary, b binary, c binary, d binary, e binary"
-MARKS, PLACES, WANTED = 1, 0, 2
+MARKS, PLACES, WANTED, COUNTED = 1, 0, 2, 3
 
 
 def _rows(kind: int, bucket, cols: list) -> Iterator:
@@ -212,11 +237,11 @@ def _rows(kind: int, bucket, cols: list) -> Iterator:
         yield pa.RecordBatch.from_arrays(out, names=["kind", "bucket", "a", "b", "c", "d", "e"])
 
 
-def _marks(docs, low, high) -> Iterator:
+def _marks(docs, low, high, buckets: int) -> Iterator:
     """Starts low to high of repeated strings in documents, dealt by document."""
     import numpy as np
 
-    yield from _rows(MARKS, _mix(docs.astype(np.uint64)) % np.uint64(DOC_BUCKETS), [docs, low, high])
+    yield from _rows(MARKS, _mix(docs.astype(np.uint64)) % np.uint64(buckets), [docs, low, high])
 
 
 def _split_firsts(h, ctx, doc, pos, low, high) -> tuple:
@@ -228,7 +253,7 @@ def _split_firsts(h, ctx, doc, pos, low, high) -> tuple:
     return o, np.r_[True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])] if len(o) else np.empty(0, bool)
 
 
-def _send(batches: Iterable, span: int, hold: int = 3_000_000) -> Iterator:
+def _send(batches: Iterable, span: int, buckets: int, hold: int = 1_500_000) -> Iterator:
     """Places (PLACES) of the map task's documents, its own repeats settled (MARKS)."""
     import numpy as np
 
@@ -243,10 +268,10 @@ def _send(batches: Iterable, span: int, hold: int = 3_000_000) -> Iterator:
         held, n_held = [], 0
         o, first = _split_firsts(h, ctx, doc, pos, low, high)
         r = o[~first]
-        yield from _marks(doc[r], low[r], high[r])
+        yield from _marks(doc[r], low[r], high[r], buckets)
         f = o[first]
         # low and high follow from the position and these two.
-        yield from _rows(PLACES, h[f] % np.uint64(HASH_BUCKETS), [h[f], ctx[f], doc[f], pos[f].astype(np.int32 if pos.max(initial=0) < 1 << 31 else np.int64), np.stack([pos[f] - low[f], high[f] - pos[f]], 1).astype(np.int16)])
+        yield from _rows(PLACES, h[f] % np.uint64(buckets), [h[f], ctx[f], doc[f], pos[f].astype(np.int32 if pos.max(initial=0) < 1 << 31 else np.int64), np.stack([pos[f] - low[f], high[f] - pos[f]], 1).astype(np.int16)])
 
     def settle(ids: list, texts: list[bytes]) -> None:
         nonlocal n_held
@@ -277,9 +302,9 @@ def _send(batches: Iterable, span: int, hold: int = 3_000_000) -> Iterator:
     yield from flush()
 
 
-def _meet(batches: Iterable) -> Iterator:
+def _meet(batches: Iterable, buckets: int, hot: int) -> Iterator:
     """Places of all tasks: repeats with equal surroundings become marks; one place of each of
-    a minimizer's different surroundings is wanted (WANTED)."""
+    a minimizer's different surroundings is wanted (WANTED, or COUNTED if there are many)."""
     import numpy as np
     import pyarrow as pa
 
@@ -300,12 +325,16 @@ def _meet(batches: Iterable) -> Iterator:
     low, high = pos - reach[:, 0], pos + reach[:, 1]
     o, first = _split_firsts(h, ctx, doc, pos, low, high)
     r = o[~first]
-    yield from _marks(doc[r], low[r], high[r])
+    yield from _marks(doc[r], low[r], high[r], buckets)
     f = o[first]
     hf = h[f]
     same = np.r_[False, hf[1:] == hf[:-1]] if len(hf) else np.empty(0, bool)
-    several = f[same | np.r_[same[1:], False]] if len(hf) else f
-    yield from _rows(WANTED, _mix(doc[several].astype(np.uint64)) % np.uint64(DOC_BUCKETS), [h[several], doc[several], low[several], high[several]])
+    if not len(f):
+        return
+    start = np.flatnonzero(~same)
+    times = np.repeat(np.diff(np.r_[start, len(f)]), np.diff(np.r_[start, len(f)]))
+    for kind, these in ((WANTED, f[(times > 1) & (times <= hot)]), (COUNTED, f[times > hot])):
+        yield from _rows(kind, _mix(doc[these].astype(np.uint64)) % np.uint64(buckets), [h[these], doc[these], low[these], high[these]])
 
 
 def _wanted(batches: Iterable) -> Iterator:
@@ -329,19 +358,27 @@ def _cut(batches: Iterable, span: int) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "doc", "low", "segment"])
 
 
-def _sorted_repeats(batches: Iterable, span: int) -> Iterator:
-    """Segments that share a minimizer: cut to what occurs twice, then by suffix array."""
+def _sorted_repeats(batches: Iterable, span: int, buckets: int, shard: int) -> Iterator:
+    """Segments, sorted by minimizer: cut to what occurs twice, then by suffix array. Whole
+    minimizers up to `shard` bytes are held at once."""
+    held: list[tuple] = []
+    size, last = 0, None
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if size > shard and row[0] != last:
+                yield from _settled(held, span, buckets)
+                held, size = [], 0
+            held.append(row)
+            last, size = row[0], size + len(row[3])
+    if held:
+        yield from _settled(held, span, buckets)
+
+
+def _settled(rows: list[tuple], span: int, buckets: int) -> Iterator:
     import numpy as np
 
-    h, doc, low, segs = [], [], [], []
-    for b in batches:
-        h.append(b.column(0).to_numpy())
-        doc.append(b.column(1).to_numpy())
-        low.append(b.column(2).to_numpy())
-        segs += b.column(3).to_pylist()
-    if not segs:
-        return
-    h, doc, low = map(np.concatenate, (h, doc, low))
+    h, doc, low, segs = zip(*rows, strict=True)
+    h, doc, low = (np.array(c, np.int64) for c in (h, doc, low))
     sizes = np.array([len(s) for s in segs])
     ends = np.cumsum(sizes)
     a = np.frombuffer(b"".join(segs), np.uint8)
@@ -361,12 +398,12 @@ def _sorted_repeats(batches: Iterable, span: int) -> Iterator:
     tails = np.r_[heads[1:], len(at)] - 1
     own, lo, hi = own[heads], at[heads], at[tails]
     begin = (ends - sizes)[own]
-    buckets: dict[int, dict[bytes, list]] = defaultdict(dict)
+    groups: dict[int, dict[bytes, list]] = defaultdict(dict)
     out: list[tuple[int, int, int]] = []
     for k, x, y in zip(own.tolist(), (lo - begin).tolist(), (hi - begin).tolist(), strict=True):
         s = segs[k][x : y + span]
         place = (int(doc[k]), int(low[k]) + x, y - x)
-        seen = buckets[int(h[k])]
+        seen = groups[int(h[k])]
         if s in seen:
             first, later = min(seen[s], place), max(seen[s], place)
             seen[s] = first
@@ -374,12 +411,36 @@ def _sorted_repeats(batches: Iterable, span: int) -> Iterator:
                 out.append((later[0], later[1], later[1] + later[2]))
         else:
             seen[s] = place
-    for seen in buckets.values():
+    for seen in groups.values():
         if len(seen) > 1:
             keys = list(seen)
             out += [(seen[keys[k]][0], seen[keys[k]][1] + o, seen[keys[k]][1] + o) for k, o in repeats(keys, [seen[x][:2] for x in keys], span)]
     if out:
-        yield from _marks(*(np.array(c, np.int64) for c in zip(*out, strict=True)))
+        yield from _marks(*(np.array(c, np.int64) for c in zip(*out, strict=True)), buckets)
+
+
+STRINGS = "first_half long, last_half long, doc long, start long"
+
+
+def _strings(batches: Iterable, span: int) -> Iterator:
+    """Each string of span bytes around the places of rows (rid, content, places), by the hashes
+    of its first and last bytes, which overlap or touch."""
+    import numpy as np
+    import pyarrow as pa
+
+    size = 1 << (span.bit_length() - 1)
+    for b in batches:
+        for rid, content, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            low = min(p["low"] for p in places)
+            g = _grams(np.frombuffer(content, np.uint8)[low : max(p["high"] for p in places) + span], (size,))[size]
+            at = np.unique(np.concatenate([np.arange(p["low"], p["high"] + 1) for p in places]))
+            yield pa.RecordBatch.from_arrays([pa.array(g[at - low].view(np.int64)), pa.array(g[at - low + span - size].view(np.int64)), pa.array(np.full(len(at), rid)), pa.array(at)], names=["first_half", "last_half", "doc", "start"])
+
+
+def _packed(batches: Iterable, buckets: int) -> Iterator:
+    """Marks of rows (doc, start)."""
+    for b in batches:
+        yield from _marks(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(1).to_numpy(), buckets)
 
 
 def _spans(batches: Iterable, span: int) -> Iterator:
@@ -430,29 +491,41 @@ def _removed(batches: Iterable, keep: bool) -> Iterator:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep else [])])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, span: int = 100, keep: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, span: int = 100, keep: bool = False, hot: int = HOT, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if keep, the bytes that are left."""
     if span < K + 1:
         raise ValueError(f"span must be over {K} bytes")
     spark = docs.sparkSession
     ship(spark)
     parts = scan_partitions(spark)
+    buckets = max(4096, 8 * parts)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(text_col), "UTF-8").alias("content"))
-    total, known, names = rows.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if total == known == names:
+    if rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
         rows = rows.withColumn("rid", F.col("doc_id"))
     else:  # nulls or repeated ids: number the rows in their order
         dealt = rows.withColumn("tie", F.xxhash64("content")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
         rows = materialise(dealt.select("doc_id", "content", F.monotonically_increasing_id().alias("rid")), "suffix-rows")
-    sent = rows.select("rid", "content").mapInArrow(lambda it: _send(it, span), PACKED)
-    met = materialise(sent.repartition(parts, "bucket").mapInArrow(_meet, PACKED), "suffix-met")
+    sent = rows.select("rid", "content").mapInArrow(lambda it: _send(it, span, buckets), PACKED)
+    met = materialise(sent.repartition(parts, "bucket").mapInArrow(lambda it: _meet(it, buckets, hot), PACKED), "suffix-met")
     spark.sparkContext._jvm.System.gc()  # the shuffle of places is over
-    wanted = met.where(F.col("kind") == WANTED).mapInArrow(_wanted, "h long, doc long, low long, high long")
-    places = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "low", "high")).alias("places"))
-    cut = rows.join(places.hint("merge"), F.col("rid") == F.col("doc")).select("rid", "content", "places").mapInArrow(lambda it: _cut(it, span), "h long, doc long, low long, segment binary")
-    more = materialise(cut.repartition(parts, "h").mapInArrow(lambda it: _sorted_repeats(it, span), PACKED), "suffix-more")
+
+    def at_places(kind: int) -> DataFrame:
+        """rid, content, places of the documents with places of a kind."""
+        wanted = met.where(F.col("kind") == kind).mapInArrow(_wanted, "h long, doc long, low long, high long")
+        places = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "low", "high")).alias("places"))
+        return rows.join(places.hint("merge"), F.col("rid") == F.col("doc")).select("rid", "content", "places")
+
+    cut = at_places(WANTED).mapInArrow(lambda it: _cut(it, span), "h long, doc long, low long, segment binary")
+    by_hash = cut.repartition(parts, "h").sortWithinPartitions("h")
+    more = materialise(by_hash.mapInArrow(lambda it: _sorted_repeats(it, span, buckets, shard), PACKED), "suffix-more")
     spark.sparkContext._jvm.System.gc()
     marks = met.where(F.col("kind") == MARKS).union(more)
+    if not met.where(F.col("kind") == COUNTED).isEmpty():
+        strings = materialise(at_places(COUNTED).mapInArrow(lambda it: _strings(it, span), STRINGS), "suffix-strings")
+        first = strings.groupBy("first_half", "last_half").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+        late = strings.join(first, ["first_half", "last_half"]).where(F.struct("doc", "start") != F.col("first")).select("doc", "start")
+        marks = marks.union(materialise(late.mapInArrow(lambda it: _packed(it, buckets), PACKED), "suffix-late"))
+        discard(strings)
     spans = materialise(marks.repartition(parts, "bucket").mapInArrow(lambda it: _spans(it, span), "doc long, starts array<long>, ends array<long>"), "suffix-spans")
     df = rows.join(spans.hint("merge"), F.col("rid") == F.col("doc"), "left").select("doc_id", "content", "starts", "ends")
     return df.mapInArrow(lambda it: _removed(it, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep else ""))
