@@ -4,8 +4,8 @@ Both pre-tokenizers used here never join what stands on two sides of a single sp
 by a non-space: the byte-level one starts a token at that space, the word-level one drops it.
 So the ids of a text are those of its pieces in a row, and equal pieces are encoded once.
 
-A special mark in a text (such as <|endoftext|>) is encoded as ordinary text, never as the
-special id: `encode_special_tokens` is set, where the library's default gives the special id.
+A special mark in a text (such as <|endoftext|>) gets its special id, as by the library with its
+defaults: the text is cut at the marks first, and what lies between is encoded by itself.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import struct
 #: A space after other white space: there the plain split at spaces could cut a run of white
 #: space in the wrong place.
 _HARD = tuple(f"{c} " for c in map(chr, range(0x3001)) if c.isspace())
+_HARD_ASCII = tuple(x for x in _HARD if x.isascii())
 _SAFE_CUT = re.compile(r"(?= \S)")
 #: ASCII marks that form one pre-token with their like (no apostrophe, which starts contractions).
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -36,7 +37,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = {mark: struct.pack("<I", k) for mark, k in special.items()}
+        self.at_marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        #: Cuts that leave the space before a mark with what precedes it.
+        self.safe_cut = re.compile(r"(?= (?!" + "|".join(map(re.escape, special)) + r")\S)") if special else _SAFE_CUT
         self.spaced = '"</w>"' not in str(self.tokenizer.model)[:400]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.limit = limit
@@ -85,11 +90,10 @@ class PieceEncoder:
         """The first piece, and the others without the space before them."""
         return self.cut(text) if self.spaced else ("", text.replace("\n", " ").split(" "))
 
-    @staticmethod
-    def cut(text: str) -> tuple[str, list[str]]:
+    def cut(self, text: str) -> tuple[str, list[str]]:
         """As pieces(), for either tokenizer without changing a character."""
-        if any(run in text for run in _HARD) or text.endswith(" "):
-            head, *tail = _SAFE_CUT.split(text)
+        if text.endswith(" ") or any(run in text for run in (_HARD_ASCII if text.isascii() else _HARD)):
+            head, *tail = self.safe_cut.split(text)
             return head, [p[1:] for p in tail]
         head, *tail = text.split(" ")
         return head, tail
@@ -115,6 +119,8 @@ class PieceEncoder:
             return [lead, *map(known.__getitem__, tail)]
 
     def encode(self, text: str) -> bytes:
+        if any(mark in text for mark in self.special):
+            return b"".join(self.special.get(x) or b"".join(self.lookup(*self.pieces(x))) for x in self.at_marks.split(text))
         return b"".join(self.lookup(*self.pieces(text)))
 
 
