@@ -6,9 +6,10 @@ bound of the symmetric difference. Sets with a Jaccard similarity of t or more d
 (1-t)/(1+t) of their summed sizes. For each size band that gives the most differing bits, T.
 The sketch of a band is cut into more than T + r blocks, so a linked pair agrees on r of them
 (pigeonhole). A set sends the blocks with the most bits set, at least T + r of them: of the blocks
-that both sets hold alike, r at least are among the sent ones of either set. So a set of which
-fewer than r blocks are sent by others is linked with none, and leaves. Sets also meet in the
-next band if they can reach into it.
+that both sets hold alike, r at least are among the sent ones of either set. So of the blocks
+that others sent, too, a set needs all but r - 1: it leaves out those that most sets sent, and
+a set that shares fewer than r is linked with none. Sets also meet in the next band if they can
+reach into it.
 
 Sets that meet in a block are verified on their shingles. Equal sets are one node from the
 start. Within a block only the members and one leader are paired. Of the blocks whose members
@@ -117,7 +118,7 @@ class Bands:
 
     def shared(self, k: int) -> int:
         """r: the blocks that a linked pair of the band shares at least."""
-        return 2 + self.most(k) // 12
+        return 2 + self.most(k) // 6
 
     def blocks(self, k: int) -> int:
         return (self.most(k) + self.shared(k)) * 13 // 10 + 1
@@ -340,14 +341,15 @@ class Join:
             discard(old)
         sent = sets.select(F.explode("keys").alias("key"), F.col("cid").alias("node"))
         block = Window.partitionBy("key")
-        several = sent.withColumns({"low": F.min("node").over(block), "high": F.max("node").over(block)}).where("low <> high")
-        shared = materialise(several.select("key", "node").dropDuplicates(), "jaccard-shared")
+        several = sent.withColumns({"low": F.min("node").over(block), "high": F.max("node").over(block), "size": F.count("*").over(block)}).where("low <> high")
+        shared = materialise(several.select("key", "node", "size").dropDuplicates(["key", "node"]), "jaccard-shared")
         band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
         bands = Bands(threshold)
-        least = F.array(*(F.lit(bands.shared(k)) for k in range(1 << BAND_BITS)))
-        may = shared.groupBy("node", band.alias("band")).agg(F.count("*").alias("times")).where(F.col("times") >= F.get(least, F.col("band"))).select("node", "band")
-        left = shared.withColumn("band", band).join(may, ["node", "band"]).select("key", "node")
-        #: key, node, leader of every block that two such nodes or more sent; the leader's own row is left out.
+        least = F.get(F.array(*(F.lit(bands.shared(k)) for k in range(1 << BAND_BITS))), F.col("band"))
+        own = Window.partitionBy("node", "band")
+        ranked = shared.withColumn("band", band).withColumns({"place": F.row_number().over(own.orderBy("size", "key")), "held": F.count("*").over(own)})
+        left = ranked.where(F.col("place") <= F.col("held") - least + 1).select("key", "node")
+        #: key, node, leader of every block in which two nodes or more are left; the leader's own row is left out.
         self.met = self.keep(left.withColumn("leader", F.min("node").over(block)).where("node <> leader"), "jaccard-met")
         discard(shared)
         self.sets = materialise(sets.select("doc_id", "tag", "n", "cid"), "jaccard-nodes")

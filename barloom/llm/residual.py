@@ -5,7 +5,8 @@ if they differ in at most gap * (|x| + |y|) elements. As |x ^ y| <= d(x) + d(y),
 F(x) + F(y) <= 0 are linked: all that the member with the least F reaches this way become one
 component through it, a link a member. Any other link has an end beyond that reach, and its
 two differences share at least (d(x) + d(y) - |x ^ y|) / 2 elements, one at least. So these
-are joined on the rarest elements of their differences (prefix filter); a group of that join
+are joined on the first elements of their differences (prefix filter), in one order for all:
+what a set has beside C, which few others have, before what it lacks of C. A group of that join
 that is large again gets a centre of its own. No step makes pairs of a large group.
 
 C holds what most of a sample of the group's members have. It decides the speed alone: the
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 
 #: Members of a group whose majority is its centre, about.
 SAMPLE = 256
-#: Counters of the element frequencies that order the prefixes: a table of fixed size.
-COUNTERS = 1 << 18
 #: Most left x right members of a group that are compared in place.
 PAIRS = 4096
 
@@ -67,7 +66,8 @@ def _differences(batches: Iterable, threshold: Fraction) -> Iterator:
         for k in range(b.num_rows):
             if g[k] != last:
                 last, c = g[k], np.sort(np.array(core[k] or [], np.int64).view(np.uint64))
-            diff = np.setxor1d(np.frombuffer(blob[k], np.uint64), c, assume_unique=True)
+            own = np.frombuffer(blob[k], np.uint64)
+            diff = np.concatenate([np.setdiff1d(own, c, assume_unique=True), np.setdiff1d(c, own, assume_unique=True)])
             bits = 1 << min(15, max(8, (2 * widest[k]).bit_length()))
             folded = np.bincount((diff & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
             out.append((g[k], node[k], n[k], len(diff), gap.denominator * len(diff) - gap.numerator * n[k], len(c), np.packbits(folded).tobytes()))
@@ -99,16 +99,6 @@ def reach(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, beyond
 
 
-def frequencies(diffs: DataFrame):
-    """Counts of the elements of all differences, by counter: COUNTERS numbers, whatever the input."""
-    import numpy as np
-
-    rows = diffs.select(F.explode("diff").alias("e")).groupBy(F.pmod("e", F.lit(COUNTERS)).cast("int").alias("k")).count().toPandas()
-    out = np.zeros(COUNTERS, np.int64)
-    out[rows["k"].to_numpy()] = rows["count"].to_numpy()
-    return out
-
-
 def _overlap(d: int, n: int, least: int, core: int, threshold: Fraction) -> int:
     """Elements that the difference of a set (d, n) and that of a linked set share at least, if
     the other difference has `least` elements or more and they share one at all."""
@@ -121,7 +111,7 @@ def _overlap(d: int, n: int, least: int, core: int, threshold: Fraction) -> int:
     return max(1, -(-spare.numerator // (2 * spare.denominator)))
 
 
-def _prefixes(batches: Iterable, threshold: Fraction, often) -> Iterator:
+def _prefixes(batches: Iterable, threshold: Fraction) -> Iterator:
     """key, g, node, left, right of rows (g, node, n, d, score, core_size, diff, best,
     least_beyond): each member under the elements on which it can meet a member beyond reach
     (left), and such a member under those on which it can meet one whose difference isn't
@@ -133,7 +123,6 @@ def _prefixes(batches: Iterable, threshold: Fraction, often) -> Iterator:
 
     num, den = threshold.numerator, threshold.denominator
     gap = most_gap(threshold)
-    counts = often.value
     for b in batches:
         g, node, n, d, score, size, best, least = (b.column(k).to_numpy() for k in (0, 1, 2, 3, 4, 5, 7, 8))
         lists = b.column(6)
@@ -148,7 +137,7 @@ def _prefixes(batches: Iterable, threshold: Fraction, often) -> Iterator:
             upto = max(left, right)
             if not upto:
                 continue
-            diff = diff[np.lexsort((diff, counts[diff & (COUNTERS - 1)]))[:upto]]
+            diff = diff[:upto]
             at = np.arange(upto)
             with np.errstate(over="ignore"):
                 key = mix64(diff.view(np.uint64) ^ mix64(np.full(1, g[k], np.int64).view(np.uint64)))
@@ -162,5 +151,4 @@ def meetings(diffs: DataFrame, beyond: DataFrame, threshold: Fraction) -> DataFr
     """key, g, node, left, right of the members of groups that have some beyond reach."""
     own = ["g", "node", "n", "d", "score", "core_size", "diff"]
     df = diffs.select(*own).join(beyond, "g").select(*own, "best", "least_beyond")
-    often = diffs.sparkSession.sparkContext.broadcast(frequencies(diffs.join(beyond.select("g"), "g", "left_semi")))
-    return df.mapInArrow(lambda it: _prefixes(it, threshold, often), "key long, g long, node long, left boolean, right boolean")
+    return df.mapInArrow(lambda it: _prefixes(it, threshold), "key long, g long, node long, left boolean, right boolean")
