@@ -39,7 +39,7 @@ K = 32
 ODD, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 POS_BITS = 24
 #: Places a minimizer may have with different surroundings to be gathered; bytes sorted at once.
-HOT, SHARD = 2048, 1 << 20
+HOT, SHARD = 1 << 14, 1 << 20
 
 
 def suffix_array(t: bytes) -> list[int]:
