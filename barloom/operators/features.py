@@ -59,10 +59,71 @@ def stationary(scores: DataFrame, cv_max: float, drift_max: int) -> DataFrame:
     return a.where((F.col("cv") <= cv_max) & (F.col("drift") <= drift_max))
 
 
-def sign_consistent(rhos: DataFrame, least: float = 0.03) -> DataFrame:
-    """Features without significant fold correlations of both signs. rhos: feature, fold, rho."""
-    a = rhos.groupBy("feature").agg(F.count_if(F.col("rho") > least).alias("up"), F.count_if(F.col("rho") < -least).alias("down"))
-    return a.where("up = 0 OR down = 0")
+def sign_consistent(rhos: DataFrame, least: float = 0.03, min_folds: int = 1, valid: DataFrame | None = None) -> DataFrame:
+    """Features without significant fold correlations of both signs, up and down being their
+    numbers. rhos: feature, fold, rho. valid (feature, rho): a significant validation correlation
+    against the sign of the folds drops the feature, too."""
+    a = rhos.groupBy("feature").agg(F.count("rho").alias("n"), F.count_if(F.col("rho") >= least).alias("up"), F.count_if(F.col("rho") <= -least).alias("down"))
+    a = a.where((F.col("n") >= min_folds) & ((F.col("up") == 0) | (F.col("down") == 0))).drop("n")
+    if valid is None:
+        return a
+    v = valid.select("feature", F.col("rho").alias("_v"))
+    flips = ((F.col("up") > 0) & (F.col("_v") < -least)) | ((F.col("down") > 0) & (F.col("_v") > least))
+    return a.join(v, "feature", "left").where(~F.coalesce(flips, F.lit(False))).drop("_v")
+
+
+def discrete_features(modes_: dict[str, str]) -> dict[str, bool]:
+    """Whether relevance takes a feature's values as classes: two and three values only."""
+    return {f: m in ("binary", "ternary") for f, m in modes_.items()}
+
+
+def neighbour_information(df: DataFrame, x: str, y: str, keys: list[str], k: int = 3) -> DataFrame:
+    """Mutual information in nats of a continuous x and classes y, by the k nearest neighbours
+    within a class (Ross 2014). Distances along one axis come from the sorted neighbours, and the
+    points within a distance from a running count, so each is a window over sorted rows. Classes
+    of one point are left out; no noise is added, so points of equal x are at distance 0."""
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).alias("_y"))
+    n_y = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_y"))
+    df = df.withColumn("_ny", n_y).where("_ny > 1").withColumn("_id", F.monotonically_increasing_id())
+    own = Window.partitionBy(*keys, "_y").orderBy("_x", "_id")
+    kk = F.least(F.lit(k), F.col("_ny") - 1)
+    gaps = []
+    for j in range(k + 1):  # j neighbours below, kk - j above
+        for m in range(1, k + 1):
+            if j <= m:
+                below = F.col("_x") - F.lag("_x", j).over(own) if j else F.lit(0.0)
+                above = F.lead("_x", m - j).over(own) - F.col("_x") if m > j else F.lit(0.0)
+                gaps.append(F.when((kk == m) & below.isNotNull() & above.isNotNull(), F.greatest(below, above)))
+    df = df.withColumns({"_r": F.least(*gaps), "_k": kk})
+    points = df.select(*keys, F.col("_x").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_id"), F.lit(1).alias("_one"))
+    # Strictly nearer than r, or at the point itself: from x - r (exclusive) to x + r (exclusive).
+    low = df.select(*keys, (F.col("_x") - F.col("_r")).alias("_t"), F.when(F.col("_r") > 0, 2).otherwise(0).alias("_kind"), "_id", F.lit(0).alias("_one"))
+    high = df.select(*keys, (F.col("_x") + F.col("_r")).alias("_t"), F.when(F.col("_r") > 0, 0).otherwise(2).alias("_kind"), "_id", F.lit(0).alias("_one"))
+    run = Window.partitionBy(*keys).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda side: points.unionByName(side).withColumn("_c", F.sum("_one").over(run)).where("_id IS NOT NULL").select(*keys, "_id", "_c")
+    m = count(high).withColumnRenamed("_c", "_hi").join(count(low).withColumnRenamed("_c", "_lo"), [*keys, "_id"]).select(*keys, "_id", F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)).alias("_m"))
+    psi = lambda c: digamma(F.col(c).cast("double"))
+    rows = df.join(m, [*keys, "_id"]).withColumn("_psi", psi("_k") - psi("_ny") - psi("_m"))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg("_psi").alias("_mean"))
+    return out.select(*keys, F.greatest(psi("_n") + F.col("_mean"), F.lit(0.0)).alias("mi"))
+
+
+def digamma(x):
+    """The digamma function of a positive number, by recurrence to 6 and the asymptotic series."""
+    steps = F.greatest(F.lit(0), F.ceil(6 - x)).cast("int")
+    low = F.aggregate(F.sequence(F.lit(0), F.lit(5)), F.lit(0.0), lambda a, i: a + F.when(i < steps, 1 / (x + i)).otherwise(0.0))
+    z = x + steps
+    return F.log(z) - 1 / (2 * z) - 1 / (12 * z * z) + 1 / (120 * F.pow(z, F.lit(4))) - 1 / (252 * F.pow(z, F.lit(6))) + 1 / (240 * F.pow(z, F.lit(8))) - low
+
+
+def shuffled(df: DataFrame, col: str, keys: list[str], order: list[str], seed: int) -> DataFrame:
+    """df with the values of col dealt anew among the rows of each group, by a hash of seed and
+    row: the null model of a feature."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in [*keys, *order]))
+    w = Window.partitionBy(*keys)
+    rows = df.withColumns({"_from": F.row_number().over(w.orderBy(F.md5(text))), "_to": F.row_number().over(w.orderBy(*order))})
+    moved = rows.select(*keys, F.col("_from").alias("_to"), F.col(col).alias("_moved"))
+    return rows.drop("_from", col).join(moved, [*keys, "_to"]).drop("_to").withColumnRenamed("_moved", col)
 
 
 def greedy_uncorrelated(names: list[str], corr: dict[tuple[str, str], float], most: float = 0.95) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +40,35 @@ def realized_volatility(df: DataFrame, window: int, name: str = "rv") -> DataFra
 
 
 def ema(df: DataFrame, spans: dict[str, int]) -> DataFrame:
-    """Exponential means of close by name: an unbounded recursion, so one pass a symbol."""
-    from pyspark.sql import types as T
-
-    out = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in spans)])
-
-    def run(pdf):
-        pdf = pdf.sort_values("datetime")
-        for name, span in spans.items():
-            pdf[name] = pdf["close"].ewm(span=span, adjust=False).mean()
-        return pdf
-
-    return df.groupBy("symbol").applyInPandas(run, out)
+    """Exponential means of close by name: y = x at first, then a x + (1 - a) y. The rows of a
+    symbol are cut into blocks; within a block the mean is a weighted running sum, and what the
+    blocks before hand on is a fold over one row a block. So no task holds a symbol's tape."""
+    import math
+
+    alpha = {n: 2 / (span + 1) for n, span in spans.items()}
+    # Weights within a block stay below 1e200.
+    block = min([4096, *(max(1, int(460 / -math.log(1 - a))) for a in alpha.values() if a < 1)])
+    df = df.withColumn("_n", F.row_number().over(by_time()) - 1)
+    df = df.withColumns({"_block": F.floor(F.col("_n") / block), "_pos": F.col("_n") % block})
+    inside = Window.partitionBy("symbol", "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    local = {}
+    for n, a in alpha.items():
+        own = F.when(F.col("_n") == 0, F.col("close")).otherwise(a * F.col("close"))
+        local[f"_{n}"] = own if a >= 1 else F.sum(own * F.pow(F.lit(1 - a), -F.col("_pos"))).over(inside) * F.pow(F.lit(1 - a), F.col("_pos"))
+    df = df.withColumns(local)
+    ends = df.groupBy("symbol", "_block").agg(F.count("*").alias("size"), *(F.max_by(f"_{n}", "_pos").alias(n) for n in alpha))
+    ends = ends.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("_block", "size", *alpha))).alias("ends"))
+    zero = F.struct(F.array().cast(f"array<struct<_block:bigint,{','.join(f'{n}:double' for n in alpha)}>>").alias("out"), *(F.lit(0.0).alias(n) for n in alpha))
+
+    def step(acc, x):
+        before = F.struct(x["_block"].cast("bigint").alias("_block"), *(acc[n].alias(n) for n in alpha))
+        return F.struct(F.concat(acc["out"], F.array(before)).alias("out"), *((x[n] + F.pow(F.lit(1 - a), x["size"]) * acc[n]).alias(n) for n, a in alpha.items()))
+
+    carried = ends.select("symbol", F.explode(F.aggregate("ends", zero, step, lambda acc: acc["out"])).alias("c"))
+    carried = carried.select("symbol", F.col("c._block").alias("_block"), *(F.col(f"c.{n}").alias(f"_before_{n}") for n in alpha))
+    out = df.join(carried, ["symbol", "_block"])
+    out = out.withColumns({n: F.col(f"_{n}") + F.pow(F.lit(1 - a), F.col("_pos") + 1) * F.col(f"_before_{n}") for n, a in alpha.items()})
+    return out.drop("_n", "_block", "_pos", *(f"_{n}" for n in alpha), *(f"_before_{n}" for n in alpha))
 
 
 def structural_inputs(df: DataFrame, lookback: int) -> DataFrame:
@@ -105,18 +124,37 @@ def permissions(df: DataFrame, lookback: int = 24, allow_mid_range: bool = True,
     return df
 
 
-def enrich(tape: DataFrame, lookback: int, mid: tuple[str, int], high: tuple[str, int], base_step: str, fraction: float = 0.65) -> DataFrame:
-    """All seven context columns. Thresholds are fitted on each symbol's first part alone."""
-    def states(bars: DataFrame, name: str) -> DataFrame:
-        x = structural_inputs(bars, lookback)
-        return classify(x, fit_thresholds(train_prefix(x, fraction)), name)
+def fit_all(tape: DataFrame, lookback: int, mid: tuple[str, int], high: tuple[str, int], fraction: float = 0.65) -> dict[str, DataFrame]:
+    """Thresholds of the three timeframes, each fitted on the first part of its own bars."""
+    fit = lambda bars: fit_thresholds(train_prefix(structural_inputs(bars, lookback), fraction))
+    return {"lwc": fit(tape), "mwc": fit(higher_bars(tape, *mid)), "hwc": fit(higher_bars(tape, *high))}
+
 
-    rows = states(tape, "lwc_state").drop("efficiency", "spread", "rv")
+def enrich(tape: DataFrame, lookback: int, mid: tuple[str, int], high: tuple[str, int], base_step: str, fraction: float = 0.65, thresholds: dict[str, DataFrame] | None = None, warm_up: bool = True) -> DataFrame:
+    """All seven context columns. Thresholds are fitted on each symbol's first part alone, unless
+    they are given. warm_up=False leaves out rows whose own indicators aren't there yet."""
+    thresholds = thresholds or fit_all(tape, lookback, mid, high, fraction)
+    own = structural_inputs(tape, lookback)
+    ready = F.col("efficiency").isNotNull() & F.col("spread").isNotNull() & F.col("rv").isNotNull()
+    rows = classify(own.withColumn("_ready", ready), thresholds["lwc"], "lwc_state").drop("efficiency", "spread", "rv")
     at = F.col("datetime") + F.expr(f"INTERVAL {base_step}")
-    for name, (width, n) in (("mwc_state", mid), ("hwc_state", high)):
-        bars = higher_bars(tape, width, n)
-        rows = as_of(rows, states(bars, "state").select("symbol", "close_time", "state"), at, name)
-    return permissions(rows)
+    for key, (width, n) in (("mwc", mid), ("hwc", high)):
+        states = classify(structural_inputs(higher_bars(tape, width, n), lookback), thresholds[key], "state")
+        rows = as_of(rows, states.select("symbol", "close_time", "state"), at, f"{key}_state")
+    rows = permissions(rows)
+    return (rows if warm_up else rows.where("_ready")).drop("_ready")
+
+
+def enrich_target(target: DataFrame, history: DataFrame | None, lookback: int, mid: tuple[str, int], high: tuple[str, int], base_step: str, thresholds: dict[str, DataFrame]) -> DataFrame:
+    """The rows of target with context, warmed up by history; thresholds are never fitted here.
+    Raises if a key of the target occurs twice, or in the history too."""
+    keys = ["datetime", "symbol"]
+    if not target.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError("the target has two rows of one key")
+    if history is not None and not history.select(*keys).join(target.select(*keys), keys, "left_semi").isEmpty():
+        raise ValueError("a key is both history and target")
+    both = target if history is None else history.unionByName(target)
+    return enrich(both, lookback, mid, high, base_step, thresholds=thresholds, warm_up=False).join(target.select(*keys), keys, "left_semi")
 
 
 def train_prefix(df: DataFrame, fraction: float) -> DataFrame:
@@ -136,3 +174,48 @@ def coverage(df: DataFrame, direction: str) -> DataFrame:
 def floor_failures(cov: DataFrame, floors: dict[str, int]) -> DataFrame:
     checks = [F.when(F.col(k) < v, F.lit(f"{k}<{v}")) for k, v in floors.items()]
     return cov.select("symbol", F.array_join(F.array_compact(F.array(*checks)), ";").alias("failures"))
+
+
+#: The context columns of an enriched tape (fixed values).
+STATES = ("hwc_state", "mwc_state", "lwc_state")
+FLAGS = ("tf_permission_long", "tf_permission_short", "lwc_pullback_reversal_long", "lwc_pullback_reversal_short")
+
+
+def context_faults(df: DataFrame, lookback: int = 24, allow_mid_range: bool = True) -> DataFrame:
+    """One row of counts, all 0 for a sound enriched tape: missing values, unknown states, flags
+    that aren't 0 or 1, permissions against the states, both permissions at once, and triggers
+    that a recomputation doesn't give (only where a symbol's own rows cover the lookback)."""
+    missing = [c for c in (*STATES, *FLAGS) if c not in df.columns]
+    if missing:
+        raise ValueError(f"no context columns {missing}")
+    again = permissions(df.withColumns({f"_was_{c}": F.col(c) for c in FLAGS}).withColumn("_n", F.row_number().over(by_time()) - 1), lookback, allow_mid_range)
+    c = F.col
+    differs = lambda names: reduce(lambda a, b: a | b, (~c(f"_was_{n}").eqNullSafe(c(n)) for n in names))
+    checks = {
+        "missing": reduce(lambda a, b: a | b, (c(n).isNull() for n in (*STATES, *(f"_was_{f}" for f in FLAGS)))),
+        "bad_state": reduce(lambda a, b: a | b, (~c(n).isin(BEARISH, RANGE, BULLISH, NOISY) for n in STATES)),
+        "bad_flag": reduce(lambda a, b: a | b, (~c(f"_was_{n}").isin(0, 1) for n in FLAGS)),
+        "bad_permission": differs(FLAGS[:2]), "both_permissions": (c("_was_tf_permission_long") == 1) & (c("_was_tf_permission_short") == 1),
+        "bad_trigger": (c("_n") >= lookback) & differs(FLAGS[2:]),
+    }
+    return again.agg(F.count("*").alias("n_rows"), *(F.count_if(v).alias(k) for k, v in checks.items()))
+
+
+def check_context(df: DataFrame, lookback: int = 24, allow_mid_range: bool = True) -> None:
+    """Raise on any fault of an enriched tape."""
+    faults = {k: v for k, v in context_faults(df, lookback, allow_mid_range).first().asDict().items() if k != "n_rows" and v}
+    if faults:
+        raise ValueError(f"context contract: {faults}")
+
+
+def preflight(df: DataFrame, windows: dict[str, tuple[int, int]], direction: str, floors: dict[str, int]) -> DataFrame:
+    """Coverage of each window that the search will sample (name: first and last bar), for all
+    symbols and each, and the floors that it misses. One scan: a row goes to the windows it is in."""
+    names = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in windows.items()))
+    rows = df.withColumn("_w", F.explode(F.filter(names, lambda w: F.col("bar").between(w.a, w.b)))).withColumn("window", F.col("_w.name")).drop("_w")
+    p, t = F.col(f"tf_permission_{direction}") == 1, F.col(f"lwc_pullback_reversal_{direction}") == 1
+    cov = rows.groupBy("window", "symbol").agg(F.count("*").alias("n_rows"), F.count_if(p).alias("permission"), F.count_if(t).alias("trigger"), F.count_if(p & t).alias("both"))
+    all_ = cov.groupBy("window").agg(F.lit("ALL").alias("symbol"), *(F.sum(k).alias(k) for k in ("n_rows", "permission", "trigger", "both")))
+    both = all_.unionByName(cov)
+    checks = [F.when(F.col(k) < v, F.lit(f"{k}<{v}")) for k, v in floors.items()]
+    return both.withColumn("failures", F.array_join(F.array_compact(F.array(*checks)), ";"))

@@ -39,23 +39,41 @@ def barrier(tape: DataFrame, horizon: int, grid: list[tuple[float, float]], dire
         "symbol", "bar", F.lead("open", 1).over(by_time()).alias("entry"), F.lead("close", horizon).over(by_time()).alias("last"),
         F.collect_list(F.struct("high", "low")).over(ahead).alias("path"),
     )
-    cases = F.array(*(F.struct(F.lit(d).alias("direction"), F.lit(float(tp)).alias("tp"), F.lit(float(sl)).alias("sl")) for d in directions for tp, sl in sorted(grid)))
-    df = df.withColumn("case", F.explode(cases)).select("*", "case.*").drop("case")
     ok = (F.size("path") == horizon) & (F.col("entry") > 0) & F.col("last").isNotNull()
-    up = F.when(F.col("direction") == "long", F.col("tp")).otherwise(F.col("sl"))
-    down = F.when(F.col("direction") == "long", F.col("sl")).otherwise(F.col("tp"))
     first = lambda test: F.array_position(F.transform("path", test), True)
-    df = df.withColumn("up_at", F.when(ok, first(lambda b: b["high"] >= F.col("entry") * (1 + up / 100)))).withColumn("down_at", F.when(ok, first(lambda b: b["low"] <= F.col("entry") * (1 - down / 100))))
-    tp_at = F.when(F.col("direction") == "long", F.col("up_at")).otherwise(F.col("down_at"))
-    sl_at = F.when(F.col("direction") == "long", F.col("down_at")).otherwise(F.col("up_at"))
+    price = F.col("entry")
+
+    def case(d: str, tp: float, sl: float) -> Column:
+        """What one direction and pair gives: both touches, the outcome and its offset."""
+        up, down = (tp, sl) if d == "long" else (sl, tp)
+        at_up, at_down = first(lambda b: b["high"] >= price * (1 + up / 100)), first(lambda b: b["low"] <= price * (1 - down / 100))
+        tp_at, sl_at = (at_up, at_down) if d == "long" else (at_down, at_up)
+        return F.struct(F.lit(d).alias("direction"), F.lit(float(tp)).alias("tp"), F.lit(float(sl)).alias("sl"), tp_at.alias("tp_at"), sl_at.alias("sl_at"))
+
+    found = F.array(*(case(d, tp, sl) for d in directions for tp, sl in sorted(grid)))
+    df = df.select("symbol", "bar", "entry", "last", ok.alias("ok"), F.explode(F.when(ok, found).otherwise(F.array(*(
+        F.struct(F.lit(d).alias("direction"), F.lit(float(tp)).alias("tp"), F.lit(float(sl)).alias("sl"), F.lit(0).cast("long").alias("tp_at"), F.lit(0).cast("long").alias("sl_at")) for d in directions for tp, sl in sorted(grid))))).alias("c")).select("symbol", "bar", "entry", "last", "ok", "c.*")
     sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
-    df = df.withColumns({"tp_at": tp_at, "sl_at": sl_at})
     stop = (F.col("sl_at") > 0) & ((F.col("tp_at") == 0) | (F.col("sl_at") <= F.col("tp_at")))
-    ret = F.when(~ok | F.col("tp_at").isNull(), None).when(stop, -F.col("sl")).when(F.col("tp_at") > 0, F.col("tp")).otherwise(sign * (F.try_divide(F.col("last"), F.col("entry")) - 1) * 100)
-    off = F.when(~ok | F.col("tp_at").isNull(), -1).when(stop, F.col("sl_at")).when(F.col("tp_at") > 0, F.col("tp_at")).otherwise(horizon)
+    ret = F.when(~F.col("ok"), None).when(stop, -F.col("sl")).when(F.col("tp_at") > 0, F.col("tp")).otherwise(sign * (F.try_divide(F.col("last"), F.col("entry")) - 1) * 100)
+    off = F.when(~F.col("ok"), -1).when(stop, F.col("sl_at")).when(F.col("tp_at") > 0, F.col("tp_at")).otherwise(horizon)
     return df.select("symbol", "bar", "direction", "tp", "sl", ret.alias("return_pct"), off.cast("int").alias("exit_offset"))
 
 
+def pair_name(direction: str, tp: float, sl: float, what: str) -> str:
+    """The column of an outcome of a wide tape: numbers are written shortly (2, 1.5, 0.25)."""
+    return f"_{what}_{direction}_tp{tp:.8g}_sl{sl:.8g}"
+
+
+def attach_barriers(tape: DataFrame, horizon: int, tps: list[float], sls: list[float], directions: tuple[str, ...] = ("long", "short")) -> DataFrame:
+    """The tape with a return and an offset column for each direction and pair of the sorted grid."""
+    grid = [(tp, sl) for tp in sorted(set(tps)) for sl in sorted(set(sls))]
+    long = barrier(tape, horizon, grid, directions)
+    pick = lambda d, tp, sl, c: F.max(F.when((F.col("direction") == d) & (F.col("tp") == float(tp)) & (F.col("sl") == float(sl)), F.col(c)))
+    cols = [pick(d, tp, sl, c).alias(pair_name(d, tp, sl, what)) for d in directions for tp, sl in grid for c, what in (("return_pct", "ret"), ("exit_offset", "off"))]
+    return tape.join(long.groupBy("symbol", "bar").agg(*cols), ["symbol", "bar"], "left")
+
+
 def returns(df: DataFrame) -> DataFrame:
     """close_ret, max_ret, min_ret in percent of the entry."""
     of = lambda c: (F.try_divide(F.col(c), F.col("label_open_next")) - 1) * 100

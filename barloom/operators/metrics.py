@@ -16,11 +16,14 @@ def lower_bound(ret: Column, z: float = 1.645) -> Column:
     return F.avg(ret) - z * F.coalesce(F.stddev_samp(ret), F.lit(0.0)) / F.sqrt(F.count(ret))
 
 
-def sortino(ret: Column, cap: float = 20.0, target: float = 0.0) -> Column:
+def sortino(ret: Column, cap: float = 20.0, target: float = 0.0, full_trades: int = 0) -> Column:
+    """Mean excess over the downside deviation, at most cap; with full_trades it is scaled down
+    where there are fewer trades."""
     excess = ret - target
     down = F.sqrt(F.avg(F.pow(F.least(excess, F.lit(0.0)), 2)))
     mean = F.avg(excess)
-    return F.when(down > 0, F.least(mean / down, F.lit(cap))).when(mean > 0, cap).otherwise(0.0)
+    raw = F.when(down > 0, F.least(mean / down, F.lit(cap))).when(mean > 0, cap).otherwise(0.0)
+    return raw * F.least(F.lit(1.0), F.count(ret) / full_trades) if full_trades else raw
 
 
 def saturating(raw: Column, cap: float = 20.0, scale: float = 10.0) -> Column:
@@ -51,11 +54,19 @@ def drawdown(trades: DataFrame, keys: list[str], start: float = 1000.0, order: s
     return df.groupBy(*keys).agg(F.max(F.when(F.col("_peak") > 0, (F.col("_peak") - F.col("_eq")) / F.col("_peak") * 100).otherwise(100.0)).alias("max_drawdown_pct"))
 
 
-def compounded(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """Equity of compounded returns and its deepest dip, by logs where all are above -100."""
-    w = Window.partitionBy(*keys).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-    df = trades.withColumn("_eq", F.exp(F.sum(F.log1p(F.col("return_pct") / 100)).over(w))).withColumn("_top", F.greatest(F.max("_eq").over(w), F.lit(1.0)))
-    return df.groupBy(*keys).agg(F.max_by("_eq", "bar").alias("equity"), F.max((F.col("_top") - F.col("_eq")) / F.col("_top") * 100).alias("dip_pct"))
+def compounded(trades: DataFrame, keys: list[str], ret: str = "return_pct", order: str = "bar") -> DataFrame:
+    """Equity of compounded returns and its deepest dip under its peak, in one pass over the
+    ordered returns of a group; a return of -100 % or less is allowed."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ret).alias("r"))))
+    start = F.struct(F.lit(1.0).alias("eq"), F.lit(None).cast("double").alias("top"), F.lit(0.0).alias("dip"))
+
+    def step(a, x):
+        eq = a.eq * (1 + x.r / 100)
+        top = F.greatest(a.top, eq)
+        return F.struct(eq.alias("eq"), top.alias("top"), F.greatest(a.dip, (top - eq) / F.greatest(top, F.lit(1e-12)) * 100).alias("dip"))
+
+    df = trades.groupBy(*keys).agg(rows.alias("_rows")).withColumn("_end", F.aggregate("_rows", start, step))
+    return df.select(*keys, F.col("_end.eq").alias("equity"), F.col("_end.dip").alias("dip_pct"))
 
 
 def concentration(shares: DataFrame, col: str) -> DataFrame:
@@ -95,17 +106,92 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
-def deflated_sharpe(sr: Column, n: Column, trials: int) -> Column:
-    """Probability that the ratio beats the best of `trials` idle ones."""
+def deflated_sharpe(sr: Column, n: Column, trials: int, skewness: float = 0.0, excess_kurtosis: float = 0.0) -> Column:
+    """Probability that the ratio beats the best of `trials` idle ones: the ratio less the
+    expected best, over the error of a ratio of n observations."""
     import math
 
-    return normal_cdf((sr - math.sqrt(2 * math.log(max(trials, 2))) / F.sqrt(n)) * F.sqrt(n - 1) / F.sqrt(1 + sr * sr / 2))
+    n = F.greatest(n.cast("double"), F.lit(2.0))
+    best = math.sqrt(2 * math.log(max(trials, 1))) / F.sqrt(n)
+    variance = F.greatest((1 - skewness * sr + (excess_kurtosis - 1) / 4 * sr * sr) / n, F.lit(1e-12))
+    return normal_cdf((sr - best) / F.sqrt(variance))
+
+
+def overfit_probability(scores: DataFrame) -> DataFrame:
+    """pbo: the share of folds whose best candidate in sample is below the median out of it. scores:
+    fold, candidate, inside, outside. Of equal candidates the smallest wins; null if a fold has
+    fewer than two candidates, or there is no fold."""
+    best = F.max(F.struct(F.col("inside"), (-F.col("rank")).alias("first"), F.col("outside")))
+    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("fold").orderBy("candidate")))
+    folds = ranked.groupBy("fold").agg(F.count("*").alias("n"), best["outside"].alias("winner"), F.median("outside").alias("mid"))
+    return folds.agg(F.when(F.min("n") >= 2, F.avg((F.col("winner") < F.col("mid")).cast("double"))).alias("pbo"))
 
 
 def return_over_drawdown(ret: Column, dd: Column, floor: float = 1.0) -> Column:
-    return ret / F.greatest(F.abs(dd), F.lit(floor))
+    """Return over drawdown; a value that is missing or not finite gives -1e6."""
+    good = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c) < float("inf"))
+    return F.when(good(ret) & good(dd), ret / F.greatest(F.abs(dd), F.lit(floor), F.lit(1e-9))).otherwise(-1e6)
+
+
+def factor_term(pf: Column, cap: float = 3.0) -> Column:
+    """A profit factor within 0 and cap; cap where it isn't finite, 0 where it is missing."""
+    pf = F.coalesce(pf.cast("double"), F.lit(0.0))
+    return F.when(F.isnan(pf) | (F.abs(pf) == float("inf")), cap).otherwise(F.greatest(F.least(pf, F.lit(cap)), F.lit(0.0)))
 
 
 def reasons(checks: dict[str, Column]) -> Column:
     """The codes of failed checks, in order."""
     return F.array_join(F.array_compact(F.array(*(F.when(~c, F.lit(k)) for k, c in checks.items()))), ";")
+
+
+def trade_sharpe(ret: Column) -> Column:
+    """Mean over standard deviation of trade returns; 0 where there is none (beyond rounding)."""
+    return F.coalesce(F.when((F.count(ret) >= 2) & (F.stddev_samp(ret) > 1e-12), F.avg(ret) / F.stddev_samp(ret)), F.lit(0.0))
+
+
+def evaluation_table(metrics: DataFrame, log: DataFrame, keys: list[str], rules: list[dict]) -> DataFrame:
+    """The eight figures of a rule set, by split."""
+    sharpe = log.where("status = 'closed'").groupBy(*keys).agg(trade_sharpe(F.col("trade_return")).alias("sharpe_ratio"))
+    return metrics.join(sharpe, keys, "left").select(
+        *keys, F.col("win_rate_pct").alias("win_rate"), F.col("max_drawdown_pct").alias("mdd_pct"), "total_return_pct", F.lit(len(rules)).alias("num_rules"), F.lit(sum(len(r["conditions"]) for r in rules)).alias("num_conditions"),
+        F.col("sortino").alias("sortino_ratio"), "profit_factor", F.coalesce("sharpe_ratio", F.lit(0.0)).alias("sharpe_ratio"))
+
+
+def rule_breakdown(log: DataFrame, keys: list[str], n_rules: int) -> DataFrame:
+    """num_trades, total_pnl, win_rate (percent) and mdd_pct of each rule from 0 on, by split; zeros
+    for a rule without trades. The drawdown is that of the equity after the rule's own trades."""
+    order = Window.partitionBy(*keys, "rule_index").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
+    t = log.where("status = 'closed'").withColumn("_peak", F.max("equity_after").over(order))
+    dip = F.when(F.col("_peak") != 0, (F.col("_peak") - F.col("equity_after")) / F.col("_peak") * 100)
+    own = t.groupBy(*keys, "rule_index").agg(F.count("*").alias("num_trades"), F.sum("net").alias("total_pnl"), (100 * F.avg((F.col("net") > 0).cast("double"))).alias("win_rate"), F.max(dip).alias("mdd_pct"))
+    every = log.select(*keys).distinct().withColumn("rule_index", F.explode(F.sequence(F.lit(0), F.lit(n_rules - 1))))
+    return every.join(own, [*keys, "rule_index"], "left").na.fill(0, ["num_trades"]).na.fill(0.0, ["total_pnl", "win_rate", "mdd_pct"])
+
+
+def stratified(log: DataFrame, tape: DataFrame, modes: dict[str, str], keys: list[str], initial: float = 1000.0) -> DataFrame:
+    """num_trades, total_return_pct, win_rate (fraction) and sharpe_ratio by split, feature and the
+    label of its value at the entry; zeros for labels that occur without a trade. tape: row_id,
+    the keys and the features. Trades whose row isn't in the tape are left out."""
+    from .rules import labels_of
+
+    pairs = F.array(*(F.struct(F.lit(f).alias("feature"), labels_of(F.col(f), m).alias("fuzzy_value")) for f, m in modes.items()))
+    rows = tape.select("row_id", *keys, F.explode(pairs).alias("_p")).select("row_id", *keys, "_p.feature", "_p.fuzzy_value").where("fuzzy_value IS NOT NULL")
+    by = [*keys, "feature", "fuzzy_value"]
+    done = log.where("status = 'closed'").select("row_id", *keys, "net", "trade_return").join(rows, ["row_id", *keys])
+    own = done.groupBy(*by).agg(F.count("*").alias("num_trades"), (F.sum("net") / initial * 100).alias("total_return_pct"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), trade_sharpe(F.col("trade_return")).alias("sharpe_ratio"))
+    return rows.select(*by).distinct().join(own, by, "left").na.fill(0, ["num_trades"]).na.fill(0.0, ["total_return_pct", "win_rate", "sharpe_ratio"])
+
+
+def collapse_folds(folds: DataFrame, keys: list[str], fold: str = "fold") -> DataFrame:
+    """One row for each key: worst, mean and median figures over its folds; the worst win rate is
+    that of the fold with the worst return (the first of equal ones)."""
+    both = lambda c, name: (F.min(c).alias(f"worst_{name}"), F.avg(c).alias(f"mean_{name}"))
+    return folds.groupBy(*keys).agg(
+        F.count("*").alias("folds"), *both("total_return_pct", "return"), F.median("total_return_pct").alias("median_return"), *both("profit_factor", "factor"), F.median("profit_factor").alias("median_factor"), *both("sortino", "sortino"),
+        F.max("max_drawdown_pct").alias("worst_drawdown"), F.min("trades").alias("min_trades"), F.min_by("win_rate_pct", F.struct("total_return_pct", fold)).alias("worst_win_rate"), F.avg("win_rate_pct").alias("mean_win_rate"))
+
+
+def decode_metrics(values: Column, names: list[str]) -> Column:
+    """A struct of named metrics from an array of numbers, as batches give them; not finite: null."""
+    pick = lambda k: F.when(F.abs(F.get(values, k)) < float("inf"), F.get(values, k))
+    return F.struct(*(pick(k).alias(n) for k, n in enumerate(names)))

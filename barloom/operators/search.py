@@ -37,34 +37,63 @@ def to_dense(slots: Column, dont_care: list[int]) -> Column:
     return F.transform(care, lambda d, i: F.coalesce(F.get(F.transform(F.filter(slots, lambda s: s.feat == i), lambda s: s.cls), F.lit(0)), d))
 
 
-def dominated(df: DataFrame, key: str, objectives: list[str]) -> DataFrame:
-    """Keys that some row beats or equals in all (smaller) objectives and beats in one. The table
-    is a population, whose size is a parameter of the search."""
-    other = df.select(F.col(key).alias("k2"), *(F.col(o).alias(f"{o}_2") for o in objectives))
-    no_worse = reduce(lambda a, b: a & b, (F.col(f"{o}_2") <= F.col(o) for o in objectives))
-    better = reduce(lambda a, b: a | b, (F.col(f"{o}_2") < F.col(o) for o in objectives))
-    return df.join(other, no_worse & better, "left_semi").select(key)
-
-
-def fronts(df: DataFrame, key: str, objectives: list[str], most: int = 3) -> DataFrame:
-    """front from 1 of the first `most` fronts; the rest are most + 1."""
-    left, out = df, None
-    for k in range(1, most + 1):
-        beaten = dominated(left, key, objectives)
-        part = left.join(beaten, key, "left_anti").withColumn("front", F.lit(k))
-        out = part if out is None else out.union(part)
-        left = left.join(beaten, key, "left_semi")
-    return out.union(left.withColumn("front", F.lit(most + 1)))
-
-
-def crowding(df: DataFrame, key: str, objectives: list[str]) -> DataFrame:
-    """Sum of the neighbours' gaps in each objective, scaled by its range; null at the edges."""
-    total = F.lit(0.0)
+def fronts(df: DataFrame, key: str, objectives: list[str], group: str | None = None, violation: str | None = None, epsilon: float = 1e-12) -> DataFrame:
+    """The columns of df and front, from 1: the non-dominated sort of each group (of the whole
+    table without one). Smaller is better; a row with a missing or infinite objective neither
+    beats nor is beaten. With violation a feasible row (at most epsilon) beats an infeasible one,
+    and the lesser violation beats the greater. A group is a population, whose size is a
+    parameter of the search; it is compared in blocks of rows."""
+    from pyspark.sql import types as T
+
+    own = "_population" if group is None else group
+    df = df.withColumn(own, F.lit(0)) if group is None else df
+    wanted = df.select(own, key, *objectives, *([violation] if violation else []))
+    schema = T.StructType([wanted.schema[own], wanted.schema[key], T.StructField("front", T.IntegerType())])
+
+    def rank(pdf):
+        import numpy as np
+
+        x = pdf[objectives].to_numpy(np.float64)
+        v = np.nan_to_num(pdf[violation].to_numpy(np.float64), nan=np.inf) if violation else np.zeros(len(pdf))
+        fine = np.isfinite(x).all(axis=1)
+        left, front, out = np.arange(len(pdf)), 0, np.zeros(len(pdf), np.int32)
+        while len(left):
+            front += 1
+            beaten = np.zeros(len(left), bool)
+            for s in range(0, len(left), 512):
+                me = left[s : s + 512]
+                pareto = fine[left][:, None] & fine[me] & (x[left][:, None] <= x[me]).all(axis=2) & (x[left][:, None] < x[me]).any(axis=2)
+                ok, mine = v[left][:, None] <= epsilon, v[me] <= epsilon
+                less = v[left][:, None] < v[me] - epsilon
+                more = v[me] < v[left][:, None] - epsilon
+                beats = np.where(ok != mine, ok, np.where(ok, pareto, less | (~more & pareto)))
+                beaten[s : s + 512] = beats.any(axis=0)
+            out[left[~beaten]] = front
+            left = left[beaten]
+        return pdf[[own, key]].assign(front=out)
+
+    ranks = wanted.groupBy(own).applyInPandas(rank, schema)
+    on = [key] if group is None else [own, key]
+    return df.join(ranks.select(*on, "front"), on).select(*[c for c in df.columns if c != "_population"], "front")
+
+
+def crowding(df: DataFrame, key: str, objectives: list[str], front: str = "front") -> DataFrame:
+    """crowding: the sum over the objectives of the gap between a row's neighbours in its front,
+    over the front's range. Infinite at either end of an objective and in fronts of two or fewer;
+    an objective of one value adds nothing."""
+    total, edge = F.lit(0.0), F.count(F.lit(1)).over(Window.partitionBy(front)) <= 2
     for o in objectives:
-        w = Window.partitionBy("front").orderBy(o, key)
-        span = F.max(o).over(Window.partitionBy("front")) - F.min(o).over(Window.partitionBy("front"))
-        total = total + F.try_divide(F.lead(o).over(w) - F.lag(o).over(w), F.nullif(span, F.lit(0.0)))
-    return df.withColumn("crowding", total)
+        w = Window.partitionBy(front).orderBy(o, key)
+        span = F.max(o).over(Window.partitionBy(front)) - F.min(o).over(Window.partitionBy(front))
+        gap = F.lead(o).over(w) - F.lag(o).over(w)
+        edge = edge | F.lead(o).over(w).isNull() | F.lag(o).over(w).isNull()
+        total = total + F.when(span > 0, gap / span).otherwise(0.0)
+    return df.withColumn("crowding", F.when(edge, float("inf")).otherwise(total))
+
+
+def violation(floors: dict[str, tuple[Column, float]]) -> Column:
+    """The summed shortfalls of columns below their floors."""
+    return reduce(lambda a, b: a + b, (F.greatest(F.lit(0.0), F.lit(float(least)) - c) for c, least in floors.values()), F.lit(0.0))
 
 
 def round_robin(df: DataFrame, group: str, score: str, key: str, limit: int) -> DataFrame:
@@ -77,9 +106,14 @@ def scaled_budget(df: DataFrame, col: str, limit: float = 100.0) -> DataFrame:
     return df.withColumn("scaled", F.round(F.when(total > limit, F.col(col) * limit / total).otherwise(F.col(col)), 6))
 
 
-def overlap(masks: DataFrame) -> DataFrame:
-    """a, b, coefficient over (rule, row): shared rows over the smaller rule's rows."""
-    size = masks.groupBy("rule").agg(F.count("*").alias("n"))
-    both = masks.alias("x").join(masks.alias("y"), (F.col("x.row") == F.col("y.row")) & (F.col("x.rule") < F.col("y.rule"))).groupBy(F.col("x.rule").alias("a"), F.col("y.rule").alias("b")).agg(F.count("*").alias("both"))
-    left, right = size.withColumnsRenamed({"rule": "a", "n": "na"}), size.withColumnsRenamed({"rule": "b", "n": "nb"})
+def overlap(masks: DataFrame, rules: int = 64) -> DataFrame:
+    """a, b, coefficient over distinct (rule, row): shared rows over the smaller rule's rows. A row
+    holds the set of its rules, of which there are at most `rules` (checked), so equal sets are
+    counted before their pairs are formed."""
+    sets = masks.groupBy("row").agg(F.array_sort(F.collect_set("rule")).alias("set")).groupBy("set").agg(F.count("*").alias("n"))
+    sets = sets.withColumn("set", F.when(F.size("set") <= rules, F.col("set")).otherwise(F.raise_error(F.lit("more rules in a row than stated"))))
+    pairs = sets.select(F.explode("set").alias("a"), "set", "n").select("a", F.explode("set").alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    size = pairs.where("a = b").select("a", "n")
+    left, right = size.withColumnsRenamed({"n": "na"}), size.withColumnsRenamed({"a": "b", "n": "nb"})
+    both = pairs.where("a < b").withColumnRenamed("n", "both")
     return both.join(left, "a").join(right, "b").withColumn("coefficient", F.col("both") / F.least("na", "nb"))

@@ -91,13 +91,89 @@ def largest_gap(ranges: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def aligned_sample(df: DataFrame, size: int, seed: int) -> DataFrame:
-    """One seeded run of bars, shared by all symbols."""
-    import random
-
+    """One run of bars, shared by all symbols; a seed gives its start."""
     top = df.groupBy("symbol").agg(F.max("bar").alias("m")).agg(F.min("m")).first()[0] or 0
-    start = random.Random(seed).randint(0, max(0, top + 1 - size))
+    start = seed % (max(0, top + 1 - size) + 1)
     return df.where(F.col("bar").between(start, start + size - 1))
 
 
 def drop_last(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(by_time())).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).where(F.col("_r") <= F.col("_n") - n).drop("_r", "_n")
+
+
+def release_rows(tape: DataFrame, offset: Column, name: str = "release_row") -> DataFrame:
+    """tape (symbol, bar, row_id, ...) with the row_id of the symbol's first row whose bar is at
+    least bar + offset; null if there is none, or the offset is missing or negative. Bars may have
+    gaps. One sort by symbol and bar over both sides, no join."""
+    at = F.when(offset >= 0, F.col("bar") + offset)
+    asks = tape.withColumns({"_t": at, "_kind": F.lit(1), "_row": F.lit(None).cast("long")})
+    rows = tape.withColumns({"_t": F.col("bar"), "_kind": F.lit(0), "_row": F.col("row_id").cast("long")})
+    w = Window.partitionBy("symbol").orderBy(F.desc_nulls_last("_t"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(asks).withColumn(name, F.last("_row", ignorenulls=True).over(w)).where("_kind = 1")
+    return both.withColumn(name, F.when(F.col("_t").isNotNull(), F.col(name))).drop("_t", "_kind", "_row")
+
+
+def global_rank(df: DataFrame, order: list[str], name: str, strips: int = 64) -> DataFrame:
+    """name: place from 1 in the order. Rows are cut into strips at quantiles of the first column
+    and ranked within them; strips are offset by the rows before, so no task holds all rows."""
+    first = F.col(order[0]).cast("double")
+    cuts = sorted(set(df.select(first.alias("x")).approxQuantile("x", [k / strips for k in range(1, strips)], 0.01)))
+    strip = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= first)) if cuts else F.lit(0)
+    df = df.withColumn("_strip", strip)
+    sizes = df.groupBy("_strip").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_strip", (F.sum("_n").over(Window.orderBy("_strip")) - F.col("_n")).alias("_before"))  # a row a strip
+    place = F.row_number().over(Window.partitionBy("_strip").orderBy(*order))
+    return df.withColumn("_place", place).join(F.broadcast(sizes), "_strip").withColumn(name, F.col("_place") + F.col("_before")).drop("_strip", "_place", "_before")
+
+
+def nested_bounds(df: DataFrame, outer: int, min_train: float, purge: int) -> DataFrame:
+    """symbol, fold, v_start, v_end, train_end: contiguous outer folds after the first part of the
+    rows; the first folds take the remainder. Inner rows end `purge` bars before."""
+    n = df.groupBy("symbol").agg(F.count("*").alias("n"))
+    first = F.greatest(F.floor(F.col("n") * min_train), F.lit(1))
+    usable = F.greatest(F.col("n") - first, F.lit(0))
+    base, rest = F.floor(usable / outer), usable % outer
+    b = n.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1)))).withColumns({
+        "v_start": first + F.col("fold") * base + F.least("fold", rest), "v_end": first + (F.col("fold") + 1) * base + F.least(F.col("fold") + 1, rest)})
+    b = b.where("v_end > v_start").withColumn("train_end", F.greatest(F.col("v_start") - purge, F.lit(0)))
+    return b.select("symbol", "fold", *(F.col(c).cast("long") for c in ("v_start", "v_end", "train_end")))
+
+
+def select_folds(bounds: DataFrame, what: str) -> DataFrame:
+    """'holdout': the last fold of each symbol; 'cv': the others."""
+    last = F.max("fold").over(Window.partitionBy("symbol"))
+    return bounds.withColumn("_last", last).where((F.col("fold") == F.col("_last")) if what == "holdout" else (F.col("fold") < F.col("_last"))).drop("_last")
+
+
+def nested_select(scores: DataFrame, score: str = "score") -> DataFrame:
+    """fold, candidate and outer score of the candidate with the best inner score of each fold; of
+    equal ones the first. scores: fold, candidate, role (inner or outer), score."""
+    both = scores.groupBy("fold", "candidate").agg(F.max(F.when(F.col("role") == "inner", F.col(score))).alias("_inner"), F.max(F.when(F.col("role") == "outer", F.col(score))).alias("outer_score"))
+    w = Window.partitionBy("fold").orderBy(F.desc_nulls_last("_inner"), "candidate")
+    return both.where("_inner IS NOT NULL").withColumn("_k", F.row_number().over(w)).where("_k = 1").select("fold", "candidate", "outer_score")
+
+
+def tail_folds(df: DataFrame, splits: int, tail: float) -> DataFrame:
+    """fold: equal chunks of each symbol's head, the last takes the rest; `splits` is the tail. A
+    symbol with too few rows is repeated splits + 1 times first, in order."""
+    df = numbered(df)
+    few = F.col("n") < splits + 1
+    df = df.withColumn("_copy", F.explode(F.when(few, F.sequence(F.lit(0), F.lit(splits))).otherwise(F.array(F.lit(0)))))
+    df = df.withColumn("_at", F.col("rn") - 1 + F.col("_copy") * F.col("n")).withColumn("_size", F.when(few, F.col("n") * (splits + 1)).otherwise(F.col("n")))
+    kept = F.col("_size") - (F.greatest(F.rint(F.col("_size") * tail), F.lit(1.0)).cast("long") if tail > 0 else F.lit(0))
+    chunk = F.greatest(F.floor(kept / splits), F.lit(1))
+    fold = F.when(F.col("_at") >= kept, splits).otherwise(F.least(F.floor(F.col("_at") / chunk), F.lit(splits - 1)))
+    return df.withColumn("fold", fold.cast("long")).drop("rn", "n", "_copy", "_at", "_size")
+
+
+def training_rows(df: DataFrame, bounds: DataFrame, embargo: int) -> DataFrame:
+    """Rows outside every validation and holdout range of their symbol and the embargo before it."""
+    ranges = bounds.groupBy("symbol").agg(F.collect_list(F.struct(F.greatest(F.col("v_start") - embargo, F.lit(0)).alias("a"), F.col("v_end").alias("b"))).alias("_r"))
+    return df.join(ranges, "symbol", "left").where(~F.coalesce(F.exists("_r", lambda r: (F.col("bar") >= r.a) & (F.col("bar") < r.b)), F.lit(False))).drop("_r")
+
+
+def epoch_seed(seed: int, epoch: int, island: str = "") -> int:
+    """The seed of an epoch's sample: windows rotate, and a rerun gives the same ones."""
+    import hashlib
+
+    return int(hashlib.sha256(f"{seed}|{epoch}|{island}".encode()).hexdigest()[:12], 16)

@@ -60,9 +60,11 @@ def g20(spark, sf_dir):
     return M.spearman(long(spark, sf_dir), "x", "value", ["feature", "symbol"]).select("feature", "symbol", "n", r6("rho", "rho"))
 
 
-@query("g22_sign_consistency", f"WITH {LONG}, {RANKS}, {RHO} SELECT feature, count(*) FILTER (rho > 0.03) AS up, count(*) FILTER (rho < -0.03) AS down FROM rho GROUP BY 1 HAVING count(*) FILTER (rho > 0.03) = 0 OR count(*) FILTER (rho < -0.03) = 0")
+@query("g22_sign_consistency", f"WITH {LONG}, {RANKS}, {RHO}, f AS (SELECT feature, count(rho) AS n, count(*) FILTER (rho >= 0.01) AS up, count(*) FILTER (rho <= -0.01) AS down FROM rho WHERE symbol <> 'view' GROUP BY 1) SELECT f.feature, up, down FROM f LEFT JOIN (SELECT feature, rho FROM rho WHERE symbol = 'view') v USING (feature) WHERE n >= 1 AND (up = 0 OR down = 0) AND NOT coalesce((up > 0 AND v.rho < -0.01) OR (down > 0 AND v.rho > 0.01), false)")
 def g22(spark, sf_dir):
-    return X.sign_consistent(M.spearman(long(spark, sf_dir), "x", "value", ["feature", "symbol"]))
+    """Folds are the symbols but one, which serves as validation."""
+    rho = M.spearman(long(spark, sf_dir), "x", "value", ["feature", "symbol"])
+    return X.sign_consistent(rho.where("symbol <> 'view'"), 0.01, 1, rho.where("symbol = 'view'"))
 
 
 MI = f"{FEATURES}, d AS (SELECT symbol, {_case('f_pos', 'positive')} AS c, CAST(value > 50 AS INTEGER) AS y, 'f_pos' AS feature FROM feat UNION ALL SELECT symbol, {_case('f_sparse', 'sparse_signed')}, CAST(value > 50 AS INTEGER), 'f_sparse' FROM feat), jc AS (SELECT feature, symbol, c, y, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY ALL), jm AS (SELECT *, sum(n) OVER (PARTITION BY feature, symbol, c) AS na, sum(n) OVER (PARTITION BY feature, symbol, y) AS nb, sum(n) OVER (PARTITION BY feature, symbol) AS nn FROM jc), mi AS (SELECT feature, symbol, sum(n / nn * ln(n * nn / (na * nb))) AS mi FROM jm GROUP BY 1, 2)"
@@ -80,6 +82,28 @@ def g23(spark, sf_dir):
     return relevance(spark, sf_dir).select("feature", "symbol", r6("mi", "mi"))
 
 
+def _digamma_sql(x: str) -> str:
+    """By recurrence to 6 and the asymptotic series."""
+    z = f"({x} + greatest(0, ceil(6 - {x})))"
+    low = f"coalesce(list_sum(list_transform(range(0, CAST(greatest(0, ceil(6 - {x})) AS BIGINT)), lambda i: 1.0 / ({x} + i))), 0)"
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) + 1 / (240 * {z} ** 8) - {low})"
+
+
+KNN = f"""WITH d AS (SELECT row_number() OVER () AS id, event_type AS symbol, CAST(round(value * 100) AS DOUBLE) AS x, CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) > 50 AS INTEGER) AS y FROM events),
+c AS (SELECT *, CAST(count(*) OVER (PARTITION BY symbol, y) AS DOUBLE) AS ny FROM d), e AS (SELECT *, least(3.0, ny - 1) AS k FROM c WHERE ny > 1),
+nn AS (SELECT a.id, a.symbol, a.x, a.k, a.ny, abs(a.x - b.x) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.x - b.x)) AS rn FROM e a JOIN e b ON a.symbol = b.symbol AND a.y = b.y AND a.id <> b.id),
+r AS (SELECT id, symbol, x, k, ny, dist AS r FROM nn WHERE rn = k), m AS (SELECT r.id, r.symbol, r.k, r.ny, CAST(count(*) AS DOUBLE) AS m FROM r JOIN e b ON b.symbol = r.symbol AND (abs(b.x - r.x) < r.r OR b.x = r.x) GROUP BY ALL),
+s AS (SELECT symbol, CAST(count(*) AS DOUBLE) AS n, avg({_digamma_sql('k')} - {_digamma_sql('ny')} - {_digamma_sql('m')}) AS mean FROM m GROUP BY 1)
+SELECT symbol, round(greatest({_digamma_sql('n')} + mean, 0), 6) AS mi FROM s"""
+
+
+@query("g23_neighbour_information", KNN)
+def g23b(spark, sf_dir):
+    """Relevance of a continuous value for a class. Whole numbers, so that distances are exact."""
+    df = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.round(F.col("value") * 100).alias("x"), (F.get_json_object("props", "$.k").cast("int") > 50).cast("int").alias("y"))
+    return X.neighbour_information(df, "x", "y", ["symbol"]).select("symbol", r6("mi", "mi"))
+
+
 @query("g24_cross_symbol_stability", f"WITH {MI} SELECT feature, round(greatest(least(1 - stddev_pop(mi) / nullif(avg(mi), 0), 1), 0) * avg(mi), 6) AS score FROM mi GROUP BY 1")
 def g24(spark, sf_dir):
     return X.stability(relevance(spark, sf_dir)).select("feature", r6("score", "score"))
@@ -107,9 +131,11 @@ def g26b(spark, sf_dir):
 
 @query("g40_parameter_correlation", "WITH t AS (SELECT o_orderkey, o_custkey AS param, o_totalprice AS score FROM orders), r AS (SELECT row_number() OVER (ORDER BY param, o_orderkey) AS a, row_number() OVER (ORDER BY score, o_orderkey) AS b FROM t) SELECT round(corr(a, b), 6) AS rho FROM r")
 def g40(spark, sf_dir):
-    """Ranks without tie averaging over a table of trials, whose size is that of the search."""
-    t = table(spark, sf_dir, "orders")
-    r = t.select(F.row_number().over(Window.orderBy("o_custkey", "o_orderkey")).alias("a"), F.row_number().over(Window.orderBy("o_totalprice", "o_orderkey")).alias("b"))
+    """Ranks without tie averaging over a table of trials, in strips."""
+    from barloom.operators.splits import global_rank
+
+    t = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderkey")
+    r = global_rank(global_rank(t, ["o_custkey", "o_orderkey"], "a"), ["o_totalprice", "o_orderkey"], "b")
     return r.agg(r6(F.corr(F.col("a").cast("double"), F.col("b").cast("double")), "rho"))
 
 

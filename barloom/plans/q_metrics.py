@@ -39,20 +39,6 @@ def g4(spark, sf_dir):
     return M.expected_shortfall(trades(spark, sf_dir), ["symbol"]).select("symbol", r6("shortfall", "shortfall"))
 
 
-@query("g8_evaluation_table", f"WITH {TRADES} SELECT split, count(*) AS trades, round(sum(return_pct), 6) AS ret, round({PF}, 6) AS pf, round({SORT}, 6) AS sortino, count(DISTINCT symbol) AS symbols FROM trades GROUP BY 1")
-def g8(spark, sf_dir):
-    r = F.col("return_pct")
-    return trades(spark, sf_dir).groupBy("split").agg(F.count("*").alias("trades"), r6(F.sum(r), "ret"), r6(M.profit_factor(r), "pf"), r6(M.sortino(r), "sortino"), F.countDistinct("symbol").alias("symbols"))
-
-
-@query("g9_rule_breakdown", f"WITH {TRADES}, k AS (SELECT s.split, r.rule FROM (VALUES ('train'), ('val')) s(split), range(0, 6) r(rule)) SELECT k.split, k.rule, count(t.bar) AS n, round(coalesce(sum(return_pct), 0), 6) AS pnl, round(coalesce(100 * avg(CAST(return_pct > 0 AS DOUBLE)), 0), 6) AS win_pct FROM k LEFT JOIN trades t ON t.split = k.split AND t.rule = k.rule GROUP BY 1, 2")
-def g9(spark, sf_dir):
-    k = spark.createDataFrame([(s, r) for s in ("train", "val") for r in range(6)], "split string, rule long")
-    t = trades(spark, sf_dir).groupBy("split", "rule").agg(F.count("*").alias("n"), F.sum("return_pct").alias("pnl"), (100 * F.avg((F.col("return_pct") > 0).cast("double"))).alias("win_pct"))
-    df = F.broadcast(k).join(t, ["split", "rule"], "left").na.fill(0).na.fill(0.0)
-    return df.select("split", "rule", "n", r6("pnl", "pnl"), r6("win_pct", "win_pct"))
-
-
 @query("g11_concentration", f"WITH {TRADES}, p AS (SELECT rule AS plan, symbol, sum(return_pct) AS pnl FROM trades GROUP BY 1, 2), s AS (SELECT *, abs(pnl) / sum(abs(pnl)) OVER (PARTITION BY plan) AS share FROM p) SELECT plan, round(sum(share * share), 6) AS hhi, round(max(share), 6) AS top_share, first(symbol ORDER BY round(share, 9) DESC, symbol DESC) AS top_symbol FROM s GROUP BY 1")
 def g11(spark, sf_dir):
     p = trades(spark, sf_dir).groupBy(F.col("rule").alias("plan"), "symbol").agg(F.sum("return_pct").alias("pnl"))
@@ -71,21 +57,16 @@ def g13(spark, sf_dir):
     return m.select("symbol", r6("train", "train"), r6("val", "val"), r6(F.col("val") - F.col("train"), "delta"), (F.signum("train") * F.signum("val") < 0).alias("flipped"))
 
 
-@query("g18_stratified_performance", f"WITH {TRADES}, f AS (SELECT t.*, CASE WHEN b.volume <= 200 THEN 'low' WHEN b.volume <= 600 THEN 'mid' ELSE 'high' END AS bucket FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.bar = t.bar) SELECT bucket, split, count(*) AS n, round(sum(return_pct), 6) AS ret, round(avg(CAST(return_pct > 0 AS DOUBLE)), 6) AS win_ratio FROM f GROUP BY 1, 2")
-def g18(spark, sf_dir):
-    b = event_bars(spark, sf_dir).select("symbol", "bar", F.when(F.col("volume") <= 200, "low").when(F.col("volume") <= 600, "mid").otherwise("high").alias("bucket"))
-    t = trades(spark, sf_dir).join(b, ["symbol", "bar"])
-    return t.groupBy("bucket", "split").agg(F.count("*").alias("n"), r6(F.sum("return_pct"), "ret"), r6(F.avg((F.col("return_pct") > 0).cast("double")), "win_ratio"))
-
-
 @query("e11_drawdown", f"WITH {TRADES}, e AS (SELECT symbol, bar, 1000 + sum(return_pct) OVER (PARTITION BY symbol ORDER BY bar) AS eq FROM trades), p AS (SELECT *, greatest(max(eq) OVER (PARTITION BY symbol ORDER BY bar), 1000) AS peak FROM e) SELECT symbol, round(max(CASE WHEN peak > 0 THEN (peak - eq) / peak * 100 ELSE 100 END), 6) AS max_drawdown_pct FROM p GROUP BY 1")
 def e11(spark, sf_dir):
     return M.drawdown(trades(spark, sf_dir), ["symbol"]).select("symbol", r6("max_drawdown_pct", "max_drawdown_pct"))
 
 
-@query("e12_compounded", f"WITH {TRADES}, e AS (SELECT symbol, bar, exp(sum(ln(1 + return_pct / 100)) OVER (PARTITION BY symbol ORDER BY bar)) AS eq FROM trades), p AS (SELECT *, greatest(max(eq) OVER (PARTITION BY symbol ORDER BY bar), 1) AS top FROM e) SELECT symbol, round(ln(arg_max(eq, bar)), 6) AS log_equity, round(max((top - eq) / top * 100), 6) AS dip_pct FROM p GROUP BY 1")
+@query("e12_compounded", f"WITH RECURSIVE {TRADES}, o AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS k, CASE WHEN bar % 97 = 50 THEN -100 ELSE return_pct END AS r FROM trades), c AS (SELECT symbol, k, 1 + r / 100 AS eq FROM o WHERE k = 1 UNION ALL SELECT o.symbol, o.k, c.eq * (1 + o.r / 100) FROM c JOIN o ON o.symbol = c.symbol AND o.k = c.k + 1), p AS (SELECT *, max(eq) OVER (PARTITION BY symbol ORDER BY k) AS top FROM c) SELECT symbol, round(arg_max(eq, k), 6) AS equity, round(max((top - eq) / greatest(top, 1e-12) * 100), 6) AS dip_pct FROM p GROUP BY 1")
 def e12(spark, sf_dir):
-    return M.compounded(trades(spark, sf_dir), ["symbol"]).select("symbol", r6(F.log("equity"), "log_equity"), r6("dip_pct", "dip_pct"))
+    """Some trades lose all: the product goes to zero and stays."""
+    t = trades(spark, sf_dir).withColumn("return_pct", F.when(F.col("bar") % 97 == 50, -100.0).otherwise(F.col("return_pct")))
+    return M.compounded(t, ["symbol"]).select("symbol", r6("equity", "equity"), r6("dip_pct", "dip_pct"))
 
 
 @query("e14_trade_gap", f"WITH {TRADES} SELECT symbol, max(g) AS max_gap, round(avg(g), 6) AS mean_gap FROM (SELECT symbol, bar - lag(bar) OVER (PARTITION BY symbol, rule ORDER BY bar) AS g FROM trades) GROUP BY 1")
@@ -112,20 +93,11 @@ def g27(spark, sf_dir):
     return f.groupBy("symbol").agg(F.count("*").alias("folds"), r6(F.min("ret"), "worst"), r6(F.avg("ret"), "mean"), r6(F.median("ret"), "median_ret"), r6(F.median("pf"), "median_pf"), F.min("n").alias("min_trades"), r6(F.min_by("win", "ret"), "worst_win"))
 
 
-@query("g28_g29_monthly_summary", f"WITH {TRADES}, m AS (SELECT symbol, CAST(floor(bar / 42) AS BIGINT) AS win_id, sum(return_pct) AS ret, count(*) AS n FROM trades GROUP BY 1, 2) SELECT symbol, count(*) AS months, round(avg(CAST(n >= 3 AS DOUBLE)), 6) AS active_ratio, round(avg(CAST(ret > 0.5 AS DOUBLE)), 6) AS good_ratio, round(avg(CAST(ret < -0.5 AS DOUBLE)), 6) AS bearish_ratio, round(greatest(0, 0.6 - avg(CAST(ret > 0.5 AS DOUBLE))) * 2, 6) AS penalty, bool_and(n >= 3 AND ret > 0.5) AS all_good FROM m GROUP BY 1")
-def g28(spark, sf_dir):
-    m = trades(spark, sf_dir).groupBy("symbol", F.floor(F.col("bar") / 42).alias("w")).agg(F.sum("return_pct").alias("ret"), F.count("*").alias("n"))
-    share = lambda c: F.avg(c.cast("double"))
-    good = F.col("ret") > 0.5
-    return m.groupBy("symbol").agg(F.count("*").alias("months"), r6(share(F.col("n") >= 3), "active_ratio"), r6(share(good), "good_ratio"), r6(share(F.col("ret") < -0.5), "bearish_ratio"), r6(F.greatest(F.lit(0.0), 0.6 - share(good)) * 2, "penalty"), F.bool_and((F.col("n") >= 3) & good).alias("all_good"))
-
-
 @query("g31_pbo", f"WITH {TRADES}, g AS (SELECT CAST(floor(bar / 30) AS BIGINT) AS fold, symbol, sum(CASE WHEN bar % 2 = 0 THEN return_pct ELSE 0 END) AS ins, sum(CASE WHEN bar % 2 = 1 THEN return_pct ELSE 0 END) AS oos FROM trades GROUP BY 1, 2), w AS (SELECT fold, arg_max(oos, ins) AS winner, median(oos) AS mid FROM g GROUP BY 1) SELECT round(avg(CAST(winner < mid AS DOUBLE)), 6) AS pbo FROM w")
 def g31(spark, sf_dir):
     odd = F.col("bar") % 2 == 1
-    g = trades(spark, sf_dir).groupBy(F.floor(F.col("bar") / 30).alias("fold"), "symbol").agg(F.sum(F.when(~odd, F.col("return_pct")).otherwise(0.0)).alias("ins"), F.sum(F.when(odd, F.col("return_pct")).otherwise(0.0)).alias("oos"))
-    w = g.groupBy("fold").agg(F.max_by("oos", "ins").alias("winner"), F.median("oos").alias("mid"))
-    return w.agg(r6(F.avg((F.col("winner") < F.col("mid")).cast("double")), "pbo"))
+    g = trades(spark, sf_dir).groupBy(F.floor(F.col("bar") / 30).alias("fold"), F.col("symbol").alias("candidate")).agg(F.sum(F.when(~odd, F.col("return_pct")).otherwise(0.0)).alias("inside"), F.sum(F.when(odd, F.col("return_pct")).otherwise(0.0)).alias("outside"))
+    return M.overfit_probability(g).select(r6("pbo", "pbo"))
 
 
 def _cdf_sql(x: str) -> str:
@@ -134,19 +106,10 @@ def _cdf_sql(x: str) -> str:
     return f"CASE WHEN {x} >= 0 THEN 1 - {up} ELSE {up} END"
 
 
-@query("g32_deflated_sharpe", f"WITH {TRADES}, s AS (SELECT symbol, avg(return_pct) / stddev_samp(return_pct) AS sr, CAST(count(*) AS DOUBLE) AS n FROM trades GROUP BY 1), z AS (SELECT symbol, (sr - sqrt(2 * ln(50.0)) / sqrt(n)) * sqrt(n - 1) / sqrt(1 + sr * sr / 2) AS z FROM s) SELECT symbol, round({_cdf_sql('z')}, 6) AS dsr FROM z")
+@query("g32_deflated_sharpe", f"WITH {TRADES}, s AS (SELECT symbol, avg(return_pct) / stddev_samp(return_pct) AS sr, CAST(count(*) AS DOUBLE) AS n FROM trades GROUP BY 1), z AS (SELECT symbol, (sr - sqrt(2 * ln(50.0)) / sqrt(n)) / sqrt((1 - 0.3 * sr + (1.2 - 1) / 4 * sr * sr) / n) AS z, (sr - sqrt(2 * ln(50.0)) / sqrt(n)) / sqrt((1 - sr * sr / 4) / n) AS z0 FROM s) SELECT symbol, round({_cdf_sql('z')}, 6) AS dsr_shaped, round({_cdf_sql('z0')}, 6) AS dsr FROM z")
 def g32(spark, sf_dir):
     s = trades(spark, sf_dir).groupBy("symbol").agg(M.sharpe(F.col("return_pct")).alias("sr"), F.count("*").cast("double").alias("n"))
-    return s.select("symbol", r6(M.deflated_sharpe(F.col("sr"), F.col("n"), 50), "dsr"))
-
-
-@query("g33_g36_gates", f"WITH {TRADES}, s AS (SELECT symbol, count(*) AS n, sum(return_pct) AS ret, {PF} AS pf, avg(CAST(return_pct > 0 AS DOUBLE)) AS win FROM trades GROUP BY 1) SELECT symbol, concat_ws(';', CASE WHEN n < 150 THEN 'few_trades' END, CASE WHEN ret <= 0 THEN 'no_return' END, CASE WHEN pf < 1.1 THEN 'low_pf' END, CASE WHEN win < 0.5 THEN 'low_win' END) AS failed, round(ret / greatest(abs(least(ret, 0)), 1), 6) AS ret_dd, round(greatest(0, 0.6 - win) + greatest(0, 200 - n) / 200, 6) AS health_penalty FROM s")
-def g33(spark, sf_dir):
-    r = F.col("return_pct")
-    s = trades(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), F.sum(r).alias("ret"), M.profit_factor(r).alias("pf"), F.avg((r > 0).cast("double")).alias("win"))
-    c = F.col
-    return s.select("symbol", M.reasons({"few_trades": c("n") >= 150, "no_return": c("ret") > 0, "low_pf": c("pf") >= 1.1, "low_win": c("win") >= 0.5}).alias("failed"),
-                    r6(M.return_over_drawdown(c("ret"), F.least(c("ret"), F.lit(0.0))), "ret_dd"), r6(F.greatest(F.lit(0.0), 0.6 - c("win")) + F.greatest(F.lit(0), 200 - c("n")) / 200, "health_penalty"))
+    return s.select("symbol", r6(M.deflated_sharpe(F.col("sr"), F.col("n"), 50, 0.3, 1.2), "dsr_shaped"), r6(M.deflated_sharpe(F.col("sr"), F.col("n"), 50), "dsr"))
 
 
 ORD = "ord AS (SELECT o_orderstatus AS symbol, o_orderdate AS datetime, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)"
@@ -192,9 +155,10 @@ def h11(spark, sf_dir):
     return S.largest_gap(r, 0, 1_000_000)
 
 
-@query("h12_aligned_sample")
+@query("h12_aligned_sample", f"WITH {BARS}, t AS (SELECT min(m) AS m FROM (SELECT max(bar) AS m FROM bars GROUP BY symbol)), a AS (SELECT CAST('0x' || substr(sha256('7|2|'), 1, 12) AS BIGINT) % (greatest(0, m + 1 - 48) + 1) AS start FROM t) SELECT symbol, count(*) AS n, min(bar) AS first_bar FROM bars, a WHERE bar BETWEEN start AND start + 47 GROUP BY 1")
 def h12(spark, sf_dir):
-    return S.aligned_sample(event_bars(spark, sf_dir), 48, 7).groupBy("symbol").agg(F.count("*").alias("n"), F.min("bar").alias("first_bar"))
+    """The window of the second epoch (h14): another epoch, another start."""
+    return S.aligned_sample(event_bars(spark, sf_dir), 48, S.epoch_seed(7, 2)).groupBy("symbol").agg(F.count("*").alias("n"), F.min("bar").alias("first_bar"))
 
 
 @query("j_set_operations", "SELECT 'union' AS op, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT 'intersect', count(*) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'except', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey < 9) UNION ALL SELECT 'equal', CAST((SELECT count(*) FROM (SELECT DISTINCT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation)) = 0 AS BIGINT)")

@@ -12,18 +12,19 @@ from barloom.operators import splits as S  # noqa: N812
 from barloom.sources.tape import event_bars, table
 
 from .q_features import LONG, long
-from .q_metrics import ORD, PF, TRADES, ordered, trades
+from .q_metrics import ORD, ordered
 from .q_search import POP, population
-from .q_tape import BARS, H, barrier_sql
+from .q_tape import BARS, GAPPED, H, barrier_sql, gapped
 from .registry import query, r6
 
 
-@query("c4_variable_release", f"WITH {BARS}, {barrier_sql([(10.0, 8.0)], ('long',))}, n AS (SELECT symbol, bar, row_number() OVER (ORDER BY datetime, symbol) - 1 AS row_id, count(*) OVER () AS total FROM bars) SELECT t.symbol, t.bar, coalesce(n.row_id, k.total) AS release_row FROM touch t JOIN (SELECT max(total) AS total FROM n) k ON true LEFT JOIN n ON n.symbol = t.symbol AND n.bar = t.bar + t.exit_offset AND t.exit_offset >= 0")
+@query("c4_variable_release", f"WITH {BARS}, {GAPPED}, {barrier_sql([(10.0, 8.0)], ('long',))}, t AS (SELECT g.symbol, g.bar, g.total, CASE WHEN t.exit_offset >= 0 THEN g.bar + t.exit_offset END AS target FROM gapped g JOIN touch t ON t.symbol = g.symbol AND t.bar = g.bar) SELECT t.symbol, t.bar, coalesce(b.row_id, t.total) AS release_row FROM t ASOF LEFT JOIN gapped b ON t.symbol = b.symbol AND t.target <= b.bar")
 def c4(spark, sf_dir):
-    tape = S.row_ids(event_bars(spark, sf_dir)).select("symbol", F.col("bar").alias("exit_bar"), "row_id")
+    tape = gapped(spark, sf_dir).select("symbol", "bar", "row_id")
     total = tape.agg(F.count("*").alias("total"))  # one row
-    t = L.barrier(event_bars(spark, sf_dir), H, [(10.0, 8.0)], ("long",)).withColumn("exit_bar", F.when(F.col("exit_offset") >= 0, F.col("bar") + F.col("exit_offset")))
-    return t.join(tape, ["symbol", "exit_bar"], "left").crossJoin(F.broadcast(total)).select("symbol", "bar", F.coalesce("row_id", "total").alias("release_row"))
+    t = L.barrier(event_bars(spark, sf_dir), H, [(10.0, 8.0)], ("long",)).select("symbol", "bar", "exit_offset")
+    out = S.release_rows(tape.join(t, ["symbol", "bar"]), F.col("exit_offset"))
+    return out.crossJoin(F.broadcast(total)).select("symbol", "bar", F.coalesce("release_row", "total").alias("release_row"))
 
 
 @query("b23_sparse_slots", "SELECT p_size % 3 AS a, p_size % 5 AS b, count(*) AS n FROM part WHERE p_size % 3 = 1 AND p_size % 5 = 2 GROUP BY 1, 2")
@@ -40,27 +41,23 @@ def h3(spark, sf_dir):
     return h.groupBy("symbol").agg(F.count_if(F.col("half") == "fitness").alias("fitness"), F.count_if(F.col("half") == "selection").alias("selection"))
 
 
-@query("h5_h7_nested_folds", f"WITH {ORD}, b AS (SELECT symbol, k AS fold, n, CAST(floor(n * (k + 1) / 4) AS BIGINT) AS v_start, CAST(floor(n * (k + 2) / 4) AS BIGINT) AS v_end FROM (SELECT DISTINCT symbol, n FROM ord), range(0, 3) r(k)) SELECT symbol, fold, greatest(v_start - 96, 0) AS train_end, v_start, v_end, fold = 2 AS is_holdout FROM b")
+@query("h5_h7_nested_folds", f"WITH {ORD}, a AS (SELECT symbol, n, greatest(1, CAST(floor(n * 0.4) AS BIGINT)) AS first FROM ord GROUP BY ALL), b AS (SELECT *, (n - first) // 3 AS base, (n - first) % 3 AS rest FROM a), f AS (SELECT symbol, k AS fold, first + k * base + least(k, rest) AS v_start, first + (k + 1) * base + least(k + 1, rest) AS v_end FROM b, range(0, 3) r(k)) SELECT symbol, fold, greatest(v_start - 96, 0) AS train_end, v_start, v_end, fold = max(fold) OVER (PARTITION BY symbol) AS is_holdout FROM f WHERE v_end > v_start")
 def h5(spark, sf_dir):
-    n = ordered(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    start, end = (F.floor(F.col("n") * (F.col("fold") + k) / 4).cast("long") for k in (1, 2))
-    return n.select("symbol", "fold", F.greatest(start - 96, F.lit(0)).alias("train_end"), start.alias("v_start"), end.alias("v_end"), (F.col("fold") == 2).alias("is_holdout"))
+    b = S.nested_bounds(ordered(spark, sf_dir), 3, 0.4, 96)
+    both = S.select_folds(b, "holdout").withColumn("is_holdout", F.lit(True)).union(S.select_folds(b, "cv").withColumn("is_holdout", F.lit(False)))
+    return both.select("symbol", "fold", "train_end", "v_start", "v_end", "is_holdout")
 
 
-@query("h8_nested_select", f"WITH {TRADES}, f AS (SELECT CAST(floor(bar / 60) AS BIGINT) AS fold, rule, sum(return_pct) FILTER (bar % 60 < 40) AS inner_ret, sum(return_pct) FILTER (bar % 60 >= 40) AS outer_ret FROM trades GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(inner_ret, 6) DESC, rule) AS k FROM f WHERE inner_ret IS NOT NULL) SELECT fold, rule, round(outer_ret, 6) AS outer_ret FROM r WHERE k = 1")
-def h8(spark, sf_dir):
-    inner = F.col("bar") % 60 < 40
-    f = trades(spark, sf_dir).groupBy(F.floor(F.col("bar") / 60).alias("fold"), "rule").agg(F.sum(F.when(inner, F.col("return_pct"))).alias("i"), F.sum(F.when(~inner, F.col("return_pct"))).alias("o"))
-    w = Window.partitionBy("fold").orderBy(F.desc(F.round("i", 6)), "rule")
-    return f.where("i IS NOT NULL").withColumn("k", F.row_number().over(w)).where("k = 1").select("fold", "rule", r6("o", "outer_ret"))
+@query("h10_tail_folds", f"WITH {ORD}, f AS (SELECT symbol, rn - 1 AS pos, n, n - greatest(1, CAST(round_even(n * 0.25, 0) AS BIGINT)) AS head FROM ord), g AS (SELECT *, CASE WHEN pos >= head THEN 3 ELSE least(pos // greatest(head // 3, 1), 2) END AS fold FROM f) SELECT symbol, CAST(fold AS BIGINT) AS fold, count(*) AS n FROM g GROUP BY 1, 2")
+def h10(spark, sf_dir):
+    return S.tail_folds(ordered(spark, sf_dir), 3, 0.25).groupBy("symbol", "fold").agg(F.count("*").alias("n"))
 
 
-@query("h10_tail_folds", f"WITH {ORD}, f AS (SELECT *, floor(n * 0.8) AS head FROM ord), g AS (SELECT *, CASE WHEN rn > head THEN 3 ELSE least(floor((rn - 1) / greatest(floor(head / 3), 1)), 2) END AS fold FROM f) SELECT symbol, CAST(fold AS BIGINT) AS fold, count(*) AS n FROM g GROUP BY 1, 2")
-def h10(spark, sf_dir):
-    """Equal chunks of the head, the last takes the rest, and a tail."""
-    df = S.numbered(ordered(spark, sf_dir)).withColumn("head", F.floor(F.col("n") * 0.8))
-    chunk = F.least(F.floor((F.col("rn") - 1) / F.greatest(F.floor(F.col("head") / 3), F.lit(1))), F.lit(2))
-    return df.groupBy("symbol", F.when(F.col("rn") > F.col("head"), F.lit(3)).otherwise(chunk).cast("long").alias("fold")).agg(F.count("*").alias("n"))
+@query("h15_training_rows", f"WITH {ORD}, a AS (SELECT symbol, n, greatest(1, CAST(floor(n * 0.4) AS BIGINT)) AS first FROM ord GROUP BY ALL), b AS (SELECT *, (n - first) // 3 AS base, (n - first) % 3 AS rest FROM a), v AS (SELECT symbol, first + 2 * base + least(2, rest) AS s, first + 3 * base + least(3, rest) AS e FROM b) SELECT o.symbol, count(*) AS n, max(rn - 1) AS last_bar FROM ord o JOIN v USING (symbol) WHERE NOT (rn - 1 >= greatest(s - 96, 0) AND rn - 1 < e) GROUP BY 1")
+def h15(spark, sf_dir):
+    df = ordered(spark, sf_dir)
+    out = S.training_rows(df, S.select_folds(S.nested_bounds(df, 3, 0.4, 96), "holdout"), 96)
+    return out.groupBy("symbol").agg(F.count("*").alias("n"), F.max("bar").alias("last_bar"))
 
 
 @query("h13_scaled_floors", "SELECT o_orderstatus AS symbol, greatest(1, CAST(round(300 * count(*) / (SELECT count(*) FROM orders)) AS BIGINT)) AS floor_rows FROM orders GROUP BY 1")
@@ -78,27 +75,6 @@ def g21(spark, sf_dir):
     return rho.groupBy("feature").pivot("split", ["train", "val"]).agg(F.first("rho")).select("feature", r6("train", "train"), r6("val", "val"))
 
 
-@query("g36_symbol_certificates", f"WITH {TRADES}, s AS (SELECT symbol, count(*) AS n, sum(return_pct) AS pnl FROM trades GROUP BY 1) SELECT symbol, n >= 100 AS enough, round(abs(pnl) / sum(abs(pnl)) OVER (), 6) AS share, abs(pnl) / sum(abs(pnl)) OVER () <= 0.67 AS share_ok FROM s")
-def g36(spark, sf_dir):
-    s = trades(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("return_pct").alias("pnl")).withColumn("plan", F.lit(1))
-    share = F.try_divide(F.abs("pnl"), F.sum(F.abs("pnl")).over(Window.partitionBy("plan")))
-    return s.select("symbol", (F.col("n") >= 100).alias("enough"), r6(share, "share"), (share <= 0.67).alias("share_ok"))
-
-
-@query("g38_robustness_penalty", f"WITH {TRADES}, s AS (SELECT rule, symbol, sum(return_pct) AS pnl FROM trades GROUP BY 1, 2) SELECT rule, round(greatest(0, 1 - median(pnl)) + greatest(0, 3 - count(*) FILTER (pnl > 0)), 6) AS penalty FROM s GROUP BY 1")
-def g38(spark, sf_dir):
-    s = trades(spark, sf_dir).groupBy("rule", "symbol").agg(F.sum("return_pct").alias("pnl"))
-    return s.groupBy("rule").agg(r6(F.greatest(F.lit(0.0), 1 - F.median("pnl")) + F.greatest(F.lit(0), 3 - F.count_if(F.col("pnl") > 0)), "penalty"))
-
-
-@query("m1_objectives", f"WITH {TRADES}, m AS (SELECT rule, symbol, sum(return_pct) AS pnl, count(*) AS n FROM trades GROUP BY 1, 2), s AS (SELECT rule, avg(return_pct) AS mean, {PF} AS pf, avg(CAST(return_pct > 0 AS DOUBLE)) AS win, count(*) AS n FROM trades GROUP BY 1), h AS (SELECT rule, sum(pow(abs(pnl) / t, 2)) AS hhi FROM (SELECT *, sum(abs(pnl)) OVER (PARTITION BY rule) AS t FROM m) GROUP BY 1) SELECT rule, round(-pf, 6) AS f1, round(-mean, 6) AS f2, round(-win, 6) AS f3, round(hhi + greatest(0, 200 - n) / 200, 6) AS f4 FROM s JOIN h USING (rule)")
-def m1(spark, sf_dir):
-    t, r = trades(spark, sf_dir), F.col("return_pct")
-    s = t.groupBy("rule").agg(F.avg(r).alias("mean"), M.profit_factor(r).alias("pf"), F.avg((r > 0).cast("double")).alias("win"), F.count("*").alias("n"))
-    h = M.concentration(t.groupBy(F.col("rule").alias("plan"), "symbol").agg(F.sum(r).alias("pnl")), "pnl").select(F.col("plan").alias("rule"), "hhi")
-    return s.join(h, "rule").select("rule", r6(-F.col("pf"), "f1"), r6(-F.col("mean"), "f2"), r6(-F.col("win"), "f3"), r6(F.col("hhi") + F.greatest(F.lit(0), 200 - F.col("n")) / 200, "f4"))
-
-
 @query("m5_phenotype_buckets", f"WITH {POP} SELECT CAST(f1 / 1000 AS INTEGER) AS bucket, count(*) AS n, round(0.1 * (count(*) - 1), 6) AS penalty FROM (SELECT trunc(f1 / 1000) * 1000 AS f1 FROM pop) GROUP BY 1")
 def m5(spark, sf_dir):
     return population(spark, sf_dir).groupBy((F.col("f1") / 1000).cast("int").alias("bucket")).agg(F.count("*").alias("n"), r6(0.1 * (F.count("*") - 1), "penalty"))
@@ -112,13 +88,6 @@ def m6(spark, sf_dir):
     return p.crossJoin(F.broadcast(s)).select("id", F.round(0.9 * F.exp(F.col("x") - F.col("top")) / F.col("s") + 0.1 / F.col("n"), 9).alias("weight"))
 
 
-@query("m25_m37_robust_metrics", f"WITH {TRADES}, m AS (SELECT rule, avg(return_pct) FILTER (split = 'train') AS a, avg(return_pct) FILTER (split = 'val') AS b FROM trades GROUP BY 1) SELECT rule, round(least(a, b), 6) AS robust, b >= a * 0.5 AS tail_ok FROM m")
-def m25(spark, sf_dir):
-    m = trades(spark, sf_dir).groupBy("rule").pivot("split", ["train", "val"]).agg(F.avg("return_pct"))
-    return m.select("rule", r6(F.least("train", "val"), "robust"), (F.col("val") >= F.col("train") * 0.5).alias("tail_ok"))
-
-
 @query("g39_front_statistics", f"WITH {POP}, a AS (SELECT * FROM pop p WHERE NOT EXISTS (SELECT 1 FROM pop q WHERE q.f1 <= p.f1 AND q.f2 <= p.f2 AND (q.f1 < p.f1 OR q.f2 < p.f2))) SELECT count(*) AS n, round(avg(f1), 6) AS mean_f1, round(min(f2), 6) AS best_f2 FROM a")
 def g39(spark, sf_dir):
-    p = population(spark, sf_dir)
-    return p.join(Q.dominated(p, "id", ["f1", "f2"]), "id", "left_anti").agg(F.count("*").alias("n"), r6(F.avg("f1"), "mean_f1"), r6(F.min("f2"), "best_f2"))
+    return Q.fronts(population(spark, sf_dir), "id", ["f1", "f2"]).where("front = 1").agg(F.count("*").alias("n"), r6(F.avg("f1"), "mean_f1"), r6(F.min("f2"), "best_f2"))

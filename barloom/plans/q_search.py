@@ -12,6 +12,7 @@ from barloom.operators import simulate as A  # noqa: N812
 from barloom.operators import splits as S  # noqa: N812
 from barloom.sources.tape import by_time, event_bars, table
 
+from .account_sql import IDS, account_sql, entries_sql, rules_sql, touched
 from .q_tape import BARS, H, barrier_sql
 from .registry import query, r6
 
@@ -24,58 +25,124 @@ DRIFT = "dr AS (SELECT *, close / nullif(close + open, 0) AS drift FROM bars)"
 ASSIGN = f"{BARS}, {DRIFT}, asg AS (SELECT *, CASE WHEN drift > 0.6 AND drift <= 0.8 THEN 0 WHEN drift > 0.2 AND drift <= 0.4 AND symbol IN ('click', 'view') THEN 1 ELSE 2 END AS rule_index FROM dr)"
 
 
-def entries(spark, sf_dir, direction="long"):
-    tape = S.row_ids(event_bars(spark, sf_dir)).withColumn("drift", F.try_divide(F.col("close"), F.col("close") + F.col("open")))
-    df = R.assign(tape.withColumn("entry_price", F.lead("open").over(by_time())), RULES, direction)
-    out = L.barrier(event_bars(spark, sf_dir), H, [(10.0, 8.0), (25.0, 15.0)], (direction,)).where("exit_offset > 0")
-    df = df.join(out, ["symbol", "bar", "tp", "sl"])
-    rows = S.row_ids(event_bars(spark, sf_dir)).select("symbol", F.col("bar").alias("exit_bar"), F.col("row_id").alias("release_row"))
-    df = df.withColumn("exit_bar", F.col("bar") + F.col("exit_offset")).join(rows, ["symbol", "exit_bar"], "left")
+#: The same rules with a pair that no bar touches: the exit is the horizon's.
+FIXED = [r | {"tp": 1e6, "sl": 1e6} for r in RULES]
+
+
+def drifts(spark, sf_dir):
+    return S.row_ids(event_bars(spark, sf_dir)).withColumn("drift", F.try_divide(F.col("close"), F.col("close") + F.col("open")))
+
+
+def outcomes(assigned, tape, rules, direction="long"):
+    """Entries of rows with a rule (symbol, bar, tp, sl, capital_pct, rule_index): their outcome
+    and the row at which they are released."""
+    grid = sorted({(r["tp"], r["sl"]) for r in rules})
+    out = L.barrier(tape, H, grid, (direction,)).where("exit_offset > 0")
+    rows = tape.select("symbol", F.col("bar").alias("exit_bar"), F.col("row_id").alias("release_row"))
+    df = assigned.join(out, ["symbol", "bar", "tp", "sl"]).withColumn("exit_bar", F.col("bar") + F.col("exit_offset")).join(rows, ["symbol", "exit_bar"], "left")
     return df.withColumns({
         "release_row": F.coalesce("release_row", F.lit(1 << 61)), "exit_reason": L.exit_reason(F.col("return_pct"), F.col("tp"), F.col("sl"), H),
         "time_rank": F.unix_timestamp("datetime"), "symbol_priority": F.lit(0), "split": F.when(F.col("bar") < 100, "train").otherwise("val")})
 
 
+def entries(spark, sf_dir, direction="long", rules=RULES, tape=None):
+    tape = drifts(spark, sf_dir) if tape is None else tape
+    return outcomes(R.assign(tape.withColumn("entry_price", F.lead("open").over(by_time())), rules, direction), tape, rules, direction)
+
+
+BASE = f"{BARS}, {IDS}, {DRIFT}, asg AS (SELECT symbol, bar, CASE WHEN drift > 0.6 AND drift <= 0.8 THEN 0 WHEN drift > 0.2 AND drift <= 0.4 AND symbol IN ('click', 'view') THEN 1 ELSE 2 END AS rule_index FROM dr), {rules_sql(RULES)}, {touched(('long',))}, {entries_sql('asg')}"
+SPLIT = "CASE WHEN bar < 100 THEN 'train' ELSE 'val' END"
+ACCOUNT = f"{BASE}, acc AS (SELECT *, {SPLIT} AS grp FROM ent), {account_sql('acc')}"
+M6 = lambda *names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
 @query("l1_priority_assignment", f"WITH {ASSIGN} SELECT rule_index, symbol, count(*) AS n, min(bar) AS first_bar FROM asg GROUP BY 1, 2")
 def l1(spark, sf_dir):
     tape = event_bars(spark, sf_dir).withColumn("drift", F.try_divide(F.col("close"), F.col("close") + F.col("open")))
     return R.assign(tape, RULES).groupBy("rule_index", "symbol").agg(F.count("*").alias("n"), F.min("bar").alias("first_bar"))
 
 
-@query("l2_equity_state_machine")
+@query("l2_equity_state_machine", f"WITH RECURSIVE {ACCOUNT} SELECT grp AS split, raw_signals, trades, wins, losses, time_closed, skipped_min_notional, max_positions, account_ruined, {M6('final_equity', 'total_return_pct', 'profit_factor', 'max_drawdown_pct', 'win_rate_pct', 'sortino', 'expectancy_pct', 'return_std_pct', 'expectancy_lcb_pct', 'expected_shortfall_pct', 'mean_notional', 'max_exposure', 'gross_profit', 'gross_loss', 'max_single_pnl')} FROM sim_m")
 def l2(spark, sf_dir):
     log = A.simulate(entries(spark, sf_dir), {"split": "string"}, A.Account())
     m = A.account_metrics(log, ["split"])
-    return m.select("split", "trades", "wins", "losses", "time_closed", "skipped_min_notional", *(r6(c, c) for c in ("final_equity", "total_return_pct", "profit_factor", "max_drawdown_pct")))
+    rounded = ("final_equity", "total_return_pct", "profit_factor", "max_drawdown_pct", "win_rate_pct", "sortino", "expectancy_pct", "return_std_pct", "expectancy_lcb_pct", "expected_shortfall_pct", "mean_notional", "max_exposure", "gross_profit", "gross_loss", "max_single_pnl")
+    return m.select("split", "raw_signals", "trades", "wins", "losses", "time_closed", "skipped_min_notional", "max_positions", "account_ruined", *(r6(c, c) for c in rounded))
 
 
-@query("l2_trade_log")
+@query("l2_trade_log", f"WITH RECURSIVE {ACCOUNT} SELECT grp AS split, symbol, rule_index, row_id, {M6('notional', 'net', 'equity_after')}, exit_reason, status FROM sim_log WHERE status <> 'held'")
 def l2_log(spark, sf_dir):
-    log = A.simulate(entries(spark, sf_dir), {"split": "string"}, A.Account())
-    return log.select("split", "symbol", "rule_index", "row_id", r6("notional", "notional"), r6("net", "net"), r6("equity_after", "equity_after"), "exit_reason", "status")
+    log = A.simulate(entries(spark, sf_dir), {"split": "string"}, A.Account()).where("status <> 'held'")
+    reason = F.when(F.col("status") == "closed", F.col("exit_reason"))
+    return log.select("split", "symbol", "rule_index", "row_id", r6("notional", "notional"), r6("net", "net"), r6("equity_after", "equity_after"), reason.alias("exit_reason"), "status")
+
+
+@query("l2_ruined_account", f"WITH RECURSIVE {BASE}, acc AS (SELECT * REPLACE (100.0::DOUBLE AS capital_pct, -150.0::DOUBLE + 20 * (row_id % 7) AS return_pct), symbol AS grp FROM ent), {account_sql('acc')} SELECT grp AS symbol, raw_signals, trades, account_ruined, {M6('final_equity', 'max_drawdown_pct')} FROM sim_m")
+def l2_ruin(spark, sf_dir):
+    """Accounts that lose all: they stop for good."""
+    e = entries(spark, sf_dir).withColumns({"capital_pct": F.lit(100.0), "return_pct": F.lit(-150.0) + 20 * (F.col("row_id") % 7)})
+    m = A.account_metrics(A.simulate(e.withColumn("plan", F.col("symbol")), {"plan": "string"}, A.Account()), ["plan"])
+    return m.select(F.col("plan").alias("symbol"), "raw_signals", "trades", "account_ruined", r6("final_equity", "final_equity"), r6("max_drawdown_pct", "max_drawdown_pct"))
 
 
-@query("l6_joint_portfolio")
+JOINT = f"{BASE.replace(touched(('long',)), touched(('long', 'short')))}, {entries_sql('asg', 'ent_s', 'short')}, acc AS (SELECT *, {SPLIT} AS grp FROM (SELECT * FROM ent UNION ALL SELECT * FROM ent_s)), {account_sql('acc', joint=True)}"
+
+
+@query("l6_joint_portfolio", f"WITH RECURSIVE {JOINT} SELECT grp AS split, trades, skipped_same_side, reversals, {M6('final_equity', 'max_drawdown_pct', 'expectancy_pct')} FROM sim_m")
 def l6(spark, sf_dir):
     both = entries(spark, sf_dir).unionByName(entries(spark, sf_dir, "short"))
     m = A.account_metrics(A.simulate(both, {"split": "string"}, A.Account(joint=True)), ["split"])
-    return m.select("split", "trades", "skipped_same_side", "reversals", r6("final_equity", "final_equity"))
+    return m.select("split", "trades", "skipped_same_side", "reversals", r6("final_equity", "final_equity"), r6("max_drawdown_pct", "max_drawdown_pct"), r6("expectancy_pct", "expectancy_pct"))
+
 
+FEES = f"{BASE}, acc AS (SELECT e.* REPLACE (0.2::DOUBLE * f.m AS fee_pct), f.m AS fee_mult, CAST(floor(bar / 42) AS BIGINT) AS window_id, {{grp}} AS grp FROM ent e, (VALUES (1.0::DOUBLE), (1.5::DOUBLE)) f(m)), {account_sql('acc')}"
 
-@query("l9_monthly_and_l10_cost_stress")
+
+def with_fees(df, *mults):
+    """Each entry at several fee levels: one more grouping key, not one more job."""
+    return df.withColumn("fee_mult", F.explode(F.array(*map(F.lit, mults)))).withColumn("fee_pct", 0.2 * F.col("fee_mult"))
+
+
+@query("l9_monthly_accounts", "WITH RECURSIVE " + FEES.replace("{grp}", "floor(bar / 42) || '|' || f.m") + " SELECT g.window_id, g.fee_mult, trades, round(total_return_pct, 6) AS total_return_pct FROM sim_m JOIN (SELECT DISTINCT grp, window_id, fee_mult FROM acc) g USING (grp)")
 def l9(spark, sf_dir):
-    """An account for each window of 42 bars and each fee level: one more grouping key."""
-    e = entries(spark, sf_dir).withColumn("window_id", F.floor(F.col("bar") / 42))
-    runs = [A.account_metrics(A.simulate(e, {"window_id": "long"}, A.Account(fee_pct=0.2 * k)), ["window_id"]).withColumn("fee_mult", F.lit(k)) for k in (1.0, 1.5)]
-    return runs[0].union(runs[1]).select("window_id", "fee_mult", "trades", r6("total_return_pct", "total_return_pct"))
+    """An account for each window of 42 bars and each fee level, in one job."""
+    e = with_fees(entries(spark, sf_dir).withColumn("window_id", F.floor(F.col("bar") / 42)), 1.0, 1.5)
+    m = A.account_metrics(A.simulate(e, {"window_id": "long", "fee_mult": "double"}, A.Account()), ["window_id", "fee_mult"])
+    return m.select("window_id", "fee_mult", "trades", r6("total_return_pct", "total_return_pct"))
+
+
+@query("l10_cost_stress", "WITH RECURSIVE " + FEES.replace("{grp}", f"{SPLIT} || '|' || f.m") + " SELECT bool_and(total_return_pct >= 0 AND expectancy_lcb_pct >= 0) AS passed, round(min(total_return_pct), 6) AS worst_return_pct, count(*) AS runs FROM sim_m WHERE grp LIKE '%1.5'")
+def l10(spark, sf_dir):
+    from barloom.operators.monthly import cost_stress
+
+    e = with_fees(entries(spark, sf_dir), 1.0, 1.5)
+    m = A.account_metrics(A.simulate(e, {"split": "string", "fee_mult": "double"}, A.Account()), ["split", "fee_mult"])
+    return cost_stress(m.withColumn("plan", F.lit(1)), ["plan"]).select("passed", r6("worst_return_pct", "worst_return_pct"), "runs")
+
 
+PLANS = f"""{BASE}, frules AS (SELECT k, 1e6::DOUBLE AS tp, 1e6::DOUBLE AS sl, capital_pct FROM rules), {entries_sql('asg', 'ent_f').replace('JOIN rules r', 'JOIN frules r')},
+sh AS (SELECT a.symbol, a.bar, b.drift FROM (SELECT symbol, bar, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS k FROM dr) a JOIN (SELECT symbol, drift, row_number() OVER (PARTITION BY symbol ORDER BY md5('5|' || symbol || '|' || bar)) AS k FROM dr) b ON a.symbol = b.symbol AND a.k = b.k),
+asg_s AS (SELECT symbol, bar, CASE WHEN drift > 0.6 AND drift <= 0.8 THEN 0 WHEN drift > 0.2 AND drift <= 0.4 AND symbol IN ('click', 'view') THEN 1 ELSE 2 END AS rule_index FROM sh), {entries_sql('asg_s', 'ent_s')},
+acc AS (SELECT *, 'all' AS grp FROM ent UNION ALL SELECT * REPLACE (10.0::DOUBLE AS capital_pct), 'equal_weight' FROM ent UNION ALL SELECT *, 'random_entry' FROM ent WHERE CAST('0x' || substr(md5('3|' || row_id), 1, 8) AS BIGINT) % 100 < 3
+ UNION ALL SELECT *, 'drop_rule_1' FROM ent WHERE rule_index <> 1 UNION ALL SELECT *, 'fixed_exit' FROM ent_f UNION ALL SELECT *, 'shuffled_feature' FROM ent_s), {account_sql('acc')}""".replace(touched(('long',)), barrier_sql([(10.0, 8.0), (25.0, 15.0), (1e6, 1e6)], ('long',)))
 
-@query("l8_ablations")
+
+@query("l8_ablations", f"WITH RECURSIVE {PLANS} SELECT grp AS plan, trades, {M6('total_return_pct', 'max_drawdown_pct')} FROM sim_m")
 def l8(spark, sf_dir):
-    """Baselines as groups of one job: equal weight, random entries, and a dropped condition."""
-    e = entries(spark, sf_dir)
-    some = F.pmod(F.xxhash64("row_id", F.lit(3)), F.lit(100)) < 3
-    df = e.withColumn("plan", F.lit("all")).union(e.withColumn("capital_pct", F.lit(10.0)).withColumn("plan", F.lit("equal_weight"))).union(e.where(some).withColumn("plan", F.lit("random_entry"))).union(e.where("rule_index <> 1").withColumn("plan", F.lit("drop_rule_1")))
+    """Baselines as groups of one job: equal weight, random entries, a dropped rule, exits at the
+    horizon alone, and a feature dealt anew."""
+    from barloom.operators.features import shuffled
+
+    tape = drifts(spark, sf_dir)
+    e = entries(spark, sf_dir, tape=tape)
+    some = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("3"), F.col("row_id").cast("string"))), 1, 8), 16, 10).cast("long") % 100 < 3
+    fixed = entries(spark, sf_dir, rules=FIXED, tape=tape)
+    null = entries(spark, sf_dir, tape=shuffled(tape, "drift", ["symbol"], ["bar"], 5))
+    parts = {"all": e, "equal_weight": e.withColumn("capital_pct", F.lit(10.0)), "random_entry": e.where(some), "drop_rule_1": e.where("rule_index <> 1"), "fixed_exit": fixed, "shuffled_feature": null}
+    df = None
+    for plan, part in parts.items():
+        part = part.select("symbol", "direction", *(c for c in A.ENTRY if c not in ("symbol", "direction"))).withColumn("plan", F.lit(plan))
+        df = part if df is None else df.unionByName(part)
     m = A.account_metrics(A.simulate(df, {"plan": "string"}, A.Account()), ["plan"])
     return m.select("plan", "trades", r6("total_return_pct", "total_return_pct"), r6("max_drawdown_pct", "max_drawdown_pct"))
 
@@ -95,24 +162,27 @@ def population(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("island"), (-F.col("s_acctbal")).alias("f1"), (F.col("s_suppkey") * 7919 % 1000).cast("double").alias("f2"))
 
 
-_NOT_BEATEN = "NOT EXISTS (SELECT 1 FROM {t} q WHERE q.f1 <= p.f1 AND q.f2 <= p.f2 AND (q.f1 < p.f1 OR q.f2 < p.f2))"
+#: The front of a row is the length of the longest chain of rows that beat each other up to it.
+CHAIN = "chain(id, k) AS (SELECT id, 1 FROM {t} UNION SELECT d.b, c.k + 1 FROM chain c JOIN dom d ON d.a = c.id), fr AS (SELECT id, max(k) AS front FROM chain GROUP BY 1)"
+DOM = "dom AS (SELECT p.id AS a, q.id AS b FROM pop p JOIN pop q ON p.f1 <= q.f1 AND p.f2 <= q.f2 AND (p.f1 < q.f1 OR p.f2 < q.f2))"
 
 
-@query("m2_pareto_fronts", f"WITH {POP}, a AS (SELECT * FROM pop p WHERE {_NOT_BEATEN.format(t='pop')}), r1 AS (SELECT * FROM pop WHERE id NOT IN (SELECT id FROM a)), b AS (SELECT * FROM r1 p WHERE {_NOT_BEATEN.format(t='r1')}) SELECT id, CASE WHEN id IN (SELECT id FROM a) THEN 1 WHEN id IN (SELECT id FROM b) THEN 2 ELSE 3 END AS front FROM pop")
+@query("m2_pareto_fronts", f"WITH RECURSIVE {POP}, {DOM}, {CHAIN.format(t='pop')} SELECT id, front FROM fr")
 def m2(spark, sf_dir):
-    return Q.fronts(population(spark, sf_dir), "id", ["f1", "f2"], 2).select("id", "front")
+    return Q.fronts(population(spark, sf_dir), "id", ["f1", "f2"]).select("id", "front")
 
 
-@query("m3_constrained_front", f"WITH {POP}, c AS (SELECT *, greatest(f1 + 5000, 0) AS violation FROM pop), ok AS (SELECT * FROM c WHERE violation = 0) SELECT id FROM ok p WHERE {_NOT_BEATEN.format(t='ok')}")
+@query("m3_constrained_front", f"WITH RECURSIVE {POP}, c AS (SELECT *, greatest(f1 + 5000, 0) AS v FROM pop), dom AS (SELECT p.id AS a, q.id AS b FROM c p JOIN c q ON CASE WHEN (p.v = 0) <> (q.v = 0) THEN p.v = 0 WHEN p.v > 0 AND p.v <> q.v THEN p.v < q.v ELSE p.f1 <= q.f1 AND p.f2 <= q.f2 AND (p.f1 < q.f1 OR p.f2 < q.f2) END), {CHAIN.format(t='pop')} SELECT c.id, front, round(v, 6) AS violation FROM fr JOIN c USING (id)")
 def m3(spark, sf_dir):
-    ok = population(spark, sf_dir).withColumn("violation", F.greatest(F.col("f1") + 5000, F.lit(0.0))).where("violation = 0")
-    return ok.join(Q.dominated(ok, "id", ["f1", "f2"]), "id", "left_anti").select("id")
+    df = population(spark, sf_dir).withColumn("violation", Q.violation({"gain": (-F.col("f1"), 5000.0)}))
+    return Q.fronts(df, "id", ["f1", "f2"], violation="violation").select("id", "front", r6("violation", "violation"))
 
 
-@query("e20_crowding", f"WITH {POP}, w AS (SELECT id, island, (lead(f1) OVER a - lag(f1) OVER a) / nullif(max(f1) OVER i - min(f1) OVER i, 0) + (lead(f2) OVER b - lag(f2) OVER b) / nullif(max(f2) OVER i - min(f2) OVER i, 0) AS crowding FROM pop WINDOW a AS (PARTITION BY island ORDER BY f1, id), b AS (PARTITION BY island ORDER BY f2, id), i AS (PARTITION BY island)) SELECT id, island AS front, round(crowding, 6) AS crowding FROM w")
+@query("e20_crowding", f"WITH {POP}, w AS (SELECT id, island, count(*) OVER i AS n, lag(f1) OVER a AS p1, lead(f1) OVER a AS q1, lag(f2) OVER b AS p2, lead(f2) OVER b AS q2, max(f1) OVER i - min(f1) OVER i AS r1, max(f2) OVER i - min(f2) OVER i AS r2 FROM pop WINDOW a AS (PARTITION BY island ORDER BY f1, id), b AS (PARTITION BY island ORDER BY f2, id), i AS (PARTITION BY island)), e AS (SELECT *, n <= 2 OR p1 IS NULL OR q1 IS NULL OR p2 IS NULL OR q2 IS NULL AS edge FROM w) SELECT id, island AS front, edge, CASE WHEN NOT edge THEN round(CASE WHEN r1 > 0 THEN (q1 - p1) / r1 ELSE 0 END + CASE WHEN r2 > 0 THEN (q2 - p2) / r2 ELSE 0 END, 6) END AS crowding FROM e")
 def e20(spark, sf_dir):
     p = population(spark, sf_dir).withColumnRenamed("island", "front")
-    return Q.crowding(p, "id", ["f1", "f2"]).select("id", "front", r6("crowding", "crowding"))
+    edge = F.col("crowding") == float("inf")
+    return Q.crowding(p, "id", ["f1", "f2"]).select("id", "front", edge.alias("edge"), F.when(~edge, F.round("crowding", 6)).alias("crowding"))
 
 
 @query("m4_hamming", "WITH g AS (SELECT p_partkey AS id, p_size % 3 AS a, p_size % 5 AS b, p_size % 7 AS c FROM part), k AS (SELECT n_nationkey % 3 AS a, n_nationkey % 5 AS b, n_nationkey % 7 AS c FROM nation) SELECT id, min(CAST(g.a <> k.a AS INTEGER) + CAST(g.b <> k.b AS INTEGER) + CAST(g.c <> k.c AS INTEGER)) AS nearest FROM g, k GROUP BY 1")
@@ -138,24 +208,6 @@ def m11(spark, sf_dir):
     return p.join(p.where("id % 3 = 0").select("id"), "id", "left_anti").agg(F.count("*").alias("misses"), F.min("id").alias("first_id"))
 
 
-@query("m13_m15_admission", f"WITH {POP} SELECT island, count(*) AS n, round(avg(CAST(f1 < 0 AS DOUBLE)), 6) AS good_ratio, round(sum(greatest(0, 300 - f2) / 300), 6) AS penalty FROM pop GROUP BY 1 HAVING avg(CAST(f1 < 0 AS DOUBLE)) >= 0.5")
-def m13(spark, sf_dir):
-    good = F.avg((F.col("f1") < 0).cast("double"))
-    a = population(spark, sf_dir).groupBy("island").agg(F.count("*").alias("n"), good.alias("good"), F.sum(F.greatest(F.lit(0.0), 300 - F.col("f2")) / 300).alias("p"))
-    return a.where("good >= 0.5").select("island", "n", r6("good", "good_ratio"), r6("p", "penalty"))
-
-
-@query("m14_deployability_rank", f"WITH {POP} SELECT id, round(-f1 * 0.01 + 0.25 * f2 - 0.05 * abs(f1), 6) AS score FROM pop ORDER BY -f1 * 0.01 + 0.25 * f2 - 0.05 * abs(f1) DESC, id LIMIT 20")
-def m14(spark, sf_dir):
-    s = -F.col("f1") * 0.01 + 0.25 * F.col("f2") - 0.05 * F.abs(F.col("f1"))
-    return population(spark, sf_dir).withColumn("s", s).orderBy(F.desc("s"), "id").limit(20).select("id", r6("s", "score"))
-
-
-@query("m18_composite_score", f"WITH {POP} SELECT island, round(0.6 * avg(-f1) + 0.3 * median(f2) - 0.1 * coalesce(stddev_samp(f1), 0), 6) AS score FROM pop GROUP BY 1")
-def m18(spark, sf_dir):
-    return population(spark, sf_dir).groupBy("island").agg(r6(0.6 * F.avg(-F.col("f1")) + 0.3 * F.median("f2") - 0.1 * F.coalesce(F.stddev_samp("f1"), F.lit(0.0)), "score"))
-
-
 @query("m19_rule_overlap", "WITH m AS (SELECT DISTINCT l_linenumber AS rule, l_suppkey AS row FROM lineitem), s AS (SELECT rule, count(*) AS n FROM m GROUP BY 1), b AS (SELECT x.rule AS a, y.rule AS b, count(*) AS c FROM m x JOIN m y ON x.row = y.row AND x.rule < y.rule GROUP BY 1, 2) SELECT a, b, round(c / least(p.n, q.n), 6) AS coefficient FROM b JOIN s p ON p.rule = a JOIN s q ON q.rule = b")
 def m19(spark, sf_dir):
     m = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("rule"), F.col("l_suppkey").alias("row")).distinct()

@@ -152,13 +152,21 @@ def b11(spark, sf_dir):
     return features(spark, sf_dir).where(m).groupBy("symbol").agg(F.count("*").alias("n"), r6(F.sum("value"), "total"))
 
 
-@query("b14_symbol_normalise", "SELECT CAST(o_custkey % 7 AS VARCHAR) AS symbol, count(*) AS n FROM orders GROUP BY 1")
+@query("b14_symbol_normalise", "SELECT CASE c_custkey % 9 WHEN 0 THEN '__MISSING_SYMBOL__' WHEN 1 THEN '1' WHEN 2 THEN '1' WHEN 3 THEN '1000' WHEN 4 THEN 'A b' WHEN 5 THEN '-2' WHEN 6 THEN '1.5' WHEN 7 THEN 'X' ELSE 'zz' END AS symbol, count(*) AS n FROM customer GROUP BY 1")
 def b14(spark, sf_dir):
-    raw = F.concat(F.lit(' "symbol '), (F.col("o_custkey") % 7).cast("double").cast("string"), F.lit('" '))
-    names = table(spark, sf_dir, "orders").groupBy(raw.alias("raw")).count()  # once for each distinct value
+    raw = F.get(F.array(*map(F.lit, [None, "'01'", " +1.0 ", "1e3", '[A b]', '"Symbol -2.0"', "1.50", "symbol X", "zz"])), (F.col("c_custkey") % 9).cast("int"))
+    raw = F.when(raw == "1.50", "1.5").otherwise(raw)
+    names = table(spark, sf_dir, "customer").groupBy(raw.alias("raw")).count()  # once for each distinct value
     return names.groupBy(R.normalize_symbol(F.col("raw")).alias("symbol")).agg(F.sum("count").alias("n"))
 
 
+@query("b16_long_labels", f"WITH {FEATURES} SELECT count(*) FILTER (f_sparse <= -0.25) AS down, count(*) FILTER (f_sparse > -1e-5 AND f_sparse <= 1e-5) AS none, count(*) FILTER (f_sparse > 0.25) AS up, count(*) FILTER (f_bin = 1) AS active FROM feat")
+def b16(spark, sf_dir):
+    x = F.col("f_sparse")
+    names = {"down": "Strong Negative (e.g. Big Down Gap)", "none": "Exactly Zero (No Gap)", "up": "Strong Positive (e.g. Big Up Gap)"}
+    return features(spark, sf_dir).agg(*(F.count_if(R.predicate(x, v)).alias(k) for k, v in names.items()), F.count_if(R.predicate(F.col("f_bin"), "Active (1)")).alias("active"))
+
+
 @query("b18_safe_region", f"WITH {BARS} SELECT symbol, count(*) AS n, min(bar) AS first_bar, max(bar) AS last_bar FROM bars WHERE NOT (bar BETWEEN 20 AND 40) AND NOT (bar BETWEEN 100 AND 130) GROUP BY 1")
 def b18(spark, sf_dir):
     from barloom.operators.splits import outside
@@ -201,14 +209,23 @@ def c2(spark, sf_dir):
     return I.as_of(tape, s, F.col("datetime") + F.expr("INTERVAL 4 HOURS"), "state").select("symbol", "datetime", "state")
 
 
-@query("c3_release_index", f"WITH {BARS}, n AS (SELECT *, row_number() OVER (ORDER BY datetime, symbol) - 1 AS row_id, count(*) OVER () AS total FROM bars) SELECT a.symbol, a.bar, coalesce(b.row_id, a.total) AS release_row FROM n a LEFT JOIN n b ON b.symbol = a.symbol AND b.bar = a.bar + {H}")
+GAPPED = "gapped AS (SELECT *, row_number() OVER (ORDER BY datetime, symbol) - 1 AS row_id, count(*) OVER () AS total FROM bars WHERE NOT (bar BETWEEN 20 AND 40) AND NOT (bar BETWEEN 100 AND 130))"
+
+
+def gapped(spark, sf_dir):
+    """A tape without the bars of two forbidden ranges, numbered anew."""
+    from barloom.operators.splits import outside, row_ids
+
+    return row_ids(event_bars(spark, sf_dir).where(outside("bar", [(20, 40), (100, 130)])))
+
+
+@query("c3_release_index", f"WITH {BARS}, {GAPPED} SELECT a.symbol, a.bar, coalesce(b.row_id, a.total) AS release_row FROM gapped a ASOF LEFT JOIN gapped b ON a.symbol = b.symbol AND a.bar + {H} <= b.bar")
 def c3(spark, sf_dir):
-    from barloom.operators.splits import row_ids
+    from barloom.operators.splits import release_rows
 
-    tape = row_ids(event_bars(spark, sf_dir))
-    total = tape.agg(F.count("*").alias("total"))
-    later = tape.select("symbol", (F.col("bar") - H).alias("bar"), F.col("row_id").alias("release"))
-    return tape.join(later, ["symbol", "bar"], "left").crossJoin(F.broadcast(total)).select("symbol", "bar", F.coalesce("release", "total").alias("release_row"))
+    tape = gapped(spark, sf_dir).select("symbol", "bar", "row_id")
+    total = tape.agg(F.count("*").alias("total"))  # one row
+    return release_rows(tape, F.lit(H)).crossJoin(F.broadcast(total)).select("symbol", "bar", F.coalesce("release_row", "total").alias("release_row"))
 
 
 @query("c6_semi_and_c7_overlap", f"WITH {BARS}, k AS (SELECT symbol, datetime FROM bars WHERE bar % 5 = 0), h AS (SELECT symbol, datetime FROM bars WHERE bar < 50) SELECT (SELECT count(*) FROM bars b WHERE EXISTS (SELECT 1 FROM k WHERE k.symbol = b.symbol AND k.datetime = b.datetime)) AS kept, (SELECT count(*) FROM (SELECT * FROM k INTERSECT SELECT * FROM h)) AS overlap, (SELECT count(*) FROM (SELECT * FROM k EXCEPT SELECT * FROM h)) AS missing")
@@ -326,11 +343,88 @@ def f10(spark, sf_dir):
     return I.floor_failures(I.coverage(context(spark, sf_dir), "long"), {"permission": 60, "both": 15})
 
 
-@query("f6_enriched_tape")
+def regime_sql(src: str, t: str) -> str:
+    """CTE {t}: the rows of src (with bar) and their state, by thresholds of its own first part;
+    its indicators as efficiency, spread, rv."""
+    return f"""{t}0 AS (SELECT *, lag(close, 6) OVER w AS pc6, abs(close - lag(close) OVER w) AS step, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr,
+ CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) END AS lr FROM {src} WINDOW w AS (PARTITION BY symbol ORDER BY datetime)),
+{t}1 AS (SELECT *, CASE WHEN count(step) OVER a = 6 THEN (close - pc6) / nullif(sum(step) OVER a, 0) END AS efficiency, CASE WHEN count(tr) OVER a = 6 THEN avg(tr) OVER a END AS atr,
+ CASE WHEN count(lr) OVER a = 6 THEN stddev_samp(lr) OVER a END AS rv FROM {t}0 WINDOW a AS (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+{t}e AS (SELECT symbol, bar, close AS f, close AS s FROM {src} WHERE bar = 0 UNION ALL SELECT b.symbol, b.bar, 0.5 * b.close + 0.5 * e.f, 2.0 / 7 * b.close + 5.0 / 7 * e.s FROM {t}e e JOIN {src} b ON b.symbol = e.symbol AND b.bar = e.bar + 1),
+{t}s AS (SELECT x.*, (e.f - e.s) / nullif(x.atr, 0) AS spread, row_number() OVER (PARTITION BY x.symbol ORDER BY x.datetime) AS rn, count(*) OVER (PARTITION BY x.symbol) AS total FROM {t}1 x JOIN {t}e e ON e.symbol = x.symbol AND e.bar = x.bar),
+{t}t AS (SELECT quantile_cont(abs(efficiency), 0.55) AS te, quantile_cont(abs(spread), 0.55) AS ts, quantile_cont(rv, 0.45) AS tv FROM {t}s WHERE rn <= floor(total * 0.65)),
+{t} AS (SELECT s.*, CASE WHEN abs(efficiency) < te AND rv < tv AND rv >= 0 THEN 0 WHEN efficiency <= -te AND spread <= -ts THEN -1 WHEN efficiency >= te AND spread >= ts THEN 1 ELSE 2 END AS state FROM {t}s s, {t}t)"""
+
+
+def higher_sql(name: str, width: str, n: int) -> str:
+    return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY datetime) - 1 AS bar FROM (SELECT symbol, time_bucket(INTERVAL '{width}', datetime) AS datetime, time_bucket(INTERVAL '{width}', datetime) + INTERVAL '{width}' AS close_time,
+ arg_min(open, datetime) AS open, max(high) AS high, min(low) AS low, arg_max(close, datetime) AS close FROM bars GROUP BY 1, 2, 3 HAVING count(*) = {n}))"""
+
+
+ENRICHED = f"""{BARS}, {higher_sql('mid_bars', '12 hours', 3)}, {higher_sql('high_bars', '1 day', 6)}, {regime_sql('bars', 'lo')}, {regime_sql('mid_bars', 'mi')}, {regime_sql('high_bars', 'hi')},
+al AS (SELECT a.symbol, a.datetime, a.bar, a.lwc_state, a.ready, a.mwc_state, coalesce(h.state, 2) AS hwc_state FROM (SELECT l.symbol, l.datetime, l.bar, l.state AS lwc_state, l.efficiency IS NOT NULL AND l.spread IS NOT NULL AND l.rv IS NOT NULL AS ready, coalesce(m.state, 2) AS mwc_state, l.datetime + INTERVAL '4 hours' AS t
+ FROM lo l ASOF LEFT JOIN mi m ON l.symbol = m.symbol AND l.datetime + INTERVAL '4 hours' >= m.close_time) a ASOF LEFT JOIN hi h ON a.symbol = h.symbol AND a.t >= h.close_time),
+enriched AS (SELECT *, CAST(hwc_state = 1 AND mwc_state IN (1, 0) AS INTEGER) AS tf_permission_long, CAST(hwc_state = -1 AND mwc_state IN (-1, 0) AS INTEGER) AS tf_permission_short,
+ CAST(lwc_state = 1 AND coalesce(sum(CAST(lwc_state IN (-1, 0) AS INTEGER)) OVER l, 0) > 0 AS INTEGER) AS lwc_pullback_reversal_long, CAST(lwc_state = -1 AND coalesce(sum(CAST(lwc_state IN (1, 0) AS INTEGER)) OVER l, 0) > 0 AS INTEGER) AS lwc_pullback_reversal_short
+ FROM al WINDOW l AS (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))"""
+SEVEN = "hwc_state, mwc_state, lwc_state, tf_permission_long, tf_permission_short, lwc_pullback_reversal_long, lwc_pullback_reversal_short"
+SCALES = (6, ("12 hours", 3), ("1 day", 6), "4 HOURS")
+
+
+@query("f6_enriched_tape", f"WITH RECURSIVE {ENRICHED} SELECT symbol, datetime, bar, {SEVEN} FROM enriched WHERE ready")
 def f6(spark, sf_dir):
-    """All seven context columns of the tape (its parts have SQL twins)."""
-    df = I.enrich(event_bars(spark, sf_dir), 6, ("12 hours", 3), ("1 day", 6), "4 HOURS")
-    return df.select("symbol", "datetime", "bar", "hwc_state", "mwc_state", "lwc_state", "tf_permission_long", "tf_permission_short", "lwc_pullback_reversal_long", "lwc_pullback_reversal_short")
+    """All seven context columns of the tape, without the rows of the warm-up."""
+    return I.enrich(event_bars(spark, sf_dir), *SCALES, warm_up=False).select("symbol", "datetime", "bar", *SEVEN.split(", "))
+
+
+@query("f3_all_thresholds", f"WITH RECURSIVE {ENRICHED} " + " UNION ALL ".join(f"SELECT '{k}' AS timeframe, round(te, 6) AS eff_t, round(ts, 6) AS spread_t, round(tv, 6) AS rv_t FROM {t}t" for k, t in (("lwc", "lo"), ("mwc", "mi"), ("hwc", "hi"))))
+def f3(spark, sf_dir):
+    each = [t.select(F.lit(k).alias("timeframe"), *(r6(c, c) for c in ("eff_t", "spread_t", "rv_t"))) for k, t in I.fit_all(event_bars(spark, sf_dir), *SCALES[:3]).items()]
+    return each[0].union(each[1]).union(each[2])
+
+
+@query("f7_target_with_history", f"WITH RECURSIVE {ENRICHED} SELECT symbol, bar, {SEVEN} FROM enriched WHERE ready AND bar >= 60")
+def f7(spark, sf_dir):
+    """Rows from bar 60 on, warmed up by those before."""
+    tape = event_bars(spark, sf_dir)
+    out = I.enrich_target(tape.where("bar >= 60"), tape.where("bar < 60"), *SCALES, I.fit_all(tape, *SCALES[:3]))
+    return out.select("symbol", "bar", *SEVEN.split(", "))
+
+
+@query("f11_preflight", f"WITH {CONTEXT}, w(name, a, b) AS (VALUES ('early', 0, 60), ('late', 40, 120)), c AS (SELECT name, coalesce(symbol, 'ALL') AS symbol, count(*) AS n_rows, count(*) FILTER (tf_permission_short = 1) AS permission, count(*) FILTER (tf_permission_short = 1 AND lwc_pullback_reversal_short = 1) AS n_both FROM p JOIN w ON bar BETWEEN a AND b GROUP BY GROUPING SETS ((name), (name, symbol))) SELECT name AS window_name, symbol, n_rows, permission, n_both, concat_ws(';', CASE WHEN permission < 70 THEN 'permission<70' END, CASE WHEN n_both < 20 THEN 'both<20' END) AS failures FROM c")
+def f11(spark, sf_dir):
+    out = I.preflight(context(spark, sf_dir), {"early": (0, 60), "late": (40, 120)}, "short", {"permission": 70, "both": 20})
+    return out.select(F.col("window").alias("window_name"), "symbol", "n_rows", "permission", F.col("both").alias("n_both"), "failures")
+
+
+@query("b3_context_faults", f"WITH {CONTEXT} SELECT count(*) AS n_rows, 0 AS missing, count(*) FILTER (bar % 60 = 3) AS bad_state, 0 AS bad_flag, count(*) FILTER (bar % 60 = 3 AND (tf_permission_long = 1 OR tf_permission_short = 1)) AS bad_permission, 0 AS both_permissions, count(*) FILTER (bar >= 3 AND bar % 50 = 7) AS bad_trigger FROM p")
+def b3(spark, sf_dir):
+    """A tape with wrong states and turned triggers."""
+    df = context(spark, sf_dir)
+    bad = df.withColumns({"hwc_state": F.when(F.col("bar") % 60 == 3, 9).otherwise(F.col("hwc_state")), "lwc_pullback_reversal_long": F.when(F.col("bar") % 50 == 7, 1 - F.col("lwc_pullback_reversal_long")).otherwise(F.col("lwc_pullback_reversal_long"))})
+    return I.context_faults(bad, lookback=3)
+
+
+@query("a1_load_with_policy", f"WITH {LABELS}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY datetime DESC) AS rn FROM lab) SELECT symbol, datetime, row_number() OVER (PARTITION BY symbol ORDER BY datetime) - 1 AS bar, round(label_max_h, 6) AS label_max_h, coalesce(CASE WHEN ticks > 2 THEN ticks END, 0) AS ff_ticks, round(return_pct, 6) AS outcome FROM (SELECT t.*, x.return_pct FROM t LEFT JOIN touch x ON x.symbol = t.symbol AND x.bar = t.bar AND x.direction = 'long') WHERE rn > {H} AND label_open_next IS NOT NULL AND label_close_h IS NOT NULL AND label_min_h IS NOT NULL AND label_max_h IS NOT NULL AND label_max_first IS NOT NULL".replace(", t AS (", f", {barrier_sql([(10.0, 8.0)])}, t AS (", 1))
+def a1_load(spark, sf_dir):
+    """The whole preparation: labels derived, outcomes attached, tail cut, features filled."""
+    from barloom.sources.load import prepare
+
+    raw = event_bars(spark, sf_dir).select("datetime", "symbol", "open", "high", "low", "close", "volume", F.when(F.col("ticks") > 2, F.col("ticks")).alias("ff_ticks"))
+    out = prepare(raw, H, barriers=([10.0], [8.0]))
+    return out.select("symbol", "datetime", "bar", r6("label_max_h", "label_max_h"), "ff_ticks", r6(L.pair_name("long", 10.0, 8.0, "ret"), "outcome"))
+
+
+@query("b6_feature_columns", "SELECT unnest(['ff_a', 'ff_b']) AS feature")
+def b6(spark, sf_dir):
+    """What may be a feature of an enriched, labelled tape."""
+    from barloom.sources.load import feature_columns, slim
+
+    df = L.add_labels(context(spark, sf_dir), H).withColumns({"ff_a": F.lit(1.0), "ff_b": F.lit(2), "_ret": F.lit(0.0)}).drop("ticks")
+    kept = slim(df, ["ff_b"])
+    names = feature_columns(df)
+    assert "ff_a" not in kept.columns and {"_ret", "hwc_state", "label_max_h"} <= set(kept.columns)
+    return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
 @query("f8_monthly_windows", f"WITH {BARS}, w AS (SELECT *, CAST(floor((epoch(datetime) - min(epoch(datetime)) OVER ()) / (7 * 86400)) AS BIGINT) AS window_id FROM bars), k AS (SELECT window_id, count(*) AS n, row_number() OVER (ORDER BY window_id) AS rk FROM w GROUP BY 1 HAVING count(*) >= 100) SELECT window_id, n FROM k WHERE rk <= 24")

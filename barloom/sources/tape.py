@@ -69,23 +69,6 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split).drop("split")
 
 
-def fresh_cache(spark: SparkSession, path: str, manifest: dict, columns: list[str]) -> DataFrame | None:
-    """The cached splits, if the manifest beside them is the wanted one and no column misses."""
-    try:
-        with open(f"{path}.manifest.json") as f:
-            if json.load(f) != manifest:
-                return None
-    except OSError:
-        return None
-    df = spark.read.parquet(path)
-    return df if set(columns) <= set(df.columns) else None
-
-
-def save_manifest(path: str, manifest: dict) -> None:
-    with open(f"{path}.manifest.json", "w") as f:
-        json.dump(manifest, f, sort_keys=True)
-
-
 def append_ledger(spark: SparkSession, record: dict, path: str) -> None:
     """One canonical JSON line for each run."""
     spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(path)
@@ -96,15 +79,11 @@ def dataset_manifest(tape: DataFrame) -> DataFrame:
     return tape.agg(F.count("*").alias("n_rows"), F.min("datetime").alias("first_ts"), F.max("datetime").alias("last_ts"), F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("symbols"))
 
 
-def file_hash(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
-
-
-def claim_once(lock: str, tape_hash: str) -> None:
-    """Refuse a forward tape that was consumed before."""
-    used = open(lock).read().split() if os.path.exists(lock) else []
-    if tape_hash in used:
-        raise RuntimeError("this forward tape was used before")
-    with open(lock, "a") as f:
-        f.write(tape_hash + "\n")
+def file_manifest(spark: SparkSession, path: str, tape: DataFrame) -> dict:
+    """dataset_manifest() with the bytes and the SHA-256 of the files: of one file its own, of
+    several that of their hashes in order of the names."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path", "length", F.sha2("content", 256).alias("sha"))
+    one = files.agg(F.sum("length").alias("bytes"), F.count("*").alias("files"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha"))), lambda x: x.sha), "").alias("all"))
+    row = one.first()
+    sha = row["all"] if row["files"] == 1 else hashlib.sha256(row["all"].encode()).hexdigest()
+    return dataset_manifest(tape).first().asDict() | {"path": path, "bytes": row["bytes"], "sha256": sha}

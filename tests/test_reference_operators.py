@@ -42,10 +42,19 @@ def test_predicates_are_right_closed(spark):
 
 def test_symbols(spark):
     assert R.parse_symbols("Symbol IS 1.0, 'b'") == ["1", "b"] and R.parse_symbols("[x] IS Low") is None
-    df = spark.createDataFrame([("'1.0'",), (" symbol A ",), ("[b]",), ("nan",), ("",), ("1.5",)], "s string")
-    assert [r[0] for r in df.select(R.normalize_symbol(F.col("s"))).collect()] == ["1", "A", "b", None, None, "1.5"]
-    assert R.validate_rule_set([{"conditions": ["[x] IS Low"], "tp": 1, "sl": 1, "capital_pct": 10}]) == []
-    assert len(R.validate_rule_set([{"conditions": ["bad"], "tp": 0, "sl": 1, "capital_pct": 200}])) == 3
+    texts = ["'1.0'", " symbol A ", "[b]", "nan", "", "1.5", "+1", "01", "1e3", "[ 2.0 ]", "-0.0", "1d", "'x", "\"SYMBOL 7\"", "1.", "inf"]
+    want = ["1", "A", "b", "nan", "", "1.5", "1", "1", "1000", "2", "0", "1d", "'x", "7", "1", "inf"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, None)], "k int, s string").orderBy("k")
+    assert [r[0] for r in df.select(R.normalize_symbol(F.col("s"))).collect()] == [*want, R.MISSING]
+    assert [R.symbol_text(t) for t in texts] == want
+    assert R.parse_symbols("[symbol] IS +1, 01,1e3") == ["1", "1", "1000"] and R.parse_symbols("symbolic is 1") is None and R.parse_symbols("symbol isnt 1") is None
+    with pytest.raises(ValueError):
+        R.parse_symbols("symbol is 1,,2")
+    with pytest.raises(ValueError):
+        R.split_conditions([f"symbol is {k}" for k in range(11)])
+    for label in ("Active", "Inactive"):
+        with pytest.raises(ValueError):
+            R.predicate(F.col("s"), label)
 
 
 def test_labels_and_tail(bars):
@@ -160,15 +169,11 @@ def test_sources(spark, bars, tmp_path):
         T.write_csv(bars, path, overwrite_source=path)
     T.write_splits(S.holdout(bars, 0.5, 3), str(tmp_path / "splits"))
     assert T.read_split(spark, str(tmp_path / "splits"), "val").count() == 29
-    T.save_manifest(str(tmp_path / "splits"), {"h": 1})
-    assert T.fresh_cache(spark, str(tmp_path / "splits"), {"h": 1}, ["bar"]) is not None
-    assert T.fresh_cache(spark, str(tmp_path / "splits"), {"h": 2}, ["bar"]) is None
     for k in range(2):
         T.append_ledger(spark, {"run": k}, str(tmp_path / "ledger"))
     assert sorted(json.loads(r.value)["run"] for r in spark.read.text(str(tmp_path / "ledger")).collect()) == [0, 1]
-    T.claim_once(str(tmp_path / "lock"), "abc")
-    with pytest.raises(RuntimeError):
-        T.claim_once(str(tmp_path / "lock"), "abc")
+    m = T.file_manifest(spark, path, bars)
+    assert m["n_rows"] == 71 and m["symbols"] == "AA,BB,ONE" and m["bytes"] > 1000 and len(m["sha256"]) == 64 and m == T.file_manifest(spark, path, bars)
 
 
 def test_selection_and_identity(spark):
@@ -200,3 +205,228 @@ def test_stream_bars(spark, tmp_path):
     q.awaitTermination()
     want = T.bars_from_ticks(df.where("ts < '2024-01-05'"), "s", "ts", "x", "1 hour").drop("ticks")
     assert spark.table("bars_out").drop("ticks").exceptAll(want).count() == 0 and spark.table("bars_out").count() == want.count()
+
+
+def test_reference_points_and_niches():
+    assert len(E.reference_points(3, 4)) == 15 and all(abs(sum(p) - 1) < 1e-12 for p in E.reference_points(3, 4))
+    scores = [(float(k), 10.0 - k) for k in range(11)] + [(5.5 + k, 9.0 + k) for k in range(4)]
+    keep = E.niche_survivors(scores, 5, E.reference_points(2, 4))
+    assert len(set(keep)) == 5 and all(k < 11 for k in keep) and {0, 10} <= set(keep)
+    assert set(E.niche_survivors(scores, 12, E.reference_points(2, 4))) >= set(range(11))
+
+
+def test_search_resumes_and_caches():
+    goal, seen = (1, 0, 2, 3, 3, 3), []
+
+    def score(gs):
+        seen.extend(gs)
+        return [(float(sum(x != y for x, y in zip(g, goal, strict=True))), float(sum(x != 3 for x in g))) for g in gs]
+
+    run = lambda n, state=None, **k: E.evolve(score, [3] * 6, E.softmax_weights([1.0] * 6), 20, n, seed=4, patience=99, state=state, **k)
+    whole, state = run(6), {}
+    run(3, state)
+    assert state["generation"] == 3
+    assert run(6, json.loads(json.dumps(state))) == whole
+    assert run(4, points=E.reference_points(2, 6))
+    cache = E.Cache(5)
+    run(2, cache=cache)
+    assert len(cache.kept) == 5
+    del seen[:]
+    both = E.evolve_islands(lambda d: {n: score(g) for n, g in d.items()}, ["a", "b"], [3] * 6, E.softmax_weights([1.0] * 6))
+    assert set(both) == {"a", "b"} and min(s[0] for _, s in both["a"] + both["b"]) <= 2
+    moved = E.migrate({"a": [((1,), (0.0,)), ((2,), (1.0,))], "b": [((1,), (0.0,))], "c": []})
+    assert moved["b"] == [(2,)] and moved["c"] == [(1,), (2,)]
+    assert E.archive_pool([((1,), (2.0,)), ((1,), (1.0,)), ((2,), (0.0,)), ((3,), (5.0,))], lambda gs: [g != (2,) for g in gs], 2) == [(1,), (3,)]
+    trials = E.search_trials({"a": [1, 2, 3], "b": [1, 2]}, lambda xs: [float(x["a"] * x["b"]) for x in xs], 20)
+    assert len(trials) == 6 and trials[0] == (6.0, {"a": 3, "b": 2})
+    assert E.balanced_score(2.0, 0.0) == 0.0
+
+
+def strategy(**more) -> dict:
+    return {"direction": "long", "rules_set": [{"tp": "2", "sl": 1, "capital_pct": 60, "conditions": ["[x] IS Low", "symbol is A, 1.0", *G_CONTEXT]}]} | more
+
+
+G_CONTEXT = ["[tf_permission_long] IS Active (1)", "[lwc_pullback_reversal_long] IS Active (1)"]
+
+
+def test_strategy_files(spark, tmp_path):
+    from barloom.operators import strategy as Y  # noqa: N812
+
+    path = f"file://{tmp_path}/out/long.json"
+    Y.write(spark, strategy(note="dropped", strategy_id="s1"), path)
+    again = Y.read(spark, path)
+    assert again == {"direction": "long", "rules_set": [strategy()["rules_set"][0] | {"tp": 2.0, "sl": 1.0, "capital_pct": 60.0}], "strategy_id": "s1"}
+    assert set(json.loads((tmp_path / "out/evaluator_clean/long_evaluator_clean.json").read_text())) == {"direction", "rules_set"}
+    rule = strategy()["rules_set"][0]
+    for bad in (
+        {"direction": "up"}, {"rules_set": []}, {"rules_set": "x"}, {"rules_set": [rule | {"tp": "a"}]}, {"rules_set": [rule | {"tp": 0, "sl": 0, "capital_pct": 0}]}, {"rules_set": [rule | {"conditions": []}]},
+        {"rules_set": [rule | {"conditions": ["x IS Low"]}]}, {"rules_set": [rule | {"conditions": [*rule["conditions"], G_CONTEXT[0]]}]}, {"rules_set": [rule | {"conditions": ["[tf_permission_short] IS Active (1)"]}]}, {"rules_set": [{"tp": 1}]},
+    ):
+        with pytest.raises(Y.StrategyError):
+            Y.check(strategy(**bad))
+    with pytest.raises(Y.StrategyError):
+        Y.check(strategy(rules_set=[rule | {"conditions": ["[x] IS Low"]}]), require_context=True)
+    with pytest.raises(Y.StrategyError):
+        Y.read(spark, f"file://{tmp_path}/none.json")
+    assert Y.check(strategy(rules_set=[], deployment_accepted=False))["rules_set"] == []
+    assert len(Y.check(strategy(rules_set=[rule] * 30))["rules_set"]) == 20
+    assert Y.compile_rules({"TRADE_CAPITAL_PCT": 7, "rules_set": [{"tp": 1, "sl": 2, "conditions": ["[x] IS Low"]}]}) == [{"conditions": ["[x] IS Low"], "tp": 1.0, "sl": 2.0, "capital_pct": 7.0}]
+    with pytest.raises(Y.StrategyError):
+        Y.compile_rules({"rules_set": [{"tp": 1, "sl": 2}]})
+    done = Y.assemble("long", [rule, rule | {"capital_pct": 90.0}], 96, "net")
+    assert sum(r["capital_pct"] for r in done["rules_set"]) == pytest.approx(100) and len(done["strategy_id"]) == 20
+    with pytest.raises(Y.StrategyError):
+        Y.assemble("long", [rule | {"conditions": ["[x] IS Low"]}], 96, "net")
+    assert Y.fail_closed(spark, f"file://{tmp_path}/closed", "short", "nothing passed")["deployment_accepted"] is False
+    assert json.loads((tmp_path / "closed/evaluator_clean/short_evaluator_clean.json").read_text())["rules_set"] == []
+    assert [len(R.split_conditions(r["conditions"])[1]) for r in Y.specialised({"conditions": ["[x] IS Low"]}, ["A", "B"])] == [1, 1, 2]
+
+
+def test_runs(spark, bars, tmp_path):
+    from barloom.sources import runs as U  # noqa: N812
+
+    at = f"file://{tmp_path}"
+    config = {"fraction": 0.5}
+    (tmp_path / "tape.csv").write_text("x")
+    splits = {s: bars for s in U.SPLITS}
+    b = S.nested_bounds(bars.where("symbol <> 'ONE'"), 2, 0.4, 4)
+    manifest = U.fold_manifest(b, config, 71)
+    assert manifest["n_folds"] == 2 and [f["is_holdout"] for f in manifest["folds"]] == [False, True]
+    U.write_splits(spark, splits, f"{at}/cache", manifest)
+    get = lambda **k: U.fresh_splits(spark, f"{at}/cache", f"{at}/tape.csv", **({"config": config, "columns": ["bar"]} | k))
+    assert get()["val"].count() == 71 and get(reference_rows=71) and not get(config={"fraction": 0.6}) and not get(columns=["no"]) and not get(reference_rows=70)
+    import os
+    import time
+
+    os.utime(tmp_path / "tape.csv", (time.time() + 60, time.time() + 60))
+    assert get() is None
+    run = U.Run(spark, f"{at}/run", config)
+    run.log("features", "started")
+    run.finish("features", {"names": ["a"]})
+    assert run.resume("features", ("names",)) == {"names": ["a"]} and run.resume("features", ("other",)) is None
+    other = U.Run(spark, f"{at}/run", {"fraction": 0.7})
+    assert other.id != run.id and other.resume("features") is None and other.drop_stale(["features", "rules"]) == ["features"]
+    assert [(r.phase, r.status) for r in run.phases().orderBy("at").collect()] == [("features", "started"), ("features", "done")]
+    U.claim_once(spark, f"{at}/locks", "abc")
+    with pytest.raises(RuntimeError):
+        U.claim_once(spark, f"{at}/locks", "abc")
+    U.check_enriched(spark, "tape.csv", f"{at}/none", "v1")
+    for text in (None, "{", "{}", '{"context_algorithm_version": "v0"}'):
+        if text:
+            (tmp_path / "m.json").write_text(text)
+        with pytest.raises(RuntimeError):
+            U.check_enriched(spark, "t_hwc_mwc_lwc.csv", f"{at}/m.json", "v1")
+    (tmp_path / "m.json").write_text('{"context_contract": {"algorithm_version": "v1"}}')
+    U.check_enriched(spark, "t_hwc_mwc_lwc.csv", f"{at}/m.json", "v1")
+    assert U.count_trials({"a": [1, 2], "b": {"archive_size": 3, "generations": 4}}, {"x": {"selected_rules": 2, "risk_history": [1]}}) == 12
+    good = {"initial": 1, "fee_pct": 0.2, "horizon": 96, "embargo": 96, "min_rules": 1, "max_rules": 20, "fraction": 0.65, "folds": 3, "max_exposure_pct": 100}
+    assert U.check_config(good, U.CONFIG_CHECKS) == [] and U.check_config(good | {"embargo": 5, "fraction": None}, U.CONFIG_CHECKS) == ["embargo_covers_horizon", "split_fraction"]
+    m = spark.createDataFrame([("train", 1.0), ("val", 2.0)], "split string, ret double")
+    U.evaluation_outputs(spark, m, bars, f"{at}/eval")
+    assert len(json.loads((tmp_path / "eval/summary.json").read_text())) == 2 and spark.read.csv(f"{at}/eval/trades", header=True).count() == 71
+    assert U.split_report(spark, m.where("split = 'val'"), f"{at}/oos.json", "long", "val", True)["diagnostic_only"]
+    t = U.enrichment_manifest({"lwc": m.limit(1)}, "v1", "tape.csv")
+    assert len(t["threshold_hash"]) == 16
+
+
+def test_load(spark, bars, tmp_path):
+    from barloom.sources import load as D  # noqa: N812
+
+    raw = bars.where("symbol <> 'ONE'").drop("bar").withColumn("ff", F.when(F.col("volume") > 15, F.col("volume")))
+    raw.write.csv(str(tmp_path / "tape.csv"), header=True)
+    got = D.load(spark, str(tmp_path / "tape.csv"), 6)
+    assert got.count() == 58 and got.where("ff IS NULL").count() == 0 and D.feature_columns(got) == ["ff"]
+    assert got.groupBy("symbol").agg(F.max("bar").alias("m")).where("m NOT IN (33, 23)").count() == 0
+    assert D.prepare(D.prepare(raw, 6, tail=False).drop("bar"), 6, tail=False).count() == 58  # labels are kept
+    with pytest.raises(ValueError):
+        D.prepare(raw.withColumn("label_min_h", F.lit(1.0)), 6)
+    with pytest.raises(ValueError):
+        D.prepare(raw.drop("close"), 6)
+    with pytest.raises(ValueError):
+        D.prepare(raw.union(raw), 6)
+    with pytest.raises(ValueError):
+        D.prepare(raw, 6, context=True)
+    rich = I.enrich(T.with_bar_index(raw), 4, ("12 hours", 3), ("1 day", 6), "4 HOURS")
+    assert D.prepare(rich, 6).count() == 58
+    with pytest.raises(ValueError):
+        D.prepare(rich.withColumn("tf_permission_long", F.lit(1)), 6)
+    wide = D.prepare(raw, 6, barriers=([2.0, 1.5], [1.0]))
+    assert L.pair_name("short", 1.5, 1, "off") == "_off_short_tp1.5_sl1" and {L.pair_name(d, tp, 1.0, w) for d in ("long", "short") for tp in (1.5, 2.0) for w in ("ret", "off")} <= set(wide.columns)
+    assert D.grid_faults(raw, 240).where("n_gaps + n_off_grid + n_duplicates + n_null_ts > 0").count() == 0
+    assert D.grid_faults(raw.where("symbol = 'AA' AND volume <> 20").union(raw.limit(1)), 60).first()["n_gaps"] > 0
+    rows, modes = D.for_evaluation(got.drop("bar"), raw, spark.createDataFrame([("ff", "positive"), ("zz", "signed")], "feature string, mode string"), 6)
+    assert rows.count() == 58 and modes.count() == 1
+    assert D.forward_symbols(raw, raw.withColumn("datetime", F.col("datetime") + F.expr("INTERVAL 90 DAYS"))).first().asDict() == {"same_symbols": True, "later": True}
+    assert dict(D.downcast(rich.withColumn("x", F.lit(1.5))).dtypes)["x"] == "float"
+    with pytest.raises(ValueError):
+        I.enrich_target(raw, raw.limit(1), 4, ("12 hours", 3), ("1 day", 6), "4 HOURS", {})
+
+
+def test_ema_matches_the_recursion(spark):
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=k), 100.0 + ((k * 37) % 23) - 11) for s, n in (("A", 900), ("B", 1)) for k in range(n)]
+    df = I.ema(spark.createDataFrame(rows, "symbol string, datetime timestamp, close double"), {"one": 1, "two": 2, "slow": 50})
+    got = {(r.symbol, r.datetime): r for r in df.collect()}
+    for name, span in (("one", 1), ("two", 2), ("slow", 50)):
+        y, a = None, 2 / (span + 1)
+        for s, t, x in rows:
+            y = x if y is None or s == "B" else a * x + (1 - a) * y
+            assert got[s, t][name] == pytest.approx(y, rel=1e-11)
+
+
+def test_release_rows_with_gaps(spark):
+    df = spark.createDataFrame([("A", b, k, o) for k, (b, o) in enumerate([(0, 2), (1, 2), (5, 0), (6, -1), (9, 4)])], "symbol string, bar long, row_id long, off int")
+    got = {r.bar: r.release_row for r in S.release_rows(df, F.col("off")).collect()}
+    assert got == {0: 2, 1: 2, 5: 2, 6: None, 9: None}
+
+
+def test_ruin_is_for_good():
+    e = dict(symbol="A", direction="long", rule_index=0, capital_pct=60.0, entry_price=1.0, exit_reason="TP")
+    entries = [e | {"row_id": 0, "release_row": 5, "return_pct": -200.0}, e | {"symbol": "B", "row_id": 1, "release_row": 5, "return_pct": 300.0, "capital_pct": 40.0}, e | {"row_id": 6, "release_row": 7, "return_pct": 1.0}]
+    log = A.run_account(entries, A.Account(fee_pct=0.0))
+    assert [x["status"] for x in log] == ["closed", "closed", "after_ruin"] and log[1]["equity_after"] == pytest.approx(1000.0)
+
+
+def test_fronts_and_crowding(spark):
+    from barloom.operators import search as Q  # noqa: N812
+
+    df = spark.createDataFrame([(0, 1.0, 4.0), (1, 2.0, 2.0), (2, 4.0, 1.0), (3, 3.0, 3.0), (4, 4.0, 4.0), (5, float("nan"), 0.0)], "id int, a double, b double")
+    assert {r.id: r.front for r in Q.fronts(df, "id", ["a", "b"]).collect()} == {0: 1, 1: 1, 2: 1, 3: 2, 4: 3, 5: 1}
+    flat = spark.createDataFrame([(k, 1, 7.0, float(k * k)) for k in range(4)] + [(9, 2, 1.0, 1.0)], "id int, front int, a double, b double")
+    got = {r.id: r.crowding for r in Q.crowding(flat, "id", ["a", "b"]).collect()}
+    assert got[0] == got[3] == got[9] == float("inf") and got[1] == pytest.approx(4 / 9) and got[2] == pytest.approx(8 / 9)
+
+
+def test_gates_amplify():
+    from barloom.operators import gates as G  # noqa: N812
+
+    value = {"a": 3.0, "b": 2.0, "c": 1.0, "d": 5.0}
+    team = lambda teams: [(sum(value[x] for x in t), sum(value[x] for x in t), "d" not in t) for t in teams]
+    assert G.amplify(["a", "b", "c", "d"], {("a", "b"): 0.9}, team) == ["a", "c"]
+    assert G.amplify(["d"], {}, team) == []
+    assert G.stage_budget(100) == (65, 35) and G.stage_at(65, 100) == ("B", 35, True) and G.stage_at(10, 100) == ("A", 55, False) and G.stage_at(5, 20, two_stages=False) == (None, 15, False)
+    assert G.search_floors("A", 30)["min_support"] == 8 and G.search_floors("B", 30)["min_support"] == 30 and G.scaled_floor(60, 500, 1000) == 30
+
+
+def test_deflated_sharpe_by_hand(spark):
+    import math
+
+    from barloom.operators import metrics as M  # noqa: N812
+
+    df = spark.createDataFrame([(0.2, 100.0), (-0.1, 1.0), (1.5, 50.0)], "sr double, n double")
+    for skew, kurt, trials in ((0.0, 0.0, 1), (0.5, 2.0, 20)):
+        for r in df.select("sr", "n", M.deflated_sharpe(F.col("sr"), F.col("n"), trials, skew, kurt).alias("p")).collect():
+            n = max(2, r.n)
+            z = (r.sr - math.sqrt(2 * math.log(trials)) / math.sqrt(n)) / math.sqrt(max(1e-12, (1 - skew * r.sr + (kurt - 1) / 4 * r.sr**2) / n))
+            assert r.p == pytest.approx(0.5 * (1 + math.erf(z / math.sqrt(2))), abs=2e-7)
+
+
+def test_running_equity(spark, tmp_path):
+    from barloom.streaming.bars import running_equity
+
+    rows = [("p", k, float((k * 7) % 5 - 2) * 10) for k in range(30)] + [("q", k, -400.0) for k in range(3)]
+    df = spark.createDataFrame(rows, "plan string, seq long, pnl double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = running_equity(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "plan", "pnl").writeStream.format("memory").queryName("equity_out").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.plan: (r.equity, r.drawdown_pct) for r in spark.table("equity_out").collect()}
+    assert got["p"][0] == pytest.approx(1000 + sum(x for p, _, x in rows if p == "p")) and got["q"] == (pytest.approx(-200.0), pytest.approx(120.0))
