@@ -6,9 +6,12 @@ header, declared length, end marker and block digest. Where a check fails it sea
 next position that passes them all (a gzip member, or a version line in a plain file), goes on
 there and reports the bytes between as a quarantined gap. Within a gzip member it searches the
 inflated bytes, and of a member that is cut off it keeps the complete records; a member that
-fails gzip's own checks is a gap as a whole.
+fails gzip's own checks is a gap as a whole. Gaps are rows of the result, and the workers log
+each. A task holds one file at a time, and headers end within MOST_HEADER bytes.
 
-Defined results: a null html is an empty payload; null or odd URLs are percent-escaped; a null
+Defined results: records of other writers have no page_id unless their id is of this form
+(record_id has it as written); of other types than HTTP ones the payload is the block; a length
+that isn't a number is null; a null html is an empty payload; null or odd URLs are percent-escaped; a null
 page id is written as empty and never chosen as the record that others refer to, unless alone;
 rows that repeat the smallest id of their payload are all responses; an empty table gives no
 archive; a file without any valid record gives one gap.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import uuid
 import zlib
@@ -32,6 +36,8 @@ from .common import materialise, open_fs, scan_partitions, scratch, ship, table,
 URN = "urn:barloom:page:"
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
+#: Bytes in which a record's header ends.
+MOST_HEADER = 1 << 20
 
 
 def digest(data: bytes) -> str:
@@ -53,6 +59,8 @@ class Record:
         return self.headers.get("warc-type", "")
 
     def http(self) -> tuple[dict[str, str], bytes]:
+        if not self.headers.get("content-type", "").lower().startswith("application/http"):
+            return {}, self.block
         head, _, payload = self.block.partition(END)
         lines = head.decode("latin-1").split("\r\n")[1:]
         return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
@@ -98,7 +106,7 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     """The record that starts at `at` of plain data, and where it ends."""
     if not data.startswith(b"WARC/1.", at):
         raise Damaged("no version line")
-    stop = data.find(END, at)
+    stop = data.find(END, at, at + MOST_HEADER)
     if stop < 0:
         raise Damaged("header without end")
     try:
@@ -164,6 +172,8 @@ def _member(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All valid records of a file, gzip members or plain, and the gaps between them."""
     at, gap, reason = 0, None, ""
+    # Where each marker occurs next: looked for again only once it is passed.
+    ahead = {b"\x1f\x8b\x08": -1, b"WARC/1.": -1}
     while at < len(data):
         zipped = data.startswith(b"\x1f\x8b", at)
         try:
@@ -175,8 +185,11 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
-            starts = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(starts, default=len(data))
+            for mark, next_ in ahead.items():
+                if next_ <= at:
+                    found_at = data.find(mark, at + 1)
+                    ahead[mark] = found_at if found_at >= 0 else len(data)
+            at = min(ahead.values())
             continue
         if gap is not None:
             yield Gap(gap, at, reason)
@@ -231,7 +244,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return materialise(df.mapInArrow(lambda it: _write(it, folder, rotate), MANIFEST), "warc-manifest")
 
 
-ROWS = "path string, start long, end long, kind string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string"
+ROWS = "path string, start long, end long, kind string, record_type string, record_id string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string"
 
 
 def _read(batches: Iterable) -> Iterator:
@@ -239,16 +252,23 @@ def _read(batches: Iterable) -> Iterator:
 
     names = [x.split()[0] for x in ROWS.split(", ")]
     types = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in ROWS.split(", ")]
-    number = lambda v: int(v.strip("<>").removeprefix(URN)) if v and v.strip("<>").removeprefix(URN) else None
+    own = re.compile(rf"<?{re.escape(URN)}(-?[0-9]+)>?")
+    log = logging.getLogger("barloom.warc")
+
+    def number(v: str | None) -> int | None:
+        m = own.fullmatch(v or "")
+        return int(m[1]) if m else None
 
     def row(path: str, x: Record | Gap) -> tuple:
         if isinstance(x, Gap):
-            return path, x.start, x.end, "gap", None, None, None, None, None, None, None, x.reason
+            log.warning("quarantined bytes %d to %d of %s: %s", x.start, x.end, path, x.reason)
+            return path, x.start, x.end, "gap", None, None, None, None, None, None, None, None, x.reason
         http, payload = x.http()
         revisit = x.type == "revisit"
         said = x.headers.get("warc-payload-digest", "").partition(":")[2]
-        size = int(http.get("content-length", "0")) if revisit else len(payload)
-        return path, x.offset, None, "record", x.type, number(x.headers.get("warc-record-id")), x.headers.get("warc-target-uri"), size, said if revisit else digest(payload), number(x.headers.get("warc-refers-to")), None if revisit else payload, None
+        told = http.get("content-length", "")
+        size = (int(told) if told.isascii() and told.isdigit() else None) if revisit else len(payload)
+        return path, x.offset, None, "record", x.type, x.headers.get("warc-record-id"), number(x.headers.get("warc-record-id")), x.headers.get("warc-target-uri"), size, said if revisit else digest(payload), number(x.headers.get("warc-refers-to")), None if revisit else payload, None
 
     for b in batches:
         for path in b.column(0).to_pylist():
@@ -258,7 +278,7 @@ def _read(batches: Iterable) -> Iterator:
             out, size = [], 0
             for x in salvage(data):
                 out.append(row(path, x))
-                size += out[-1][7] or 0
+                size += out[-1][8] or 0
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
                     out, size = [], 0
@@ -267,8 +287,8 @@ def _read(batches: Iterable) -> Iterator:
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Records (kind 'record') and quarantined gaps (kind 'gap', start to end) of the files in
-    column path. A task holds one file at a time."""
+    """Records (kind 'record') and quarantined gaps (kind 'gap', start to end, reason) of the files
+    in column path."""
     spark = manifest.sparkSession
     ship(spark)
     return manifest.select("path").repartition(scan_partitions(spark)).mapInArrow(_read, ROWS)
