@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of
-    our own where it is unset (tests in one process)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where
+    it is unset and all runs in one process. On a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.conf.get("spark.barloom.shared.dir", None)
         if not at:
+            if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             at = "file://" + tempfile.mkdtemp(prefix="barloom-")
             spark.conf.set("spark.barloom.shared.dir", at)
     return at.rstrip("/") if "://" in at else "file://" + os.path.abspath(at)
@@ -76,6 +79,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def free_name(df: DataFrame, name: str, carry: tuple[str, ...] | None = None) -> str:
+    """The name of a result column: the given one, or with underscores before it if df (of which
+    only carry stays) has that."""
+    taken = {c.lower() for c in (df.columns if carry is None else carry)}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, whatever path the driver has."""
     sc = spark.sparkContext

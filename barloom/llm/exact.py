@@ -3,24 +3,25 @@
 Rows are keyed by byte length and content hash. Each map task first merges its own equal
 texts in a local trie, so a group of copies sends one entry a task. The entries are dealt by
 key; each partition inserts the full byte strings into a compressed radix trie whose terminal
-nodes hold the owner. A trie beyond its memory budget spills its largest subtree to a scratch
-file of the task and rebuilds it alone at the end.
+nodes hold the owner. A trie beyond its memory budget spills its largest subtree to a file in
+the shared folder and rebuilds it alone at the end.
 
 Defined results: a null text counts as empty; among equal texts the row with the largest
 doc_id stays (smallest on request), null ids rank below all others; of fully tied rows one
-stays; an empty table gives an empty result; other columns pass through.
+stays; ids are integers (others raise); an empty table gives an empty result; other columns
+pass through; where one is called `exact` the result is `_exact` (free_name).
 """
 
 from __future__ import annotations
 
 import pickle
-import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, scan_partitions, ship, table, text_of
+from .common import free_name, fresh, materialise, open_fs, scan_partitions, scratch, ship, table, text_of
 
 
 def shared_prefix(a: bytes, b: bytes) -> int:
@@ -62,13 +63,13 @@ class Node:
 
 
 class PatriciaTrie:
-    """Byte strings to owners. Beyond `budget` bytes of labels the largest subtree of the
-    root goes to a scratch file, and later strings of that subtree follow it there."""
+    """Byte strings to owners. Beyond `budget` bytes of labels the largest subtree of the root
+    goes to a file in `folder`, and later strings of that subtree follow it there."""
 
     NODE_BYTES = 300
 
-    def __init__(self, largest: bool = True, budget: int = 192 << 20, depth: int = 0):
-        self.largest, self.budget, self.depth = largest, budget, depth
+    def __init__(self, largest: bool = True, budget: int = 192 << 20, folder: str = "", depth: int = 0):
+        self.largest, self.budget, self.folder, self.depth = largest, budget, folder, depth
         self.root = Node(b"")
         self.bytes_of: dict[int, int] = {}
         self.total = 0
@@ -79,7 +80,7 @@ class PatriciaTrie:
         at = self.depth
         first = key[at] if at < len(key) else -1
         if first in self.spilled:
-            pickle.dump((key, id_, n_best, rows, tag), self.spilled[first])
+            pickle.dump((key, id_, n_best, rows, tag), self.spilled[first][1])
             return
         added = self._place(key, at, id_, n_best, rows, tag)
         if added:
@@ -123,11 +124,14 @@ class PatriciaTrie:
         worst = max((b for b in self.bytes_of if b >= 0), key=self.bytes_of.get, default=None)
         if worst is None:
             return
-        sink = tempfile.TemporaryFile()
+        path = f"{self.folder}/spill-{uuid.uuid4().hex}"
+        fs, p = open_fs(path)
+        fs.create_dir(open_fs(self.folder)[1], recursive=True)
+        sink = fs.open_output_stream(p)
         # The part above the root is the same for all strings here; any of them tells it.
         for key, o in self._walk(self.root.children.pop(worst), self.prefix):
             pickle.dump((key, o.id, o.n_best, o.rows, o.tag), sink)
-        self.spilled[worst] = sink
+        self.spilled[worst] = path, sink
         self.spills += 1
         self.total -= self.bytes_of.pop(worst)
 
@@ -136,23 +140,26 @@ class PatriciaTrie:
     def items(self) -> Iterator[tuple[bytes, Owner]]:
         yield from self._walk(self.root, self.prefix)
         self.root = Node(b"")
-        for sink in self.spilled.values():
-            yield from self._rebuilt(sink)
+        for path, sink in self.spilled.values():
             sink.close()
+            yield from self._rebuilt(path)
+            fs, p = open_fs(path)
+            fs.delete_file(p)
 
-    def _rebuilt(self, sink) -> Iterator[tuple[bytes, Owner]]:
+    def _rebuilt(self, path: str) -> Iterator[tuple[bytes, Owner]]:
         def entries() -> Iterator[tuple]:
-            sink.seek(0)
-            while True:
-                try:
-                    yield pickle.load(sink)
-                except EOFError:
-                    return
+            fs, p = open_fs(path)
+            with fs.open_input_file(p) as source:
+                while True:
+                    try:
+                        yield pickle.load(source)
+                    except EOFError:
+                        return
 
         lead = None
         for key, *_ in entries():
             lead = key if lead is None else lead[: shared_prefix(lead, key)]
-        below = PatriciaTrie(self.largest, self.budget, len(lead or b""))
+        below = PatriciaTrie(self.largest, self.budget, self.folder, len(lead or b""))
         below.prefix = lead or b""
         for entry in entries():
             below.insert(*entry)
@@ -163,7 +170,7 @@ class PatriciaTrie:
 ENTRY = "n_bytes long, sha string, content binary, best_id long, n_best long, n_rows long"
 
 
-def _merge_batches(batches: Iterable, largest: bool, budget: int, content: bool, partial: bool) -> Iterator:
+def _merge_batches(batches: Iterable, largest: bool, budget: int, folder: str, content: bool, partial: bool) -> Iterator:
     """Entries of Arrow batches through a trie. partial: rather than spill, hand out what is there."""
     import pyarrow as pa
 
@@ -185,7 +192,7 @@ def _merge_batches(batches: Iterable, largest: bool, budget: int, content: bool,
         cols = dict(zip(("n_bytes", "sha", "content", "best_id", "n_best", "n_rows"), zip(*rows), strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[n], types[n]) for n in names], names=names)
 
-    trie = PatriciaTrie(largest, budget if not partial else 1 << 62)
+    trie = PatriciaTrie(largest, budget if not partial else 1 << 62, folder)
     for b in batches:
         cols = [b.column(b.schema.get_field_index(n)).to_pylist() for n in ("content", "best_id", "n_best", "n_rows", "sha")]
         for row in zip(*cols, strict=True):
@@ -207,9 +214,10 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k
         F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), F.encode(text, "UTF-8").alias("content"),
         F.col(id_col).cast("long").alias("best_id"), F.lit(1).cast("long").alias("n_best"), F.lit(1).cast("long").alias("n_rows"),
     )
-    local = rows.mapInArrow(lambda it: _merge_batches(it, largest, budget // 3, True, True), ENTRY)
+    folder = scratch(spark, "exact-spill")
+    local = rows.mapInArrow(lambda it: _merge_batches(it, largest, budget // 3, folder, True, True), ENTRY)
     dealt = local.repartition(partitions or scan_partitions(spark), "n_bytes", "sha")
-    return dealt.mapInArrow(lambda it: _merge_batches(it, largest, budget, False, False), ENTRY.replace("content binary, ", ""))
+    return dealt.mapInArrow(lambda it: _merge_batches(it, largest, budget, folder, False, False), ENTRY.replace("content binary, ", ""))
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, carry: tuple[str, ...] | None = None, **how) -> DataFrame:
@@ -232,7 +240,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, car
 
         df = df.withColumn(pos, F.row_number().over(Window.partitionBy(F.when(tied, F.col(sha)).otherwise(F.col(uid))).orderBy(uid)))
         best = best & (F.col(pos) == 1)
-    return df.select(*carry, F.struct(F.col(oid).alias("keep_id"), F.col(nr).alias("group_size"), best.alias("kept"), F.col(sha).alias("sha")).alias("exact"))
+    return df.select(*carry, F.struct(F.col(oid).alias("keep_id"), F.col(nr).alias("group_size"), best.alias("kept"), F.col(sha).alias("sha")).alias(free_name(docs, "exact", carry)))
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
@@ -251,4 +259,5 @@ FROM documents
 
 def exact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each distinct text, columns unchanged."""
-    return mark(docs).where("exact.kept").drop("exact")
+    name = free_name(docs, "exact")
+    return mark(docs).where(f"{name}.kept").drop(name)

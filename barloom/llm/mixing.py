@@ -8,7 +8,8 @@ by it: a global shuffle.
 
 Defined results: a null text has size 0 and is mixed like any other; null sources form one
 source; null ids are hashed by their text; equal ids get equal counts; a source whose sizes
-are all 0, or without a target, has rate 0; an empty table gives an empty result.
+are all 0, or without a target, has rate 0; other columns pass through; where one is called
+`mix` the result is `_mix` (free_name); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, table, text_of
+from .common import free_name, fresh, materialise, table, text_of
 
 #: Largest mean of one inverted part; exp(-PART) is far from underflow.
 PART = 32.0
@@ -65,7 +66,7 @@ def mix(
     """The columns of docs and a struct column `mix`: copy (from 0), n_copies, key. Sizes are
     characters. The rates are a written table, so the planner broadcasts them only if they are
     small; a larger table is joined by a shuffle whose frequent keys adaptive execution splits."""
-    size = F.length(text_of(text_col))
+    size, name = F.length(text_of(text_col)), free_name(docs, "mix")
     table_ = materialise(rates(docs, source_col, size, targets=targets, alpha=alpha, epochs=epochs), "mix-rates")
     who, src, cdf, parts, rate, n, copy = fresh(docs, "who", "source", "cdf", "parts", "rate", "n", "copy")
     df = docs.join(table_.select(F.col("source").alias(src), F.col("cdf").alias(cdf), F.col("parts").alias(parts)), F.col(source_col).eqNullSafe(F.col(src)), "left")
@@ -75,8 +76,8 @@ def mix(
     df = df.withColumn(n, F.greatest(count, F.lit(0)))
     df = df.where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.col(who), F.col(copy).cast("string"))), 1, 15), 16, 10).cast("long")
-    out = df.select(*docs.columns, F.struct(F.col(copy).cast("long").alias("copy"), F.col(n).cast("long").alias("n_copies"), key.alias("key")).alias("mix"))
-    return out.repartition(F.col("mix.key")).sortWithinPartitions("mix.key")
+    out = df.select(*docs.columns, F.struct(F.col(copy).cast("long").alias("copy"), F.col(n).cast("long").alias("n_copies"), key.alias("key")).alias(name))
+    return out.repartition(F.col(f"{name}.key")).sortWithinPartitions(f"{name}.key")
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
@@ -105,4 +106,4 @@ FROM x
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents repeated and shuffled; columns unchanged."""
-    return mix(docs).drop("mix")
+    return mix(docs).drop(free_name(docs, "mix"))

@@ -29,10 +29,11 @@ rep AS (SELECT rid, sum(least(8, coalesce(i - p, 8))) AS n FROM (SELECT rid, i,
 g AS (SELECT f.*, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   [{", ".join(f"CAST({c} AS DOUBLE)" for c in chars)}] AS c0, [{", ".join(f"CAST({c} AS DOUBLE)" for c in common)}] AS m0 FROM f LEFT JOIN rep USING (rid)),
 h AS (SELECT *, list_append(c0, length(t) - list_sum(c0)) AS c, list_append(m0, n_words - list_sum(m0)) AS m FROM g),
-r AS (SELECT lang, [{", ".join(f"sum(c[{i + 1}])" for i in range(nc))}] AS rc, [{", ".join(f"sum(m[{i + 1}])" for i in range(nw))}] AS rm FROM h GROUP BY 1),
-j AS (SELECT h.*, rc, rm, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM h JOIN r USING (lang))
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM h),
+r AS (SELECT lang, [{", ".join(f"sum(c[{i + 1}])" for i in range(nc))}] AS rc, [{", ".join(f"sum(m[{i + 1}])" for i in range(nw))}] AS rm FROM b WHERE NOT base_failed GROUP BY 1),
+j AS (SELECT b.*, rc, rm FROM b LEFT JOIN r USING (lang))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND CASE WHEN word_chars >= 200 THEN coalesce({js("c")} <= 0.27, true) ELSE true END AND CASE WHEN n_words >= 50 THEN coalesce({js("m")} <= 0.6, true) ELSE true END AS kept FROM j"""
+  NOT base_failed AND CASE WHEN word_chars >= 200 THEN coalesce({js("c")} <= 0.27, true) ELSE true END AND CASE WHEN n_words >= 50 THEN coalesce({js("m")} <= CASE WHEN n_words >= 75 THEN 0.25 ELSE 0.3 END, true) ELSE true END AS kept FROM j"""
 
 
 def secrets_sql() -> str:

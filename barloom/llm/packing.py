@@ -8,7 +8,8 @@ cut. What a task can't complete at its end is cut into windows of powers of two.
 sequence has a power of two of tokens and needs no padding. Windows of a flush are dealt to
 step groups, largest first, each to the group with the fewest tokens.
 
-Defined results: a null or empty text is a document of the end id alone; repeated rows and
+Defined results: a null or empty text is a document of the end id alone; ids are integers
+(others raise) or null; repeated rows and
 ids are separate documents; an empty table gives no pieces; a document longer than the
 longest window is cut, never shortened.
 """

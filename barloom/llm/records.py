@@ -10,7 +10,7 @@ Files are written and read through the shared folder. A file's name holds its at
 what a committed task reported in the manifest counts, so lost executors leave no effect.
 
 Defined results: a null or empty text gives a record of the end id alone; null ids come first;
-rows of equal ids are in order of their text's hash; an empty table gives no file; a damaged
+ids are integers (others raise); rows of equal ids are in order of their text's hash; an empty table gives no file; a damaged
 record raises ValueError with its file and offset.
 """
 

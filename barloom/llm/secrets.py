@@ -8,7 +8,8 @@ The index is over lower-cased text, so a posting never misses a match; the expre
 
 Defined results: a null text counts as empty; an empty text has no spans; equal texts share a
 content key and get equal spans; positions are in code points, end exclusive; other columns
-pass through; an empty table gives an empty result.
+pass through; where one is called `secrets` the result is `_secrets` (free_name); an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, table, text_of
+from .common import free_name, fresh, materialise, table, text_of
 
 try:
     from re import _constants as sre
@@ -186,7 +187,7 @@ def scan(docs: DataFrame, text_col: str = "text", *, rules: tuple[Rule, ...] = R
             parts.append(F.when(F.col(text).rlike(rule.pattern), hits).otherwise(none))
         else:
             parts.append(F.when(F.array_contains(kinds, rule.kind), hits).otherwise(none))
-    return df.select(*carry, F.sort_array(F.concat(*parts)).alias("secrets"))
+    return df.select(*carry, F.sort_array(F.concat(*parts)).alias(free_name(docs, "secrets", carry)))
 
 
 def written(found: Column, rules: tuple[Rule, ...]) -> Column:

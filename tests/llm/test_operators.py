@@ -174,6 +174,48 @@ def test_warc_salvage_in_member():
     assert ids(out) == [0, 1, 2, 3] and isinstance(out[-1], warc.Gap) and out[-1].end == len(data)
 
 
+def test_warc_foreign_and_damaged(spark, tmp_path):
+    """Other writers' records, odd lengths and a damaged member, through Spark."""
+    foreign = warc.build(1, "u", b"page").replace(b"<urn:barloom:page:1>", b"<urn:uuid:12345678-abcd>")
+    info = b"fields: x\r\n"
+    head = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:9>\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n" % len(info)
+    odd = warc.build(7, "u", b"x", 1, True).replace(b"Content-Length: 1\r\n", b"Content-Length: q\r\n", 1)
+    odd = re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", odd)
+    hurt = bytearray(warc.member(warc.build(3, "u", b"lost " * 50)))
+    hurt[60] ^= 255
+    parts = [warc.member(foreign), warc.member(head + info + warc.END), bytes(hurt), warc.member(odd), warc.member(warc.build(4, "u", b"kept"))]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    rows = warc.read(spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")).collect()
+    got = {r.record_id: r for r in rows if r.kind == "record"}
+    assert [r.page_id for r in got.values()].count(None) == 2 and got["<urn:uuid:9>"].payload == info and got["<urn:uuid:12345678-abcd>"].payload == b"page"
+    assert got[f"<{warc.URN}4>"].payload == b"kept" and got[f"<{warc.URN}7>"].payload_bytes is None
+    at = sum(map(len, parts[:2]))
+    assert [(r.start, r.end) for r in rows if r.kind == "gap"] == [(at, at + len(parts[2]))]
+
+
+def test_salvage_is_linear():
+    import time
+
+    def took(n: int) -> float:
+        began = time.process_time()
+        assert len(list(warc.salvage(b"\x1f\x8b\x08\xff" * n + warc.member(warc.build(1, "u", b"x"))))) == 2
+        return time.process_time() - began
+
+    assert took(80_000) < 12 * took(20_000) + 0.2
+
+
+def test_clashing_names(spark, docs, rows):
+    """Columns that are called like a result, in any case."""
+    df = docs.withColumns({n: F.lit("mine") for n in ("Quality", "exact", "mix", "SECRETS", "_mix", "comp", "cid", "band")})
+    want = Counter(r.doc_id for r in docs.select("doc_id").collect())
+    for stage in (quality.quality_stage, exact.exact_stage, jaccard.near_stage, mixing.mixing_stage):
+        out = stage(spark, df, "")
+        assert out.columns == df.columns and out.where("Quality <> 'mine' OR _mix <> 'mine'").count() == 0
+        assert Counter(r.doc_id for r in stage(spark, docs, "").select("doc_id").collect()) == Counter(r.doc_id for r in out.select("doc_id").collect())
+    assert Counter(r.doc_id for r in secrets.scan(df).select("doc_id", "_SECRETS" if "_SECRETS" in secrets.scan(df).columns else "_secrets").collect()) == want
+    assert packing.packing_stage(spark, df, "").count() > 0
+
+
 def test_suffix_array():
     r = random.Random(3)
     for k in range(600):
@@ -406,15 +448,15 @@ def test_exact(docs, rows, none, keep):
 
 
 @pytest.mark.parametrize("budget", [1 << 30, 3000, 1])
-def test_patricia(budget):
+def test_patricia(budget, tmp_path):
     r = random.Random(8)
     keys = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))) * r.randint(1, 3) for _ in range(600)]
-    trie = exact.PatriciaTrie(True, budget)
+    trie = exact.PatriciaTrie(True, budget, f"file://{tmp_path}")
     for k, key in enumerate(keys):
         trie.insert(key, k, tag=key.hex())
     got = {key: (o.id, o.rows, o.tag) for key, o in trie.items()}
     assert got == {key: (max(i for i, x in enumerate(keys) if x == key), keys.count(key), key.hex()) for key in keys}
-    assert (trie.spills > 0) == (budget < 1 << 20)
+    assert (trie.spills > 0) == (budget < 1 << 20) and not list(tmp_path.iterdir())
 
 
 def test_packing(docs, rows, none):
