@@ -38,13 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import NON_SPACE, discard, fresh, materialise, ship, table, text_of
 from .graph import components
-from .residual import PAIRS, centres, differences, meetings, reach
+from .residual import MEMBERS, PAIRS, centres, differences, meetings, reach
 
 #: Multipliers of the mixing function (fixed values, splitmix64) and of the words in a shingle.
 MIX_1, MIX_2, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
-#: Bits in a block of the sketch. It is sparse and kept as the places of its set bits, so a
-#: wide block costs nothing, and blocks agree by chance hardly ever.
-BLOCK_BITS = 1 << 40
 
 
 def mix64(x):
@@ -55,38 +52,112 @@ def mix64(x):
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, bounded."""
+#: Bytes of texts that are hashed at once (a longer text is hashed alone).
+SLICE = 1 << 17
 
-    def __init__(self, seed: int, limit: int = 1_000_000):
-        import xxhash
 
-        self.seed, self.limit, self.hash = seed, limit, xxhash.xxh64_intdigest
+class WordBytes:
+    """Tables by byte: its lower case, whether it is white space, and its values by place in a word."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.limit:
-            self.clear()
-        self[word] = h = self.hash(word, self.seed)
-        return h
+    PLACES = 64
 
+    def __init__(self, seed: int):
+        import numpy as np
 
-_WORDS: dict[int, WordHashes] = {}
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32  # A-Z
+        self.space = np.zeros(256, bool)
+        self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self.value = mix64(mix64(np.arange(256 * self.PLACES, dtype=np.uint64) + np.uint64(1)) + np.uint64(seed * STEP & 0xFFFFFFFFFFFFFFFF))
+
+    def words(self, data, ends):
+        """Hashes of the words of texts that end at `ends` in data, and how many each text has."""
+        import numpy as np
+
+        b = self.lower[data]
+        inside = ~self.space[b]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        starts = np.r_[0, ends[:-1]]
+        starts = starts[starts < ends]  # of texts that aren't empty
+        first[starts] = inside[starts]
+        at = np.flatnonzero(first)
+        counts = np.diff(np.searchsorted(at, np.r_[0, ends]))
+        if not len(at):
+            return np.empty(0, np.uint64), counts
+        b, first = b[inside], first[inside]
+        heads = np.flatnonzero(first)
+        sizes = np.diff(np.r_[heads, len(b)])
+        place = np.arange(len(b)) - np.repeat(heads, sizes)
+        value = self.value[(place % self.PLACES) * 256 + b]
+        if sizes.max() > self.PLACES:
+            value *= (2 * (place // self.PLACES) + 1).astype(np.uint64)
+        return mix64(np.add.reduceat(value, heads) + sizes.astype(np.uint64) * np.uint64(STEP)), counts
+
+
+_TABLES: dict[int, WordBytes] = {}
+
+
+def _sorted_set(x):
+    import numpy as np
+
+    x.sort()
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def shingle_sets(data, ends, n: int, seed: int) -> Iterator:
+    """For each text in data that ends at `ends`: the sorted distinct 64-bit hashes of its shingles."""
+    import numpy as np
+
+    table_ = _TABLES.setdefault(seed, WordBytes(seed))
+    k = 0
+    while k < len(ends):
+        low = int(ends[k - 1]) if k else 0
+        stop = max(k + 1, int(np.searchsorted(ends, low + SLICE, side="right")))
+        with np.errstate(over="ignore"):
+            h, counts = table_.words(data[low : int(ends[stop - 1])], ends[k:stop] - low)
+            power = np.uint64(1)
+            total = np.full(max(len(h) - n + 1, 0), n, np.uint64)
+            for i in range(n):
+                total += h[i : len(h) - n + 1 + i] * power if len(total) else total
+                power *= np.uint64(STEP)
+            total = mix64(total)
+            at = 0
+            for c in counts.tolist():
+                if c >= n:
+                    yield _sorted_set(total[at : at + c - n + 1].copy())
+                elif c:  # one shingle of all words
+                    few = np.uint64(c)
+                    power = np.uint64(1)
+                    for x in h[at : at + c]:
+                        few, power = few + x * power, power * np.uint64(STEP)
+                    yield mix64(np.array([few], np.uint64))
+                else:
+                    yield np.empty(0, np.uint64)
+                at += c
+        k = stop
+
+
+def column_sets(column, n: int, seed: int) -> Iterator:
+    """shingle_sets() of an Arrow column of texts without nulls, on its bytes as they lie."""
+    import numpy as np
+    import pyarrow as pa
+
+    if not len(column):
+        return iter(())
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return shingle_sets(data[int(offsets[0]) : int(offsets[-1])], offsets[1:] - offsets[0], n, seed)
 
 
 def shingles(text: str, n: int = 5, seed: int = 0):
     """Sorted distinct 64-bit hashes of a text's shingles."""
     import numpy as np
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = _WORDS.setdefault(seed, WordHashes(seed))
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
-    total = np.full(len(words) - k + 1, k, np.uint64)
-    for i in range(k):
-        total = total * np.uint64(STEP) + mix64(h[i : len(words) - k + 1 + i] + np.uint64(i + 1))
-    return np.unique(mix64(total))
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return next(shingle_sets(data, np.array([len(data)]), n, seed))
 
 
 class Bands:
@@ -131,8 +202,10 @@ FOLD = 8
 
 
 def block_keys(s, bands: Bands):
-    """The keys of the blocks that the set s sends, and {band: small sketch}. A small sketch
-    folds each block's bits to FOLD parities: its Hamming distance is a bound, too."""
+    """The keys of the blocks that the set s sends, and {band: small sketch}. A block is a range of
+    the hashes and holds the exclusive or of those in it: the parities of 2^64 places for each
+    block, kept by their sum. A small sketch folds each block's shingles to FOLD parities: its
+    Hamming distance is a bound, too."""
     import numpy as np
 
     out, small = [], {}
@@ -141,38 +214,29 @@ def block_keys(s, bands: Bands):
         send = t + bands.shared(k)
         if t == 0:
             continue  # only equal sets are linked
-        h = mix64(s + np.uint64(STEP * (k + 1) & 0xFFFFFFFFFFFFFFFF))
-        # Block from the high bits, bit in it from the low 40.
-        code = ((h >> np.uint64(41)) % np.uint64(m) << np.uint64(40)) | (h & np.uint64(BLOCK_BITS - 1))
-        code.sort()
-        if len(code) > 1 and (code[1:] == code[:-1]).any():  # parity
-            code, times = np.unique(code, return_counts=True)
-            code = code[times & 1 == 1]
-        block = (code >> np.uint64(40)).astype(np.int64)
+        block = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # in order, as s is
         bits = np.bincount(block, minlength=m)
         value = np.zeros(m, np.uint64)
-        if len(code):
-            starts = np.flatnonzero(bits)
-            value[starts] = np.bitwise_xor.reduceat(mix64(code + np.uint64(STEP)), (np.cumsum(bits) - bits)[starts])
+        starts = np.flatnonzero(bits)
+        value[starts] = np.bitwise_xor.reduceat(s, (np.cumsum(bits) - bits)[starts])
         least = np.partition(bits, m - send)[m - send]  # at least so many blocks have as many bits
         sent = np.flatnonzero(bits >= least)
         key = mix64(value[sent] ^ mix64(sent.astype(np.uint64) + np.uint64((k + 1) << 32)))
         out.append(key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.uint64(k))
-        folded = np.bincount(block * FOLD + (code & np.uint64(FOLD - 1)).astype(np.int64), minlength=m * FOLD)
+        folded = np.bincount(block * FOLD + (s & np.uint64(FOLD - 1)).astype(np.int64), minlength=m * FOLD)
         small[k] = np.packbits(folded & 1).tobytes()
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), small
 
 
 def identity(s) -> tuple[int, int]:
-    """Two 64-bit names of a set: the node id, and a check on it."""
+    """Two 64-bit names of a set, from the exclusive or and from the sum of its hashes: the node id,
+    and a check on it."""
     import numpy as np
 
     if not len(s):
         return 0, 0
-    with np.errstate(over="ignore"):
-        a = int(mix64(np.bitwise_xor.reduce(mix64(s + np.uint64(1))) + np.uint64(len(s))))
-        b = int(np.add.reduce(mix64(s ^ np.uint64(STEP))))
-    return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
+    a, b = mix64(np.array([np.bitwise_xor.reduce(s), np.add.reduce(s)]) + np.uint64(len(s))).view(np.int64).tolist()
+    return a, b
 
 
 SETS = "doc_id long, spot long, tag string, n long, cid long, check long, keys array<long>, band int, sketch binary, next_sketch binary"
@@ -185,8 +249,7 @@ def _sets(batches: Iterable, n: int, seed: int, threshold: Fraction, node_bits:
     bands, seen = Bands(threshold), set()
     for b in batches:
         sizes, cids, checks, keys, ends, band, sketch, after = [], [], [], [], [0], [], [], []
-        for text in b.column(1).to_pylist():
-            s = shingles(text, n, seed)
+        for s in column_sets(b.column(1), n, seed):
             cid, check = identity(s)
             cid &= (1 << node_bits) - 1 if node_bits < 64 else -1
             new = len(s) and (cid, check) not in seen  # equal sets of a task send their keys once
@@ -280,8 +343,7 @@ def _blobs(batches: Iterable, n: int, seed: int) -> Iterator:
 
     for b in batches:
         rows = []
-        for text, cid, check in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            s = shingles(text, n, seed)
+        for s, cid, check in zip(column_sets(b.column(0), n, seed), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             if identity(s)[1] == check:
                 rows.append((cid, len(s), s.tobytes()))
         if rows:
@@ -459,12 +521,12 @@ class Join:
                 return comp
             keyed = self.keep(self.rooted(meetings(diffs, beyond, t), "node", comp, "comp"), "jaccard-meetings")
             met = keyed.groupBy("key").agg(F.count_if("left").alias("lefts"), F.count_if("right").alias("rights"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-            met = self.keep(met.where("a <> b AND lefts > 0 AND rights > 0").select("key", (F.col("lefts") * F.col("rights")).alias("pairs")), "jaccard-met")
-            few = keyed.join(met.where(F.col("pairs") <= self.pairs).select("key"), "key").join(diffs.select("g", "node", "n", "sketch"), ["g", "node"])
+            met = self.keep(met.where("a <> b AND lefts > 0 AND rights > 0").select("key", ((F.col("lefts") * F.col("rights") <= self.pairs) & (F.col("lefts") + F.col("rights") <= MEMBERS)).alias("small")), "jaccard-met")
+            few = keyed.join(met.where("small").select("key"), "key").join(diffs.select("g", "node", "n", "sketch"), ["g", "node"])
             pairs = self.compared(few, "jaccard-pairs")
             if not pairs.isEmpty():
                 comp = self.grown(comp, self.verify(pairs, blobs.withColumnRenamed("node", "cid"), "jaccard-links"))
-            groups = keyed.join(met.where(F.col("pairs") > self.pairs).select("key"), "key").select(F.col("key").alias("g"), "node").distinct()
+            groups = keyed.join(met.where(~F.col("small")).select("key"), "key").select(F.col("key").alias("g"), "node").distinct()
             level += 1
 
     def links(self) -> DataFrame:

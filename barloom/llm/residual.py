@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Members of a group whose majority is its centre, about.
-SAMPLE = 256
-#: Most left x right members of a group that are compared in place.
-PAIRS = 4096
+SAMPLE = 32
+#: Most left x right members of a group that are compared in place, and most members.
+PAIRS, MEMBERS = 1 << 16, 1 << 10
 
 
 def most_gap(threshold: Fraction) -> Fraction:
