@@ -30,6 +30,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(odd)}
 
 
+_PACK = [struct.Struct(f"<{k}I").pack for k in range(17)]
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return _PACK[len(ids)](*ids) if len(ids) < 17 else struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Pieces(dict):
+    """Ids by piece; a new piece is encoded, with `lead` before it, when it is first asked for."""
+
+    def __init__(self, learn, lead: str):
+        self.learn, self.lead = learn, lead
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.learn(piece, self.lead, self)
+        return ids
+
+
 class PieceEncoder:
     """Little-endian unsigned 32-bit ids of whole texts. `limit` bounds the cached pieces."""
 
@@ -38,53 +57,34 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.special = {mark: struct.pack("<I", k) for mark, k in special.items()}
+        self.special = {mark: packed([k]) for mark, k in special.items()}
         self.at_marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         #: Cuts that leave the space before a mark with what precedes it.
         self.safe_cut = re.compile(r"(?= (?!" + "|".join(map(re.escape, special)) + r")\S)") if special else _SAFE_CUT
         self.spaced = '"</w>"' not in str(self.tokenizer.model)[:400]
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.limit = limit
-        self.first: dict[str, bytes] = {"": b""}
-        self.rest: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.first = _Pieces(self._learn, "")
+        self.rest = _Pieces(self._learn, " ") if self.spaced else self.first
+        self.marks = _Pieces(lambda piece, lead, cache: self._ids(piece), "")
         self.newline = self._ids("\n") if self.spaced else b""
-        if not self.spaced:
-            self.rest = self.first
+        self.first[""] = b""
 
     def _ids(self, word: str) -> bytes:
         """Ids of one pre-token, by the tokenizer's model alone."""
-        letters = word.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, cache: dict[str, bytes], pieces: list[str], lead: str) -> None:
-        hard = []
-        for piece in pieces:
-            stem = piece.rstrip(_MARKS)
-            # Letters below U+0250 are one pre-token, and lower-casing them needs no context.
-            if stem.isalpha() and max(stem) < "\u0250" and (self.spaced or stem.lower().isalpha()):
-                ids = cache.get(stem)
-                if ids is None:
-                    ids = cache[stem] = self._ids(lead + stem if self.spaced else stem.lower())
-                if len(stem) < len(piece):
-                    tail = piece[len(stem) :]
-                    if tail not in self.marks:
-                        self.marks[tail] = self._ids(tail)
-                    cache[piece] = ids + self.marks[tail]
-            elif "\n" in piece and self.spaced and piece.split() == (lines := piece.split("\n")):
-                # A single line end between non-spaces is a pre-token; the next has no space before it.
-                new = [x for x in lines[1:] if x not in self.first]
-                if new:
-                    self._learn(self.first, new, "")
-                if lines[0] not in cache:
-                    self._learn(cache, lines[:1], lead)
-                cache[piece] = self.newline.join([cache[lines[0]], *(self.first[x] for x in lines[1:])])
-            else:
-                hard.append(piece)
-        if hard:
-            for piece, e in zip(hard, self.tokenizer.encode_batch_fast([lead + p for p in hard], add_special_tokens=False), strict=True):
-                cache[piece] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return packed([t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+
+    def _learn(self, piece: str, lead: str, cache: _Pieces) -> bytes:
+        stem = piece.rstrip(_MARKS)
+        # Letters below U+0250 are one pre-token, and lower-casing them needs no context.
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250") and (self.spaced or stem.lower().isalpha()):
+            if len(stem) < len(piece):
+                return cache[stem] + self.marks[piece[len(stem) :]]
+            return self._ids(lead + stem if self.spaced else stem.lower())
+        if "\n" in piece and self.spaced and piece.split() == (lines := piece.split("\n")):
+            # A single line end between non-spaces is a pre-token; the next has no space before it.
+            return self.newline.join([cache[lines[0]], *(self.first[x] for x in lines[1:])])
+        return packed(self.tokenizer.encode(lead + piece, add_special_tokens=False).ids)
 
     def pieces(self, text: str) -> tuple[str, list[str]]:
         """The first piece, and the others without the space before them."""
@@ -100,23 +100,11 @@ class PieceEncoder:
 
     def lookup(self, head: str, tail: list[str]) -> list[bytes]:
         """The ids of each piece, the first included."""
-        lead = self.first.get(head)
-        if lead is None:
-            if len(self.first) > self.limit:
-                self.first.clear()
-                self.first[""] = b""
-            self._learn(self.first, [head], "")
-            lead = self.first[head]
-        known = self.rest
-        try:
-            return [lead, *map(known.__getitem__, tail)]
-        except KeyError:
-            if len(known) + len(self.first) > self.limit:
-                known.clear()
-                self.first.clear()
-                self.first[""] = b""
-            self._learn(known, [p for p in dict.fromkeys(tail) if p not in known], " " if self.spaced else "")
-            return [lead, *map(known.__getitem__, tail)]
+        if len(self.rest) + len(self.first) > self.limit:
+            self.rest.clear()
+            self.first.clear()
+            self.first[""] = b""
+        return [self.first[head], *map(self.rest.__getitem__, tail)]
 
     def encode(self, text: str) -> bytes:
         if any(mark in text for mark in self.special):
