@@ -106,7 +106,7 @@ def _cdf_sql(x: str) -> str:
     return f"CASE WHEN {x} >= 0 THEN 1 - {up} ELSE {up} END"
 
 
-@query("g32_deflated_sharpe", f"WITH {TRADES}, s AS (SELECT symbol, avg(return_pct) / stddev_samp(return_pct) AS sr, CAST(count(*) AS DOUBLE) AS n FROM trades GROUP BY 1), z AS (SELECT symbol, (sr - sqrt(2 * ln(50.0)) / sqrt(n)) / sqrt((1 - 0.3 * sr + (1.2 - 1) / 4 * sr * sr) / n) AS z, (sr - sqrt(2 * ln(50.0)) / sqrt(n)) / sqrt((1 - sr * sr / 4) / n) AS z0 FROM s) SELECT symbol, round({_cdf_sql('z')}, 6) AS dsr_shaped, round({_cdf_sql('z0')}, 6) AS dsr FROM z")
+@query("g32_deflated_sharpe", f"WITH {TRADES}, s AS (SELECT symbol, avg(return_pct) / stddev_samp(return_pct) AS sr, CAST(count(*) AS DOUBLE) AS n FROM trades GROUP BY 1), z AS (SELECT symbol, (sr - sqrt(2 * ln(50.0)) / sqrt(n)) / sqrt(greatest((1 - 0.3 * sr + (1.2 - 1) / 4 * sr * sr) / n, 1e-12)) AS z, (sr - sqrt(2 * ln(50.0)) / sqrt(n)) / sqrt(greatest((1 - sr * sr / 4) / n, 1e-12)) AS z0 FROM s) SELECT symbol, round({_cdf_sql('z')}, 6) AS dsr_shaped, round({_cdf_sql('z0')}, 6) AS dsr FROM z")
 def g32(spark, sf_dir):
     s = trades(spark, sf_dir).groupBy("symbol").agg(M.sharpe(F.col("return_pct")).alias("sr"), F.count("*").cast("double").alias("n"))
     return s.select("symbol", r6(M.deflated_sharpe(F.col("sr"), F.col("n"), 50, 0.3, 1.2), "dsr_shaped"), r6(M.deflated_sharpe(F.col("sr"), F.col("n"), 50), "dsr"))
