@@ -5,8 +5,8 @@ differ in no more bits than their sets differ in elements, so the Hamming distan
 bound of the symmetric difference. Sets with a Jaccard similarity of t or more differ in at most
 (1-t)/(1+t) of their summed sizes. For each size band that gives the most differing bits, T.
 The sketch of a band is cut into more than T + r blocks, so a linked pair agrees on r of them
-(pigeonhole). A set sends the blocks with the most bits set, at least T + r of them: of the blocks
-that both sets hold alike, r at least are among the sent ones of either set. So of the blocks
+(pigeonhole). A set sends the T + r blocks with the most bits set (of equal ones by a hash of place
+and content): of the blocks that both sets hold alike, r at least are sent by both. So of the blocks
 that others sent, too, a set needs all but r - 1: it leaves out those that most sets sent, and
 a set that shares fewer than r is linked with none. Sets also meet in the next band if they can
 reach into it.
@@ -189,7 +189,7 @@ class Bands:
 
     def shared(self, k: int) -> int:
         """r: the blocks that a linked pair of the band shares at least."""
-        return 2 + self.most(k) // 6
+        return 2 + self.most(k) // 8
 
     def blocks(self, k: int) -> int:
         return (self.most(k) + self.shared(k)) * 13 // 10 + 1
@@ -219,9 +219,11 @@ def block_keys(s, bands: Bands):
         value = np.zeros(m, np.uint64)
         starts = np.flatnonzero(bits)
         value[starts] = np.bitwise_xor.reduceat(s, (np.cumsum(bits) - bits)[starts])
-        least = np.partition(bits, m - send)[m - send]  # at least so many blocks have as many bits
-        sent = np.flatnonzero(bits >= least)
-        key = mix64(value[sent] ^ mix64(sent.astype(np.uint64) + np.uint64((k + 1) << 32)))
+        key = mix64(value ^ mix64(np.arange(m, dtype=np.uint64) + np.uint64((k + 1) << 32)))
+        # The order of a block depends on its place and content alone, so both sets of a pair have
+        # the blocks that they hold alike in one order.
+        order = bits.astype(np.uint64) << np.uint64(44) | key >> np.uint64(20)
+        key = key[np.argpartition(order, m - send)[m - send :]]
         out.append(key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.uint64(k))
         folded = np.bincount(block * FOLD + (s & np.uint64(FOLD - 1)).astype(np.int64), minlength=m * FOLD)
         small[k] = np.packbits(folded & 1).tobytes()
