@@ -279,7 +279,8 @@ def _sets(batches: Iterable, n: int, seed: int, threshold: Fraction, node_bits:
 
 
 def _close(batches: Iterable, threshold: Fraction) -> Iterator:
-    """Of pairs with small sketches of one band, those whose Hamming distance allows a link."""
+    """Of rows (u, v, nu, nv, su, sv) with small sketches of one band, the pairs whose Hamming
+    distance allows a link."""
     import numpy as np
     import pyarrow as pa
 
@@ -288,7 +289,7 @@ def _close(batches: Iterable, threshold: Fraction) -> Iterator:
         nu, nv = (b.column(k).to_numpy() for k in (2, 3))
         most = (nu + nv) * gap.numerator // gap.denominator
         far = [int(np.bitwise_count(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).sum()) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(6)], names=["u", "v", "shared"]).filter(pa.array(np.array(far) <= most))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(np.array(far) <= most))
 
 
 def _across(batches: Iterable, threshold: Fraction) -> Iterator:
@@ -467,15 +468,15 @@ class Join:
         return df.select(F.col("cu").alias("u"), F.col("cv").alias("v")) if roots else df.drop("cu", "cv")
 
     def stars(self) -> DataFrame:
-        """u, v, shared: members and leaders that sizes and small sketches allow to be linked."""
+        """u, v: members and leaders that sizes and small sketches allow to be linked."""
         t = self.threshold
         band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
-        pairs = self.met.groupBy(F.col("node").alias("u"), F.col("leader").alias("v"), band.alias("band")).agg(F.count("*").alias("shared"))
+        pairs = self.met.select(F.col("node").alias("u"), F.col("leader").alias("v"), band.alias("band")).distinct()
         side = lambda k: self.sketches.select(F.col("cid").alias(k), "band", F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         df = pairs.join(side("u"), ["u", "band"]).join(side("v"), ["v", "band"])
         df = df.where((F.col("nu") * t.denominator >= F.col("nv") * t.numerator) & (F.col("nv") * t.denominator >= F.col("nu") * t.numerator))
-        near = df.select("u", "v", "nu", "nv", "su", "sv", "shared").mapInArrow(lambda it: _close(it, t), "u long, v long, shared long")
-        return self.keep(near.groupBy("u", "v").agg(F.sum("shared").alias("shared")), "jaccard-stars")
+        near = df.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(lambda it: _close(it, t), "u long, v long")
+        return self.keep(near.distinct(), "jaccard-stars")
 
     def mixed(self, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
         """key, node, comp of the block members, and key, size of the blocks whose members are
@@ -507,9 +508,7 @@ class Join:
         t, level = self.threshold, 0
         blobs = blobs.withColumnRenamed("cid", "node")
         while True:
-            labelled = self.keep(self.rooted(groups, "node", comp, "comp"), "jaccard-groups")
-            open_ = labelled.groupBy("g").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("g")
-            groups = self.keep(labelled.select("g", "node").join(open_, "g").join(blobs.select("node", "n"), "node"), "jaccard-open")
+            groups = self.keep(groups.join(blobs.select("node", "n"), "node"), "jaccard-groups")
             if groups.isEmpty():
                 return comp
             sizes = self.keep(groups.groupBy("g").agg(F.count("*").alias("size"), F.max("n").alias("widest")), "jaccard-sizes")
@@ -536,16 +535,12 @@ class Join:
         stars = self.stars()
         ends = lambda df: df.select(F.col("u").alias("cid")).union(df.select(F.col("v").alias("cid")))
         blobs = self.fetch(ends(stars).distinct())
-        top = stars.groupBy("u").agg(F.max_by("v", F.struct("shared", F.col("v"))).alias("v"))
-        comp = components(self.verify(top, blobs, "jaccard-links-1"), self.temps)
-        more = self.keep(self.across(stars.select("u", "v"), comp), "jaccard-pairs-2")
-        if not more.isEmpty():
-            comp = self.grown(comp, self.verify(more, blobs, "jaccard-links-2"))
+        comp = components(self.verify(stars, blobs, "jaccard-links"), self.temps)
         labelled, mixed = self.mixed(comp)
         small = labelled.join(mixed.where(F.col("size") <= self.block).select("key"), "key").withColumn("band", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int"))
         small = small.join(self.sketches.withColumnRenamed("cid", "node"), ["node", "band"]).withColumns({"left": F.lit(True), "right": F.lit(True)})
         known = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        rest = self.keep(self.compared(small, "jaccard-crossing").join(known, ["u", "v"], "left_anti"), "jaccard-pairs-3")
+        rest = self.keep(self.compared(small, "jaccard-crossing").join(known, ["u", "v"], "left_anti"), "jaccard-rest")
         # Larger blocks with members in common are one group, so each node has one place in them.
         large = self.met.join(mixed.where(F.col("size") > self.block).select("key"), "key").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
         places = components(large, self.temps)
@@ -554,7 +549,7 @@ class Join:
         if wanted.isEmpty():
             return comp
         blobs = self.fetch(wanted)
-        comp = self.grown(comp, self.verify(rest, blobs, "jaccard-links-3"))
+        comp = self.grown(comp, self.verify(rest, blobs, "jaccard-more-links"))
         return self.resolved(groups, comp, blobs)
 
     def nodes(self) -> DataFrame:
