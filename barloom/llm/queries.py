@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edits, exact, jaccard, mixing, oracles, packing, quality, records, secrets, suffix, warc
+from . import divergence, edits, exact, jaccard, mixing, oracles, packing, quality, records, secrets, suffix, warc
 
 def pipeline(spark, sf_dir: str):
     import corpus_pipeline
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_patricia_dedup": exact.op8_query,
     "op9_tier_packing": packing.op9_query,
     "op10_parity_sketch_join": jaccard.op10_query,
+    "op11_source_divergence": divergence.op11_query,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
@@ -31,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op5_secret_trigrams": oracles.secrets_sql(),
     "op8_patricia_dedup": exact.ORACLE,
     "op10_parity_sketch_join": oracles.JACCARD,
+    "op11_source_divergence": divergence.ORACLE,
 }
