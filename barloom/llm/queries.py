@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, edits, exact, jaccard, mixing, oracles, packing, quality, records, secrets, suffix, warc
+from . import centroids, divergence, edits, exact, jaccard, mixing, oracles, packing, quality, records, secrets, suffix, warc
 
 def pipeline(spark, sf_dir: str):
     import corpus_pipeline
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_tier_packing": packing.op9_query,
     "op10_parity_sketch_join": jaccard.op10_query,
     "op11_source_divergence": divergence.op11_query,
+    "op12_centroid_screening": centroids.op12_query,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
@@ -33,4 +34,5 @@ ORACLES: dict[str, str] = {
     "op8_patricia_dedup": exact.ORACLE,
     "op10_parity_sketch_join": oracles.JACCARD,
     "op11_source_divergence": divergence.ORACLE,
+    "op12_centroid_screening": centroids.ORACLE,
 }
