@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, divergence, edits, exact, jaccard, mixing, oracles, packing, quality, records, secrets, suffix, warc
+from . import centroids, divergence, edits, exact, forest, jaccard, mixing, oracles, packing, quality, records, secrets, suffix, warc
 
 def pipeline(spark, sf_dir: str):
     import corpus_pipeline
@@ -23,6 +23,7 @@ QUERIES = {
     "op10_parity_sketch_join": jaccard.op10_query,
     "op11_source_divergence": divergence.op11_query,
     "op12_centroid_screening": centroids.op12_query,
+    "op13_projection_forest": forest.op13_query,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
