@@ -7,7 +7,9 @@ next position that passes them all (a gzip member, or a version line in a plain
 there and reports the bytes between as a quarantined gap. Within a gzip member it searches the
 inflated bytes, and of a member that is cut off it keeps the complete records; a member that
 fails gzip's own checks is a gap as a whole. Gaps are rows of the result, and the workers log
-each. A task holds one file at a time, and headers end within MOST_HEADER bytes.
+each. A task holds one file at a time. Headers may have any length where a record is due: at the start
+of a file or member, and after a valid record. At places that are only searched in damaged bytes they must
+end within MOST_HEADER bytes, else every false start would read on.
 
 Defined results: records of other writers have no page_id unless their id is of this form
 (record_id has it as written); of other types than HTTP ones the payload is the block; a length
@@ -36,7 +38,7 @@ from .common import materialise, open_fs, scan_partitions, scratch, ship, table,
 URN = "urn:barloom:page:"
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
-#: Bytes in which a record's header ends.
+#: Bytes in which the header of a record that was searched for ends.
 MOST_HEADER = 1 << 20
 
 
@@ -102,11 +104,11 @@ class Damaged(Exception):
     pass
 
 
-def _parse(data: bytes, at: int) -> tuple[Record, int]:
-    """The record that starts at `at` of plain data, and where it ends."""
+def _parse(data: bytes, at: int, due: bool) -> tuple[Record, int]:
+    """The record that starts at `at` of plain data, and where it ends. due: whether it must start there."""
     if not data.startswith(b"WARC/1.", at):
         raise Damaged("no version line")
-    stop = data.find(END, at, at + MOST_HEADER)
+    stop = data.find(END, at) if due else data.find(END, at, at + MOST_HEADER)
     if stop < 0:
         raise Damaged("header without end")
     try:
@@ -147,7 +149,7 @@ def _member(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
     out, pos, hole, reason, first = [], 0, None, "", ""
     while pos < len(plain):
         try:
-            r, after = _parse(plain, pos)
+            r, after = _parse(plain, pos, hole is None)
         except Damaged as e:
             if hole is None:
                 hole, reason = pos, str(e)
@@ -180,7 +182,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             if zipped:
                 found, end = _member(data, at)
             else:
-                r, end = _parse(data, at)
+                r, end = _parse(data, at, gap is None)
                 found = [r]
         except Damaged as e:
             if gap is None:
