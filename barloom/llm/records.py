@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, open_fs, scan_partitions, scratch, ship, table, text_of
-from .tokens import encoder, public_path
+from .tokens import encoder, largest_id, public_path
 
 #: Added to a rotated checksum (fixed value).
 MASK_DELTA = 0xA282EAD8
@@ -61,7 +61,12 @@ def unframe(f, where: str) -> bytes | None:
 def payload_of(doc_id: int | None, ids: bytes, width: int) -> bytes:
     import numpy as np
 
-    body = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
+    body = ids
+    if width == 2:
+        wide = np.frombuffer(ids, "<u4")
+        if wide.max(initial=0) > 0xFFFF:
+            raise ValueError(f"id {wide.max()} doesn't fit two bytes")
+        body = wide.astype("<u2").tobytes()
     return META.pack(doc_id is not None, width, doc_id or 0) + body
 
 
@@ -128,12 +133,12 @@ def _write(batches: Iterable, folder: str, path: str, eos: int, width: int) -> I
     yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "index_path": name + ".idx", "n_records": len(offsets), "n_tokens": tokens, "n_bytes": at}])
 
 
-def write(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *, eos: int = 2, vocabulary: int = 50_257, partitions: int | None = None) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *, eos: int = 2, vocabulary: int | None = None, partitions: int | None = None) -> DataFrame:
     """Write the ids of docs in ascending order of id; the manifest, one row for each file.
-    Ids take two bytes where the vocabulary allows."""
+    Ids take two bytes where the vocabulary (by default the tokenizer's) and eos allow; one that doesn't fit raises."""
     spark = docs.sparkSession
     ship(spark)
-    width = 2 if vocabulary <= 1 << 16 else 4
+    width = 2 if max(largest_id(tokenizer_path) if vocabulary is None else vocabulary - 1, eos) < 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange(partitions or scan_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")

@@ -126,3 +126,10 @@ def public_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def largest_id(path: str) -> int:
+    """The largest id that a tokenizer gives, special ones too."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
