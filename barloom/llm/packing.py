@@ -17,7 +17,7 @@ longest window is cut, never shortened.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right, insort
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -38,15 +38,31 @@ class TierPacker:
             raise ValueError("tiers must be powers of two")
         self.longest = self.tiers[-1]
         self.flush_tokens, self.step_tokens = flush_tokens, step_tokens
-        #: Sorted (length, order, document, start) of what waits, all tiers together.
-        self.waiting: list[tuple] = []
-        self.tokens = self.order = self.groups = 0
+        #: What waits, (document, start) by length in order of arrival; the bits of `lengths` are those in use.
+        self.waiting: list[deque] = [deque() for _ in range(self.longest + 1)]
+        self.lengths = self.tokens = self.groups = 0
 
     def _wait(self, doc, start: int, length: int) -> None:
-        self.order += 1
-        insort(self.waiting, (length, self.order, doc, start), key=lambda x: (x[0], -x[1]))
+        self.waiting[length].append((doc, start))
+        self.lengths |= 1 << length
         self.tokens += length
 
+    def _take(self, most: int) -> tuple | None:
+        """The longest piece of at most that length, of equal ones the first; None without one."""
+        length = (self.lengths & ((2 << most) - 1)).bit_length() - 1
+        return self._taken(length, self.waiting[length].popleft()) if length >= 0 else None
+
+    def _take_shortest(self) -> tuple | None:
+        """The shortest piece, of equal ones the last; None without one."""
+        length = (self.lengths & -self.lengths).bit_length() - 1
+        return self._taken(length, self.waiting[length].pop()) if length >= 0 else None
+
+    def _taken(self, length: int, piece: tuple) -> tuple:
+        if not self.waiting[length]:
+            self.lengths ^= 1 << length
+        self.tokens -= length
+        return (length, *piece)
+
     def add(self, doc, length: int) -> Iterator[tuple]:
         """Windows that became complete: (window, group, [(doc, start, length), ...])."""
         start = 0
@@ -63,12 +79,12 @@ class TierPacker:
 
     def finish(self) -> Iterator[tuple]:
         done = self._windows()
-        rest, self.waiting = self.waiting, []
-        left, self.tokens = self.tokens, 0
+        left = self.tokens
         window, filled = [], 0
         size = 1 << (left.bit_length() - 1) if left else 0
         size = min(size, self.longest)
-        for length, _, doc, start in reversed(rest):
+        while piece := self._take(self.longest):
+            length, doc, start = piece
             while length:
                 take = min(length, size - filled)
                 window.append((doc, start, take))
@@ -84,23 +100,18 @@ class TierPacker:
 
     def _windows(self) -> list[tuple]:
         done, held = [], []
-        while self.waiting:
-            length, _, doc, start = self.waiting.pop()
+        while piece := self._take(self.longest):
+            length, doc, start = piece
             size = self._tier(length)
-            if self.tokens < size:  # can't be completed with what waits
-                held.append((length, _, doc, start))
-                self.tokens -= length
+            if self.tokens + length < size:  # can't be completed with what waits
+                held.append(piece)
                 continue
-            self.tokens -= length
             window, gap = [(doc, start, length)], size - length
             while gap:
-                k = bisect_right(self.waiting, gap, key=lambda x: x[0])
-                if k:  # the largest that fits
-                    n, _, d, s = self.waiting.pop(k - 1)
-                    self.tokens -= n
-                elif self.waiting:  # none fits: cut the shortest
-                    whole, _, d, s = self.waiting.pop(0)
-                    self.tokens -= whole
+                if piece := self._take(gap):
+                    n, d, s = piece
+                elif piece := self._take_shortest():  # none fits: cut the shortest
+                    whole, d, s = piece
                     n = gap
                     self._wait(d, s + n, whole - n)
                 else:
@@ -108,7 +119,7 @@ class TierPacker:
                 window.append((d, s, n))
                 gap -= n
             done.append((size, window))
-        for length, _, doc, start in held:
+        for length, doc, start in held:
             self._wait(doc, start, length)
         return done
 
