@@ -90,9 +90,15 @@ class WordBytes:
         sizes = np.diff(np.r_[heads, len(b)])
         place = np.arange(len(b)) - np.repeat(heads, sizes)
         value = self.value[(place % self.PLACES) * 256 + b]
-        if sizes.max() > self.PLACES:
-            value *= (2 * (place // self.PLACES) + 1).astype(np.uint64)
-        return mix64(np.add.reduceat(value, heads) + sizes.astype(np.uint64) * np.uint64(STEP)), counts
+        if sizes.max() > self.PLACES:  # a long word is the sum of its runs; all but the first are mixed with their place
+            runs = np.flatnonzero(place % self.PLACES == 0)
+            run = np.add.reduceat(value, runs)
+            late = np.flatnonzero(place[runs])
+            run[late] = mix64(mix64(run[late]) + (place[runs[late]] // self.PLACES).astype(np.uint64) * np.uint64(STEP))
+            total = np.add.reduceat(run, np.searchsorted(runs, heads))
+        else:
+            total = np.add.reduceat(value, heads)
+        return mix64(total + sizes.astype(np.uint64) * np.uint64(STEP)), counts
 
 
 _TABLES: dict[int, WordBytes] = {}
