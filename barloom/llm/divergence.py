@@ -4,8 +4,8 @@
    counts documents and, by source, occurrences. A trie beyond `budget` counters is walked, sent
    and begun anew, so a task's memory is bounded.
 2. What the walks give is cut into ranges of (language, prefix); a task merges the tries of its range
-   in a trie of its own. A range comes in order, so a trie beyond the budget is walked and begun
-   anew there, too. A frequent term is one leaf a trie, however often it occurs.
+   in a trie of its own, of the terms that stay. A range comes in order, so a trie beyond the budget is
+   walked and begun anew there, too. A frequent term is one leaf a trie, however often it occurs.
 3. The merged tries with the terms that a language keeps are written. Sums over them give each
    source's N and V; a second walk, a range a task, streams what each term adds to the pairs of
    sources, and holds the best `top` candidates of a source, ties in the order of the walk.
@@ -21,14 +21,15 @@ are not read, so their names can't clash.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, open_fs, scan_partitions, ship, table
-from .tries import Trie
+from .tries import Trie, summed, tallied
 
 #: Scale of p, and what is added to each count (fixed values).
 SCALE, ADDED = 1_000_000_000, 5
@@ -39,7 +40,7 @@ PARTS = "lang string, a int, b int, term binary, value long"
 #: Bytes to term bytes: A-Z lower-cased, other letters and all bytes of wider characters kept, else a space.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-#: Words that a task gathers before they go to its tries.
+#: Words that a task gathers before it counts them.
 GATHERED = 1 << 21
 
 
@@ -52,97 +53,134 @@ def _file_rows(path: str) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-class _Leaves:
-    """Rows of leaves, a record batch at a time."""
+def _leaves(lang: str, trie: Trie, least: int = 0, rows: int = 1 << 15) -> Iterator:
+    """The leaves of a trie in order, as record batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    terms, docs, sizes, sids, counts = trie.columns()
+    ends = np.cumsum(sizes)
+    kept = np.flatnonzero(docs >= least)
+    for at in range(0, len(kept), rows):
+        own = kept[at : at + rows]
+        mine = np.repeat(ends[own] - sizes[own], sizes[own])
+        offsets = np.r_[0, np.cumsum(sizes[own])]
+        mine = mine + np.arange(len(mine)) - np.repeat(offsets[:-1], sizes[own])
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x[mine], t)) for x, t in ((sids, pa.int32()), (counts, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([terms[i] for i in own.tolist()], pa.binary()), pa.array(docs[own]), *lists], ["lang", "term", "docs", "sids", "counts"])
+
+
+class _Language:
+    """The trie of a language in a task. Words gather before they are counted. A dictionary numbers the
+    distinct ones, so the trie is descended once for each, in order of their bytes."""
+
+    def __init__(self, sources: int):
+        self.trie = Trie(sources)
+        self.leaf: defaultdict[bytes, int] = defaultdict()
+        self.leaf.default_factory = self.leaf.__len__
+        self.words, self.rows = [], []
+
+    def add(self, words: list[bytes], sid: int) -> None:
+        import numpy as np
 
-    def __init__(self, rows: int = 8192):
-        self.rows = rows
-        self.held: list[tuple] = []
+        self.words.append(np.fromiter(map(self.leaf.__getitem__, words), np.int64, len(words)))
+        self.rows.append(sid)
 
-    def add(self, lang: str, trie: Trie, least: int = 0) -> Iterator:
-        for term, leaf in trie.walk():
-            if leaf.docs >= least:
-                sids = sorted(leaf.counts)
-                self.held.append((lang, term, leaf.docs, sids, [leaf.counts[s] for s in sids]))
-                if len(self.held) >= self.rows:
-                    yield self.batch()
+    def settle(self) -> None:
+        import numpy as np
 
-    def batch(self):
-        import pyarrow as pa
+        if not self.words:
+            return
+        for term, number in sorted(islice(self.leaf.items(), self.trie.terms, None)):
+            self.trie.leaf(term, number)
+        sizes = np.array([len(w) for w in self.words])
+        leaves, sids, docs = np.concatenate(self.words), np.repeat(self.rows, sizes), np.repeat(np.arange(len(sizes)), sizes)
+        keys, n = tallied(leaves * self.trie.sources + sids)
+        self.trie.add_counts(*np.divmod(keys, self.trie.sources), n)
+        self.trie.add_docs(tallied(leaves * len(sizes) + docs)[0] // len(sizes), 1)
+        self.words, self.rows = [], []
 
-        lang, term, docs, sids, counts = zip(*self.held, strict=True)
-        self.held = []
-        kinds = (pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((lang, term, docs, sids, counts), kinds, strict=True)], ["lang", "term", "docs", "sids", "counts"])
 
-    def rest(self) -> Iterator:
-        if self.held:
-            yield self.batch()
+def _sizes(groups: str) -> tuple[dict[tuple[str, str], int], dict[str, int]]:
+    """The place of each source in its language, and how many a language has."""
+    sid = {(r["lang"], r["source"]): r["sid"] for r in _file_rows(groups)}
+    return sid, Counter(lang for lang, _ in sid)
 
 
 def _count(batches: Iterable, groups: str, budget: int) -> Iterator:
-    """Tries of a task's documents. Words are gathered by group first, so that a trie is descended
-    once for each distinct term of what was gathered."""
-    sid = {(r["lang"], r["source"]): r["sid"] for r in _file_rows(groups)}
-    tries: dict[str, Trie] = {}
-    words: dict[tuple[str, int], Counter] = {}
-    docs: dict[str, Counter] = {}
-    out, gathered = _Leaves(), 0
-
-    def settle() -> None:
-        leaves: dict[str, dict] = {}
-        for lang, seen in docs.items():
-            trie = tries.setdefault(lang, Trie())
-            own = leaves[lang] = {}
-            for term, n in seen.items():
-                leaf = own[term] = trie.leaf(term)
-                leaf.docs += n
-        for (lang, source), seen in words.items():
-            own, made = leaves[lang], 0
-            for term, n in seen.items():
-                counts = own[term].counts
-                if source in counts:
-                    counts[source] += n
-                else:
-                    counts[source] = n
-                    made += 1
-            tries[lang].counters += made
-        words.clear()
-        docs.clear()
+    """Tries of a task's documents."""
+    sid, sizes = _sizes(groups)
+    langs: dict[str, _Language] = {}
+    gathered = 0
 
     for batch in batches:
         for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             found = text.translate(TERM_BYTES).split()
             if not found:
                 continue
-            words.setdefault((lang, sid[lang, source]), Counter()).update(found)
-            docs.setdefault(lang, Counter()).update(set(found))
+            own = langs.get(lang) or langs.setdefault(lang, _Language(sizes[lang]))
+            own.add(found, sid[lang, source])
             gathered += len(found)
             if gathered >= GATHERED:
-                settle()
                 gathered = 0
-                if sum(t.counters for t in tries.values()) >= budget:
-                    for name, trie in tries.items():
-                        yield from out.add(name, trie)
-                    tries.clear()
-    settle()
-    for name, trie in tries.items():
-        yield from out.add(name, trie)
-    yield from out.rest()
-
-
-def _merge(batches: Iterable, least: int, budget: int) -> Iterator:
-    """The merged tries of a range whose rows come in order of (language, term)."""
-    out, lang, trie, last = _Leaves(), None, Trie(), None
+                for own in langs.values():
+                    own.settle()
+                if sum(x.trie.counters for x in langs.values()) >= budget:
+                    for name, own in langs.items():
+                        yield from _leaves(name, own.trie)
+                    langs.clear()
+    for name, own in langs.items():
+        own.settle()
+        yield from _leaves(name, own.trie)
+
+
+def _merge(batches: Iterable, groups: str, least: int, budget: int) -> Iterator:
+    """The merged tries of a range whose rows come in order of (language, term): equal terms stand side by
+    side, and those in fewer than `least` documents are pruned before they enter the trie."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    _, sizes = _sizes(groups)
+    lang, trie = None, Trie(1)
+    #: The last term so far, which may go on: language, term, documents, its (sources, counts).
+    last, docs, parts = None, 0, []
+
+    def enter() -> None:
+        if last and docs >= least:
+            leaf = np.array([trie.leaf(last[1])])
+            trie.add_docs(leaf, docs)
+            sids, n = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            trie.add_counts(np.repeat(leaf, len(sids)), sids, n)
+
     for batch in batches:
-        for name, term, docs, sids, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if name != lang or (trie.counters >= budget and term != last):
-                yield from out.add(lang, trie, least)
-                lang, trie = name, Trie()
-            trie.add(trie.leaf(term), docs, zip(sids, counts, strict=True))
-            last = term
-    yield from out.add(lang, trie, least)
-    yield from out.rest()
+        if not batch.num_rows:
+            continue
+        names, terms = batch.column(0), batch.column(1)
+        change = pc.or_(pc.not_equal(names[1:], names[:-1]), pc.not_equal(terms[1:], terms[:-1]))
+        starts = np.r_[0, np.flatnonzero(change.to_numpy(zero_copy_only=False)) + 1]
+        total = np.add.reduceat(batch.column(2).to_numpy(), starts)
+        width = np.diff(batch.column(3).offsets.to_numpy())
+        ends = np.r_[0, np.cumsum(width)]
+        sids, counts = batch.column(3).flatten().to_numpy().astype(np.int64), batch.column(4).flatten().to_numpy()
+        stops = np.r_[starts[1:], batch.num_rows]
+        here = set(np.flatnonzero(total >= least).tolist()) | {0, len(starts) - 1}
+        for g in sorted(here):
+            row, key = int(starts[g]), (names[int(starts[g])].as_py(), terms[int(starts[g])].as_py())
+            own = slice(ends[row], ends[stops[g]])
+            if key != last:
+                enter()
+                if key[0] != lang or trie.counters >= budget:
+                    if lang is not None:
+                        yield from _leaves(lang, trie, least)
+                    lang, trie = key[0], Trie(sizes[key[0]])
+                last, docs, parts = key, 0, []
+            docs += int(total[g])
+            parts.append((sids[own], counts[own]))
+            if len(parts) > 64:
+                parts = [summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+    enter()
+    if lang is not None:
+        yield from _leaves(lang, trie, least)
 
 
 def scaled(counts, total):
@@ -239,7 +277,7 @@ def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str,
     path = groups.barloom_path
     sent = materialise(rows.mapInArrow(lambda it: _count(it, path, budget), LEAVES), "divergence-tries")
     ranged = sent.repartitionByRange(scan_partitions(spark), "lang", "term").sortWithinPartitions("lang", "term")
-    return groups, materialise(ranged.mapInArrow(lambda it: _merge(it, min_docs, budget), LEAVES), "divergence-merged")
+    return groups, materialise(ranged.mapInArrow(lambda it: _merge(it, path, min_docs, budget), LEAVES), "divergence-merged")
 
 
 def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, min_docs: int = 30, top: int = 50, budget: int = 1 << 20) -> DataFrame:

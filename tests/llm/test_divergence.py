@@ -52,16 +52,21 @@ def result(df):
 
 
 def test_trie():
+    import numpy as np
+
     r = random.Random(3)
     words = [bytes(r.choice(b"ab\xc3\xe6z") for _ in range(r.randint(1, 6))) for _ in range(3000)]
-    trie, want = Trie(), defaultdict(Counter)
+    trie, want = Trie(3), defaultdict(Counter)
     for k, w in enumerate(words):
-        trie.add(trie.leaf(w), 1, [(k % 3, 2)])
+        leaf = np.array([trie.leaf(w)])
+        trie.add_docs(leaf, 1)
+        trie.add_counts(leaf, np.array([k % 3]), np.array([2]))
         want[w][k % 3] += 2
-    got = [(t, n.docs, n.counts) for t, n in trie.walk()]
-    assert [t for t, _, _ in got] == sorted(want)
-    assert all(n == sum(c.values()) // 2 and c == want[t] for t, n, c in got)
-    assert trie.terms == len(want) and trie.counters == sum(map(len, want.values()))
+    terms, docs, sizes, sids, counts = trie.columns()
+    assert terms == sorted(want) and trie.terms == len(want)
+    assert docs.tolist() == [sum(want[t].values()) // 2 for t in terms]
+    assert sizes.tolist() == [len(want[t]) for t in terms]
+    assert list(zip(sids.tolist(), counts.tolist(), strict=True)) == [x for t in terms for x in sorted(want[t].items())]
 
 
 @pytest.mark.parametrize("budget", [1 << 20, 50])
