@@ -4,51 +4,67 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.sources.tape import by_time
-
-BULLISH, RANGE, BEARISH, NOISY = 1, 0, -1, 2
+from barloom.sources.store import settled
 
+from .chunks import carried, framed, numbered
+from .quantiles import quantiles
 
-def back(n: int):
-    return Window.partitionBy("symbol").orderBy("datetime").rowsBetween(-(n - 1), 0)
+BULLISH, RANGE, BEARISH, NOISY = 1, 0, -1, 2
 
 
 def finite(col: Column) -> Column:
     return F.when(F.isnan(col) | (F.abs(col) == float("inf")), None).otherwise(col)
 
 
+def _efficiency(df: DataFrame, w: WindowSpec, lookback: int, name: str) -> DataFrame:
+    frame = w.rowsBetween(-(lookback - 1), 0)
+    df = df.withColumn("_step", F.abs(F.col("close") - F.lag("close").over(w)))
+    path = F.when(F.count("_step").over(frame) == lookback, F.sum("_step").over(frame))
+    return df.withColumn(name, F.try_divide(F.col("close") - F.lag("close", lookback).over(w), F.nullif(path, F.lit(0.0)))).drop("_step")
+
+
+def _range(df: DataFrame, w: WindowSpec, period: int, name: str) -> DataFrame:
+    before, frame = F.lag("close").over(w), w.rowsBetween(-(period - 1), 0)
+    df = df.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+    return df.withColumn(name, F.when(F.count("_tr").over(frame) == period, F.avg("_tr").over(frame))).drop("_tr")
+
+
+def _volatility(df: DataFrame, w: WindowSpec, window: int, name: str) -> DataFrame:
+    before, frame = F.lag("close").over(w), w.rowsBetween(-(window - 1), 0)
+    df = df.withColumn("_lr", F.when((F.col("close") > 0) & (before > 0), F.log(F.col("close") / before)))
+    return df.withColumn(name, F.when(F.count("_lr").over(frame) == window, F.stddev_samp("_lr").over(frame))).drop("_lr")
+
+
 def signed_efficiency(df: DataFrame, lookback: int, name: str = "efficiency") -> DataFrame:
-    step = F.abs(F.col("close") - F.lag("close").over(by_time()))
-    df = df.withColumn("_step", step)
-    path = F.when(F.count("_step").over(back(lookback)) == lookback, F.sum("_step").over(back(lookback)))
-    return df.withColumn(name, F.try_divide(F.col("close") - F.lag("close", lookback).over(by_time()), F.nullif(path, F.lit(0.0)))).drop("_step")
+    return framed(df, lookback, 0, lambda d, w: _efficiency(d, w, lookback, name))
 
 
 def true_range(df: DataFrame, period: int, name: str = "atr") -> DataFrame:
-    before = F.lag("close").over(by_time())
-    df = df.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
-    return df.withColumn(name, F.when(F.count("_tr").over(back(period)) == period, F.avg("_tr").over(back(period)))).drop("_tr")
+    return framed(df, period, 0, lambda d, w: _range(d, w, period, name))
 
 
 def realized_volatility(df: DataFrame, window: int, name: str = "rv") -> DataFrame:
-    before = F.lag("close").over(by_time())
-    df = df.withColumn("_lr", F.when((F.col("close") > 0) & (before > 0), F.log(F.col("close") / before)))
-    return df.withColumn(name, F.when(F.count("_lr").over(back(window)) == window, F.stddev_samp("_lr").over(back(window)))).drop("_lr")
+    return framed(df, window, 0, lambda d, w: _volatility(d, w, window, name))
+
 
+def price_indicators(df: DataFrame, lookback: int, efficiency: str = "efficiency", atr: str = "atr", rv: str = "rv", place: str | None = None) -> DataFrame:
+    """The three above with one lookback, in one pass over the chunks."""
+    return framed(df, lookback, 0, lambda d, w: _volatility(_range(_efficiency(d, w, lookback, efficiency), w, lookback, atr), w, lookback, rv), place=place)
 
-def ema(df: DataFrame, spans: dict[str, int]) -> DataFrame:
+
+def ema(df: DataFrame, spans: dict[str, int], place: str | None = None) -> DataFrame:
     """Exponential means of close by name: y = x at first, then a x + (1 - a) y. The rows of a
-    symbol are cut into blocks; within a block the mean is a weighted running sum, and what the
-    blocks before hand on is a fold over one row a block. So no task holds a symbol's tape."""
+    symbol are numbered and cut into blocks; within a block the mean is a weighted running sum, and
+    what the blocks before hand on is a fold over one row a block. So no task holds a symbol's tape."""
     import math
 
     alpha = {n: 2 / (span + 1) for n, span in spans.items()}
     # Weights within a block stay below 1e200.
     block = min([4096, *(max(1, int(460 / -math.log(1 - a))) for a in alpha.values() if a < 1)])
-    df = df.withColumn("_n", F.row_number().over(by_time()) - 1)
+    df = df.withColumn("_n", F.col(place)) if place else numbered(df, "_n")
     df = df.withColumns({"_block": F.floor(F.col("_n") / block), "_pos": F.col("_n") % block})
     inside = Window.partitionBy("symbol", "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     local = {}
@@ -71,16 +87,17 @@ def ema(df: DataFrame, spans: dict[str, int]) -> DataFrame:
     return out.drop("_n", "_block", "_pos", *(f"_{n}" for n in alpha), *(f"_before_{n}" for n in alpha))
 
 
-def structural_inputs(df: DataFrame, lookback: int) -> DataFrame:
-    """efficiency, spread and rv."""
-    df = ema(df, {"_fast": max(2, lookback // 2), "_slow": max(4, lookback)})
-    df = realized_volatility(true_range(signed_efficiency(df, lookback), lookback, "_atr"), lookback)
+def structural_inputs(df: DataFrame, lookback: int, place: str = "_place") -> DataFrame:
+    """efficiency, spread and rv, and the column place: a row's place in its symbol."""
+    df = ema(numbered(df, place), {"_fast": max(2, lookback // 2), "_slow": max(4, lookback)}, place)
+    df = price_indicators(df, lookback, atr="_atr", place=place)
     return df.withColumn("spread", F.try_divide(F.col("_fast") - F.col("_slow"), F.nullif(F.col("_atr"), F.lit(0.0)))).drop("_fast", "_slow", "_atr")
 
 
 def fit_thresholds(df: DataFrame, q_eff: float = 0.55, q_spread: float = 0.55, q_rv: float = 0.45) -> DataFrame:
-    """One row: pooled exact quantiles, linear between ranks."""
-    return df.agg(F.percentile(F.abs(finite(F.col("efficiency"))), q_eff).alias("eff_t"), F.percentile(F.abs(finite(F.col("spread"))), q_spread).alias("spread_t"), F.percentile(finite(F.col("rv")), q_rv).alias("rv_t"))
+    """One row: pooled exact quantiles, linear between ranks, by distributed selection. Runs jobs."""
+    found = quantiles(df, {"eff_t": (F.abs("efficiency"), q_eff), "spread_t": (F.abs("spread"), q_spread), "rv_t": (F.col("rv"), q_rv)})
+    return df.sparkSession.createDataFrame([tuple(found.values())], "eff_t double, spread_t double, rv_t double")
 
 
 def classify(df: DataFrame, thresholds: DataFrame, name: str = "state") -> DataFrame:
@@ -102,47 +119,53 @@ def higher_bars(tape: DataFrame, width: str, base_per_bar: int, complete: bool =
 
 def as_of(rows: DataFrame, states: DataFrame, at: Column, name: str) -> DataFrame:
     """The last state (symbol, close_time, state) known at a row's time, inclusive; none: noisy.
-    One sort by symbol and time over both sides, no join."""
+    Both sides are sorted by symbol and slot of time, no join of rows; slots hand their last state on."""
     left = rows.withColumn("_t", at).withColumn("_kind", F.lit(1)).withColumn(name, F.lit(None).cast("int"))
     right = states.select("symbol", F.col("close_time").alias("_t"), F.lit(0).alias("_kind"), F.col("state").cast("int").alias(name))
-    w = Window.partitionBy("symbol").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True)
-    both = both.withColumn(name, F.last(name, ignorenulls=True).over(w)).where("_kind = 1")
+    both = carried(left.unionByName(right, allowMissingColumns=True), name, ["_t", "_kind"], "_t").where("_kind = 1")
     return both.withColumn(name, F.coalesce(F.col(name), F.lit(NOISY))).drop("_t", "_kind")
 
 
-def permissions(df: DataFrame, lookback: int = 24, allow_mid_range: bool = True, include_range: bool = True, gate: bool = False) -> DataFrame:
+def permissions(df: DataFrame, lookback: int = 24, allow_mid_range: bool = True, include_range: bool = True, gate: bool = False, place: str | None = None) -> DataFrame:
     """Permission and pullback trigger of both directions from hwc, mwc and lwc states."""
-    prior = Window.partitionBy("symbol").orderBy("datetime").rowsBetween(-lookback, -1)
-    for d, good, bad in (("long", BULLISH, BEARISH), ("short", BEARISH, BULLISH)):
-        mid = F.col("mwc_state").isin(good, RANGE) if allow_mid_range else F.col("mwc_state") == good
-        df = df.withColumn(f"tf_permission_{d}", ((F.col("hwc_state") == good) & mid).cast("int"))
-        mark = F.col("lwc_state").isin(bad, RANGE) if include_range else F.col("lwc_state") == bad
-        mark = mark & (F.col(f"tf_permission_{d}") == 1) if gate else mark
-        df = df.withColumn("_mark", mark.cast("int"))
-        df = df.withColumn(f"lwc_pullback_reversal_{d}", ((F.col("lwc_state") == good) & (F.coalesce(F.sum("_mark").over(prior), F.lit(0)) > 0)).cast("int")).drop("_mark")
-    return df
+    def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
+        prior = w.rowsBetween(-lookback, -1)
+        for d, good, bad in (("long", BULLISH, BEARISH), ("short", BEARISH, BULLISH)):
+            mid = F.col("mwc_state").isin(good, RANGE) if allow_mid_range else F.col("mwc_state") == good
+            df = df.withColumn(f"tf_permission_{d}", ((F.col("hwc_state") == good) & mid).cast("int"))
+            mark = F.col("lwc_state").isin(bad, RANGE) if include_range else F.col("lwc_state") == bad
+            mark = mark & (F.col(f"tf_permission_{d}") == 1) if gate else mark
+            df = df.withColumn("_mark", mark.cast("int"))
+            df = df.withColumn(f"lwc_pullback_reversal_{d}", ((F.col("lwc_state") == good) & (F.coalesce(F.sum("_mark").over(prior), F.lit(0)) > 0)).cast("int")).drop("_mark")
+        return df
+
+    return framed(df, lookback, 0, compute, place=place)
 
 
 def fit_all(tape: DataFrame, lookback: int, mid: tuple[str, int], high: tuple[str, int], fraction: float = 0.65) -> dict[str, DataFrame]:
     """Thresholds of the three timeframes, each fitted on the first part of its own bars."""
-    fit = lambda bars: fit_thresholds(train_prefix(structural_inputs(bars, lookback), fraction))
-    return {"lwc": fit(tape), "mwc": fit(higher_bars(tape, *mid)), "hwc": fit(higher_bars(tape, *high))}
+    return {k: fit_thresholds(train_prefix(x, fraction)) for k, x in timeframes(tape, lookback, mid, high).items()}
+
+
+def timeframes(tape: DataFrame, lookback: int, mid: tuple[str, int], high: tuple[str, int]) -> dict[str, DataFrame]:
+    """The bars of the three timeframes with their structural inputs, stored: several steps read them."""
+    bars = {"lwc": tape, "mwc": higher_bars(tape, *mid), "hwc": higher_bars(tape, *high)}
+    return {k: settled(structural_inputs(x, lookback)) for k, x in bars.items()}
 
 
 def enrich(tape: DataFrame, lookback: int, mid: tuple[str, int], high: tuple[str, int], base_step: str, fraction: float = 0.65, thresholds: dict[str, DataFrame] | None = None, warm_up: bool = True) -> DataFrame:
     """All seven context columns. Thresholds are fitted on each symbol's first part alone, unless
     they are given. warm_up=False leaves out rows whose own indicators aren't there yet."""
-    thresholds = thresholds or fit_all(tape, lookback, mid, high, fraction)
-    own = structural_inputs(tape, lookback)
+    inputs = timeframes(tape, lookback, mid, high)
+    thresholds = thresholds or {k: fit_thresholds(train_prefix(x, fraction)) for k, x in inputs.items()}
     ready = F.col("efficiency").isNotNull() & F.col("spread").isNotNull() & F.col("rv").isNotNull()
-    rows = classify(own.withColumn("_ready", ready), thresholds["lwc"], "lwc_state").drop("efficiency", "spread", "rv")
+    rows = classify(inputs["lwc"].withColumn("_ready", ready), thresholds["lwc"], "lwc_state").drop("efficiency", "spread", "rv")
     at = F.col("datetime") + F.expr(f"INTERVAL {base_step}")
-    for key, (width, n) in (("mwc", mid), ("hwc", high)):
-        states = classify(structural_inputs(higher_bars(tape, width, n), lookback), thresholds[key], "state")
+    for key in ("mwc", "hwc"):
+        states = classify(inputs[key], thresholds[key], "state")
         rows = as_of(rows, states.select("symbol", "close_time", "state"), at, f"{key}_state")
-    rows = permissions(rows)
-    return (rows if warm_up else rows.where("_ready")).drop("_ready")
+    rows = permissions(rows, place="_place")
+    return (rows if warm_up else rows.where("_ready")).drop("_ready", "_place")
 
 
 def enrich_target(target: DataFrame, history: DataFrame | None, lookback: int, mid: tuple[str, int], high: tuple[str, int], base_step: str, thresholds: dict[str, DataFrame]) -> DataFrame:
@@ -158,8 +181,7 @@ def enrich_target(target: DataFrame, history: DataFrame | None, lookback: int, m
 
 
 def train_prefix(df: DataFrame, fraction: float) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    return df.withColumn("_rn", F.row_number().over(by_time())).withColumn("_n", n).where(F.col("_rn") <= F.floor(F.col("_n") * fraction)).drop("_rn", "_n")
+    return numbered(df, "_rn", total="_n").where(F.col("_rn") < F.floor(F.col("_n") * fraction)).drop("_rn", "_n")
 
 
 def coverage(df: DataFrame, direction: str) -> DataFrame:
@@ -188,7 +210,7 @@ def context_faults(df: DataFrame, lookback: int = 24, allow_mid_range: bool = Tr
     missing = [c for c in (*STATES, *FLAGS) if c not in df.columns]
     if missing:
         raise ValueError(f"no context columns {missing}")
-    again = permissions(df.withColumns({f"_was_{c}": F.col(c) for c in FLAGS}).withColumn("_n", F.row_number().over(by_time()) - 1), lookback, allow_mid_range)
+    again = permissions(numbered(df.withColumns({f"_was_{c}": F.col(c) for c in FLAGS}), "_n"), lookback, allow_mid_range)
     c = F.col
     differs = lambda names: reduce(lambda a, b: a | b, (~c(f"_was_{n}").eqNullSafe(c(n)) for n in names))
     checks = {

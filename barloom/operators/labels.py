@@ -2,62 +2,118 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.sources.tape import by_time
+from .chunks import chunked, framed, numbered
 
 
 def add_labels(tape: DataFrame, horizon: int) -> DataFrame:
     """label_open_next, label_close_h, label_min_h, label_max_h, label_max_first. Null where the
     horizon isn't complete. Equal extremes: the first bar counts."""
-    ahead = Window.partitionBy("symbol").orderBy("datetime").rowsBetween(1, horizon)
-    full = F.count(F.lit(1)).over(ahead) == horizon
-    low = F.min(F.struct(F.col("low"), F.col("bar"))).over(ahead)
-    high = F.min(F.struct(-F.col("high"), F.col("bar"))).over(ahead)
-    return tape.withColumns({
-        "label_open_next": F.lead("open", 1).over(by_time()),
-        "label_close_h": F.lead("close", horizon).over(by_time()),
-        "label_min_h": F.when(full, low["low"]),
-        "label_max_h": F.when(full, -high["col1"]),
-        "label_max_first": F.when(full, (high["bar"] < low["bar"]).cast("int")),
-    })
+    def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
+        ahead = w.rowsBetween(1, horizon)
+        full = F.count(F.lit(1)).over(ahead) == horizon
+        low = F.min(F.struct(F.col("low"), F.col("bar"))).over(ahead)
+        high = F.min(F.struct(-F.col("high"), F.col("bar"))).over(ahead)
+        return df.withColumns({
+            "label_open_next": F.lead("open", 1).over(w),
+            "label_close_h": F.lead("close", horizon).over(w),
+            "label_min_h": F.when(full, low["low"]),
+            "label_max_h": F.when(full, -high["col1"]),
+            "label_max_first": F.when(full, (high["bar"] < low["bar"]).cast("int")),
+        })
+
+    return framed(tape, 0, horizon, compute)
 
 
 def drop_tail(df: DataFrame, horizon: int) -> DataFrame:
-    back = Window.partitionBy("symbol").orderBy(F.col("datetime").desc())
-    return df.withColumn("_back", F.row_number().over(back)).where(F.col("_back") > horizon).drop("_back")
+    return numbered(df, "_rn", total="_n").where(F.col("_rn") < F.col("_n") - horizon).drop("_rn", "_n")
+
+
+class Extrema:
+    """The largest value of every run of 2^k rows, by k: a run's first row beyond a level is found in
+    as many steps as there are k."""
+
+    def __init__(self, values, longest: int):
+        import numpy as np
+
+        self.runs = [np.append(np.where(np.isnan(values), -np.inf, values), -np.inf)]  # nothing touches beyond the end
+        for k in range(longest.bit_length() - 1):
+            last, step = self.runs[-1], 1 << k
+            self.runs.append(np.maximum(last, np.append(last[step:], np.full(min(step, len(last)), -np.inf))))
+
+    def first(self, level, longest: int):
+        """For each row: how many rows after it the first value of at least its level stands, 0 if
+        none of the next `longest` is."""
+        import numpy as np
+
+        at, left, end = np.arange(len(level)) + 1, np.full(len(level), longest), len(self.runs[0]) - 1
+        for k in range(len(self.runs) - 1, -1, -1):
+            skip = (left >= 1 << k) & (self.runs[k][np.minimum(at, end)] < level)
+            at[skip] += 1 << k
+            left[skip] -= 1 << k
+        return np.where(left > 0, longest - left + 1, 0)
+
+
+def _outcomes(table, horizon: int, cases: list[tuple[str, float, float]]):
+    """A chunk's core rows with the lists _ret and _off, an item for each case."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = table.sort_by("_pos").combine_chunks()
+    price = {c: table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("open", "high", "low", "close")}
+    n = table.num_rows
+    core = np.flatnonzero(table.column("_core").to_numpy())
+    entry, last = np.full(n, np.nan), np.full(n, np.nan)
+    entry[:-1] = price["open"][1:]
+    if n > horizon:
+        last[: n - horizon] = price["close"][horizon:]
+    ok = np.isfinite(entry) & (entry > 0) & ~np.isnan(last)
+    highest, lowest = Extrema(price["high"], horizon), Extrema(-price["low"], horizon)
+    safe = np.where(ok, entry, np.inf)
+    touch: dict[tuple[str, float], object] = {}  # a level is searched once for all cases that have it
+
+    def touched(side: str, by: float):
+        if (side, by) not in touch:
+            level = safe * (1 + by / 100) if side == "up" else -safe * (1 - by / 100)
+            touch[side, by] = (highest if side == "up" else lowest).first(np.where(ok, level, np.inf), horizon)
+        return touch[side, by]
+
+    ret, off = np.full((len(core), len(cases)), np.nan), np.full((len(core), len(cases)), -1, np.int32)
+    for j, (direction, tp, sl) in enumerate(cases):
+        long = direction == "long"
+        tp_at, sl_at = (touched("up", tp), touched("down", sl)) if long else (touched("down", tp), touched("up", sl))
+        stop = (sl_at > 0) & ((tp_at == 0) | (sl_at <= tp_at))
+        with np.errstate(invalid="ignore"):
+            held = (last / safe - 1) * (100 if long else -100)
+        r = np.where(stop, -sl, np.where(tp_at > 0, tp, held))
+        o = np.where(stop, sl_at, np.where(tp_at > 0, tp_at, horizon))
+        ret[:, j], off[:, j] = np.where(ok, r, np.nan)[core], np.where(ok, o, -1)[core]
+    out = table.take(pa.array(core)).drop_columns(["_pos", "_chunk", "_core"])
+    flat = pa.array(ret.ravel(), from_pandas=True)  # not a number is null
+    sizes = pa.array(np.arange(len(core) + 1, dtype=np.int32) * len(cases))
+    out = out.append_column("_ret", pa.ListArray.from_arrays(sizes, flat))
+    return out.append_column("_off", pa.ListArray.from_arrays(sizes, pa.array(off.ravel())))
+
+
+def with_outcomes(tape: DataFrame, horizon: int, cases: list[tuple[str, float, float]]) -> DataFrame:
+    """The tape with the lists _ret and _off: for each (direction, tp, sl) the outcome of an entry at
+    the next open and its bar ahead. A chunk of a symbol, with the horizon after it, is one group."""
+    schema = T.StructType([*tape.schema.fields, T.StructField("_ret", T.ArrayType(T.DoubleType())), T.StructField("_off", T.ArrayType(T.IntegerType()))])
+    return chunked(tape, 0, horizon).groupBy("symbol", "_chunk").applyInArrow(lambda table: _outcomes(table, horizon, cases), schema)
 
 
 def barrier(tape: DataFrame, horizon: int, grid: list[tuple[float, float]], directions: tuple[str, ...] = ("long", "short")) -> DataFrame:
     """symbol, bar, direction, tp, sl, return_pct, exit_offset: the first of take-profit and
     stop that a later bar touches. Entry at the next open; a bar that touches both is a stop;
-    none: the close at the horizon. Null and -1 where the horizon or the entry isn't there.
-    The bars ahead are gathered once for all pairs of the grid."""
-    ahead = Window.partitionBy("symbol").orderBy("datetime").rowsBetween(1, horizon)
-    df = tape.select(
-        "symbol", "bar", F.lead("open", 1).over(by_time()).alias("entry"), F.lead("close", horizon).over(by_time()).alias("last"),
-        F.collect_list(F.struct("high", "low")).over(ahead).alias("path"),
-    )
-    ok = (F.size("path") == horizon) & (F.col("entry") > 0) & F.col("last").isNotNull()
-    first = lambda test: F.array_position(F.transform("path", test), True)
-    price = F.col("entry")
-
-    def case(d: str, tp: float, sl: float) -> Column:
-        """What one direction and pair gives: both touches, the outcome and its offset."""
-        up, down = (tp, sl) if d == "long" else (sl, tp)
-        at_up, at_down = first(lambda b: b["high"] >= price * (1 + up / 100)), first(lambda b: b["low"] <= price * (1 - down / 100))
-        tp_at, sl_at = (at_up, at_down) if d == "long" else (at_down, at_up)
-        return F.struct(F.lit(d).alias("direction"), F.lit(float(tp)).alias("tp"), F.lit(float(sl)).alias("sl"), tp_at.alias("tp_at"), sl_at.alias("sl_at"))
-
-    found = F.array(*(case(d, tp, sl) for d in directions for tp, sl in sorted(grid)))
-    df = df.select("symbol", "bar", "entry", "last", ok.alias("ok"), F.explode(F.when(ok, found).otherwise(F.array(*(
-        F.struct(F.lit(d).alias("direction"), F.lit(float(tp)).alias("tp"), F.lit(float(sl)).alias("sl"), F.lit(0).cast("long").alias("tp_at"), F.lit(0).cast("long").alias("sl_at")) for d in directions for tp, sl in sorted(grid))))).alias("c")).select("symbol", "bar", "entry", "last", "ok", "c.*")
-    sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
-    stop = (F.col("sl_at") > 0) & ((F.col("tp_at") == 0) | (F.col("sl_at") <= F.col("tp_at")))
-    ret = F.when(~F.col("ok"), None).when(stop, -F.col("sl")).when(F.col("tp_at") > 0, F.col("tp")).otherwise(sign * (F.try_divide(F.col("last"), F.col("entry")) - 1) * 100)
-    off = F.when(~F.col("ok"), -1).when(stop, F.col("sl_at")).when(F.col("tp_at") > 0, F.col("tp_at")).otherwise(horizon)
-    return df.select("symbol", "bar", "direction", "tp", "sl", ret.alias("return_pct"), off.cast("int").alias("exit_offset"))
+    none: the close at the horizon. Null and -1 where the horizon or the entry isn't there."""
+    cases = [(d, float(tp), float(sl)) for d in directions for tp, sl in sorted(grid)]
+    df = with_outcomes(tape.select("symbol", "datetime", "bar", "open", "high", "low", "close"), horizon, cases)
+    named = F.array(*(F.struct(F.lit(d).alias("direction"), F.lit(tp).alias("tp"), F.lit(sl).alias("sl")) for d, tp, sl in cases))
+    df = df.select("symbol", "bar", F.explode(F.arrays_zip(named.alias("c"), F.col("_ret").alias("r"), F.col("_off").alias("o"))).alias("x"))
+    return df.select("symbol", "bar", "x.c.*", F.col("x.r").alias("return_pct"), F.col("x.o").alias("exit_offset"))
 
 
 def pair_name(direction: str, tp: float, sl: float, what: str) -> str:
@@ -67,11 +123,9 @@ def pair_name(direction: str, tp: float, sl: float, what: str) -> str:
 
 def attach_barriers(tape: DataFrame, horizon: int, tps: list[float], sls: list[float], directions: tuple[str, ...] = ("long", "short")) -> DataFrame:
     """The tape with a return and an offset column for each direction and pair of the sorted grid."""
-    grid = [(tp, sl) for tp in sorted(set(tps)) for sl in sorted(set(sls))]
-    long = barrier(tape, horizon, grid, directions)
-    pick = lambda d, tp, sl, c: F.max(F.when((F.col("direction") == d) & (F.col("tp") == float(tp)) & (F.col("sl") == float(sl)), F.col(c)))
-    cols = [pick(d, tp, sl, c).alias(pair_name(d, tp, sl, what)) for d in directions for tp, sl in grid for c, what in (("return_pct", "ret"), ("exit_offset", "off"))]
-    return tape.join(long.groupBy("symbol", "bar").agg(*cols), ["symbol", "bar"], "left")
+    cases = [(d, float(tp), float(sl)) for d in directions for tp in sorted(set(tps)) for sl in sorted(set(sls))]
+    cols = [F.get(f"_{what}", F.lit(j)).alias(pair_name(d, tp, sl, what)) for j, (d, tp, sl) in enumerate(cases) for what in ("ret", "off")]
+    return with_outcomes(tape, horizon, cases).select(*tape.columns, *cols)
 
 
 def returns(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.sources.tape import by_time
+from . import chunks
 
 
 def outside(bar: str, ranges: list[tuple[int, int]]) -> Column:
@@ -25,7 +25,9 @@ def row_ids(tape: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, keys: list[str] | None = None, order: list | None = None) -> DataFrame:
-    """rn from 1 and n, by symbol."""
+    """rn from 1 and n, by symbol; other keys and orders are those of small tables."""
+    if keys is None and order is None:
+        return chunks.numbered(df, "rn", total="n").withColumn("rn", F.col("rn") + 1)
     part = Window.partitionBy(*(keys or ["symbol"]))
     return df.withColumn("rn", F.row_number().over(part.orderBy(*(order or ["datetime"])))).withColumn("n", F.count(F.lit(1)).over(part))
 
@@ -98,7 +100,7 @@ def aligned_sample(df: DataFrame, size: int, seed: int) -> DataFrame:
 
 
 def drop_last(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(by_time())).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).where(F.col("_r") <= F.col("_n") - n).drop("_r", "_n")
+    return chunks.numbered(df, "_r", total="_n").where(F.col("_r") < F.col("_n") - n).drop("_r", "_n")
 
 
 def release_rows(tape: DataFrame, offset: Column, name: str = "release_row") -> DataFrame:

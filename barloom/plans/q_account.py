@@ -11,7 +11,7 @@ from barloom.operators import rules as R  # noqa: N812
 from barloom.operators import simulate as A  # noqa: N812
 from barloom.operators import splits as S  # noqa: N812
 from barloom.operators import strategy as T  # noqa: N812
-from barloom.sources.tape import by_time
+from barloom.operators.chunks import shifted
 
 from .account_sql import IDS, account_sql, entries_sql, rules_sql, touched
 from .q_search import ACCOUNT, DRIFT, RULES, SPLIT, drifts, entries, outcomes
@@ -31,7 +31,7 @@ SYMBOLS = "sym AS (SELECT split_part(grp, '|', 1) AS plan, symbol, count(*) AS t
 
 def alone(spark, sf_dir):
     """Entries of each rule by itself, with their split."""
-    tape = drifts(spark, sf_dir).withColumn("entry_price", F.lead("open").over(by_time()))
+    tape = shifted(drifts(spark, sf_dir), "entry_price", "open", 1)
     rows = None
     for k, r in enumerate(RULES):
         mine = tape.where(R.rule_mask(r["conditions"])).withColumns({"rule_index": F.lit(k), **{c: F.lit(float(r[c])) for c in ("tp", "sl", "capital_pct")}})
@@ -240,7 +240,7 @@ def l4(spark, sf_dir):
     """A batch of chromosomes: each is an account of its own in one job."""
     from barloom.operators.search import match_dense
 
-    tape = drifts(spark, sf_dir).withColumn("entry_price", F.lead("open").over(by_time()))
+    tape = shifted(drifts(spark, sf_dir), "entry_price", "open", 1)
     classes = F.array(R.bucket(F.col("drift"), "positive"), (F.col("close") > F.col("open")).cast("int"))
     hits = tape.withColumn("rule_id", F.explode(match_dense(classes, dict(enumerate(GENES)), [5, 2])))
     rule = {"tp": 10.0, "sl": 8.0, "capital_pct": 10.0}

@@ -116,10 +116,10 @@ def g25(spark, sf_dir):
 
 @query("g26_return_correlation", f"WITH {BARS}, r AS (SELECT symbol, bar, coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY datetime), 0) - 1, 0) AS r FROM bars) SELECT a.symbol AS a, b.symbol AS b, round(corr(a.r, b.r), 6) AS rho FROM r a JOIN r b ON a.bar = b.bar AND a.symbol < b.symbol GROUP BY 1, 2")
 def g26(spark, sf_dir):
-    from barloom.sources.tape import by_time
+    from barloom.operators.chunks import shifted
 
-    b = event_bars(spark, sf_dir)
-    r = b.select("symbol", "bar", F.coalesce(F.try_divide("close", F.nullif(F.lag("close").over(by_time()), F.lit(0.0))) - 1, F.lit(0.0)).alias("r"))
+    b = shifted(event_bars(spark, sf_dir), "before", "close", -1)
+    r = b.select("symbol", "bar", F.coalesce(F.try_divide("close", F.nullif(F.col("before"), F.lit(0.0))) - 1, F.lit(0.0)).alias("r"))
     j = r.alias("x").join(r.alias("y"), (F.col("x.bar") == F.col("y.bar")) & (F.col("x.symbol") < F.col("y.symbol")))
     return j.groupBy(F.col("x.symbol").alias("a"), F.col("y.symbol").alias("b")).agg(r6(F.corr("x.r", "y.r"), "rho"))
 

@@ -10,7 +10,8 @@ from barloom.operators import rules as R  # noqa: N812
 from barloom.operators import search as Q  # noqa: N812
 from barloom.operators import simulate as A  # noqa: N812
 from barloom.operators import splits as S  # noqa: N812
-from barloom.sources.tape import by_time, event_bars, table
+from barloom.operators.chunks import shifted
+from barloom.sources.tape import event_bars, table
 
 from .account_sql import IDS, account_sql, entries_sql, rules_sql, touched
 from .q_tape import BARS, H, barrier_sql
@@ -47,7 +48,7 @@ def outcomes(assigned, tape, rules, direction="long"):
 
 def entries(spark, sf_dir, direction="long", rules=RULES, tape=None):
     tape = drifts(spark, sf_dir) if tape is None else tape
-    return outcomes(R.assign(tape.withColumn("entry_price", F.lead("open").over(by_time())), rules, direction), tape, rules, direction)
+    return outcomes(R.assign(shifted(tape, "entry_price", "open", 1), rules, direction), tape, rules, direction)
 
 
 BASE = f"{BARS}, {IDS}, {DRIFT}, asg AS (SELECT symbol, bar, CASE WHEN drift > 0.6 AND drift <= 0.8 THEN 0 WHEN drift > 0.2 AND drift <= 0.4 AND symbol IN ('click', 'view') THEN 1 ELSE 2 END AS rule_index FROM dr), {rules_sql(RULES)}, {touched(('long',))}, {entries_sql('asg')}"

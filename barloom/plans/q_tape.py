@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from barloom.operators import indicators as I  # noqa: E741, N812
 from barloom.operators import labels as L  # noqa: N812
 from barloom.operators import rules as R  # noqa: N812
-from barloom.sources.tape import by_time, dataset_manifest, event_bars, table, with_bar_index
+from barloom.operators.chunks import shifted
+from barloom.sources.store import settled
+from barloom.sources.tape import dataset_manifest, event_bars, table, with_bar_index
 
 from .registry import query, r6
 
@@ -110,9 +112,8 @@ def a14(spark, sf_dir):
 SELECT symbol, count(*) AS n_rows, count(*) FILTER (gap <> INTERVAL '4 hours') AS n_gaps, count(*) FILTER (hour(datetime) % 4 <> 0 OR minute(datetime) <> 0 OR second(datetime) <> 0) AS n_off_grid,
  count(*) - count(DISTINCT datetime) AS n_duplicates, count(*) FILTER (datetime IS NULL) AS n_null_ts FROM g GROUP BY 1""")
 def b1(spark, sf_dir):
-    df = event_bars(spark, sf_dir)
-    gap = F.unix_timestamp("datetime") - F.unix_timestamp(F.lag("datetime").over(by_time()))
-    df = df.withColumn("gap", gap)
+    df = shifted(event_bars(spark, sf_dir), "before", "datetime", -1)
+    df = df.withColumn("gap", F.unix_timestamp("datetime") - F.unix_timestamp("before"))
     return df.groupBy("symbol").agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("gap") != 4 * 3600).alias("n_gaps"), F.count_if((F.hour("datetime") % 4 != 0) | (F.minute("datetime") != 0) | (F.second("datetime") != 0)).alias("n_off_grid"),
         (F.count("*") - F.countDistinct("datetime")).alias("n_duplicates"), F.count_if(F.col("datetime").isNull()).alias("n_null_ts"))
@@ -261,7 +262,7 @@ def d8(spark, sf_dir):
 
 @query("d11_entry_time", f"WITH {BARS} SELECT symbol, bar, coalesce(lead(datetime) OVER (PARTITION BY symbol ORDER BY datetime), datetime + INTERVAL '4 hours') AS entry_time FROM bars")
 def d11(spark, sf_dir):
-    return event_bars(spark, sf_dir).select("symbol", "bar", F.coalesce(F.lead("datetime").over(by_time()), F.col("datetime") + F.expr("INTERVAL 4 HOURS")).alias("entry_time"))
+    return shifted(event_bars(spark, sf_dir), "next", "datetime", 1).select("symbol", "bar", F.coalesce(F.col("next"), F.col("datetime") + F.expr("INTERVAL 4 HOURS")).alias("entry_time"))
 
 
 IND = f"""i0 AS (SELECT *, lag(close) OVER w AS pc, lag(close, 6) OVER w AS pc6, abs(close - lag(close) OVER w) AS step,
@@ -274,7 +275,7 @@ EMA_SQL = """ema AS (SELECT symbol, bar, datetime, close AS f, close AS s FROM b
 
 @query("e1_e5_indicators", f"WITH {BARS}, {IND} SELECT symbol, bar, round(efficiency, 6) AS efficiency, round(atr, 6) AS atr, round(rv, 6) AS rv FROM i1")
 def e1(spark, sf_dir):
-    df = I.realized_volatility(I.true_range(I.signed_efficiency(event_bars(spark, sf_dir), 6), 6), 6)
+    df = I.price_indicators(event_bars(spark, sf_dir), 6)
     return df.select("symbol", "bar", r6("efficiency", "efficiency"), r6("atr", "atr"), r6("rv", "rv"))
 
 
@@ -296,7 +297,7 @@ def f2(spark, sf_dir):
 
 @query("f4_regimes", f"WITH RECURSIVE {REGIME} SELECT symbol, bar, state FROM st")
 def f4(spark, sf_dir):
-    x = I.structural_inputs(event_bars(spark, sf_dir), 6)
+    x = settled(I.structural_inputs(event_bars(spark, sf_dir), 6))
     return I.classify(x, I.fit_thresholds(I.train_prefix(x, 0.65))).select("symbol", "bar", "state")
 
 

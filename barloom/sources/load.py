@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import indicators as I  # noqa: E741, N812
 from barloom.operators import labels as L  # noqa: N812
+from barloom.operators.chunks import shifted
 
 from .tape import with_bar_index
 
@@ -91,9 +92,8 @@ def load(spark: SparkSession, path: str, horizon: int, schema=None, **how) -> Da
 def grid_faults(df: DataFrame, step_minutes: int = 15) -> DataFrame:
     """By symbol: rows, missing times, repeated keys, gaps other than the step, and rows off the
     grid of the step, to the microsecond."""
-    gap = F.unix_micros("datetime") - F.unix_micros(F.lag("datetime").over(Window.partitionBy("symbol").orderBy("datetime")))
     step = step_minutes * 60 * 1_000_000
-    df = df.withColumn("_gap", gap)
+    df = shifted(df, "_gap", "datetime", -1).withColumn("_gap", F.unix_micros("datetime") - F.unix_micros("_gap"))
     return df.groupBy("symbol").agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("datetime").isNull()).alias("n_null_ts"), (F.count("datetime") - F.countDistinct("datetime")).alias("n_duplicates"),
         F.count_if((F.col("_gap") != step) & (F.col("_gap") != 0)).alias("n_gaps"), F.count_if(F.unix_micros("datetime") % step != 0).alias("n_off_grid"))

@@ -6,22 +6,18 @@ import hashlib
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.operators.chunks import numbered
+
 TAPE_SCHEMA = T.StructType([
     T.StructField("datetime", T.TimestampType()), T.StructField("symbol", T.StringType()),
     *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")),
 ])
 
 
-def by_time():
-    """Rows of a symbol in order of time."""
-    return Window.partitionBy("symbol").orderBy("datetime")
-
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,7 +32,7 @@ def bars_from_ticks(ticks: DataFrame, symbol: str, ts: str, price: str, width: s
 
 def with_bar_index(tape: DataFrame) -> DataFrame:
     """bar: 0-based place of a row within its symbol."""
-    return tape.withColumn("bar", (F.row_number().over(by_time()) - 1).cast("long"))
+    return numbered(tape, "bar")
 
 
 def event_bars(spark: SparkSession, sf_dir: str, width: str = "4 hours") -> DataFrame:
