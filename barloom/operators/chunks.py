@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NumericType, StructType
 
 #: Rows of a chunk without its halo.
 ROWS = 4096
@@ -23,10 +23,12 @@ SPAN = 30 * 86400
 
 
 def slot_of(df: DataFrame, time: str, span: int | None = None) -> Column:
-    """The slot of a time, of which a struct's first field is one; rows without a time come first."""
-    kind = df.schema[time].dataType
-    col = F.col(time)[kind.fields[0].name] if isinstance(kind, StructType) else F.col(time)
-    return F.coalesce(F.floor(F.unix_timestamp(col) / (span or SPAN)), F.lit(-(1 << 62)))
+    """The slot of a time, of a struct's first field, or of a number (ROWS of it); rows without one come first."""
+    kind, col = df.schema[time].dataType, F.col(time)
+    if isinstance(kind, StructType):
+        kind, col = kind.fields[0].dataType, col[kind.fields[0].name]
+    slot = F.floor(col / (span or ROWS)) if isinstance(kind, NumericType) else F.floor(F.unix_timestamp(col) / (span or SPAN))
+    return F.coalesce(slot, F.lit(-(1 << 62)))
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -36,15 +38,15 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(right, on, how).drop(*(f"_right{k}" for k in keys))
 
 
-def numbered(df: DataFrame, name: str, total: str | None = None, keys: tuple[str, ...] = ("symbol",), time: str = "datetime", span: int | None = None) -> DataFrame:
-    """name: the place of a row from 0 in order of time by key; total: the rows of the key."""
+def numbered(df: DataFrame, name: str, total: str | None = None, keys: tuple[str, ...] = ("symbol",), time: str = "datetime", span: int | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """name: the place of a row from 0 in order of time (then of other columns) by key; total: the rows of the key."""
     df = df.withColumn("_slot", slot_of(df, time, span))
     by = [*keys, "_slot"]
     counts = df.groupBy(*by).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slot")) - F.col("_n")  # a row a slot
     own = [F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []
     counts = counts.select(*by, before.alias("_before"), *own)
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(time)) - 1
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(time, *then)) - 1
     return null_safe(df.withColumn(name, place), counts, by).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_slot", "_before")
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+from .ranks import average_rank, spearman  # noqa: F401
+
 
 def profit_factor(pnl: Column, cap: float = 99.0) -> Column:
     gain, loss = F.sum(F.when(pnl > 0, pnl).otherwise(0.0)), F.sum(F.when(pnl < 0, -pnl).otherwise(0.0))
@@ -48,25 +51,12 @@ def expected_shortfall(trades: DataFrame, keys: list[str], q: float = 0.1) -> Da
 
 def drawdown(trades: DataFrame, keys: list[str], start: float = 1000.0, order: str = "bar") -> DataFrame:
     """Largest fall from the running peak of start plus the running sum, in percent."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = trades.withColumn("_eq", start + F.sum("return_pct").over(w))
-    df = df.withColumn("_peak", F.greatest(F.max("_eq").over(w), F.lit(start)))
-    return df.groupBy(*keys).agg(F.max(F.when(F.col("_peak") > 0, (F.col("_peak") - F.col("_eq")) / F.col("_peak") * 100).otherwise(100.0)).alias("max_drawdown_pct"))
+    return scans.deepest_fall(trades, "return_pct", keys, order, start)
 
 
 def compounded(trades: DataFrame, keys: list[str], ret: str = "return_pct", order: str = "bar") -> DataFrame:
-    """Equity of compounded returns and its deepest dip under its peak, in one pass over the
-    ordered returns of a group; a return of -100 % or less is allowed."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ret).alias("r"))))
-    start = F.struct(F.lit(1.0).alias("eq"), F.lit(None).cast("double").alias("top"), F.lit(0.0).alias("dip"))
-
-    def step(a, x):
-        eq = a.eq * (1 + x.r / 100)
-        top = F.greatest(a.top, eq)
-        return F.struct(eq.alias("eq"), top.alias("top"), F.greatest(a.dip, (top - eq) / F.greatest(top, F.lit(1e-12)) * 100).alias("dip"))
-
-    df = trades.groupBy(*keys).agg(rows.alias("_rows")).withColumn("_end", F.aggregate("_rows", start, step))
-    return df.select(*keys, F.col("_end.eq").alias("equity"), F.col("_end.dip").alias("dip_pct"))
+    """Equity of compounded returns and its deepest dip under its peak; a return of -100 % or less is allowed."""
+    return scans.compound(trades, ret, keys, order)
 
 
 def concentration(shares: DataFrame, col: str) -> DataFrame:
@@ -80,20 +70,7 @@ def concurrency(df: DataFrame, start: str, end: str) -> DataFrame:
     """symbol, at_bar, n_open: how many intervals [start, end) are open from each change on."""
     events = df.select("symbol", F.col(start).alias("at_bar"), F.lit(1).alias("d")).union(df.select("symbol", F.col(end), F.lit(-1)))
     net = events.groupBy("symbol", "at_bar").agg(F.sum("d").alias("d"))
-    return net.select("symbol", "at_bar", F.sum("d").over(Window.partitionBy("symbol").orderBy("at_bar")).alias("n_open"))
-
-
-def average_rank(df: DataFrame, col: str, keys: list[str], name: str) -> DataFrame:
-    part = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, col))
-    return df.withColumn(name, F.rank().over(part.orderBy(col)) + (ties - 1) / 2)
-
-
-def spearman(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """Pearson of average ranks over rows where both are there; null if one is constant."""
-    df = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    df = average_rank(average_rank(df, a, keys, "_ra"), b, keys, "_rb")
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("rho"))
+    return scans.running_sum(net, "d", ["symbol"], "at_bar", "n_open").select("symbol", "at_bar", "n_open")
 
 
 def normal_cdf(x: Column) -> Column:

@@ -26,8 +26,8 @@ def row_ids(tape: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, keys: list[str] | None = None, order: list | None = None) -> DataFrame:
     """rn from 1 and n, by symbol; other keys and orders are those of small tables."""
-    if keys is None and order is None:
-        return chunks.numbered(df, "rn", total="n").withColumn("rn", F.col("rn") + 1)
+    if keys is None and len(order or ["datetime"]) == 1:
+        return chunks.numbered(df, "rn", total="n", time=(order or ["datetime"])[0]).withColumn("rn", F.col("rn") + 1)
     part = Window.partitionBy(*(keys or ["symbol"]))
     return df.withColumn("rn", F.row_number().over(part.orderBy(*(order or ["datetime"])))).withColumn("n", F.count(F.lit(1)).over(part))
 

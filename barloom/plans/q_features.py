@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators import features as X  # noqa: N812
 from barloom.operators import metrics as M  # noqa: N812
 from barloom.operators import rules as R  # noqa: N812
+from barloom.operators.gram import correlations, item_correlations
 from barloom.sources.tape import event_bars, table
 
 from .q_tape import BARS, FEATURES, _case, features
@@ -45,10 +48,36 @@ def g17(spark, sf_dir):
 
 @query("g19_pearson_matrix", f"WITH {FEATURES} SELECT 'f_pos' AS a, 'f_signed' AS b, round(abs(corr(f_pos, f_signed)), 6) AS r FROM feat UNION ALL SELECT 'f_pos', 'f_sparse', round(abs(corr(f_pos, f_sparse)), 6) FROM feat UNION ALL SELECT 'f_signed', 'f_sparse', round(abs(corr(f_signed, f_sparse)), 6) FROM feat")
 def g19(spark, sf_dir):
-    pairs = [("f_pos", "f_signed"), ("f_pos", "f_sparse"), ("f_signed", "f_sparse")]
-    one = features(spark, sf_dir).agg(*(F.abs(F.corr(a, b)).alias(f"{a}|{b}") for a, b in pairs))
-    out = one.unpivot([], list(one.columns), "k", "r")
-    return out.select(F.split("k", r"\|")[0].alias("a"), F.split("k", r"\|")[1].alias("b"), r6("r", "r"))
+    out = correlations(features(spark, sf_dir), ["f_pos", "f_signed", "f_sparse"])
+    return out.select("a", "b", r6(F.abs("r"), "r"))
+
+
+#: Features of lineitem: those of one mode are correlated, some with missing values.
+WIDE = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "CASE WHEN l_linenumber < 6 THEN l_discount END", "tax": "l_tax", "line": "l_linenumber", "centred": "l_discount - 0.05", "even": "CAST(l_linenumber % 2 = 0 AS INTEGER)"}
+WIDE_SQL = "w AS (SELECT l_orderkey, l_linenumber, l_returnflag AS symbol, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in WIDE.items()) + " FROM lineitem)"
+
+
+def wide(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("symbol"), *(F.expr(e).cast("double").alias(c) for c, e in WIDE.items()))
+
+
+def _mode_group_sql() -> str:
+    names = list(WIDE)
+    modes = " UNION ALL ".join(f"SELECT '{c}' AS f, CASE WHEN bool_and(coalesce({c}, 0) IN (0, 1)) THEN 'binary' WHEN bool_and(coalesce({c}, 0) IN (-1, 0, 1)) THEN 'ternary' WHEN min({c}) < 0 AND avg(CAST(coalesce({c}, 0) = 0 AS DOUBLE)) > 0.3 THEN 'sparse_signed' WHEN min({c}) < 0 THEN 'signed' WHEN avg(CAST(coalesce({c}, 0) = 0 AS DOUBLE)) > 0.3 THEN 'sparse_positive' ELSE 'positive' END AS mode FROM w" for c in names)
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS r FROM w" for i, a in enumerate(names) for b in names[i + 1 :])
+    return f"WITH {WIDE_SQL}, m AS ({modes}), p AS ({pairs}) SELECT x.mode, a, b, n, round(r, 6) AS r FROM p JOIN m x ON x.f = a JOIN m y ON y.f = b AND y.mode = x.mode"
+
+
+@query("g19_mode_groups", _mode_group_sql())
+def g19b(spark, sf_dir):
+    """All pairs within each mode's group of features, from one Gram matrix a group."""
+    df = wide(spark, sf_dir)
+    groups: dict[str, list[str]] = {}
+    found = {r["feature"]: r["mode"] for r in X.modes(df, list(WIDE)).collect()}  # a row a feature
+    for c in WIDE:
+        groups.setdefault(found[c], []).append(c)
+    parts = [correlations(df, cols).select(F.lit(mode).alias("mode"), "a", "b", "n", r6("r", "r")) for mode, cols in groups.items() if len(cols) > 1]
+    return reduce(lambda a, b: a.union(b), parts)
 
 
 RANKS = "rk AS (SELECT feature, symbol, event_id, rank() OVER (PARTITION BY feature, symbol ORDER BY x) + (count(*) OVER (PARTITION BY feature, symbol, x) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY feature, symbol ORDER BY value) + (count(*) OVER (PARTITION BY feature, symbol, value) - 1) / 2.0 AS rb FROM lf)"
@@ -67,6 +96,17 @@ def g22(spark, sf_dir):
     return X.sign_consistent(rho.where("symbol <> 'view'"), 0.01, 1, rho.where("symbol = 'view'"))
 
 
+_FOLDS = " UNION ALL ".join(f"SELECT '{c}' AS feature, symbol, {c} AS x, price AS y FROM w WHERE {c} IS NOT NULL" for c in WIDE if c != "price")
+
+
+@query("g22_consistent_features", f"WITH {WIDE_SQL}, lf AS ({_FOLDS}), k AS (SELECT feature, symbol, rank() OVER (PARTITION BY feature, symbol ORDER BY x) + (count(*) OVER (PARTITION BY feature, symbol, x) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY feature, symbol ORDER BY y) + (count(*) OVER (PARTITION BY feature, symbol, y) - 1) / 2.0 AS rb FROM lf), r AS (SELECT feature, symbol, corr(ra, rb) AS rho FROM k GROUP BY 1, 2), f AS (SELECT feature, count(*) FILTER (rho >= 0.05) AS up, count(*) FILTER (rho <= -0.05) AS down FROM r WHERE symbol <> 'R' GROUP BY 1) SELECT feature, up, down FROM f LEFT JOIN (SELECT feature, rho FROM r WHERE symbol = 'R') v USING (feature) WHERE (up = 0 OR down = 0) AND NOT coalesce((up > 0 AND v.rho < -0.05) OR (down > 0 AND v.rho > 0.05), false)")
+def g22b(spark, sf_dir):
+    """Folds are the return flags but one, which serves as validation; the target is the price."""
+    df = X.long_form(wide(spark, sf_dir), [c for c in WIDE if c != "price"], ["symbol", "price"])
+    rho = M.spearman(df, "x", "price", ["feature", "symbol"])
+    return X.sign_consistent(rho.where("symbol <> 'R'"), 0.05, 1, rho.where("symbol = 'R'"))
+
+
 MI = f"{FEATURES}, d AS (SELECT symbol, {_case('f_pos', 'positive')} AS c, CAST(value > 50 AS INTEGER) AS y, 'f_pos' AS feature FROM feat UNION ALL SELECT symbol, {_case('f_sparse', 'sparse_signed')}, CAST(value > 50 AS INTEGER), 'f_sparse' FROM feat), jc AS (SELECT feature, symbol, c, y, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY ALL), jm AS (SELECT *, sum(n) OVER (PARTITION BY feature, symbol, c) AS na, sum(n) OVER (PARTITION BY feature, symbol, y) AS nb, sum(n) OVER (PARTITION BY feature, symbol) AS nn FROM jc), mi AS (SELECT feature, symbol, sum(n / nn * ln(n * nn / (na * nb))) AS mi FROM jm GROUP BY 1, 2)"
 
 
@@ -120,8 +160,7 @@ def g26(spark, sf_dir):
 
     b = shifted(event_bars(spark, sf_dir), "before", "close", -1)
     r = b.select("symbol", "bar", F.coalesce(F.try_divide("close", F.nullif(F.col("before"), F.lit(0.0))) - 1, F.lit(0.0)).alias("r"))
-    j = r.alias("x").join(r.alias("y"), (F.col("x.bar") == F.col("y.bar")) & (F.col("x.symbol") < F.col("y.symbol")))
-    return j.groupBy(F.col("x.symbol").alias("a"), F.col("y.symbol").alias("b")).agg(r6(F.corr("x.r", "y.r"), "rho"))
+    return item_correlations(r, ["bar"], "symbol", "r").select("a", "b", r6("r", "rho"))
 
 
 @query("g26_symbol_profile", f"WITH {FEATURES} SELECT symbol, round(avg(f_pos), 6) AS f_pos, round(avg(f_signed), 6) AS f_signed, round(avg(f_bin), 6) AS f_bin FROM feat GROUP BY 1")

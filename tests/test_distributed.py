@@ -161,3 +161,102 @@ def test_quantiles(spark, monkeypatch, few, accuracy):
         for c, values in cols.items():
             fine = [x for x in values if x is not None and math.isfinite(x)]
             assert got[c] == (pytest.approx(float(np.quantile(fine, q)), rel=1e-12) if fine else None), (c, q)
+
+
+TRADES = "key string, bar long, return_pct double"
+
+
+@pytest.fixture(scope="module")
+def trades(spark):
+    r = random.Random(8)
+    rows = [("a", k, r.gauss(0, 30)) for k in range(83)] + [("b", 3 * k, r.choice([-250.0, 50.0, -40.0])) for k in range(17)] + [("c", 5, -100.0), ("c", 9, 10.0), (None, 2, -5.0), ("d", 1, None), ("d", 8, 3.0)]
+    return spark.createDataFrame(rows, TRADES).repartition(3).persist()
+
+
+def by_key(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: r.bar):
+        out.setdefault(r.key, []).append(r)
+    return out
+
+
+@pytest.mark.parametrize("rows", [1, 4, 1 << 20])
+def test_scans(trades, monkeypatch, rows):
+    from barloom.operators import metrics as M  # noqa: N812
+    from barloom.operators import scans
+
+    monkeypatch.setattr(chunks, "ROWS", rows)
+    fall, product, sums = [], [], []
+    for key, own in by_key(trades).items():
+        eq, peak, worst, total = 1000.0, 1000.0, None, None
+        p, top, dip = 1.0, None, 0.0
+        for r in own:
+            if r.return_pct is not None:
+                total = (total or 0.0) + r.return_pct
+                eq = 1000.0 + total
+                peak = max(peak, eq)
+                worst = max(worst or 0.0, (peak - eq) / peak * 100)
+                p *= 1 + r.return_pct / 100
+                top = p if top is None else max(top, p)
+                dip = max(dip, (top - p) / max(top, 1e-12) * 100)
+            sums.append((key, r.bar, total))
+        fall.append((key, worst))
+        if key != "d":
+            product.append((key, p, dip))
+    same(sorted(fall, key=str), table(M.drawdown(trades, ["key"])))
+    same(sorted(product, key=str), table(M.compounded(trades.where("coalesce(key, '') <> 'd'"), ["key"])))
+    same(sorted(sums, key=str), table(scans.running_sum(trades, "return_pct", ["key"], "bar", "total").select("key", "bar", "total")))
+
+
+@pytest.mark.parametrize("parts", [1, 2, 64])
+def test_average_ranks(spark, monkeypatch, parts):
+    from barloom.operators import ranks
+
+    monkeypatch.setattr(ranks, "PARTS", parts)
+    r = random.Random(6)
+    # With two parts the border is a value that a third of the rows share.
+    rows = [("a", k, float(r.choice([1, 2, 3, 5, 5, 5, 8, 9])), r.random()) for k in range(90)] + [("b", k, None if k % 3 else float(-k), 1.0) for k in range(9)] + [(None, 0, 2.0, 1.0), ("c", 1, float("nan"), 2.0), ("c", 2, 7.0, 3.0)]
+    df = spark.createDataFrame(rows, "key string, id int, x double, y double").repartition(3)
+    order = lambda x: (0, 0.0) if x is None else (2, 0.0) if x != x else (1, x)
+    want = []
+    for key in ("a", "b", "c", None):
+        own = sorted((order(x), i) for k, i, x, _ in rows if k == key)
+        for v, i in own:
+            less, ties = sum(w < v for w, _ in own), sum(w == v for w, _ in own)
+            want.append((key, i, less + (ties + 1) / 2))
+    same(sorted(want, key=str), table(ranks.average_rank(df, "x", ["key"], "rank").select("key", "id", "rank")))
+    import numpy as np
+
+    own = [(x, y) for k, _, x, y in rows if k == "a"]
+    rank = lambda v: [sum(w < x for w in v) + (sum(w == x for w in v) + 1) / 2 for x in v]
+    rho = np.corrcoef(rank([x for x, _ in own]), rank([y for _, y in own]))[0, 1]
+    got = {x.key: (x.n, x.rho) for x in ranks.spearman(df, "x", "y", ["key"]).collect()}
+    assert got["a"] == (90, pytest.approx(rho, rel=1e-9)) and got["b"] == (3, None) and got[None] == (1, None)
+    assert ranks.spearman(df.where("key = 'a'"), "x", "y", []).first().rho == pytest.approx(rho, rel=1e-9)
+
+
+def test_correlations(spark):
+    import numpy as np
+
+    from barloom.operators.gram import correlations, item_correlations
+
+    r = random.Random(2)
+    rows = []
+    for k in range(300):
+        x = r.gauss(1e6, 1)
+        rows.append((k, x, x * 2 + r.gauss(0, 1), None if k % 3 else r.random(), 7.0, float("nan") if k % 2 else -x, None))
+    cols = ["p", "q", "holes", "same", "half", "none"]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} double" for c in cols)).repartition(4)
+    got = {(x.a, x.b): (x.n, x.r) for x in correlations(df, cols).collect()}
+    assert list(got) and len(got) == 15
+    for (i, a), (j, b) in ((x, y) for x in enumerate(cols) for y in enumerate(cols) if x[0] < y[0]):
+        both = [(row[i + 1], row[j + 1]) for row in rows if all(v is not None and v == v for v in (row[i + 1], row[j + 1]))]
+        n, value = got[a, b]
+        assert n == len(both)
+        if "same" in (a, b) or not both:
+            assert value is None
+        else:
+            assert value == pytest.approx(np.corrcoef(*zip(*both, strict=True))[0, 1], rel=1e-6, abs=1e-6)
+    long = df.selectExpr("id", "stack(3, 'p', p, 'q', q, 'holes', holes) AS (item, x)")
+    items = {(x.a, x.b): (x.n, x.r) for x in item_correlations(long, ["id"], "item", "x", block=7).collect()}
+    assert items == {("p", "q"): pytest.approx(got["p", "q"]), ("holes", "p"): pytest.approx(got["p", "holes"]), ("holes", "q"): pytest.approx(got["q", "holes"])}
