@@ -7,13 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import masks
+from .matcher import match
 
-def match_dense(classes: Column, rules: dict[int, list[int]], dont_care: list[int]) -> Column:
-    """The ids of the rules whose active genes all equal the row's classes."""
-    def hit(genes: list[int]) -> Column:
-        return reduce(lambda a, b: a & b, (F.get(classes, i) == g for i, g in enumerate(genes) if g != dont_care[i]), F.lit(True))
 
-    return F.array_compact(F.array(*(F.when(hit(g), F.lit(k)) for k, g in rules.items())))
+def active_genes(chromosomes: DataFrame, dont_care: list[int]) -> DataFrame:
+    """rule, slot, class: the active genes of dense chromosomes (rule, genes), for matcher.match()."""
+    slots = to_sparse(F.col("genes"), dont_care)
+    return chromosomes.select("rule", F.explode_outer(slots).alias("g")).select("rule", F.col("g.feat").alias("slot"), F.col("g.cls").alias("class"))
+
+
+def match_dense(df: DataFrame, classes: list[Column], chromosomes: DataFrame, dont_care: list[int]) -> DataFrame:
+    """df once for each chromosome (rule, genes) whose active genes all equal the row's classes, with its rule."""
+    return match(df, classes, active_genes(chromosomes, dont_care))
 
 
 def match_sparse(classes: Column, slots: Column) -> Column:
@@ -106,14 +112,9 @@ def scaled_budget(df: DataFrame, col: str, limit: float = 100.0) -> DataFrame:
     return df.withColumn("scaled", F.round(F.when(total > limit, F.col(col) * limit / total).otherwise(F.col(col)), 6))
 
 
-def overlap(masks: DataFrame, rules: int = 64) -> DataFrame:
-    """a, b, coefficient over distinct (rule, row): shared rows over the smaller rule's rows. A row
-    holds the set of its rules, of which there are at most `rules` (checked), so equal sets are
-    counted before their pairs are formed."""
-    sets = masks.groupBy("row").agg(F.array_sort(F.collect_set("rule")).alias("set")).groupBy("set").agg(F.count("*").alias("n"))
-    sets = sets.withColumn("set", F.when(F.size("set") <= rules, F.col("set")).otherwise(F.raise_error(F.lit("more rules in a row than stated"))))
-    pairs = sets.select(F.explode("set").alias("a"), "set", "n").select("a", F.explode("set").alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    size = pairs.where("a = b").select("a", "n")
-    left, right = size.withColumnsRenamed({"n": "na"}), size.withColumnsRenamed({"a": "b", "n": "nb"})
-    both = pairs.where("a < b").withColumnRenamed("n", "both")
-    return both.join(left, "a").join(right, "b").withColumn("coefficient", F.col("both") / F.least("na", "nb"))
+def overlap(rows: DataFrame) -> DataFrame:
+    """a, b, coefficient over (rule, row): shared rows over the smaller rule's rows. A row is a number, 0 or more; rules
+    are numbers, too. A rule's rows are bitmaps, so the number of rules in a row is not limited."""
+    at = F.col("row").cast("long") + 1
+    own = rows.groupBy("rule", F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    return masks.overlap(own).select("a", "b", "coefficient")

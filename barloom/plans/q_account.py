@@ -241,8 +241,9 @@ def l4(spark, sf_dir):
     from barloom.operators.search import match_dense
 
     tape = shifted(drifts(spark, sf_dir), "entry_price", "open", 1)
-    classes = F.array(R.bucket(F.col("drift"), "positive"), (F.col("close") > F.col("open")).cast("int"))
-    hits = tape.withColumn("rule_id", F.explode(match_dense(classes, dict(enumerate(GENES)), [5, 2])))
+    classes = [R.bucket(F.col("drift"), "positive"), (F.col("close") > F.col("open")).cast("int")]
+    chromosomes = spark.createDataFrame(list(enumerate(GENES)), "rule long, genes array<int>")
+    hits = match_dense(tape, classes, chromosomes, [5, 2]).withColumn("rule_id", F.col("rule").cast("int")).drop("rule")
     rule = {"tp": 10.0, "sl": 8.0, "capital_pct": 10.0}
     e = outcomes(hits.withColumns({"rule_index": F.lit(0), **{k: F.lit(v) for k, v in rule.items()}}), tape, [rule])
     return accounts(e, rule_id="int")[1].select("rule_id", "raw_signals", "trades", r6("total_return_pct", "total_return_pct"), r6("profit_factor", "profit_factor"))

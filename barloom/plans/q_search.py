@@ -211,7 +211,7 @@ def m11(spark, sf_dir):
 
 @query("m19_rule_overlap", "WITH m AS (SELECT DISTINCT l_linenumber AS rule, l_suppkey AS row FROM lineitem), s AS (SELECT rule, count(*) AS n FROM m GROUP BY 1), b AS (SELECT x.rule AS a, y.rule AS b, count(*) AS c FROM m x JOIN m y ON x.row = y.row AND x.rule < y.rule GROUP BY 1, 2) SELECT a, b, round(c / least(p.n, q.n), 6) AS coefficient FROM b JOIN s p ON p.rule = a JOIN s q ON q.rule = b")
 def m19(spark, sf_dir):
-    m = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("rule"), F.col("l_suppkey").alias("row")).distinct()
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("rule"), F.col("l_suppkey").alias("row"))
     return Q.overlap(m).select("a", "b", r6("coefficient", "coefficient"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import indicators as I  # noqa: E741, N812
 from barloom.operators import labels as L  # noqa: N812
+from barloom.operators import masks as K  # noqa: N812
 from barloom.operators import rules as R  # noqa: N812
 from barloom.operators.chunks import shifted
 from barloom.sources.store import settled
@@ -186,9 +187,63 @@ SELECT rule_id, symbol, count(*) AS n FROM c JOIN rules ON (g0 = 5 OR g0 = c0) A
 def b22(spark, sf_dir):
     from barloom.operators.search import match_dense
 
-    df = features(spark, sf_dir).withColumn("classes", F.array(R.bucket(F.col("f_pos"), "positive"), F.col("f_bin")))
-    hit = match_dense(F.col("classes"), {0: [0, 2], 1: [5, 1], 2: [3, 0], 3: [5, 2]}, [5, 2])
-    return df.withColumn("rule_id", F.explode(hit)).groupBy("rule_id", "symbol").agg(F.count("*").alias("n"))
+    rules = spark.createDataFrame([(0, [0, 2]), (1, [5, 1]), (2, [3, 0]), (3, [5, 2])], "rule long, genes array<int>")
+    df = features(spark, sf_dir).select("symbol", "f_pos", "f_bin")
+    hits = match_dense(df, [R.bucket(F.col("f_pos"), "positive"), F.col("f_bin")], rules, [5, 2])
+    return hits.groupBy(F.col("rule").cast("int").alias("rule_id"), "symbol").agg(F.count("*").alias("n"))
+
+
+MANY = f"""cl AS (SELECT symbol, CASE WHEN f_pos <= 0.2 THEN 0 WHEN f_pos <= 0.4 THEN 1 WHEN f_pos <= 0.6 THEN 2 WHEN f_pos <= 0.8 THEN 3 ELSE 4 END AS c0,
+ {" + ".join(f"CAST(f_signed > {e} AS INTEGER)" for e in R.FAMILIES["signed"][1])} AS c1, f_bin AS c2 FROM feat),
+pool AS (SELECT p_partkey AS rule, p_size % 6 AS g0, (p_partkey * 7) % 11 AS g1, p_partkey % 3 AS g2 FROM part)"""
+
+
+@query("b22_rule_table", f"WITH {FEATURES}, {MANY} SELECT rule, symbol, count(*) AS n FROM cl JOIN pool ON (g0 = 5 OR g0 = c0) AND (g1 = 10 OR g1 = c1) AND (g2 = 2 OR g2 = c2) GROUP BY 1, 2")
+def b22b(spark, sf_dir):
+    """A rule for each part, read as a table: matched by counting; the plan has three columns of classes."""
+    from barloom.operators.search import match_dense
+
+    key = F.col("p_partkey")
+    genes = F.transform(F.array(F.col("p_size") % 6, (key * 7) % 11, key % 3), lambda g: g.cast("int"))
+    pool = table(spark, sf_dir, "part").select(key.alias("rule"), genes.alias("genes"))
+    rows = features(spark, sf_dir).select("symbol", "f_pos", "f_signed", "f_bin")
+    classes = [R.bucket(F.col("f_pos"), "positive"), R.bucket(F.col("f_signed"), "signed"), F.col("f_bin")]
+    return match_dense(rows, classes, pool, [5, 10, 2]).groupBy("rule", "symbol").agg(F.count("*").alias("n"))
+
+
+#: Rules of two conditions over the features: each positive label with each signed one, and those alone.
+PAIRED = {100 + 10 * i + j: [f"[f_pos] IS {p}", f"[f_signed] IS {s}"] for i, p in enumerate(R.FAMILIES["positive"][0]) for j, s in enumerate(R.FAMILIES["signed"][0])}
+PAIRED |= {i: [f"[f_pos] IS {p}"] for i, p in enumerate(R.FAMILIES["positive"][0])} | {10 + i: [f"[f_signed] IS {s}", "symbol is view, click"] for i, s in enumerate(R.FAMILIES["signed"][0])} | {99: []}
+
+
+def _masks_sql() -> str:
+    def test(label: str, col: str) -> str:
+        low, high = R.interval(label)
+        return " AND ".join([f"{col} > {low!r}"] * (low is not None) + [f"{col} <= {high!r}"] * (high is not None))
+
+    def one(conditions: list[str]) -> str:
+        parts = [test(c.split(" IS ")[1], c[1 : c.index("]")]) if c.startswith("[") else "symbol IN ('view', 'click')" for c in conditions]
+        return " AND ".join(parts) or "true"
+
+    return " UNION ALL ".join(f"SELECT {k} AS rule, event_id AS row FROM feat WHERE {one(c)}" for k, c in PAIRED.items())
+
+
+def _masks(spark, sf_dir):
+    rules = K.rule_conditions(spark, PAIRED)
+    found = K.index(features(spark, sf_dir), "event_id", [c for _, c in K.conditions_of(PAIRED)])
+    return K.masks(found, rules)
+
+
+@query("b12_mask_index", f"WITH {FEATURES}, m AS ({_masks_sql()}) SELECT CAST(rule AS BIGINT) AS rule, count(*) AS n, min(row) AS first_row, CAST(sum(row) AS BIGINT) AS total FROM m GROUP BY 1")
+def b12(spark, sf_dir):
+    """Rows of 66 rules from one bitmap for each of their conditions."""
+    rows = K.matched(_masks(spark, sf_dir))
+    return rows.groupBy("rule").agg(F.count("*").alias("n"), F.min("row").alias("first_row"), F.sum("row").alias("total"))
+
+
+@query("b12_mask_overlap", f"WITH {FEATURES}, m AS ({_masks_sql()}), s AS (SELECT rule, count(*) AS n FROM m GROUP BY 1), b AS (SELECT x.rule AS a, y.rule AS b, count(*) AS c FROM m x JOIN m y ON x.row = y.row AND x.rule < y.rule GROUP BY 1, 2) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, c AS n_both, round(c / least(p.n, q.n), 6) AS coefficient FROM b JOIN s p ON p.rule = a JOIN s q ON q.rule = b")
+def b12b(spark, sf_dir):
+    return K.overlap(_masks(spark, sf_dir)).select("a", "b", F.col("both").alias("n_both"), r6("coefficient", "coefficient"))
 
 
 @query("c1_one_to_one_join", f"WITH {LABELS} SELECT symbol, count(*) AS n, count(label_close_h) AS n_labels, round(sum(label_close_h), 6) AS total FROM lab GROUP BY 1")

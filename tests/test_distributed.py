@@ -260,3 +260,82 @@ def test_correlations(spark):
     long = df.selectExpr("id", "stack(3, 'p', p, 'q', q, 'holes', holes) AS (item, x)")
     items = {(x.a, x.b): (x.n, x.r) for x in item_correlations(long, ["id"], "item", "x", block=7).collect()}
     assert items == {("p", "q"): pytest.approx(got["p", "q"]), ("holes", "p"): pytest.approx(got["p", "holes"]), ("holes", "q"): pytest.approx(got["q", "holes"])}
+
+
+def rule_rows(spark, n=2500):
+    r = random.Random(12)
+    rows = [(k * 40, r.choice(["A", "B", "1.0", None]), r.choice([None, float("nan"), r.random(), r.random()]), r.uniform(-1.1, 1.1), float(r.choice([0, 1, -1, 2, 1e300]))) for k in range(n)]
+    return spark.createDataFrame(rows, "row long, symbol string, pos double, sig double, flag double").repartition(3)
+
+
+TEXTS = [
+    ["[pos] IS Low", "[sig] IS Bullish"], [], ["symbol is B, 1"], ["[pos] IS Low", "[pos] IS High"], ["[flag] IS Active (1)", "[pos] IS Very High", "symbol is A"],
+    ["[sig] IS Exactly Zero (No Gap)"], ["[sig] IS Strong Positive", "[sig] IS Extreme Bullish"], ["[flag] IS Negative (-1)"], ["[pos] IS Low", "[pos] IS Low"],
+]
+
+
+def test_masks_from_the_index(spark):
+    from barloom.operators import masks as K  # noqa: N812
+    from barloom.operators import rules as R  # noqa: N812
+
+    df = rule_rows(spark)
+    rules = dict(enumerate(TEXTS))
+    found = K.masks(K.index(df, "row", [c for _, c in K.conditions_of(rules)]), K.rule_conditions(spark, rules)).persist()
+    want = {k: {x.row for x in df.where(R.rule_mask(t)).select("row").collect()} for k, t in rules.items()}
+    got = {k: set() for k in rules}
+    for x in K.matched(found).collect():
+        got[x.rule].add(x.row)
+    assert got == want and any(len(v) > 100 for v in want.values())
+    pairs = {(x.a, x.b): (x.both, x.coefficient) for x in K.overlap(found).collect()}
+    every = {(a, b): len(want[a] & want[b]) for a in want for b in want if a < b and want[a] & want[b]}
+    assert pairs == {(a, b): (n, n / min(len(want[a]), len(want[b]))) for (a, b), n in every.items()}
+    assert found.agg(F.max("bucket")).first()[0] > 2  # rows of several buckets
+
+
+def test_many_rules_overlap(spark):
+    """Far more rules in a row than 64."""
+    from barloom.operators.search import overlap
+
+    rows = [(rule, row) for rule in range(150) for row in range(0, 400, rule + 1)] * 2
+    got = {(x.a, x.b): x.coefficient for x in overlap(spark.createDataFrame(rows, "rule long, row long")).collect()}
+    for a, b in ((0, 149), (1, 2), (6, 9), (98, 100)):
+        x, y = set(range(0, 400, a + 1)), set(range(0, 400, b + 1))
+        assert got[a, b] == len(x & y) / min(len(x), len(y))
+    assert len(got) == 150 * 149 // 2  # all of them match row 0
+
+
+@pytest.mark.parametrize("held", [1 << 20, 300])
+def test_rules_from_a_table(spark, monkeypatch, held):
+    from barloom.operators import matcher
+    from barloom.operators.search import match_dense
+
+    monkeypatch.setattr(matcher, "HELD", held)
+    r = random.Random(1)
+    care = [4, 3, 7]
+    rows = [(k, r.choice([None, 0, 1, 2, 3]), r.randrange(3), r.randrange(9)) for k in range(300)]
+    pool = [(k, [r.randrange(5), r.randrange(4), r.randrange(8)]) for k in range(400)] + [(1000, care)]
+    df = spark.createDataFrame(rows, "id int, a int, b int, c int").repartition(3)
+    rules = spark.createDataFrame(pool, "rule long, genes array<int>")
+    got = sorted((x.id, x.rule) for x in match_dense(df, [F.col("a"), F.col("b"), F.col("c")], rules, care).collect())
+    want = sorted((row[0], k) for row in rows for k, genes in pool if all(g == d or g == x for g, d, x in zip(genes, care, row[1:], strict=True)))
+    assert got == want and {k for _, k in got} >= {1000}
+
+
+def test_assignment_of_a_thousand_rules(spark):
+    """The first rule that matches, and a plan that doesn't grow with the rules."""
+    from barloom.operators import rules as R  # noqa: N812
+
+    df = rule_rows(spark, 400)
+    r = random.Random(3)
+    many = [[f"[pos] IS {r.choice(R.FAMILIES['positive'][0])}", f"[sig] IS {r.choice(R.FAMILIES['signed'][0])}", f"symbol is S{k}"] for k in range(1000)] + TEXTS[2:] + [TEXTS[1]]
+    rules = [{"conditions": c, "tp": k + 1.0, "sl": 2.0, "capital_pct": 5.0} for k, c in enumerate(many)]
+    out = R.assign(df, rules, use_context=False)
+    first = F.coalesce(*(F.when(R.rule_mask(c), F.lit(k)) for k, c in enumerate(many) if k >= 1000))
+    want = {x.row: x.k for x in df.select("row", first.alias("k")).where("k IS NOT NULL").collect()}
+    assert {x.row: x.rule_index for x in out.collect()} == want and len(set(want.values())) > 3
+    assert all(x.tp == x.rule_index + 1.0 for x in out.collect())
+    plan = lambda x: len(x._jdf.queryExecution().optimizedPlan().toString())
+    names = len(", ".join(f"S{k}" for k in range(1000)))
+    assert plan(out) < plan(R.assign(df, rules[-5:], use_context=False)) + 40 * names
+    table_ = spark.createDataFrame([(k, x["conditions"], x["tp"], x["sl"], x["capital_pct"]) for k, x in enumerate(rules)], "rule_index int, conditions array<string>, tp double, sl double, capital_pct double")
+    assert {x.row: x.rule_index for x in R.assign(df, table_, use_context=False).collect()} == want
