@@ -39,20 +39,29 @@ def packed(ids: list[int]) -> bytes:
 
 
 class _Pieces(dict):
-    """Ids by piece; a new piece is encoded, with `lead` before it, when it is first asked for."""
+    """Ids by piece; a new piece is encoded, with `lead` before it, when it is first asked for. What
+    isn't asked for between two turns is forgotten."""
 
     def __init__(self, learn, lead: str):
         self.learn, self.lead = learn, lead
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self.learn(piece, self.lead, self)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.learn(piece, self.lead, self)
+        self[piece] = ids
         return ids
 
+    def turn(self) -> None:
+        self.old = self.copy()
+        self.clear()
+
 
 class PieceEncoder:
     """Little-endian unsigned 32-bit ids of whole texts. `limit` bounds the cached pieces."""
 
-    def __init__(self, path: str, limit: int = 1_300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -100,9 +109,10 @@ class PieceEncoder:
 
     def lookup(self, head: str, tail: list[str]) -> list[bytes]:
         """The ids of each piece, the first included."""
-        if len(self.rest) + len(self.first) > self.limit:
-            self.rest.clear()
-            self.first.clear()
+        caches = (self.first, self.marks) if self.rest is self.first else (self.first, self.rest, self.marks)
+        if sum(map(len, caches)) > self.limit // 2:
+            for cache in caches:
+                cache.turn()
             self.first[""] = b""
         return [self.first[head], *map(self.rest.__getitem__, tail)]
 

@@ -73,3 +73,15 @@ def test_many_short_documents():
         sizes.add(size)
     assert time.process_time() - began < 10 and total == 1_000_000
     assert all(s & (s - 1) == 0 for s in sizes)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_the_cache_of_pieces_is_bounded(name):
+    path = tokens.public_path(name)
+    small, whole = tokens.PieceEncoder(path, limit=60), tokens.PieceEncoder(path)
+    r = random.Random(8)
+    for _ in range(60):
+        text = " ".join("".join(r.choice("abcdé!.\n") for _ in range(r.randint(1, 5))) for _ in range(12)) + " the end"
+        assert small.encode(text) == whole.encode(text)
+        held = [small.first, small.marks, *([] if small.rest is small.first else [small.rest])]
+        assert sum(len(c) + len(c.old) for c in held) <= 60 + 2 * 40
