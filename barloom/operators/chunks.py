@@ -83,3 +83,13 @@ def carried(df: DataFrame, name: str, order: list[str], time: str, key: str = "s
 def shifted(df: DataFrame, name: str, col: str, by: int) -> DataFrame:
     """name: col of the row `by` rows after (or before, if negative) in its symbol."""
     return framed(df, max(0, -by), max(0, by), lambda d, w: d.withColumn(name, F.lead(col, by).over(w) if by > 0 else F.lag(col, -by).over(w)))
+
+
+def time_codes(df: DataFrame, time: str, name: str, row: str) -> DataFrame:
+    """df and name: dense codes of the times from 0 in their order, equal for equal times; a row without a time has a code
+    of its own after all others, in order of `row`, a column that tells rows apart."""
+    times = numbered(df.where(F.col(time).isNotNull()).select(time).distinct(), name, total="_times", keys=(), time=time)
+    count = df.agg(F.countDistinct(time).alias("_times"))  # one row
+    lost = numbered(df.where(F.col(time).isNull()).select(row), "_lost", keys=(), time=row)
+    out = null_safe(df.join(times.drop("_times"), time, "left"), lost, [row], "left").crossJoin(F.broadcast(count))
+    return out.withColumn(name, F.coalesce(F.col(name), F.col("_times") + F.col("_lost"))).select(*df.columns, name)

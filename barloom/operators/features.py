@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import null_safe
+from .rules import labels_of
+
 
 def long_form(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     cols = [F.col(c).cast("double").alias(c) for c in features]
@@ -168,3 +171,26 @@ def balanced_clusters(profile: DataFrame, features: list[str], k: int, seed: int
         if s not in out and used[i] < room:
             out[s], used[i] = i, used[i] + 1
     return out
+
+
+def univariate_pool(df: DataFrame, modes_: dict[str, str], target: str, keys: list[str], min_rows: int) -> DataFrame:
+    """keys, feature, label, condition, n, mean, lift: every rule of one condition with at least min_rows rows, the mean of
+    the target on them, and by how much it is above that of all rows of its keys. One pass over the rows."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("feature"), labels_of(F.col(f), m).alias("label")) for f, m in modes_.items()))
+    every = df.groupBy(*keys).agg(F.avg(target).alias("_all"))
+    own = df.select(*keys, target, F.explode(pairs).alias("p")).where("p.label IS NOT NULL").groupBy(*keys, F.col("p.feature").alias("feature"), F.col("p.label").alias("label")).agg(F.count(target).alias("n"), F.avg(target).alias("mean"))
+    own = own.where(F.col("n") >= min_rows)
+    both = null_safe(own, every, keys) if keys else own.crossJoin(F.broadcast(every))  # one row
+    condition = F.concat(F.lit("["), "feature", F.lit("] IS "), "label")
+    return both.select(*keys, "feature", "label", condition.alias("condition"), "n", "mean", (F.col("mean") - F.col("_all")).alias("lift"))
+
+
+def feature_masks(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """keys, feature, present: whether a feature has any value that varies for a key (a symbol); scores of others are zero there."""
+    long = long_form(df, features, keys)
+    return long.groupBy(*keys, "feature").agg((F.min("x") < F.max("x")).alias("present")).withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+def align(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """The kept columns and the features in order; one that isn't there is missing in every row."""
+    return df.select(*keep, *((F.col(f) if f in df.columns else F.lit(None)).cast("double").alias(f) for f in features))

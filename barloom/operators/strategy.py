@@ -107,16 +107,17 @@ def check_context(direction: str, rules: list[dict], required: bool = True) -> N
 
 
 def check(strategy: object, *, least: int = 1, most: int = 20, require_context: bool = False) -> dict:
-    """The strategy, normalised: direction, rules_set and the audit keys. Rules beyond `most` are
-    dropped from the end of the ranked list; an empty set passes only if it says that it isn't
-    accepted for deployment."""
+    """The strategy, normalised: direction, rules_set and the audit keys. More rules than `most` are
+    an error; an empty set passes only if it says that it isn't accepted for deployment."""
     if not isinstance(strategy, dict) or not {"direction", "rules_set"} <= strategy.keys():
         raise StrategyError("a strategy needs direction and rules_set")
     if strategy["direction"] not in CONTEXT:
         raise StrategyError(f"direction must be long or short, not {strategy['direction']!r}")
     if not isinstance(strategy["rules_set"], list):
         raise StrategyError("rules_set must be a list")
-    rules = strategy["rules_set"][:most]
+    rules = strategy["rules_set"]
+    if len(rules) > most:
+        raise StrategyError(f"rules_set has {len(rules)} rules, of which {most} are allowed")
     if len(rules) < least and not (not rules and strategy.get("deployment_accepted") is False):
         raise StrategyError(f"rules_set needs {least} rules at least, not {len(rules)}")
     rules = [check_rule(r, k) for k, r in enumerate(rules, 1)]
@@ -209,11 +210,11 @@ def rule_table(spark: SparkSession, texts: DataFrame, col: str = "json") -> Data
     direction, rule (from 0), tp, sl, capital_pct, conditions, features and symbols."""
     schema = "direction string, capital_pct double, rules_set array<struct<conditions:array<string>,tp:double,sl:double,capital_pct:double>>"
     df = texts.withColumn("_s", F.from_json(col, schema)).select(*[c for c in texts.columns if c != col], "_s.direction", F.col("_s.capital_pct").alias("_capital"), F.posexplode("_s.rules_set").alias("rule", "_r"))
-    symbol = lambda c: F.lower(c).rlike(r"^\s*\[?\s*symbol\s*\]?\s+is\s+")
+    symbol = lambda c: c.rlike(R.SYMBOL_CONDITION)
     return df.select(
         *[c for c in texts.columns if c != col], "direction", "rule", "_r.tp", "_r.sl", F.coalesce("_r.capital_pct", "_capital").alias("capital_pct"), "_r.conditions",
         F.transform(F.filter("_r.conditions", lambda c: ~symbol(c)), lambda c: F.regexp_extract(c, r"^\s*\[([^\]]+)\]", 1)).alias("features"),
-        F.array_distinct(F.flatten(F.transform(F.filter("_r.conditions", symbol), lambda c: F.transform(F.split(F.regexp_extract(c, r"(?i)\sis\s+(.+?)\s*$", 1), r"\s*,\s*"), R.normalize_symbol)))).alias("symbols"),
+        F.array_distinct(F.flatten(F.transform(F.filter("_r.conditions", symbol), lambda c: F.transform(F.split(F.regexp_extract(c, R.SYMBOL_CONDITION, 1), ","), R.normalize_symbol)))).alias("symbols"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators import labels as L  # noqa: N812
+from barloom.operators import pool as P  # noqa: N812
 from barloom.operators import rules as R  # noqa: N812
 from barloom.operators import search as Q  # noqa: N812
 from barloom.operators import simulate as A  # noqa: N812
@@ -188,12 +189,27 @@ def e20(spark, sf_dir):
 
 @query("m4_hamming", "WITH g AS (SELECT p_partkey AS id, p_size % 3 AS a, p_size % 5 AS b, p_size % 7 AS c FROM part), k AS (SELECT n_nationkey % 3 AS a, n_nationkey % 5 AS b, n_nationkey % 7 AS c FROM nation) SELECT id, min(CAST(g.a <> k.a AS INTEGER) + CAST(g.b <> k.b AS INTEGER) + CAST(g.c <> k.c AS INTEGER)) AS nearest FROM g, k GROUP BY 1")
 def m4(spark, sf_dir):
-    """Least distance to an archive, which the search keeps bounded (here the 25 nations)."""
+    """Least distance to an archive, which is a table."""
     z, n = F.col("p_size"), F.col("n_nationkey")
     g = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(z % 3, z % 5, z % 7).alias("genes"))
-    k = table(spark, sf_dir, "nation").agg(F.collect_list(F.array(n % 3, n % 5, n % 7)).alias("archive"))
-    j = g.crossJoin(F.broadcast(k))  # one row
-    return j.select("id", F.array_min(F.transform("archive", lambda x: Q.hamming(x, F.col("genes")))).alias("nearest"))
+    k = table(spark, sf_dir, "nation").select(F.array(n % 3, n % 5, n % 7).alias("g"))
+    return P.nearest_distance(g, "genes", k, 3).select("id", "nearest")
+
+
+GENOTYPES = "ge AS (SELECT p_partkey AS id, [p_size % 4, p_partkey % 3, (p_partkey * 7) % 5, p_size % 3, p_partkey % 2, (p_size * 3) % 4] AS g, p_retailprice AS score, 1 + p_size % 4 AS front FROM part)"
+
+
+def genotypes(spark, sf_dir):
+    z, k = F.col("p_size"), F.col("p_partkey")
+    genes = F.transform(F.array(z % 4, k % 3, (k * 7) % 5, z % 3, k % 2, (z * 3) % 4), lambda x: x.cast("int"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), genes.alias("g"), F.col("p_retailprice").alias("score"), (1 + z % 4).alias("front"))
+
+
+@query("m5_diversity_penalty", f"WITH {GENOTYPES}, r AS (SELECT * FROM ge WHERE front = 1), p AS (SELECT a.id, a.g, CAST(trunc(a.score / 50) AS INTEGER) AS b FROM ge a), q AS (SELECT DISTINCT g, CAST(trunc(score / 50) AS INTEGER) AS b FROM r), h AS (SELECT p.id, bool_or(p.g <> q.g AND len(list_filter(range(1, 7), lambda i: p.g[i] <> q.g[i])) <= 1) AS near, bool_or(p.g <> q.g AND p.b = q.b) AS same FROM p, q GROUP BY 1) SELECT id, CASE WHEN near OR same THEN 0.25 ELSE 0.0 END::DOUBLE AS penalty FROM h")
+def m5b(spark, sf_dir):
+    """Candidates near a reference in their genes, or in its phenotype with other genes."""
+    df = genotypes(spark, sf_dir)
+    return P.diversity_penalty(df, df.where("front = 1"), 6, 1, {"score": 50.0}, 0.25).select("id", "penalty")
 
 
 @query("m8_encodings", "SELECT p_partkey AS id, CAST(p_size % 3 <> 2 AS INTEGER) + CAST(p_size % 5 <> 4 AS INTEGER) AS active, (p_size % 3) || ',' || (p_size % 5) AS dense FROM part")
@@ -206,7 +222,7 @@ def m8(spark, sf_dir):
 @query("m11_cache_misses", f"WITH {POP}, c AS (SELECT id FROM pop WHERE id % 3 = 0) SELECT count(*) AS misses, min(id) AS first_id FROM pop p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.id = p.id)")
 def m11(spark, sf_dir):
     p = population(spark, sf_dir)
-    return p.join(p.where("id % 3 = 0").select("id"), "id", "left_anti").agg(F.count("*").alias("misses"), F.min("id").alias("first_id"))
+    return P.misses(p, p.where("id % 3 = 0"), ["id"]).agg(F.count("*").alias("misses"), F.min("id").alias("first_id"))
 
 
 @query("m19_rule_overlap", "WITH m AS (SELECT DISTINCT l_linenumber AS rule, l_suppkey AS row FROM lineitem), s AS (SELECT rule, count(*) AS n FROM m GROUP BY 1), b AS (SELECT x.rule AS a, y.rule AS b, count(*) AS c FROM m x JOIN m y ON x.row = y.row AND x.rule < y.rule GROUP BY 1, 2) SELECT a, b, round(c / least(p.n, q.n), 6) AS coefficient FROM b JOIN s p ON p.rule = a JOIN s q ON q.rule = b")
@@ -240,8 +256,30 @@ def i9(spark, sf_dir):
 
 @query("m31_elite_niches", f"WITH {POP} SELECT island, id, f2 FROM (SELECT *, row_number() OVER (PARTITION BY island ORDER BY f2 DESC, id) AS k FROM pop) WHERE k <= 2")
 def m31(spark, sf_dir):
-    w = Window.partitionBy("island").orderBy(F.desc("f2"), "id")
-    return population(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 2").select("island", "id", "f2")
+    return P.niches(population(spark, sf_dir), {"niche": F.col("island")}, [F.desc("f2"), F.col("id")], 2).select("island", "id", "f2")
+
+
+@query("m31_migrants", f"WITH {POP} SELECT id, island, (island + 1) % 25 AS target FROM (SELECT *, row_number() OVER (PARTITION BY island ORDER BY f2 DESC, id) AS k FROM pop) WHERE k <= 3")
+def m31b(spark, sf_dir):
+    return P.migrants(population(spark, sf_dir), "island", [F.desc("f2"), F.col("id")], 3, 25).select("id", "island", "target")
+
+
+@query("m11_cache_round", "WITH c AS (SELECT DISTINCT p_size % 7 AS a, p_size % 5 AS b FROM part), k AS (SELECT n_nationkey % 7 AS a, n_nationkey % 5 AS b, max(n_nationkey) AS generation, CAST(max(n_nationkey) AS DOUBLE) AS figure FROM nation GROUP BY 1, 2), m AS (SELECT c.a, c.b, 100 AS generation, CAST(10 * c.a + c.b AS DOUBLE) AS figure FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.a = c.a AND k.b = c.b)), u AS (SELECT * FROM k UNION ALL SELECT * FROM m) SELECT a, b, generation, figure FROM u ORDER BY generation DESC, a, b LIMIT 30")
+def m11b(spark, sf_dir):
+    """A generation evaluates the genotypes that the cache lacks, and the bounded cache takes their figures."""
+    z, n = F.col("p_size"), F.col("n_nationkey")
+    candidates = table(spark, sf_dir, "part").select((z % 7).cast("int").alias("a"), (z % 5).cast("int").alias("b"))
+    cache = table(spark, sf_dir, "nation").groupBy((n % 7).cast("int").alias("a"), (n % 5).cast("int").alias("b")).agg(F.max(n).cast("int").alias("generation"), F.max(n).cast("double").alias("figure"))
+    new = P.misses(candidates, cache, ["a", "b"]).select("a", "b", F.lit(100).alias("generation"), (10 * F.col("a") + F.col("b")).cast("double").alias("figure"))
+    return P.remember(cache, new, ["a", "b"], "generation", 30).select("a", "b", "generation", "figure")
+
+
+@query("m32_rank_diversity", f"WITH {GENOTYPES} SELECT count(*) AS n, round(count(DISTINCT g) / count(*), 6) AS unique_ratio, round(avg(CAST(front = 1 AS DOUBLE)), 6) AS rank0_fraction, round(avg(CAST(front = 2 AS DOUBLE)), 6) AS rank1_fraction, max(front) - 1 AS max_rank, round(median(score), 6) AS median_score FROM ge")
+def m32b(spark, sf_dir):
+    """The ranks of a population; the sampled difference of pairs, of which tests know the value, is left out."""
+    d = P.diagnostics(genotypes(spark, sf_dir), "score")
+    one = spark.createDataFrame([(d["n"], d["unique_ratio"], d["rank0_fraction"], d["rank1_fraction"], d["max_rank"], d["median_score"])], "n long, unique_ratio double, rank0_fraction double, rank1_fraction double, max_rank long, median_score double")
+    return one.select("n", *(r6(c, c) for c in ("unique_ratio", "rank0_fraction", "rank1_fraction")), "max_rank", r6("median_score", "median_score"))
 
 
 @query("m32_population_diagnostics", "SELECT count(DISTINCT (p_size % 3, p_size % 5)) / count(*)::DOUBLE AS unique_ratio, count(*) AS n, median(p_retailprice) AS median_score FROM part")
@@ -254,9 +292,11 @@ def m32(spark, sf_dir):
 def m36(spark, sf_dir):
     z = F.col("p_size")
     used = F.array(F.chr((97 + z % 4).cast("long")), F.chr((97 + z % 5).cast("long")))
-    return table(spark, sf_dir, "part").where(F.size(F.array_except(used, F.array(F.lit("a"), F.lit("b"), F.lit("c")))) == 0).select(F.col("p_partkey").alias("id"))
+    selected = spark.createDataFrame([("a",), ("b",), ("c",)], "feature string")
+    return P.compatible(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), used.alias("used")), "used", selected).select("id")
 
 
 @query("m39_symbol_scope", "SELECT s_nationkey AS rule, array_to_string(list_sort(list(DISTINCT CAST(s_suppkey % 4 AS VARCHAR))), ',') AS symbols, count(*) FILTER (s_acctbal > 0) AS traded FROM supplier GROUP BY 1")
 def m39(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("rule")).agg(F.array_join(F.array_sort(F.collect_set((F.col("s_suppkey") % 4).cast("string"))), ",").alias("symbols"), F.count_if(F.col("s_acctbal") > 0).alias("traded"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("rule"), (F.col("s_suppkey") % 4).alias("symbol"), "s_acctbal")
+    return P.symbol_scope(rows, "rule", "symbol", F.col("s_acctbal") > 0).select("rule", F.array_join("symbols", ",").alias("symbols"), "traded")

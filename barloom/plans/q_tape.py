@@ -10,6 +10,7 @@ from barloom.operators import labels as L  # noqa: N812
 from barloom.operators import masks as K  # noqa: N812
 from barloom.operators import rules as R  # noqa: N812
 from barloom.operators.chunks import shifted
+from barloom.operators.pool import merge_archive
 from barloom.sources.store import settled
 from barloom.sources.tape import dataset_manifest, event_bars, table, with_bar_index
 
@@ -104,9 +105,9 @@ def a2(spark, sf_dir):
 
 @query("a14_archive_merge", "SELECT o_custkey AS key, o_orderkey AS best, score FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn, o_totalprice AS score FROM orders) WHERE rn = 1 ORDER BY score DESC, best LIMIT 200")
 def a14(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    df = table(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return df.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("best"), F.col("o_totalprice").alias("score")).orderBy(F.desc("score"), "best").limit(200)
+    df = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("best"), F.col("o_totalprice").alias("score"))
+    odd = F.col("best") % 2 == 1  # two pools
+    return merge_archive([df.where(odd), df.where(~odd)], ["key"], [F.desc("score"), F.col("best")], 200)
 
 
 @query("b1_grid_validation", f"""WITH {BARS}, g AS (SELECT *, datetime - lag(datetime) OVER (PARTITION BY symbol ORDER BY datetime) AS gap FROM bars)

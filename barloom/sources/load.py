@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.operators import indicators as I  # noqa: E741, N812
 from barloom.operators import labels as L  # noqa: N812
 from barloom.operators.chunks import shifted
 
-from .tape import with_bar_index
+from .tape import csv_columns, same_place, with_bar_index, write_csv
 
 PRICES = ("open", "high", "low", "close", "volume")
 LABELS = ("label_open_next", "label_close_h", "label_min_h", "label_max_h", "label_max_first")
@@ -79,13 +80,19 @@ def prepare(df: DataFrame, horizon: int, *, features: list[str] | None = None, t
     return with_bar_index(df.na.fill(0, numeric) if numeric else df)
 
 
+def tape_schema(names: list[str]) -> T.StructType:
+    """The types of a tape's columns by their names, whatever the data are like."""
+    known = {"datetime": T.TimestampType(), "symbol": T.StringType(), "bar": T.LongType(), "row_id": T.LongType(), "label_max_first": T.IntegerType(), **dict.fromkeys(CONTEXT, T.IntegerType())}
+    return T.StructType([T.StructField(n, known.get(n, T.IntegerType() if n.startswith("_off_") else T.DoubleType())) for n in names])
+
+
 def load(spark: SparkSession, path: str, horizon: int, schema=None, **how) -> DataFrame:
-    """prepare() of a CSV or Parquet tape."""
+    """prepare() of a CSV or Parquet tape. A CSV file is read once: without a schema its header gives the columns,
+    which are numbers but for those that tape_schema() knows otherwise."""
     if path.rstrip("/").endswith(".parquet"):
         raw = spark.read.parquet(path)
     else:
-        reader = spark.read.option("header", True)
-        raw = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+        raw = spark.read.option("header", True).schema(schema or tape_schema(csv_columns(spark, path))).csv(path)
     return prepare(raw.withColumn("datetime", F.col("datetime").cast("timestamp")).withColumn("symbol", F.col("symbol").cast("string")), horizon, **how)
 
 
@@ -116,3 +123,15 @@ def forward_symbols(test: DataFrame, forward: DataFrame) -> DataFrame:
     one = lambda df, name: df.agg((F.count("*") == 0).alias(name))
     end, begin = test.agg(F.max("datetime").alias("end")), forward.agg(F.min("datetime").alias("begin"))
     return one(a.subtract(b).union(b.subtract(a)), "same_symbols").crossJoin(end.crossJoin(begin).select((F.col("begin") > F.col("end")).alias("later")))  # one row each
+
+
+def write_enriched(spark: SparkSession, source: str, out: str, *, lookback: int, mid: tuple[str, int], high: tuple[str, int], base_step: str, thresholds: dict[str, DataFrame], history: DataFrame | None = None) -> DataFrame:
+    """Enrich the CSV tape at source with thresholds that are given (never fitted here), warmed up by history, and write
+    it to another place; what was written, read back."""
+    if same_place(spark, source, out):
+        raise ValueError("an enriched tape never overwrites its source")
+    names = csv_columns(spark, source)
+    raw = spark.read.option("header", True).schema(tape_schema(names)).csv(source)
+    done = I.enrich_target(raw, history, lookback, mid, high, base_step, thresholds).select(*names, *CONTEXT)
+    write_csv(done, out, source)
+    return spark.read.option("header", True).schema(tape_schema([*names, *CONTEXT])).csv(out)

@@ -50,8 +50,20 @@ def csv_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+def same_place(spark: SparkSession, a: str, b: str) -> bool:
+    """Whether two paths lead to one place, or one to a place within the other: URIs are completed, local links followed."""
+
+    def whole(path: str) -> str:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+        return "file:" + os.path.realpath(uri.removeprefix("file:")) if uri.startswith("file:") else uri.rstrip("/")
+
+    x, y = whole(a), whole(b)
+    return x == y or x.startswith(y + "/") or y.startswith(x + "/")
+
+
 def write_csv(df: DataFrame, path: str, overwrite_source: str | None = None) -> None:
-    if overwrite_source and os.path.normpath(path) == os.path.normpath(overwrite_source):
+    if overwrite_source and same_place(df.sparkSession, path, overwrite_source):
         raise ValueError("an enriched tape never overwrites its source")
     df.write.mode("overwrite").csv(path, header=True)
 
