@@ -6,6 +6,7 @@ Files are small and go through the session's Hadoop file system, so any store wi
 from __future__ import annotations
 
 import json
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,22 +108,23 @@ def check_context(direction: str, rules: list[dict], required: bool = True) -> N
 
 
 def check(strategy: object, *, least: int = 1, most: int = 20, require_context: bool = False) -> dict:
-    """The strategy, normalised: direction, rules_set and the audit keys. More rules than `most` are
-    an error; an empty set passes only if it says that it isn't accepted for deployment."""
+    """The strategy, normalised: direction, rules_set and the audit keys. Rules beyond `most` go
+    from the end of the ranked list to dropped_rules, and a warning says so; an empty set passes only
+    if it says that it isn't accepted for deployment."""
     if not isinstance(strategy, dict) or not {"direction", "rules_set"} <= strategy.keys():
         raise StrategyError("a strategy needs direction and rules_set")
     if strategy["direction"] not in CONTEXT:
         raise StrategyError(f"direction must be long or short, not {strategy['direction']!r}")
     if not isinstance(strategy["rules_set"], list):
         raise StrategyError("rules_set must be a list")
-    rules = strategy["rules_set"]
-    if len(rules) > most:
-        raise StrategyError(f"rules_set has {len(rules)} rules, of which {most} are allowed")
+    rules, dropped = strategy["rules_set"][:most], strategy["rules_set"][most:]
+    if dropped:
+        logging.getLogger(__name__).warning("rules_set has %d rules more than the %d allowed", len(dropped), most)
     if len(rules) < least and not (not rules and strategy.get("deployment_accepted") is False):
         raise StrategyError(f"rules_set needs {least} rules at least, not {len(rules)}")
     rules = [check_rule(r, k) for k, r in enumerate(rules, 1)]
     check_context(strategy["direction"], rules, require_context)
-    return {"direction": strategy["direction"], "rules_set": rules} | {k: strategy[k] for k in AUDIT if k in strategy}
+    return {"direction": strategy["direction"], "rules_set": rules} | ({"dropped_rules": dropped} if dropped else {}) | {k: strategy[k] for k in AUDIT if k in strategy}
 
 
 def clean(strategy: dict) -> dict:

@@ -270,6 +270,7 @@ def test_strategy_files(spark, tmp_path):
         Y.read(spark, f"file://{tmp_path}/none.json")
     assert Y.check(strategy(rules_set=[], deployment_accepted=False))["rules_set"] == []
     assert len(Y.check(strategy(rules_set=[rule] * 30))["rules_set"]) == 20
+    assert Y.check(strategy(rules_set=[rule] * 30))["dropped_rules"] == [rule] * 10 and "dropped_rules" not in Y.check(strategy())
     assert Y.compile_rules({"TRADE_CAPITAL_PCT": 7, "rules_set": [{"tp": 1, "sl": 2, "conditions": ["[x] IS Low"]}]}) == [{"conditions": ["[x] IS Low"], "tp": 1.0, "sl": 2.0, "capital_pct": 7.0}]
     with pytest.raises(Y.StrategyError):
         Y.compile_rules({"rules_set": [{"tp": 1, "sl": 2}]})
