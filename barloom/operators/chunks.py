@@ -80,9 +80,9 @@ def carried(df: DataFrame, name: str, order: list[str], time: str, key: str = "s
     return null_safe(df.withColumn(name, here), ends, by).withColumn(name, F.coalesce(name, "_carry")).drop("_slot", "_carry")
 
 
-def shifted(df: DataFrame, name: str, col: str, by: int) -> DataFrame:
+def shifted(df: DataFrame, name: str, col: str, by: int, place: str | None = None) -> DataFrame:
     """name: col of the row `by` rows after (or before, if negative) in its symbol."""
-    return framed(df, max(0, -by), max(0, by), lambda d, w: d.withColumn(name, F.lead(col, by).over(w) if by > 0 else F.lag(col, -by).over(w)))
+    return framed(df, max(0, -by), max(0, by), lambda d, w: d.withColumn(name, F.lead(col, by).over(w) if by > 0 else F.lag(col, -by).over(w)), place=place)
 
 
 def time_codes(df: DataFrame, time: str, name: str, row: str) -> DataFrame:

@@ -38,8 +38,8 @@ def _volatility(df: DataFrame, w: WindowSpec, window: int, name: str) -> DataFra
     return df.withColumn(name, F.when(F.count("_lr").over(frame) == window, F.stddev_samp("_lr").over(frame))).drop("_lr")
 
 
-def signed_efficiency(df: DataFrame, lookback: int, name: str = "efficiency") -> DataFrame:
-    return framed(df, lookback, 0, lambda d, w: _efficiency(d, w, lookback, name))
+def signed_efficiency(df: DataFrame, lookback: int, name: str = "efficiency", place: str | None = None) -> DataFrame:
+    return framed(df, lookback, 0, lambda d, w: _efficiency(d, w, lookback, name), place=place)
 
 
 def true_range(df: DataFrame, period: int, name: str = "atr") -> DataFrame:
@@ -88,8 +88,8 @@ def ema(df: DataFrame, spans: dict[str, int], place: str | None = None) -> DataF
 
 
 def structural_inputs(df: DataFrame, lookback: int, place: str = "_place") -> DataFrame:
-    """efficiency, spread and rv, and the column place: a row's place in its symbol."""
-    df = ema(numbered(df, place), {"_fast": max(2, lookback // 2), "_slow": max(4, lookback)}, place)
+    """efficiency, spread and rv, and the column place: a row's place in its symbol, taken as it is if df has it."""
+    df = ema(df if place in df.columns else numbered(df, place), {"_fast": max(2, lookback // 2), "_slow": max(4, lookback)}, place)
     df = price_indicators(df, lookback, atr="_atr", place=place)
     return df.withColumn("spread", F.try_divide(F.col("_fast") - F.col("_slow"), F.nullif(F.col("_atr"), F.lit(0.0)))).drop("_fast", "_slow", "_atr")
 

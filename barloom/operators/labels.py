@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from .chunks import chunked, framed, numbered
 
 
-def add_labels(tape: DataFrame, horizon: int) -> DataFrame:
+def add_labels(tape: DataFrame, horizon: int, place: str | None = None) -> DataFrame:
     """label_open_next, label_close_h, label_min_h, label_max_h, label_max_first. Null where the
     horizon isn't complete. Equal extremes: the first bar counts."""
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
@@ -25,7 +25,7 @@ def add_labels(tape: DataFrame, horizon: int) -> DataFrame:
             "label_max_first": F.when(full, (high["bar"] < low["bar"]).cast("int")),
         })
 
-    return framed(tape, 0, horizon, compute)
+    return framed(tape, 0, horizon, compute, place=place)
 
 
 def drop_tail(df: DataFrame, horizon: int) -> DataFrame:
@@ -98,19 +98,19 @@ def _outcomes(table, horizon: int, cases: list[tuple[str, float, float]]):
     return out.append_column("_off", pa.ListArray.from_arrays(sizes, pa.array(off.ravel())))
 
 
-def with_outcomes(tape: DataFrame, horizon: int, cases: list[tuple[str, float, float]]) -> DataFrame:
+def with_outcomes(tape: DataFrame, horizon: int, cases: list[tuple[str, float, float]], place: str | None = None) -> DataFrame:
     """The tape with the lists _ret and _off: for each (direction, tp, sl) the outcome of an entry at
     the next open and its bar ahead. A chunk of a symbol, with the horizon after it, is one group."""
     schema = T.StructType([*tape.schema.fields, T.StructField("_ret", T.ArrayType(T.DoubleType())), T.StructField("_off", T.ArrayType(T.IntegerType()))])
-    return chunked(tape, 0, horizon).groupBy("symbol", "_chunk").applyInArrow(lambda table: _outcomes(table, horizon, cases), schema)
+    return chunked(tape, 0, horizon, place=place).groupBy("symbol", "_chunk").applyInArrow(lambda table: _outcomes(table, horizon, cases), schema)
 
 
-def barrier(tape: DataFrame, horizon: int, grid: list[tuple[float, float]], directions: tuple[str, ...] = ("long", "short")) -> DataFrame:
+def barrier(tape: DataFrame, horizon: int, grid: list[tuple[float, float]], directions: tuple[str, ...] = ("long", "short"), place: str | None = None) -> DataFrame:
     """symbol, bar, direction, tp, sl, return_pct, exit_offset: the first of take-profit and
     stop that a later bar touches. Entry at the next open; a bar that touches both is a stop;
     none: the close at the horizon. Null and -1 where the horizon or the entry isn't there."""
     cases = [(d, float(tp), float(sl)) for d in directions for tp, sl in sorted(grid)]
-    df = with_outcomes(tape.select("symbol", "datetime", "bar", "open", "high", "low", "close"), horizon, cases)
+    df = with_outcomes(tape.select("symbol", "datetime", "bar", "open", "high", "low", "close"), horizon, cases, place)
     named = F.array(*(F.struct(F.lit(d).alias("direction"), F.lit(tp).alias("tp"), F.lit(sl).alias("sl")) for d, tp, sl in cases))
     df = df.select("symbol", "bar", F.explode(F.arrays_zip(named.alias("c"), F.col("_ret").alias("r"), F.col("_off").alias("o"))).alias("x"))
     return df.select("symbol", "bar", "x.c.*", F.col("x.r").alias("return_pct"), F.col("x.o").alias("exit_offset"))
@@ -121,11 +121,11 @@ def pair_name(direction: str, tp: float, sl: float, what: str) -> str:
     return f"_{what}_{direction}_tp{tp:.8g}_sl{sl:.8g}"
 
 
-def attach_barriers(tape: DataFrame, horizon: int, tps: list[float], sls: list[float], directions: tuple[str, ...] = ("long", "short")) -> DataFrame:
+def attach_barriers(tape: DataFrame, horizon: int, tps: list[float], sls: list[float], directions: tuple[str, ...] = ("long", "short"), place: str | None = None) -> DataFrame:
     """The tape with a return and an offset column for each direction and pair of the sorted grid."""
     cases = [(d, float(tp), float(sl)) for d in directions for tp in sorted(set(tps)) for sl in sorted(set(sls))]
     cols = [F.get(f"_{what}", F.lit(j)).alias(pair_name(d, tp, sl, what)) for j, (d, tp, sl) in enumerate(cases) for what in ("ret", "off")]
-    return with_outcomes(tape, horizon, cases).select(*tape.columns, *cols)
+    return with_outcomes(tape, horizon, cases, place).select(*tape.columns, *cols)
 
 
 def returns(df: DataFrame) -> DataFrame:

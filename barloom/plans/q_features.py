@@ -158,7 +158,7 @@ def g25(spark, sf_dir):
 def g26(spark, sf_dir):
     from barloom.operators.chunks import shifted
 
-    b = shifted(event_bars(spark, sf_dir), "before", "close", -1)
+    b = shifted(event_bars(spark, sf_dir), "before", "close", -1, "bar")
     r = b.select("symbol", "bar", F.coalesce(F.try_divide("close", F.nullif(F.col("before"), F.lit(0.0))) - 1, F.lit(0.0)).alias("r"))
     return item_correlations(r, ["bar"], "symbol", "r").select("a", "b", r6("r", "rho"))
 

@@ -17,7 +17,7 @@ TRADES = f"{BARS}, {barrier_sql([(10.0, 8.0)], ('long',))}, trades AS (SELECT sy
 
 
 def trades(spark, sf_dir):
-    t = L.barrier(event_bars(spark, sf_dir), H, [(10.0, 8.0)], ("long",)).where("exit_offset > 0")
+    t = L.barrier(event_bars(spark, sf_dir), H, [(10.0, 8.0)], ("long",), "bar").where("exit_offset > 0")
     return t.select("symbol", "bar", "return_pct", "exit_offset", (F.col("bar") % 4).alias("rule"), F.when(F.col("bar") < 100, "train").otherwise("val").alias("split"))
 
 

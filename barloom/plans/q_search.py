@@ -39,7 +39,7 @@ def outcomes(assigned, tape, rules, direction="long"):
     """Entries of rows with a rule (symbol, bar, tp, sl, capital_pct, rule_index): their outcome
     and the row at which they are released."""
     grid = sorted({(r["tp"], r["sl"]) for r in rules})
-    out = L.barrier(tape, H, grid, (direction,)).where("exit_offset > 0")
+    out = L.barrier(tape, H, grid, (direction,), "bar").where("exit_offset > 0")
     rows = tape.select("symbol", F.col("bar").alias("exit_bar"), F.col("row_id").alias("release_row"))
     df = assigned.join(out, ["symbol", "bar", "tp", "sl"]).withColumn("exit_bar", F.col("bar") + F.col("exit_offset")).join(rows, ["symbol", "exit_bar"], "left")
     return df.withColumns({
@@ -49,7 +49,7 @@ def outcomes(assigned, tape, rules, direction="long"):
 
 def entries(spark, sf_dir, direction="long", rules=RULES, tape=None):
     tape = drifts(spark, sf_dir) if tape is None else tape
-    return outcomes(R.assign(shifted(tape, "entry_price", "open", 1), rules, direction), tape, rules, direction)
+    return outcomes(R.assign(shifted(tape, "entry_price", "open", 1, "bar"), rules, direction), tape, rules, direction)
 
 
 BASE = f"{BARS}, {IDS}, {DRIFT}, asg AS (SELECT symbol, bar, CASE WHEN drift > 0.6 AND drift <= 0.8 THEN 0 WHEN drift > 0.2 AND drift <= 0.4 AND symbol IN ('click', 'view') THEN 1 ELSE 2 END AS rule_index FROM dr), {rules_sql(RULES)}, {touched(('long',))}, {entries_sql('asg')}"
@@ -151,7 +151,7 @@ def l8(spark, sf_dir):
 
 @query("m21_risk_grid", f"WITH {BARS}, {barrier_sql([(10.0, 8.0), (10.0, 15.0), (25.0, 8.0), (25.0, 15.0)], ('long',))}, s AS (SELECT tp, sl, CASE WHEN bar < 100 THEN 0 ELSE 1 END AS fold, avg(return_pct) AS r FROM touch WHERE exit_offset > 0 GROUP BY ALL) SELECT tp, sl, round(min(r), 6) AS worst_fold FROM s GROUP BY 1, 2")
 def m21(spark, sf_dir):
-    out = L.barrier(event_bars(spark, sf_dir), H, [(tp, sl) for tp in (10.0, 25.0) for sl in (8.0, 15.0)], ("long",)).where("exit_offset > 0")
+    out = L.barrier(event_bars(spark, sf_dir), H, [(tp, sl) for tp in (10.0, 25.0) for sl in (8.0, 15.0)], ("long",), "bar").where("exit_offset > 0")
     s = out.groupBy("tp", "sl", F.when(F.col("bar") < 100, 0).otherwise(1).alias("fold")).agg(F.avg("return_pct").alias("r"))
     return s.groupBy("tp", "sl").agg(r6(F.min("r"), "worst_fold"))
 

@@ -45,14 +45,14 @@ def features(spark, sf_dir):
 
 
 def labelled(spark, sf_dir, horizon=H):
-    return L.add_labels(event_bars(spark, sf_dir), horizon)
+    return L.add_labels(event_bars(spark, sf_dir), horizon, "bar")
 
 
 def flagship(spark, sf_dir):
     """4-hour bars, forward outcomes, one rule of two conditions: trades by symbol."""
     tape = event_bars(spark, sf_dir)
-    out = L.barrier(tape, H, [(10.0, 8.0)], ("long",))
-    x = I.signed_efficiency(tape, 6).withColumn("vol_rank", F.percent_rank().over(Window.partitionBy("symbol").orderBy("volume", "datetime")))
+    out = L.barrier(tape, H, [(10.0, 8.0)], ("long",), "bar")
+    x = I.signed_efficiency(tape, 6, place="bar").withColumn("vol_rank", F.percent_rank().over(Window.partitionBy("symbol").orderBy("volume", "datetime")))
     hits = x.where(R.rule_mask(["[efficiency] IS Weak Bullish", "[vol_rank] IS High"]) | R.rule_mask(["[efficiency] IS Bullish"]))
     trades = hits.select("symbol", "bar").join(out.where("exit_offset > 0"), ["symbol", "bar"])
     return trades.groupBy("symbol").agg(F.count("*").alias("trade_count"), r6(100 * F.avg((F.col("return_pct") > 0).cast("double")), "win_rate_pct"), r6(F.sum("return_pct"), "sum_return_pct"))
@@ -114,7 +114,7 @@ def a14(spark, sf_dir):
 SELECT symbol, count(*) AS n_rows, count(*) FILTER (gap <> INTERVAL '4 hours') AS n_gaps, count(*) FILTER (hour(datetime) % 4 <> 0 OR minute(datetime) <> 0 OR second(datetime) <> 0) AS n_off_grid,
  count(*) - count(DISTINCT datetime) AS n_duplicates, count(*) FILTER (datetime IS NULL) AS n_null_ts FROM g GROUP BY 1""")
 def b1(spark, sf_dir):
-    df = shifted(event_bars(spark, sf_dir), "before", "datetime", -1)
+    df = shifted(event_bars(spark, sf_dir), "before", "datetime", -1, "bar")
     df = df.withColumn("gap", F.unix_timestamp("datetime") - F.unix_timestamp("before"))
     return df.groupBy("symbol").agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("gap") != 4 * 3600).alias("n_gaps"), F.count_if((F.hour("datetime") % 4 != 0) | (F.minute("datetime") != 0) | (F.second("datetime") != 0)).alias("n_off_grid"),
@@ -301,7 +301,7 @@ def d1(spark, sf_dir):
 
 @query("d6_first_touch", f"WITH {BARS}, {barrier_sql(GRID)} SELECT symbol, bar, direction, tp, sl, round(return_pct, 6) AS return_pct, exit_offset FROM touch")
 def d6(spark, sf_dir):
-    return L.barrier(event_bars(spark, sf_dir), H, GRID).select("symbol", "bar", "direction", "tp", "sl", r6("return_pct", "return_pct"), "exit_offset")
+    return L.barrier(event_bars(spark, sf_dir), H, GRID, place="bar").select("symbol", "bar", "direction", "tp", "sl", r6("return_pct", "return_pct"), "exit_offset")
 
 
 def _outcome_sql(direction: str, tp: float, sl: float) -> str:
@@ -318,7 +318,7 @@ def d8(spark, sf_dir):
 
 @query("d11_entry_time", f"WITH {BARS} SELECT symbol, bar, coalesce(lead(datetime) OVER (PARTITION BY symbol ORDER BY datetime), datetime + INTERVAL '4 hours') AS entry_time FROM bars")
 def d11(spark, sf_dir):
-    return shifted(event_bars(spark, sf_dir), "next", "datetime", 1).select("symbol", "bar", F.coalesce(F.col("next"), F.col("datetime") + F.expr("INTERVAL 4 HOURS")).alias("entry_time"))
+    return shifted(event_bars(spark, sf_dir), "next", "datetime", 1, "bar").select("symbol", "bar", F.coalesce(F.col("next"), F.col("datetime") + F.expr("INTERVAL 4 HOURS")).alias("entry_time"))
 
 
 IND = f"""i0 AS (SELECT *, lag(close) OVER w AS pc, lag(close, 6) OVER w AS pc6, abs(close - lag(close) OVER w) AS step,
@@ -331,13 +331,13 @@ EMA_SQL = """ema AS (SELECT symbol, bar, datetime, close AS f, close AS s FROM b
 
 @query("e1_e5_indicators", f"WITH {BARS}, {IND} SELECT symbol, bar, round(efficiency, 6) AS efficiency, round(atr, 6) AS atr, round(rv, 6) AS rv FROM i1")
 def e1(spark, sf_dir):
-    df = I.price_indicators(event_bars(spark, sf_dir), 6)
+    df = I.price_indicators(event_bars(spark, sf_dir), 6, place="bar")
     return df.select("symbol", "bar", r6("efficiency", "efficiency"), r6("atr", "atr"), r6("rv", "rv"))
 
 
 @query("e3_ema_spread", f"WITH RECURSIVE {BARS}, {IND}, {EMA_SQL} SELECT e.symbol, e.bar, round((e.f - e.s) / nullif(i1.atr, 0), 6) AS spread FROM ema e JOIN i1 ON i1.symbol = e.symbol AND i1.bar = e.bar")
 def e3(spark, sf_dir):
-    return I.structural_inputs(event_bars(spark, sf_dir), 6).select("symbol", "bar", r6("spread", "spread"))
+    return I.structural_inputs(event_bars(spark, sf_dir), 6, "bar").select("symbol", "bar", r6("spread", "spread"))
 
 
 REGIME = f"""{BARS}, {IND}, {EMA_SQL}, si AS (SELECT i1.*, (e.f - e.s) / nullif(i1.atr, 0) AS spread, row_number() OVER (PARTITION BY i1.symbol ORDER BY i1.datetime) AS rn, count(*) OVER (PARTITION BY i1.symbol) AS total FROM i1 JOIN ema e ON e.symbol = i1.symbol AND e.bar = i1.bar),
@@ -347,13 +347,13 @@ st AS (SELECT si.*, CASE WHEN abs(efficiency) < te AND rv < tv AND rv >= 0 THEN
 
 @query("f2_thresholds", f"WITH RECURSIVE {REGIME} SELECT round(te, 6) AS eff_t, round(ts, 6) AS spread_t, round(tv, 6) AS rv_t FROM th")
 def f2(spark, sf_dir):
-    t = I.fit_thresholds(I.train_prefix(I.structural_inputs(event_bars(spark, sf_dir), 6), 0.65))
+    t = I.fit_thresholds(I.train_prefix(I.structural_inputs(event_bars(spark, sf_dir), 6, "bar"), 0.65))
     return t.select(*(r6(c, c) for c in t.columns))
 
 
 @query("f4_regimes", f"WITH RECURSIVE {REGIME} SELECT symbol, bar, state FROM st")
 def f4(spark, sf_dir):
-    x = settled(I.structural_inputs(event_bars(spark, sf_dir), 6))
+    x = settled(I.structural_inputs(event_bars(spark, sf_dir), 6, "bar"))
     return I.classify(x, I.fit_thresholds(I.train_prefix(x, 0.65))).select("symbol", "bar", "state")
 
 
@@ -374,7 +374,7 @@ def context(spark, sf_dir):
     df = event_bars(spark, sf_dir).withColumns({
         "hwc_state": F.when(b % 7 < 3, 1).when(b % 7 < 5, -1).when(b % 7 < 6, 0).otherwise(2), "mwc_state": F.when(b % 5 < 2, 1).when(b % 5 < 3, 0).otherwise(-1),
         "lwc_state": F.when(F.col("close") > F.col("open"), 1).when(F.col("close") < F.col("open"), -1).otherwise(0)})
-    return I.permissions(df, lookback=3)
+    return I.permissions(df, lookback=3, place="bar")
 
 
 @query("e7_permissions_triggers", f"WITH {CONTEXT} SELECT symbol, bar, tf_permission_long, tf_permission_short, lwc_pullback_reversal_long, lwc_pullback_reversal_short FROM p")
