@@ -1,4 +1,11 @@
-"""The corpus pipeline: quality rules, exact dedup, near-duplicate join, mixing, packing."""
+"""The corpus pipeline: quality rules, exact dedup, near-duplicate join, mixing, packing.
+
+Defined results: null and empty texts fail the base rules and go with the first stage; null languages
+and sources are languages and sources of their own; of equal texts the row of the largest doc_id stays, of near
+copies one row of each group; null ids stay null and are hashed by their text; repeated rows are copies
+of each other; an empty table gives empty stages and no piece. Other columns pass through all stages but
+the last, whatever they are called.
+"""
 
 from __future__ import annotations
 
