@@ -11,7 +11,8 @@ what a committed task reported in the manifest counts, so lost executors leave n
 
 Defined results: a null or empty text gives a record of the end id alone; null ids come first;
 ids are integers (others raise); rows of equal ids are in order of their text's hash; an empty table gives no file; a damaged
-record raises ValueError with its file and offset.
+record raises ValueError with its file and offset. Only the id and the text are read, so other columns' names
+can't clash.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .tokens import encoder, largest_id, public_path
 
 #: Added to a rotated checksum (fixed value).
 MASK_DELTA = 0xA282EAD8
+#: Pieces that a worker keeps encoded.
+CACHED = 1_300_000
 HEAD = struct.Struct("<QI")
 CRC = struct.Struct("<I")
 META = struct.Struct("<BBq")
@@ -110,7 +113,7 @@ def _write(batches: Iterable, folder: str, path: str, eos: int, width: int) -> I
     import pyarrow as pa
     from pyspark import TaskContext
 
-    part, enc, end = TaskContext.get().partitionId(), encoder(path), eos.to_bytes(4, "little")
+    part, enc, end = TaskContext.get().partitionId(), encoder(path, CACHED), eos.to_bytes(4, "little")
     name = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.rec"
     fs, p = open_fs(name)
     fs.create_dir(open_fs(folder)[1], recursive=True)

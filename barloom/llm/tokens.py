@@ -125,10 +125,11 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each file and worker process."""
+def encoder(path: str, limit: int = 800_000) -> PieceEncoder:
+    """One encoder for each file and worker process, with the largest limit asked for."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path, limit)
+    _ENCODERS[path].limit = max(_ENCODERS[path].limit, limit)
     return _ENCODERS[path]
 
 
