@@ -15,7 +15,7 @@ k-th product with the sample is a floor: what is below can't be in the result an
 summed from left to right in double precision.
 
 Recall depends on the data. Uniformly random directions are the worst case: neighbours are hardly nearer
-than others, so `share` is large by default; with structure a tenth of it does.
+than others, so `share` is large by default. recall() measures it.
 
 Defined results: vectors that are null, zero, of another length than `dims` (by default the commonest
 length, the smaller of equally common ones), or with components that are null or not finite take no

@@ -11,7 +11,7 @@ step groups, largest first, each to the group with the fewest tokens.
 Defined results: a null or empty text is a document of the end id alone; ids are integers
 (others raise) or null; repeated rows and
 ids are separate documents; an empty table gives no pieces; a document longer than the
-longest window is cut, never shortened.
+longest window is cut, never shortened. Only the id and the text are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations
