@@ -20,8 +20,7 @@ PARTS = 64
 
 def rank_table(counts: DataFrame, col: str, keys: list[str], name: str) -> DataFrame:
     """keys, col, name: the average rank from 1 of each distinct value of a group; nulls are the smallest value.
-    counts: keys, col and _n, the rows that have a value."""
-    counts = settled(counts)
+    counts: keys, col and _n, the rows that have a value; read three times, so it should be cheap to make again."""
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(col, [k / PARTS for k in range(1, PARTS)], 1000).alias("_cuts"))
     counts = null_safe(counts, cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))  # one row
     part = F.when(F.col(col).isNull() | F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col(col))))
@@ -36,7 +35,7 @@ def rank_table(counts: DataFrame, col: str, keys: list[str], name: str) -> DataF
 
 def average_rank(df: DataFrame, col: str, keys: list[str], name: str) -> DataFrame:
     """df and name: the average rank of a row's value in its group."""
-    return null_safe(df, rank_table(df.groupBy(*keys, col).agg(F.count("*").alias("_n")), col, keys, name), [*keys, col])
+    return null_safe(df, rank_table(settled(df.groupBy(*keys, col).agg(F.count("*").alias("_n"))), col, keys, name), [*keys, col])
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
@@ -44,8 +43,15 @@ def spearman(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     equal values are one row with their count."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, a, b).agg(F.count("*").alias("_w"))
     pairs = settled(pairs)
-    ranks = lambda c, name: rank_table(pairs.groupBy(*keys, c).agg(F.sum("_w").alias("_n")), c, keys, name)
-    ranked = null_safe(null_safe(pairs, ranks(a, "_ra"), [*keys, a]), ranks(b, "_rb"), [*keys, b])
+    # Both columns in one table of values, where they have one type.
+    kind = "double" if pairs.schema[a].dataType != pairs.schema[b].dataType else pairs.schema[a].dataType
+    both = F.array(*(F.struct(F.lit(k).alias("_of"), F.col(c).cast(kind).alias("_value")) for k, c in enumerate((a, b))))
+    long = pairs.select(*keys, "_w", F.explode(both).alias("_x")).select(*keys, "_w", "_x.*")
+    ranks = rank_table(long.groupBy(*keys, "_of", "_value").agg(F.sum("_w").alias("_n")), "_value", [*keys, "_of"], "_rank")
+    ranked = pairs
+    for k, (c, name) in enumerate(((a, "_ra"), (b, "_rb"))):
+        own = ranks.where(F.col("_of") == k).select(*keys, F.col("_value").alias("_v"), F.col("_rank").alias(name))
+        ranked = null_safe(ranked.withColumn("_v", F.col(c).cast(kind)), own, [*keys, "_v"]).drop("_v")
     w, x, y = F.col("_w"), F.col("_ra"), F.col("_rb")
     mid = ranked.groupBy(*keys).agg(F.sum(w).alias("n"), (F.sum(w * x) / F.sum(w)).alias("_mx"), (F.sum(w * y) / F.sum(w)).alias("_my"))
     ranked = null_safe(ranked, mid, keys) if keys else ranked.crossJoin(F.broadcast(mid))  # one row
