@@ -50,6 +50,15 @@ def numbered(df: DataFrame, name: str, total: str | None = None, keys: tuple[str
     return null_safe(df.withColumn(name, place), counts, by).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_slot", "_before")
 
 
+def strips(df: DataFrame, order: list[str], name: str, rows: int = 1 << 16) -> DataFrame:
+    """df, stored, with the number of its strip: strips hold about `rows` rows each and follow one another in the order, in
+    which rows that are equal are in one strip. The cuts are those of Spark's range partitioning."""
+    from barloom.sources.store import settled
+
+    pieces = -(-df.count() // rows) or 1
+    return settled(df.repartitionByRange(pieces, *order).withColumn(name, F.spark_partition_id()))
+
+
 def chunked(df: DataFrame, before: int, after: int, rows: int | None = None, place: str | None = None) -> DataFrame:
     """df with _pos, _chunk and _core: a row once for each chunk whose frames reach it, that is its
     own (_core) and those that begin within `before` rows after it or end within `after` before it."""

@@ -339,3 +339,43 @@ def test_assignment_of_a_thousand_rules(spark):
     assert plan(out) < plan(R.assign(df, rules[-5:], use_context=False)) + 40 * names
     table_ = spark.createDataFrame([(k, x["conditions"], x["tp"], x["sl"], x["capital_pct"]) for k, x in enumerate(rules)], "rule_index int, conditions array<string>, tp double, sl double, capital_pct double")
     assert {x.row: x.rule_index for x in R.assign(df, table_, use_context=False).collect()} == want
+
+
+def peeled(points, violation):
+    """Fronts by peeling. points: id to (group, objectives, violation)."""
+    def beats(p, q):
+        (_, a, v), (_, b, w) = points[p], points[q]
+        if violation and (v > 0 or w > 0) and v != w:
+            return v < w
+        return None not in a + b and all(x <= y for x, y in zip(a, b, strict=True)) and a != b
+
+    out, left, front = {}, set(points), 0
+    while left:
+        front += 1
+        best = {q for q in left if not any(points[p][0] == points[q][0] and beats(p, q) for p in left)}
+        out |= dict.fromkeys(best, front)
+        left -= best
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+@pytest.mark.parametrize("violation", [None, "v"])
+def test_fronts_in_strips(spark, monkeypatch, width, violation):
+    from barloom.operators import search as Q  # noqa: N812
+
+    monkeypatch.setattr(Q, "STRIP", 16)
+    r = random.Random(3)
+    points = {k: ("ab"[k % 3 % 2], tuple(None if r.random() < 0.05 else float(r.randint(0, 9)) for _ in range(width)), float(max(0, r.randint(-4, 3)))) for k in range(120)}
+    names = [f"f{j}" for j in range(width)]
+    df = spark.createDataFrame([(k, g, v, *x) for k, (g, x, v) in points.items()], "id int, g string, v double, " + ", ".join(f"{n} double" for n in names))
+    assert {x.id: x.front for x in Q.fronts(df, "id", names, "g", violation).collect()} == peeled(points, violation)
+    one = {k: ("", x, v) for k, (_, x, v) in points.items()}
+    assert {x.id: x.front for x in Q.fronts(df, "id", names, None, violation).collect()} == peeled(one, violation)
+
+
+def test_fronts_of_a_long_chain(spark):
+    from barloom.operators import search as Q  # noqa: N812
+
+    df = spark.range(20_000).select("id", F.col("id").cast("double").alias("a"), (-F.col("id") % 2 + F.col("id")).cast("double").alias("b"))
+    got = {r.id: r.front for r in Q.fronts(df, "id", ["a", "b"]).collect()}
+    assert len(got) == 20_000 and max(got.values()) >= 10_000
