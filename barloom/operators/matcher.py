@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from . import rules as R  # noqa: N812
 
+#: Marks of rows and rules that a block has at once.
+BLOCK = 1 << 24
 #: Accepted classes of rules that a task holds at once; a larger table is matched slice by slice.
 HELD = 1 << 20
 
@@ -55,11 +57,12 @@ class Postings:
         return hits == self.wanted
 
 
-def _marks(batches: Iterable, postings: Postings, slots: int, pick, block: int = 1024) -> Iterator:
+def _marks(batches: Iterable, postings: Postings, slots: int, pick) -> Iterator:
     """Batches without their last `slots` columns, the classes, and with pick(marks) as columns."""
     import numpy as np
     import pyarrow as pa
 
+    block = max(1, min(1024, BLOCK // max(1, len(postings.rules))))
     for batch in batches:
         for s in range(0, batch.num_rows, block):
             part = batch.slice(s, block)

@@ -202,14 +202,14 @@ pool AS (SELECT p_partkey AS rule, p_size % 6 AS g0, (p_partkey * 7) % 11 AS g1,
 @query("b22_rule_table", f"WITH {FEATURES}, {MANY} SELECT rule, symbol, count(*) AS n FROM cl JOIN pool ON (g0 = 5 OR g0 = c0) AND (g1 = 10 OR g1 = c1) AND (g2 = 2 OR g2 = c2) GROUP BY 1, 2")
 def b22b(spark, sf_dir):
     """A rule for each part, read as a table: matched by counting; the plan has three columns of classes."""
-    from barloom.operators.search import match_dense
+    from barloom.operators.search import match_counts
 
     key = F.col("p_partkey")
     genes = F.transform(F.array(F.col("p_size") % 6, (key * 7) % 11, key % 3), lambda g: g.cast("int"))
     pool = table(spark, sf_dir, "part").select(key.alias("rule"), genes.alias("genes"))
     rows = features(spark, sf_dir).select("symbol", "f_pos", "f_signed", "f_bin")
     classes = [R.bucket(F.col("f_pos"), "positive"), R.bucket(F.col("f_signed"), "signed"), F.col("f_bin")]
-    return match_dense(rows, classes, pool, [5, 10, 2]).groupBy("rule", "symbol").agg(F.count("*").alias("n"))
+    return match_counts(rows, classes, pool, [5, 10, 2], ["symbol"])
 
 
 #: Rules of two conditions over the features: each positive label with each signed one, and those alone.

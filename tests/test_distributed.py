@@ -379,3 +379,14 @@ def test_fronts_of_a_long_chain(spark):
     df = spark.range(20_000).select("id", F.col("id").cast("double").alias("a"), (-F.col("id") % 2 + F.col("id")).cast("double").alias("b"))
     got = {r.id: r.front for r in Q.fronts(df, "id", ["a", "b"]).collect()}
     assert len(got) == 20_000 and max(got.values()) >= 10_000
+
+
+def test_match_counts(spark):
+    """Rules by pair and by count, with a class that is missing, equal rules, one without genes and one that meets no row."""
+    from barloom.operators import search as Q  # noqa: N812
+
+    rows = spark.createDataFrame([("a" if k % 3 else None, k % 4 if k % 7 else None, k % 2) for k in range(200)], "symbol string, x int, y int")
+    rules = spark.createDataFrame([(1, [0, 2]), (2, [9, 2]), (3, [0, 2]), (4, [3, 1]), (5, [7, 2]), (6, [9, 0])], "rule long, genes array<int>")
+    pairs = Q.match_dense(rows, [F.col("x"), F.col("y")], rules, [9, 2]).groupBy("rule", "symbol").agg(F.count("*").alias("n"))
+    got = Q.match_counts(rows, [F.col("x"), F.col("y")], rules, [9, 2], ["symbol"])
+    assert table(got) == table(pairs.select(*got.columns)) and {r.rule for r in got.collect()} == {1, 2, 3, 4, 6}
