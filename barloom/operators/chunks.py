@@ -52,9 +52,10 @@ def numbered(df: DataFrame, name: str, total: str | None = None, keys: tuple[str
 
 def strips(df: DataFrame, order: list[str], name: str, rows: int = 1 << 16) -> DataFrame:
     """df, stored, with the number of its strip: strips hold about `rows` rows each and follow one another in the order, in
-    which rows that are equal are in one strip. The cuts are those of Spark's range partitioning."""
+    which rows that are equal are in one strip. The cuts are those of Spark's range partitioning. df is read once."""
     from barloom.sources.store import settled
 
+    df = settled(df)
     pieces = -(-df.count() // rows) or 1
     return settled(df.repartitionByRange(pieces, *order).withColumn(name, F.spark_partition_id()))
 

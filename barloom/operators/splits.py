@@ -82,14 +82,23 @@ def time_windows(df: DataFrame, days: int, min_rows: int, most: int) -> DataFram
     return k.withColumn("rk", F.row_number().over(Window.orderBy("window_id"))).where(F.col("rk") <= most).drop("rk")
 
 
+#: Rows of a strip.
+STRIP = 1 << 18
+
+
 def largest_gap(ranges: DataFrame, low: int, high: int) -> DataFrame:
-    """symbol, start, size of the largest run of [low, high) outside the (s, e) ranges, inclusive."""
+    """symbol, start, size of the largest run of [low, high) outside the (s, e) ranges, inclusive. Ranges
+    are cut into strips of their order; a strip knows how far those before it reach."""
     edges = ranges.select("symbol", "s", "e").union(ranges.select("symbol").distinct().select("symbol", F.lit(high).alias("s"), F.lit(high).alias("e")))
-    w = Window.partitionBy("symbol").orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = edges.withColumn("start", F.coalesce(reach + 1, F.lit(low))).withColumn("size", F.greatest(F.col("s") - F.col("start"), F.lit(0)))
-    best = Window.partitionBy("symbol").orderBy(F.desc("size"), "start")
-    return df.withColumn("k", F.row_number().over(best)).where("k = 1").select("symbol", F.col("start").cast("long"), F.col("size").cast("long"))
+    edges = chunks.strips(edges, ["symbol", "s", "e"], "_strip", STRIP)
+    by = ["symbol", "_strip"]
+    earlier = Window.partitionBy("symbol").orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)  # a row a strip
+    ends = edges.groupBy(*by).agg(F.max("e").alias("_top")).select(*by, F.max("_top").over(earlier).alias("_before"))
+    here = F.max("e").over(Window.partitionBy(*by).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
+    df = chunks.null_safe(edges.withColumn("_here", here), ends, by)
+    start = F.coalesce(F.greatest("_here", "_before") + 1, F.lit(low)).cast("long")
+    best = F.max(F.struct(F.greatest(F.col("s") - start, F.lit(0)).cast("long").alias("size"), (-start).alias("first")))
+    return df.groupBy("symbol").agg(best.alias("_best")).select("symbol", (-F.col("_best.first")).alias("start"), "_best.size")
 
 
 def aligned_sample(df: DataFrame, size: int, seed: int) -> DataFrame:
@@ -115,13 +124,10 @@ def release_rows(tape: DataFrame, offset: Column, name: str = "release_row") ->
     return both.withColumn(name, F.when(F.col("_t").isNotNull(), F.col(name))).drop("_t", "_kind", "_row")
 
 
-def global_rank(df: DataFrame, order: list[str], name: str, strips: int = 64) -> DataFrame:
-    """name: place from 1 in the order. Rows are cut into strips at quantiles of the first column
+def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """name: place from 1 in the order. Rows are cut into strips of the whole order
     and ranked within them; strips are offset by the rows before, so no task holds all rows."""
-    first = F.col(order[0]).cast("double")
-    cuts = sorted(set(df.select(first.alias("x")).approxQuantile("x", [k / strips for k in range(1, strips)], 0.01)))
-    strip = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= first)) if cuts else F.lit(0)
-    df = df.withColumn("_strip", strip)
+    df = chunks.strips(df, order, "_strip", STRIP)
     sizes = df.groupBy("_strip").agg(F.count("*").alias("_n"))
     sizes = sizes.select("_strip", (F.sum("_n").over(Window.orderBy("_strip")) - F.col("_n")).alias("_before"))  # a row a strip
     place = F.row_number().over(Window.partitionBy("_strip").orderBy(*order))

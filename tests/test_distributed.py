@@ -390,3 +390,43 @@ def test_match_counts(spark):
     pairs = Q.match_dense(rows, [F.col("x"), F.col("y")], rules, [9, 2]).groupBy("rule", "symbol").agg(F.count("*").alias("n"))
     got = Q.match_counts(rows, [F.col("x"), F.col("y")], rules, [9, 2], ["symbol"])
     assert table(got) == table(pairs.select(*got.columns)) and {r.rule for r in got.collect()} == {1, 2, 3, 4, 6}
+
+
+def test_largest_gap_in_strips(spark, monkeypatch):
+    monkeypatch.setattr(S, "STRIP", 20)
+    r = random.Random(9)
+    rows = [(r.choice(["a", "b", None]), s, s + r.randint(-1, 12)) for s in (r.randint(0, 900) for _ in range(150))] + [("c", 0, 2000), ("c", 7, 8), ("c", 7, 7)]
+    want = {}
+    for symbol in {x[0] for x in rows}:
+        reach, best = None, None
+        for s, e in sorted([x[1:] for x in rows if x[0] == symbol] + [(1000, 1000)]):
+            start = 5 if reach is None else reach + 1
+            best = max(best or (-1, 0), (max(s - start, 0), -start))
+            reach = e if reach is None else max(reach, e)
+        want[symbol] = (-best[1], best[0])
+    got = S.largest_gap(spark.createDataFrame(rows, "symbol string, s long, e long"), 5, 1000)
+    assert {x[0]: (x[1], x[2]) for x in got.collect()} == want
+
+
+def test_global_rank_in_strips(spark, monkeypatch):
+    monkeypatch.setattr(S, "STRIP", 20)
+    r = random.Random(4)
+    rows = [(r.choice([None, 1.0, 2.0, 2.5]), k) for k in range(200)]
+    got = {x.k: x.place for x in S.global_rank(spark.createDataFrame(rows, "x double, k int").repartition(3), ["x", "k"], "place").collect()}
+    assert got == {k: n + 1 for n, (_, k) in enumerate(sorted(rows, key=lambda y: (y[0] is not None, y[0] or 0.0, y[1])))}
+
+
+def test_orders_are_numbered_by_day(spark, tmp_path):
+    """No window has the orders of a status; the plan has a slot beside it in each window over rows."""
+    from barloom.plans.q_metrics import ordered
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [(k, 1, "OFP"[k % 3], float(k), at + dt.timedelta(days=k * 7 % 40), "x") for k in range(90)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    df = ordered(spark, str(tmp_path))
+    want = {}
+    for status in "OFP":
+        want |= {k: n for n, (_, k) in enumerate(sorted((x[4], x[0]) for x in rows if x[2] == status))}
+    assert {x.o_orderkey: x.bar for x in df.collect()} == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_slot" in line[line.index("], [") :] for line in plan.splitlines() if "row_number()" in line and "Window" in line)
