@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.operators import labels as L  # noqa: N812
 from barloom.operators import metrics as M  # noqa: N812
 from barloom.operators import splits as S  # noqa: N812
+from barloom.operators.chunks import numbered
 from barloom.sources.tape import event_bars, table
 
 from .q_tape import BARS, H, barrier_sql
@@ -117,7 +118,7 @@ ORD = "ord AS (SELECT o_orderstatus AS symbol, o_orderdate AS datetime, o_orderk
 
 def ordered(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("symbol"), F.struct("o_orderdate", "o_orderkey").alias("datetime"), "o_orderkey", "o_totalprice")
-    return o.withColumn("bar", (F.row_number().over(Window.partitionBy("symbol").orderBy("datetime")) - 1).cast("long"))
+    return numbered(o, "bar", span=86400)  # orders have a date, so a slot is a day
 
 
 @query("h1_holdout", f"WITH {ORD}, s AS (SELECT *, CASE WHEN rn <= floor(n * 0.65) THEN 'train' WHEN rn > floor(n * 0.65) + 96 THEN 'val' END AS split FROM ord) SELECT symbol, split, count(*) AS n, min(rn) - 1 AS first_bar, round(sum(o_totalprice), 2) AS total FROM s WHERE split IS NOT NULL GROUP BY 1, 2")
