@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from barloom.sources.store import settled
 
-from .chunks import null_safe
+from .chunks import null_safe, strips
 
 #: Parts of a group.
 PARTS = 64
+#: Distinct values of features and keys, at most, whose ranks go to all tasks.
+FEW = 1 << 16
+#: Distinct values of a strip.
+STRIP = 1 << 18
 
 
 def rank_table(counts: DataFrame, col: str, keys: list[str], name: str) -> DataFrame:
@@ -58,3 +62,49 @@ def spearman(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     dx, dy = x - F.col("_mx"), y - F.col("_my")
     out = ranked.groupBy(*keys, "n").agg(F.sum(w * dx * dy).alias("_xy"), F.sum(w * dx * dx).alias("_xx"), F.sum(w * dy * dy).alias("_yy"))
     return out.select(*keys, "n", F.try_divide("_xy", F.nullif(F.sqrt("_xx") * F.sqrt("_yy"), F.lit(0.0))).alias("rho"))
+
+
+def spearman_wide(df: DataFrame, features: list[str], target: str, keys: list[str]) -> DataFrame:
+    """feature, keys, n, rho: spearman() of each feature, a number, with one target, without a row for each feature and row.
+    Features with few values have their ranks looked up, so a distinct value of the target takes one row: for each feature
+    its rows and the sum of their ranks. The target's ranks are running sums of these rows. Other features go the
+    general way. Runs jobs."""
+    cols = [F.col(c).cast("double").alias(c) for c in features]
+    df = df.select(*keys, F.col(target), *cols).where(F.col(target).isNotNull())
+    counts = df.unpivot([*keys, target], features, "feature", "_x").where("_x IS NOT NULL").groupBy("feature", *keys, "_x").agg(F.count("*").alias("_n"))
+    sizes = {r["feature"]: r["d"] for r in df.agg(*(F.approx_count_distinct(F.struct(*keys, c)).alias(c) for c in features)).unpivot([], features, "feature", "d").collect()}
+    few = [c for c in features if sizes[c] <= FEW]
+    many = [c for c in features if c not in few]
+    parts = [spearman(df.select(*keys, target, F.lit(c).alias("feature"), F.col(c).alias("_x")), "_x", target, ["feature", *keys]).select("feature", *keys, "n", "rho") for c in many]
+    if few:
+        parts.append(_with_few(df, counts.where(F.col("feature").isin(few)), few, target, keys))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _with_few(df: DataFrame, counts: DataFrame, features: list[str], target: str, keys: list[str]) -> DataFrame:
+    by = ["feature", *keys]
+    counts = settled(counts)
+    ranks = settled(null_safe(counts, rank_table(counts, "_x", by, "_rank"), [*by, "_x"]))
+    total = ranks.groupBy(*by).agg(F.sum("_n").alias("n"))
+    spread = null_safe(ranks, total, by).groupBy(*by, "n").agg(F.sum(F.col("_n") * F.pow(F.col("_rank") - (F.col("n") + 1) / 2, F.lit(2.0))).alias("_xx"))
+    for k, c in enumerate(features):
+        own = ranks.where(F.col("feature") == c).select(*keys, F.col("_x").alias(c), F.col("_rank").alias(f"_r{k}"))
+        df = null_safe(df, F.broadcast(own), [*keys, c], "left")
+    sums = [x for k in range(len(features)) for x in (F.count(f"_r{k}").alias(f"_n{k}"), F.sum(f"_r{k}").alias(f"_s{k}"))]
+    values = strips(df.groupBy(*keys, target).agg(*sums), [*keys, target], "_strip", STRIP)
+    strip = [*keys, "_strip"]
+    before = Window.partitionBy(*keys).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)  # a row a strip
+    ends = values.groupBy(*strip).agg(*(F.sum(f"_n{k}").alias(f"_e{k}") for k in range(len(features))))
+    ends = ends.select(*strip, *(F.coalesce(F.sum(f"_e{k}").over(before), F.lit(0)).alias(f"_b{k}") for k in range(len(features))))
+    here = Window.partitionBy(*strip).orderBy(target).rowsBetween(Window.unboundedPreceding, 0)
+    values = null_safe(values.withColumns({f"_u{k}": F.sum(f"_n{k}").over(here) for k in range(len(features))}), ends, strip)
+    # The rank of a value of the target among the rows that have the feature.
+    named = [F.struct(F.lit(c).alias("feature"), F.col(f"_n{k}").alias("w"), F.col(f"_s{k}").alias("s"), (F.col(f"_b{k}") + F.col(f"_u{k}") - (F.col(f"_n{k}") - 1) / 2).alias("y")) for k, c in enumerate(features)]
+    long = values.select(*keys, F.explode(F.array(*named)).alias("_p")).select(*keys, "_p.*").where("w > 0")
+    mid = (F.col("n") + 1) / 2
+    both = null_safe(long, F.broadcast(spread), by)
+    out = both.groupBy(*by, "n", "_xx").agg(F.sum((F.col("y") - mid) * (F.col("s") - F.col("w") * mid)).alias("_xy"), F.sum(F.col("w") * F.pow(F.col("y") - mid, F.lit(2.0))).alias("_yy"))
+    return out.select(*by, "n", F.try_divide("_xy", F.nullif(F.sqrt("_xx") * F.sqrt("_yy"), F.lit(0.0))).alias("rho"))

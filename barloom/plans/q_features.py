@@ -11,6 +11,7 @@ from barloom.operators import features as X  # noqa: N812
 from barloom.operators import metrics as M  # noqa: N812
 from barloom.operators import rules as R  # noqa: N812
 from barloom.operators.gram import correlations, item_correlations
+from barloom.sources.store import settled
 from barloom.sources.tape import event_bars, table
 
 from .q_tape import BARS, FEATURES, _case, features
@@ -102,8 +103,7 @@ _FOLDS = " UNION ALL ".join(f"SELECT '{c}' AS feature, symbol, {c} AS x, price A
 @query("g22_consistent_features", f"WITH {WIDE_SQL}, lf AS ({_FOLDS}), k AS (SELECT feature, symbol, rank() OVER (PARTITION BY feature, symbol ORDER BY x) + (count(*) OVER (PARTITION BY feature, symbol, x) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY feature, symbol ORDER BY y) + (count(*) OVER (PARTITION BY feature, symbol, y) - 1) / 2.0 AS rb FROM lf), r AS (SELECT feature, symbol, corr(ra, rb) AS rho FROM k GROUP BY 1, 2), f AS (SELECT feature, count(*) FILTER (rho >= 0.05) AS up, count(*) FILTER (rho <= -0.05) AS down FROM r WHERE symbol <> 'R' GROUP BY 1) SELECT feature, up, down FROM f LEFT JOIN (SELECT feature, rho FROM r WHERE symbol = 'R') v USING (feature) WHERE (up = 0 OR down = 0) AND NOT coalesce((up > 0 AND v.rho < -0.05) OR (down > 0 AND v.rho > 0.05), false)")
 def g22b(spark, sf_dir):
     """Folds are the return flags but one, which serves as validation; the target is the price."""
-    df = X.long_form(wide(spark, sf_dir), [c for c in WIDE if c != "price"], ["symbol", "price"])
-    rho = M.spearman(df, "x", "price", ["feature", "symbol"])
+    rho = settled(M.spearman_wide(wide(spark, sf_dir), [c for c in WIDE if c != "price"], "price", ["symbol"]))
     return X.sign_consistent(rho.where("symbol <> 'R'"), 0.05, 1, rho.where("symbol = 'R'"))
 
 

@@ -430,3 +430,17 @@ def test_orders_are_numbered_by_day(spark, tmp_path):
     assert {x.o_orderkey: x.bar for x in df.collect()} == want
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert all("_slot" in line[line.index("], [") :] for line in plan.splitlines() if "row_number()" in line and "Window" in line)
+
+
+@pytest.mark.parametrize("few", [0, 8, 1 << 16])
+def test_spearman_of_wide_rows(spark, monkeypatch, few):
+    from barloom.operators import features as X  # noqa: N812
+    from barloom.operators import ranks as K  # noqa: N812
+
+    monkeypatch.setattr(K, "FEW", few)
+    monkeypatch.setattr(K, "STRIP", 20)
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 1.0, 2.0]), float(r.randint(0, 40)), 7.0, r.choice([None, *(k / 4 for k in range(30))])) for _ in range(240)]
+    df = spark.createDataFrame(rows, "symbol string, x double, y double, flat double, price double")
+    long = K.spearman(X.long_form(df, ["x", "y", "flat"], ["symbol", "price"]), "x", "price", ["feature", "symbol"])
+    same(table(long.select("feature", "symbol", "n", "rho")), table(K.spearman_wide(df, ["x", "y", "flat"], "price", ["symbol"])))
